@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format
 from .common import table
 from .decontaminate import contaminated
 from .mixing import mix
 from .quality_rules import measure_quality
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
+from .url_filters import judge_urls
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,37 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    found = chat_format.format_chats(chat_format.turns_as_events(turns.unionByName(own)))
+    back = found.select("conv_id", "formatted", "loss_spans", chat_format.read_back(F.col("formatted")).alias("ms"), chat_format.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines = F.array_join(F.transform("ms", lambda m: F.concat(m.role, F.lit("\n"), m.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("ms").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: The fixed rules of the URL query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_quality(table(spark, sf_dir, "documents"))
 
@@ -38,10 +71,54 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_chat_format": op2_chat_format,
+    "op3_url_filters": op3_url_filters,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Control strings as a regular expression for the escaped length: backslashes double, control strings grow by one.
+_CONTROL = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+            SELECT *, length(text) + (length(text) - length(replace(text, '\', '')))
+                      + len(regexp_extract_all(text, '"""
+    + _CONTROL
+    + r"""')) AS escaped,
+                   length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A')) AS role_chars
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(12 + role_chars + 1 + escaped + 11) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
+    "op3_url_filters": r"""
+        WITH parts AS (
+            SELECT page_id,
+                   CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        bare AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS rest FROM parts),
+        split AS (
+            SELECT page_id,
+                   translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path
+            FROM bare),
+        rules(verdict, rule_host, rule_path) AS (VALUES
+            ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+            ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        fits AS (
+            SELECT s.page_id, s.host, s.path, r.verdict, r.rule_host || r.rule_path AS rule
+            FROM split s LEFT JOIN rules r
+              ON (s.host = r.rule_host OR ends_with(s.host, '.' || r.rule_host)) AND starts_with(s.path, r.rule_path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
+        QUALIFY row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) = 1""",
+}
