@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import chat_format
 from .common import table
 from .decontaminate import contaminated
+from .html_extract import extract_main_text
 from .mixing import mix
 from .quality_rules import measure_quality
 from .simhash import near_duplicates
@@ -21,6 +22,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
     "op3_url_filters": op3_url_filters,
+    "op4_html_extract": op4_html_extract,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
