@@ -50,10 +50,13 @@ class Staged:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         del df
-        # Shuffle files go once their plans are garbage; the next phase needs the disk.
-        gc.collect()
-        self.spark._jvm.System.gc()
-        return self.spark.read.parquet(path)
+        found = self.spark.read.parquet(path)
+        # Shuffle files go once their plans are garbage; the next phase needs the disk. The first
+        # round frees what the second finds.
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+        return found
 
     def drop(self, name: str) -> None:
         """Deletes a table that later phases no longer read."""

@@ -10,13 +10,16 @@ smallest sub-window hash at the level, so equal removal windows name equal sub-w
 about one position in six is counted rather than all. A removal window whose named sub-window
 is unique in the corpus is unique itself and is dropped there; nothing is lost.
 
+A document whose whole text an earlier one has (known by length and two hashes) repeats as a
+whole and takes no part in the levels after the first.
+
 Counts and first places are partial aggregates and come back by joins that Spark may split,
 so a passage that a third of all documents share fills no task. Windows are judged on the
 input, by a 64-bit hash of their words.
 
-Null texts have no words. Texts below 20 words lose nothing. Rows that repeat an id with the
-same text are the same document: neither starts earlier, both get one result; with different
-texts they lose the words of the windows found in either. A null id sorts before all others.
+Null texts have no words. Texts below 20 words lose nothing. Rows that repeat an id are one
+document: what starts in one of them does not start earlier than in another, and all get the
+marks of all. A null id sorts before all others.
 Texts are taken whole. An empty table gives an empty result.
 """
 
@@ -103,77 +106,108 @@ def candidates(x: np.ndarray, width: int, survives: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(b: pa.RecordBatch, sizes: list[int], hashes: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(b: pa.RecordBatch, sizes: list[int], hashes: list[np.ndarray], places: list[np.ndarray], again: list[np.ndarray]) -> pa.RecordBatch:
     ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     at = np.concatenate(places) if places else np.zeros(0, np.int32)
-    return pa.RecordBatch.from_arrays([ids, column(h.view(np.int64), pa.int64()), column(at.astype(np.int32), pa.int32())], names=["doc_id", "h", "at"])
+    more = np.concatenate(again) if again else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([ids, column(h.view(np.int64), pa.int64()), column(at.astype(np.int32), pa.int32()), column(more, pa.bool_())], names=["doc_id", "h", "at", "again"])
+
+
+def _later_here(h: np.ndarray) -> np.ndarray:
+    """Which hashes stand earlier in the array too."""
+    out = np.ones(len(h), bool)
+    out[np.unique(h, return_index=True)[1]] = False
+    return out
 
 
 def _first_level(docs: DataFrame, doc_id: str, text: str, window: int, start: int) -> DataFrame:
-    """(doc_id, h, at): the windows of the first length that removal windows name."""
+    """(doc_id, h, at, again): the windows of the first length that removal windows name.
+
+    again: the document has the window earlier too.
+    """
     width = window - start + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            sizes, hashes, places = [], [], []
+            sizes, hashes, places, again = [], [], [], []
             for t in as_bytes(b, text):
                 x = window_hashes(word_hashes(t.split(), known), start)
                 at = np.flatnonzero(named(x, width)) if len(x) >= width else np.zeros(0, np.int64)
                 sizes.append(len(at))
                 hashes.append(x[at])
                 places.append(at)
-            yield _rows(b, sizes, hashes, places)
+                again.append(_later_here(x[at]))
+            yield _rows(b, sizes, hashes, places, again)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, h long, at int")
-
-
-def _repeated(windows: DataFrame) -> DataFrame:
-    """The windows whose hash is there twice or more, by document: (doc_id, at list)."""
-    again = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return windows.join(again, "h").groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, h long, at int, again boolean")
 
 
 def _next_level(docs: DataFrame, marks: DataFrame, doc_id: str, text: str, window: int, start: int) -> DataFrame:
-    """(doc_id, h, at): the removal windows, twice as long, that name a surviving window."""
+    """(doc_id, h, at, again): the removal windows, twice as long, that name a surviving window."""
     width = window - start + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            sizes, hashes, places = [], [], []
+            sizes, hashes, places, again = [], [], [], []
             for t, m in zip(as_bytes(b, text), b.column("marks")):
                 x = window_hashes(word_hashes(t.split(), known), start)
-                at = np.zeros(0, np.int64)
+                at, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
                 if len(x) >= width:
                     survives = np.zeros(len(x), bool)
-                    places_ = m.values.to_numpy()
-                    survives[places_[places_ < len(x)]] = True
+                    marked = m.values.to_numpy()
+                    survives[marked[marked < len(x)]] = True
                     at = np.flatnonzero(candidates(x, width, survives))
+                    h = _doubled(x, start)[at]
                 sizes.append(len(at))
-                hashes.append(_doubled(x, start)[at] if len(at) else np.zeros(0, np.uint64))
+                hashes.append(h)
                 places.append(at)
-            yield _rows(b, sizes, hashes, places)
+                again.append(_later_here(h))
+            yield _rows(b, sizes, hashes, places, again)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marks, same(F.col("__id"), marks.doc_id))
-    return joined.select("__id", F.col("__text").alias(text), "marks").mapInArrow(run, f"doc_id {kind}, h long, at int")
+    return joined.select("__id", F.col("__text").alias(text), "marks").mapInArrow(run, f"doc_id {kind}, h long, at int, again boolean")
+
+
+def _copies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id): documents whose whole text an earlier one has. All their windows start earlier."""
+    key = F.struct(F.xxhash64(text).alias("a"), F.crc32(text).alias("b"), F.length(text).alias("n"))
+    prints = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), key.alias("print"))
+    lowest = prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).filter("n > 1")
+    found = prints.join(lowest, "print").filter("doc_id > low or (doc_id is not null and nulls > 0)")
+    return found.select("doc_id").distinct()
+
+
+def _repeated(windows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The windows whose hash is there twice or more, by document: (doc_id, marks), without copies."""
+    again = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    marks = windows.join(again, "h").groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
+    return marks.join(copies, "doc_id", "left_anti")
 
 
-def repeats(docs: DataFrame, staged: Staged, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, marks): starts of the windows whose words also start earlier."""
+def repeats(docs: DataFrame, staged: Staged, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, marks): starts of the windows whose words also start earlier; (doc_id): copies, which repeat as a whole.
+
+    Copies leave the levels after the first: each of their windows starts earlier in their
+    original, so they are no window's first place.
+    """
     first, last = level_lengths(window)[0], window
+    copies = staged.put(_copies(docs, doc_id, text), "copies")
     level = staged.put(_first_level(docs, doc_id, text, window, first), "level1")
     if first < last:
-        level = staged.put(_next_level(docs, _repeated(level), doc_id, text, window, first), "level2")
+        level = staged.put(_next_level(docs, _repeated(level, copies), doc_id, text, window, first), "level2")
         staged.drop("level1")
-    place = F.struct(F.col("doc_id"), F.col("at"))
-    earliest = level.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    later = level.join(earliest, "h").filter(place > F.col("first")).select("doc_id", "at")
-    marks = staged.put(later, "later")
-    return marks.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
+    # A document's first place of a window is compared with other documents, its later ones need not be.
+    ahead = level.filter("not again").select("h", "doc_id", "at")
+    lowest = ahead.groupBy("h").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).filter("n > 1")
+    later = ahead.join(lowest, "h").filter("doc_id > low or (doc_id is not null and ids < n)").select("doc_id", "at")
+    later = staged.put(later.unionByName(level.filter("again").select("doc_id", "at")), "later")
+    staged.drop("level2")
+    return later.groupBy("doc_id").agg(F.collect_list("at").alias("marks")), copies
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -186,8 +220,10 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _kept(text: bytes, marks, window: int) -> tuple[list[bytes], list[bytes]]:
+def _kept(text: bytes, marks, copy: bool, window: int) -> tuple[list[bytes], list[bytes]]:
     words = text.split()
+    if copy and len(words) >= window:
+        return words, []
     if marks is None or not len(words):
         return words, words
     gone = covered(len(words), marks.to_numpy().astype(np.int64), window)
@@ -195,9 +231,10 @@ def _kept(text: bytes, marks, window: int) -> tuple[list[bytes], list[bytes]]:
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    staged = Staged(docs.sparkSession, "substring")
-    marks = repeats(docs, staged, doc_id, text, window).withColumnRenamed("doc_id", "__key").withColumnRenamed("marks", "__marks")
-    return docs.join(marks, same(docs[doc_id], marks["__key"]), "left").drop("__key")
+    marks, copies = repeats(docs, Staged(docs.sparkSession, "substring"), doc_id, text, window)
+    both = marks.select("doc_id", "marks", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("marks"), F.lit(True).alias("copy")))
+    both = both.select(F.col("doc_id").alias("__key"), F.col("marks").alias("__marks"), F.col("copy").alias("__copy"))
+    return docs.join(both, same(docs[doc_id], both["__key"]), "left").drop("__key")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -206,8 +243,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, kept = [], [], []
-            for t, m in zip(as_bytes(b, text), b.column("__marks")):
-                words, rest = _kept(t, m.values, window)
+            for t, m, c in zip(as_bytes(b, text), b.column("__marks"), b.column("__copy").to_pylist()):
+                words, rest = _kept(t, m.values, bool(c), window)
                 n.append(len(words))
                 removed.append(len(words) - len(rest))
                 kept.append(b" ".join(rest).decode())
@@ -228,14 +265,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes = b.column(text).to_pylist(), b.column(length).to_pylist() if length else None
-            for i, (t, m) in enumerate(zip(as_bytes(b, text), b.column("__marks"))):
-                if m.values is not None:
-                    words, rest = _kept(t, m.values, window)
+            for i, (t, m, c) in enumerate(zip(as_bytes(b, text), b.column("__marks"), b.column("__copy").to_pylist())):
+                if c or m.values is not None:
+                    words, rest = _kept(t, m.values, bool(c), window)
                     if len(rest) < len(words):
                         texts[i] = b" ".join(rest).decode()
                         if length:
                             sizes[i] = len(texts[i])
-            out = b.drop_columns(["__marks"])
+            out = b.drop_columns(["__marks", "__copy"])
             out = out.set_column(out.schema.get_field_index(text), text, column(texts, out.schema.field(text).type))
             if length:
                 out = out.set_column(out.schema.get_field_index(length), length, column(sizes, out.schema.field(length).type))
