@@ -182,10 +182,16 @@ def _copies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return found.select("doc_id").distinct()
 
 
-def _repeated(windows: DataFrame, copies: DataFrame) -> DataFrame:
-    """The windows whose hash is there twice or more, by document: (doc_id, marks), without copies."""
-    again = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    marks = windows.join(again, "h").groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
+def _repeated(windows: DataFrame, copies: DataFrame, staged: Staged) -> DataFrame:
+    """The windows whose hash is there twice or more, by document: (doc_id, marks), without copies.
+
+    The repeated hashes are a table of their own, so that both sides of the join are plain
+    exchanges, which Spark may split; a window that its document has earlier needs no join.
+    """
+    twice = staged.put(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
+    found = windows.filter("not again").join(twice, "h").select("doc_id", "at")
+    found = found.unionByName(windows.filter("again").select("doc_id", "at"))
+    marks = found.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
     return marks.join(copies, "doc_id", "left_anti")
 
 
@@ -199,11 +205,12 @@ def repeats(docs: DataFrame, staged: Staged, doc_id: str = "doc_id", text: str =
     copies = staged.put(_copies(docs, doc_id, text), "copies")
     level = staged.put(_first_level(docs, doc_id, text, window, first), "level1")
     if first < last:
-        level = staged.put(_next_level(docs, _repeated(level, copies), doc_id, text, window, first), "level2")
+        level = staged.put(_next_level(docs, _repeated(level, copies, staged), doc_id, text, window, first), "level2")
         staged.drop("level1")
     # A document's first place of a window is compared with other documents, its later ones need not be.
     ahead = level.filter("not again").select("h", "doc_id", "at")
     lowest = ahead.groupBy("h").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).filter("n > 1")
+    lowest = staged.put(lowest, "lowest")
     later = ahead.join(lowest, "h").filter("doc_id > low or (doc_id is not null and ids < n)").select("doc_id", "at")
     later = staged.put(later.unionByName(level.filter("again").select("doc_id", "at")), "later")
     staged.drop("level2")
