@@ -1,7 +1,86 @@
+"""From caption events to sponsor segments."""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .. import patterns as P
+from ..functions import text as T
+from ..operators.events import caption_spans, clean_events
+from ..operators.intervals import merge_local
+from ..operators.signals import FLAGS, features, weight
+from ..operators.walk import SCHEMA, walk
+from ..operators.windows import evidence_windows, repeated_brands
 from ..options import DetectorOptions
 
 
 def keep_segments(segments: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
     return segments.filter((segments.end_ms - segments.start_ms).between(options.min_segment, options.max_segment) & segments.category.isin(*options.categories))
+
+
+def span_features(events: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
+    """Captions with the features of the spans that end in them folded in, and the spans that open or close a read.
+
+    Groups and flags unite; the commercial score is the best over the folds, spans in the order
+    of their starts, each with the groups so far less the largest negative score so far.
+    """
+    spans = features(caption_spans(events, options))
+    kept = F.struct("start_idx", "groups", "negative_groups", "codes", "normalized", "commercial", "negative", "score", *FLAGS)
+    lists = spans.groupBy("video_id", F.col("end_idx").alias("event_idx")).agg(F.sort_array(F.collect_list(kept)).alias("all"))
+    base, longer = F.element_at("all", -1), F.slice("all", 1, F.size("all") - 1)
+    zero = F.struct(base.groups.alias("groups"), base.negative.alias("negative"), base.commercial.alias("commercial"))
+
+    def fold(acc, s):
+        groups, negative = F.array_union(acc.groups, s.groups), F.greatest(acc.negative, s.negative)
+        return F.struct(groups.alias("groups"), negative.alias("negative"), F.greatest(acc.commercial, weight(groups) - negative).cast("int").alias("commercial"))
+
+    lists = lists.withColumn("f", F.aggregate(longer, zero, fold))
+    flag = lambda k: F.exists("all", lambda s: s[k]).alias(k)
+    folded = lists.select(
+        "video_id",
+        "event_idx",
+        base.normalized.alias("normalized"),
+        base.codes.alias("codes"),
+        F.array_sort("f.groups").alias("groups"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda s: s.negative_groups)))).alias("negative_groups"),
+        F.col("f.commercial").alias("commercial"),
+        *map(flag, FLAGS),
+        F.transform(F.filter("all", lambda s: s.ends), lambda s: F.struct(s.start_idx.alias("start"), s.ends_before.alias("before"))).alias("end_spans"),
+    )
+    opening = F.struct(F.col("end_idx").alias("end"), F.col("strong_start").alias("strong"), F.col("contextual_start").alias("contextual"), F.col("endorsement_start").alias("endorsement"), F.col("self_promotion_start").alias("self_start"), "score")
+    opened = spans.filter("starts").groupBy("video_id", F.col("start_idx").alias("event_idx")).agg(F.collect_list(opening).alias("start_spans"))
+    return events.join(folded, ["video_id", "event_idx"]).join(opened, ["video_id", "event_idx"], "left")
+
+
+def detect_segments(captions: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
+    """(video_id, start_ms, end_ms, confidence, category, reason, score, groups, brands) of captions (video_id, start_ms, end_ms, text).
+
+    Every stage is keyed by video. Videos without a seed leave before the walk.
+    """
+    events = clean_events(captions)
+    scored = span_features(events, options)
+    boosts = repeated_brands(scored, options)
+    keys, none = ["video_id", "event_idx"], F.array().cast("array<string>")
+    scored = scored.join(boosts, keys, "left").withColumns(
+        {
+            "groups": F.when(F.col("boost") > 0, F.array_sort(F.array_union("groups", F.array(F.lit("brand"))))).otherwise(F.col("groups")),
+            "commercial": F.col("commercial") + F.coalesce("boost", F.lit(0)),
+            "brands": F.coalesce("brands", none),
+        }
+    )
+    windows = evidence_windows(scored.select(*keys, "start_ms", "end_ms", "commercial", "groups"), options)
+    windows = windows.groupBy("video_id", F.col("start_idx").alias("event_idx")).agg(F.collect_list(F.struct(F.col("end_idx").alias("end"), "score")).alias("windows"))
+    seeded = windows.select("video_id").union(scored.filter("start_spans is not null").select("video_id")).distinct()
+    n = F.col("normalized")
+    rows = scored.join(windows, keys, "left").join(seeded, "video_id", "left_semi")
+    rows = rows.select(
+        *keys, "start_ms", "end_ms", "groups", "negative_groups", "brands", "commercial", "starts", "self_promotion", "self_promotion_start", "affiliate",
+        T.matches(n, P.LEAD_IN).alias("lead_in"), T.matches(n, P.PRE_ROLL).alias("pre_roll"), T.topic_tokens(n).alias("tokens"),
+        F.coalesce("start_spans", F.expr("array()").cast(rows.schema["start_spans"].dataType)).alias("start_spans"),
+        "end_spans",
+        F.coalesce("windows", F.expr("array()").cast(rows.schema["windows"].dataType)).alias("windows"),
+    )
+    kind = captions.schema["video_id"].dataType.simpleString()
+    found = rows.groupBy("video_id").applyInPandas(walk(options), f"video_id {kind}, {SCHEMA}")
+    return merge_local(keep_segments(found, options), options)

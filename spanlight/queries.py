@@ -413,10 +413,12 @@ def m6_merge_ranges(spark, sf_dir):
     return I.merge_ranges(sample(spark, sf_dir, D.LOCAL), F.lit(60000.0))
 
 
-COVERED = "SELECT video_id, sum(ms) AS covered_ms FROM (SELECT video_id, max(end_ms) - min(start_ms) AS ms FROM ({0}) i GROUP BY video_id, island) c GROUP BY video_id"
+def covered_sql(runs: str) -> str:
+    return f"SELECT video_id, sum(ms) AS covered_ms FROM (SELECT video_id, max(end_ms) - min(start_ms) AS ms FROM ({runs}) i GROUP BY video_id, island) c GROUP BY video_id"
 
 
-@query(COVERED.format(island_sql(f"SELECT video_id, start_ms, end_ms FROM {LOC} l", 0)))
+
+@query(covered_sql(island_sql(f"SELECT video_id, start_ms, end_ms FROM {LOC} l", 0)))
 def a1_coverage(spark, sf_dir):
     return I.coverage(sample(spark, sf_dir, D.LOCAL))
 
@@ -429,7 +431,7 @@ def j6_overlap_pairs(spark, sf_dir):
     return I.overlap_pairs(sample(spark, sf_dir, D.LOCAL), sample(spark, sf_dir, D.TRUTH))
 
 
-@query(COVERED.format(island_sql(PAIRS, 0)))
+@query(covered_sql(island_sql(PAIRS, 0)))
 def a2_overlap(spark, sf_dir):
     return I.coverage(j6_overlap_pairs(spark, sf_dir))
 
@@ -489,3 +491,366 @@ def j3_suppress_undone(spark, sf_dir):
 def j4_label_positions(spark, sf_dir):
     segs = sample(spark, sf_dir, D.LOCAL).select("video_id", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"))
     return I.label_positions(sample(spark, sf_dir, D.POSITIONS), segs)
+
+
+# Topics
+
+TOKENS = f"""SELECT video_id, event_idx, start_ms, end_ms, token, count(*) AS n FROM (SELECT video_id, event_idx, start_ms, end_ms, unnest(regexp_extract_all({NORM}, '{P.TOKEN}')) AS token FROM {CAP} c) t
+    WHERE token NOT IN ({", ".join(f"'{w}'" for w in dict.fromkeys([*P.STOP_WORDS, *P.COMMERCIAL_WORDS]))}) GROUP BY ALL"""
+IDF = f"""SELECT video_id, token, count(*) AS df, ln(((SELECT count(*) FROM events e WHERE e.user_id = t.video_id) + 1) / (count(*) + 1)) + 1 AS idf FROM ({TOKENS}) t GROUP BY video_id, token"""
+BEFORE = f"SELECT video_id, event_idx AS window_id, greatest(0, start_ms - 30000) AS from_ms, greatest(0, start_ms - 1) AS to_ms FROM {CAP} c WHERE phase = 8"
+AFTER = f"SELECT video_id, event_idx AS window_id, greatest(0, start_ms + 48000) AS from_ms, start_ms + 96000 AS to_ms FROM {CAP} c WHERE phase = 8"
+
+
+def vectors_sql(windows: str) -> str:
+    return f"""SELECT w.video_id, w.window_id, t.token, (1 + ln(sum(t.n))) * any_value(i.idf) AS weight FROM ({windows}) w JOIN tok t ON t.video_id = w.video_id AND t.end_ms >= w.from_ms AND t.start_ms <= w.to_ms
+      JOIN idf i ON i.video_id = t.video_id AND i.token = t.token GROUP BY ALL"""
+
+
+def topic_windows(spark, sf_dir, back, to):
+    return captions(spark, sf_dir).filter("phase = 8").select("video_id", F.col("event_idx").alias("window_id"), F.greatest(F.lit(0.0), F.col("start_ms") - back).alias("from_ms"), to.alias("to_ms"))
+
+
+def topics_before(spark, sf_dir):
+    from .operators.topics import topic_vectors
+
+    return topic_vectors(topic_windows(spark, sf_dir, 30000, F.greatest(F.lit(0.0), F.col("start_ms") - 1)), captions(spark, sf_dir))
+
+
+@query(IDF)
+def a5_document_frequency(spark, sf_dir):
+    from .operators.topics import document_frequency
+
+    return document_frequency(captions(spark, sf_dir))
+
+
+@query(f"WITH tok AS ({TOKENS}), idf AS ({IDF}) {vectors_sql(BEFORE)}")
+def a6_topic_vectors(spark, sf_dir):
+    return topics_before(spark, sf_dir)
+
+
+@query(
+    f"""WITH tok AS ({TOKENS}), idf AS ({IDF}), a AS ({vectors_sql(BEFORE)}), b AS ({vectors_sql(AFTER)}),
+    k AS (SELECT DISTINCT video_id, window_id FROM a INTERSECT SELECT DISTINCT video_id, window_id FROM b),
+    u AS (SELECT video_id, window_id, token, sum(x) AS x, sum(y) AS y FROM (SELECT video_id, window_id, token, weight AS x, 0 AS y FROM a UNION ALL SELECT video_id, window_id, token, 0, weight FROM b) z GROUP BY ALL),
+    s AS (SELECT video_id, window_id, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS cosine, sum(least(x, y)) / sum(greatest(x, y)) AS jaccard, count(*) FILTER (x > 0 AND y > 0) AS shared FROM u JOIN k USING (video_id, window_id) GROUP BY ALL)
+    SELECT *, shared >= 2 AND cosine >= 0.24 AND jaccard >= 0.16 AS returned FROM s"""
+)
+def a7_topic_similarity(spark, sf_dir):
+    from .operators.topics import topic_similarity, topic_vectors
+
+    after = topic_vectors(topic_windows(spark, sf_dir, -48000, F.col("start_ms") + 96000), captions(spark, sf_dir))
+    return topic_similarity(topics_before(spark, sf_dir), after)
+
+
+@query(
+    f"""SELECT brand, category, confidence, count(*) AS segments, sum(end_ms - start_ms) / 1000 AS seconds FROM (
+    SELECT *, CASE video_id % 5 WHEN 0 THEN 'acme' WHEN 1 THEN 'zenly' WHEN 2 THEN 'orbit' WHEN 3 THEN 'kudos' ELSE 'nimbus' END AS brand FROM {LOC} l) b GROUP BY ALL"""
+)
+def a9_brand_summary(spark, sf_dir):
+    brand = F.element_at(F.array(*map(F.lit, ("acme", "zenly", "orbit", "kudos", "nimbus"))), (F.col("video_id") % 5 + 1).cast("int"))
+    rows = sample(spark, sf_dir, D.LOCAL).withColumn("brands", F.array(brand)).withColumn("brand", F.explode("brands"))
+    return rows.groupBy("brand", "category", "confidence").agg(F.count("*").alias("segments"), (F.sum(F.col("end_ms") - F.col("start_ms")) / 1000).alias("seconds"))
+
+
+# Evaluation
+
+
+def videos(spark, sf_dir):
+    return captions(spark, sf_dir).groupBy("video_id").agg(F.max("end_ms").alias("duration_ms"))
+
+
+def truth(spark, sf_dir):
+    return sample(spark, sf_dir, D.TRUTH).withColumnRenamed("event_idx", "truth_id")
+
+
+@query(f"SELECT median(start_error) AS median_start_error, median(end_error) AS median_end_error, avg(iou) AS mean_iou FROM ({BEST}) b")
+def a3_boundary_errors(spark, sf_dir):
+    from .jobs.evaluate import boundary_errors
+
+    return boundary_errors(j7_best_match(spark, sf_dir))
+
+
+def _covered(rows: str) -> str:
+    return f"(SELECT sum(covered_ms) FROM ({covered_sql(island_sql(rows, 0))}) z)"
+
+
+_P, _T = f"SELECT video_id, start_ms, end_ms, category FROM {LOC} l", f"SELECT video_id, start_ms, end_ms, category FROM {TRUE_} t"
+_OWN = f"SELECT * FROM ({_T}) o WHERE category = 'self-promotion'"
+_WRONG = f"SELECT p.video_id, greatest(p.start_ms, o.start_ms) AS start_ms, least(p.end_ms, o.end_ms) AS end_ms FROM ({_P}) p JOIN ({_OWN}) o ON o.video_id = p.video_id AND p.category <> 'self-promotion' AND least(p.end_ms, o.end_ms) > greatest(p.start_ms, o.start_ms)"
+
+
+@query(
+    f"""WITH b AS ({BEST}), s AS (SELECT {_covered(_P)} AS p, {_covered(_T)} AS t, {_covered(PAIRS)} AS o, {_covered(_OWN)} AS own, coalesce({_covered(_WRONG)}, 0) AS wrong,
+      (SELECT sum(d) FROM (SELECT max(end_ms) AS d FROM {CAP} c GROUP BY video_id) v) AS d, (SELECT count(DISTINCT user_id) FROM events) AS videos)
+    SELECT o / p AS precision, o / t AS recall, greatest(0, p - o) / 1000 / (d / 3600000) AS false_seconds_per_hour, median(start_error) AS median_start_error, median(end_error) AS median_end_error, avg(iou) AS mean_iou,
+           count(iou) / count(*) AS segment_recall, wrong / own AS self_promotion_confusion, videos, count(*) AS truth_segments, count(iou) AS detected_segments FROM b, s GROUP BY p, t, o, own, wrong, d, videos"""
+)
+def a4_evaluate(spark, sf_dir):
+    from .jobs.evaluate import evaluate
+
+    return evaluate(sample(spark, sf_dir, D.LOCAL), truth(spark, sf_dir), videos(spark, sf_dir))
+
+
+def m5_detect_segments(spark, sf_dir):
+    """Sequential per video, so without SQL; the tests hold golden cases."""
+    from .jobs.detect import detect_segments
+
+    return detect_segments(captions(spark, sf_dir).select("video_id", "start_ms", "end_ms", "text"))
+
+
+QUERIES["m5_detect_segments"] = m5_detect_segments
+
+
+# Routing
+
+OWNED = "(SELECT video_id, handle FROM (SELECT DISTINCT user_id AS video_id FROM events) v JOIN " + HANDLES + " h ON h.c_custkey = v.video_id)"
+
+
+def owned(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("video_id")).distinct()
+    return e.join(handles(spark, sf_dir).withColumnRenamed("c_custkey", "video_id"), "video_id")
+
+
+@query(
+    f"""SELECT video_id FROM {OWNED} o WHERE trim(handle) = '' OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND lower(trim(o.handle, ' @')) = lower(c_name))"""
+)
+def j1_drop_blocked(spark, sf_dir):
+    from .operators.routing import drop_blocked
+
+    listed = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 = 0").select(F.concat(F.lit(" "), F.upper("c_name")).alias("handle"))
+    return drop_blocked(owned(spark, sf_dir), listed).select("video_id")
+
+
+MODES = "(SELECT DISTINCT user_id AS video_id, CASE user_id % 4 WHEN 0 THEN 'local-only' ELSE 'automatic' END AS mode FROM events)"
+FEW = f"(SELECT * FROM {LOC} l WHERE video_id % 5 > 1)"
+
+
+@query(
+    f"""SELECT video_id, CASE WHEN mode <> 'local-only' AND video_id IN (SELECT video_id FROM ({COMMUNITY_MS}) c) THEN 'community'
+      WHEN video_id IN (SELECT video_id FROM {FEW} l) THEN CASE mode WHEN 'local-only' THEN 'local-only' ELSE 'local-fallback' END
+      WHEN mode <> 'local-only' AND video_id IN (SELECT video_id FROM {ANS} a) THEN 'llm-fallback' ELSE 'none' END AS route FROM {MODES} m"""
+)
+def j8_route_sources(spark, sf_dir):
+    from .operators.routing import route_sources
+
+    ids = videos(spark, sf_dir).select("video_id", F.when(F.col("video_id") % 4 == 0, "local-only").otherwise("automatic").alias("mode"))
+    return route_sources(ids, community(spark, sf_dir), sample(spark, sf_dir, D.LOCAL).filter("video_id % 5 > 1"), sample(spark, sf_dir, D.ANSWERS))
+
+
+SURE = f"(SELECT video_id, event_idx, start_ms, end_ms, CASE WHEN video_id % 2 = 0 THEN 'high' ELSE confidence END AS confidence FROM {LOC} l)"
+
+
+def sure(spark, sf_dir):
+    return sample(spark, sf_dir, D.LOCAL).withColumn("confidence", F.when(F.col("video_id") % 2 == 0, "high").otherwise(F.col("confidence")))
+
+
+@query(f"SELECT video_id, event_idx, start_ms, end_ms FROM {SURE} s WHERE end_ms - start_ms > 25000 AND video_id NOT IN (SELECT video_id FROM {SURE} u WHERE confidence <> 'high')")
+def m7_deliverable(spark, sf_dir):
+    from .operators.routing import deliverable
+
+    return deliverable(sure(spark, sf_dir)).select("video_id", "event_idx", "start_ms", "end_ms")
+
+
+PLAN = f"""SELECT v.video_id, CASE top WHEN 2 THEN 'candidate-verification' WHEN 1 THEN 'short-verification' ELSE 'fallback' END AS kind, s.start_ms, s.end_ms,
+      CASE top WHEN 2 THEN least(240000, greatest(90000, 2 * (s.end_ms - s.start_ms))) WHEN 1 THEN 60000 END AS context_ms
+    FROM (SELECT DISTINCT user_id AS video_id FROM events) v LEFT JOIN (SELECT video_id, max(r) AS top FROM (SELECT *, CASE WHEN confidence <> 'high' THEN 2 WHEN end_ms - start_ms <= 25000 THEN 1 ELSE 0 END AS r FROM {SURE} a) b GROUP BY video_id) t USING (video_id)
+    LEFT JOIN (SELECT *, CASE WHEN confidence <> 'high' THEN 2 WHEN end_ms - start_ms <= 25000 THEN 1 ELSE 0 END AS r FROM {SURE} c) s ON s.video_id = v.video_id AND s.r = t.top AND s.r > 0"""
+
+
+def plan(spark, sf_dir):
+    from .operators.routing import llm_plan
+
+    return llm_plan(videos(spark, sf_dir), sure(spark, sf_dir))
+
+
+@query(PLAN)
+def l1_llm_plan(spark, sf_dir):
+    return plan(spark, sf_dir)
+
+
+@query(
+    f"""WITH p AS ({PLAN}), k AS (SELECT DISTINCT video_id, kind FROM p)
+    SELECT c.video_id, c.start_ms, c.end_ms, 'local' AS origin FROM {SURE} c JOIN k USING (video_id) WHERE kind <> 'fallback'
+      AND NOT EXISTS (SELECT 1 FROM p WHERE p.video_id = c.video_id AND p.start_ms = c.start_ms AND p.end_ms = c.end_ms)
+      AND NOT (kind = 'candidate-verification' AND EXISTS (SELECT 1 FROM {ANS} a WHERE a.video_id = c.video_id AND {MATCH}))
+    UNION ALL SELECT a.video_id, a.start_ms, a.end_ms, 'llm' FROM {ANS} a WHERE a.video_id IN (SELECT video_id FROM k)"""
+)
+def m8_combine_verified(spark, sf_dir):
+    from .operators.routing import combine_verified
+
+    return combine_verified(sure(spark, sf_dir), sample(spark, sf_dir, D.ANSWERS), plan(spark, sf_dir))
+
+
+# Requests and answers
+
+LINES = f"SELECT video_id, event_idx, start_ms, end_ms, printf('[%d] %.3f-%.3f %s', event_idx, start_ms / 1000, end_ms / 1000, text) AS line FROM {CAP} c"
+
+
+@query(f"SELECT video_id, event_idx, line FROM ({LINES}) l")
+def l2_format_lines(spark, sf_dir):
+    from .operators.requests import format_lines
+
+    return format_lines(captions(spark, sf_dir)).select("video_id", "event_idx", "line")
+
+
+def l3_chunk_events(spark, sf_dir):
+    """Greedy and sequential, so without SQL; small chunks, so that every video has several."""
+    from .operators.requests import chunk_events, format_lines
+
+    return chunk_events(format_lines(captions(spark, sf_dir)), 1200, 24_000.0)
+
+
+QUERIES["l3_chunk_events"] = l3_chunk_events
+
+#: Chunks of 20 captions that overlap by five, for the queries with SQL.
+CHUNKS = f"SELECT video_id, CAST(k AS INT) AS chunk_id, CAST(k * 15 AS INT) AS start_idx, CAST(least(k * 15 + 20, n) AS INT) AS end_idx FROM (SELECT video_id, count(*) AS n FROM {CAP} c GROUP BY video_id) v, range(0, 40) r(k) WHERE k = 0 OR k * 15 + 5 < n"
+
+
+def chunks(spark, sf_dir):
+    n = captions(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"))
+    k = n.select("video_id", "n", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).filter("k = 0 or k * 15 + 5 < n")
+    return k.select("video_id", F.col("k").alias("chunk_id"), (F.col("k") * 15).alias("start_idx"), F.least(F.col("k") * 15 + 20, F.col("n")).cast("int").alias("end_idx"))
+
+
+RANGES = f"SELECT video_id, event_idx AS range_id, start_ms - 60000 AS start_ms, end_ms + 60000 AS end_ms FROM {LOC} l"
+
+
+@query(
+    f"""WITH c AS (SELECT * FROM {CAP} x), a AS (SELECT r.*, coalesce(min(c.event_idx) FILTER (c.end_ms >= r.start_ms), max(c.event_idx)) AS a, max(c.event_idx) AS z FROM ({RANGES}) r JOIN c ON c.video_id = r.video_id GROUP BY ALL)
+    SELECT a.video_id, range_id, a AS start_idx, CAST(coalesce((SELECT min(event_idx) FROM c WHERE c.video_id = a.video_id AND c.event_idx >= a.a AND c.start_ms > a.end_ms), z + 1) AS INT) AS end_idx FROM a"""
+)
+def l4_focused_ranges(spark, sf_dir):
+    from .operators.requests import focused_ranges
+
+    r = sample(spark, sf_dir, D.LOCAL).select("video_id", F.col("event_idx").alias("range_id"), (F.col("start_ms") - 60000).alias("start_ms"), (F.col("end_ms") + 60000).alias("end_ms"))
+    return focused_ranges(captions(spark, sf_dir), r)
+
+
+TIMES = f"SELECT k.*, a.start_ms AS from_ms, b.end_ms AS to_ms, (SELECT count(*) FROM events e WHERE e.user_id = k.video_id) AS n FROM ({CHUNKS}) k JOIN {CAP} a ON a.video_id = k.video_id AND a.event_idx = k.start_idx JOIN {CAP} b ON b.video_id = k.video_id AND b.event_idx = k.end_idx - 1"
+HINTS = f"""SELECT k.video_id, k.chunk_id, string_agg(printf('- %.3f-%.3f seconds (%s local confidence)', l.start_ms / 1000, l.end_ms / 1000, l.confidence), chr(10) ORDER BY l.start_ms, l.end_ms, l.confidence) AS hints
+    FROM ({TIMES}) k JOIN {LOC} l ON l.video_id = k.video_id AND l.start_ms <= k.to_ms AND l.end_ms >= k.from_ms GROUP BY k.video_id, k.chunk_id"""
+
+
+def hints(spark, sf_dir):
+    from .operators.requests import candidate_hints
+
+    return candidate_hints(chunks(spark, sf_dir), captions(spark, sf_dir), sample(spark, sf_dir, D.LOCAL))
+
+
+@query(HINTS)
+def j5_candidate_hints(spark, sf_dir):
+    return hints(spark, sf_dir)
+
+
+@query(
+    f"""SELECT k.video_id, k.chunk_id, h.hints IS NOT NULL AS hinted, string_agg(l.line, chr(10) ORDER BY l.event_idx) AS lines FROM ({CHUNKS}) k JOIN ({LINES}) l ON l.video_id = k.video_id AND l.event_idx >= k.start_idx AND l.event_idx < k.end_idx
+    LEFT JOIN ({HINTS}) h ON h.video_id = k.video_id AND h.chunk_id = k.chunk_id GROUP BY ALL"""
+)
+def l5_llm_requests(spark, sf_dir):
+    """The requests, read back: the captions, and whether hints stand before them."""
+    from .operators.requests import format_lines, llm_requests
+
+    lines = format_lines(captions(spark, sf_dir)).select(F.col("video_id").alias("v"), "event_idx", "line")
+    c = chunks(spark, sf_dir)
+    met = c.join(lines, (c.video_id == lines.v) & (lines.event_idx >= c.start_idx) & (lines.event_idx < c.end_idx))
+    texts = met.groupBy("video_id", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", "line"))), lambda x: x.line), "\n").alias("text"))
+    user = F.get_json_object("request", "$.messages[1].content")
+    return llm_requests(texts, hints(spark, sf_dir), "model").select("video_id", "chunk_id", user.startswith("Candidates:").alias("hinted"), F.substring_index(user, "Captions:\n", -1).alias("lines"))
+
+
+def responses(spark, sf_dir):
+    """One answer per chunk from the truth inside it; by video whole, fenced, out of range or not JSON."""
+    t = truth(spark, sf_dir).select(F.col("video_id").alias("v"), F.col("truth_id").alias("a"), "category")
+    c = chunks(spark, sf_dir)
+    met = c.join(t, (c.video_id == t.v) & (t.a >= c.start_idx) & (t.a + 4 <= c.end_idx), "left")
+    shift = F.when(F.col("video_id") % 4 == 2, 1000).otherwise(0)
+    item = F.struct((F.col("a") + shift).alias("start_event"), (F.col("a") + 4 + shift).alias("end_event"), F.lit("HIGH").alias("confidence"), F.regexp_replace(F.regexp_replace("category", "paid-", ""), "-promotion", "_promo").alias("category"), F.lit(" some \n evidence ").alias("reason"))
+    found = met.groupBy("video_id", "chunk_id").agg(F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), item))).alias("segments"))
+    text = F.to_json(F.struct("segments"))
+    text = F.when(F.col("video_id") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```"))).when(F.col("video_id") % 4 == 3, "no idea {").otherwise(text)
+    return found.select("video_id", "chunk_id", F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices"))).alias("payload"))
+
+
+PARSED = f"""SELECT k.video_id, k.chunk_id, t.start_ms, coalesce(e.start_ms, m.end_ms) AS end_ms, 'high' AS confidence, t.category, 'some evidence' AS reason FROM ({CHUNKS}) k
+    JOIN {TRUE_} t ON t.video_id = k.video_id AND t.event_idx >= k.start_idx AND t.event_idx + 4 <= k.end_idx LEFT JOIN {CAP} e ON e.video_id = k.video_id AND e.event_idx = t.event_idx + 4
+    JOIN (SELECT video_id, max_by(end_ms, event_idx) AS end_ms FROM {CAP} c GROUP BY video_id) m ON m.video_id = k.video_id WHERE k.video_id % 4 IN (0, 1)"""
+
+
+def answers(spark, sf_dir):
+    from .operators.requests import parse_answers
+
+    return parse_answers(responses(spark, sf_dir), chunks(spark, sf_dir), captions(spark, sf_dir))
+
+
+@query(PARSED)
+def l6_parse_answers(spark, sf_dir):
+    return answers(spark, sf_dir)
+
+
+EDGES = f"""SELECT s.video_id, s.chunk_id, s.start_ms, s.end_ms, t.from_ms AS center_ms FROM ({PARSED}) s JOIN ({TIMES}) t ON t.video_id = s.video_id AND t.chunk_id = s.chunk_id WHERE t.start_idx > 0 AND s.start_ms <= t.from_ms + 30000
+    UNION ALL SELECT s.video_id, s.chunk_id, s.start_ms, s.end_ms, t.to_ms FROM ({PARSED}) s JOIN ({TIMES}) t ON t.video_id = s.video_id AND t.chunk_id = s.chunk_id WHERE t.end_idx < t.n AND s.end_ms >= t.to_ms - 30000"""
+SEAMS = f"""SELECT video_id, seam, avg(center_ms) AS center_ms FROM (SELECT *, sum(o) OVER (PARTITION BY video_id ORDER BY center_ms, r) AS seam FROM (
+      SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY center_ms) AS r, CASE WHEN center_ms - lag(center_ms) OVER (PARTITION BY video_id ORDER BY center_ms) <= 120000 THEN 0 ELSE 1 END AS o FROM ({EDGES}) e) f) g GROUP BY video_id, seam"""
+
+
+def centers(spark, sf_dir):
+    from .operators.requests import seam_centers, seam_edges
+
+    return seam_centers(seam_edges(answers(spark, sf_dir), chunks(spark, sf_dir), captions(spark, sf_dir)))
+
+
+@query(SEAMS)
+def l7_seam_centers(spark, sf_dir):
+    return centers(spark, sf_dir)
+
+
+@query(f"SELECT s.video_id, s.seam, min(l.event_idx) AS start_idx, CAST(max(l.event_idx) + 1 AS INT) AS end_idx, string_agg(l.line, chr(10) ORDER BY l.event_idx) AS text FROM ({SEAMS}) s JOIN ({LINES}) l ON l.video_id = s.video_id AND l.end_ms >= s.center_ms - 120000 AND l.start_ms <= s.center_ms + 120000 GROUP BY s.video_id, s.seam")
+def l8_seam_chunks(spark, sf_dir):
+    from .operators.requests import seam_chunks
+
+    return seam_chunks(centers(spark, sf_dir), captions(spark, sf_dir))
+
+
+NOW = 100 * 24 * 3600 * 1000
+CACHE = f"(SELECT DISTINCT user_id AS video_id, user_id % 7 AS cache_key, {NOW} - user_id * 7 * 3600 * 1000 AS created_at_ms, user_id % 9 = 0 AS broken FROM events)"
+
+
+def cache(spark, sf_dir):
+    v = videos(spark, sf_dir).withColumn("k", F.col("video_id") % 7)
+    valid = F.struct(F.lit(0.0).alias("start_ms"), F.when(F.col("video_id") % 9 == 0, -1.0).otherwise(9.0).alias("end_ms"))
+    return v.select("video_id", F.col("k").cast("string").alias("cache_key"), (F.lit(NOW) - F.col("video_id") * 7 * 3600 * 1000).alias("created_at_ms"), F.array(valid).alias("segments"))
+
+
+@query(
+    f"""SELECT video_id, EXISTS (SELECT 1 FROM {CACHE} c WHERE c.video_id % 3 = 0 AND c.cache_key = v.video_id % 7 AND {NOW} - c.created_at_ms <= 2592000000 AND NOT broken) AS hit FROM (SELECT DISTINCT user_id AS video_id FROM events) v"""
+)
+def j9_cache_lookup(spark, sf_dir):
+    from .operators.requests import cache_lookup
+
+    jobs = videos(spark, sf_dir).select("video_id", (F.col("video_id") % 7).cast("string").alias("cache_key"))
+    return cache_lookup(jobs, cache(spark, sf_dir).filter("video_id % 3 = 0").drop("video_id"), NOW).select("video_id", "hit")
+
+
+@query(
+    f"""SELECT cast(cache_key AS VARCHAR) AS cache_key, created_at_ms FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY video_id % 2 DESC, created_at_ms DESC) AS r FROM {CACHE} c WHERE video_id % 2 = 0 OR NOT broken) x
+    WHERE r = 1 AND {NOW} - created_at_ms <= 2592000000 ORDER BY created_at_ms DESC, 1 LIMIT 5"""
+)
+def l11_cache_upsert(spark, sf_dir):
+    from .operators.requests import cache_upsert
+
+    rows = cache(spark, sf_dir)
+    return cache_upsert(rows.filter("video_id % 2 = 0").drop("video_id"), rows.filter("video_id % 2 = 1").drop("video_id"), NOW, 5).select("cache_key", "created_at_ms")
+
+
+@query("SELECT count(DISTINCT user_id) AS videos, 2 * count(DISTINCT user_id) AS different_keys, count(DISTINCT user_id) AS same_keys FROM events")
+def l10_cache_key(spark, sf_dir):
+    """Keys of all videos: two models give different keys, the same captions in another order the same."""
+    from .operators.requests import cache_keys
+
+    c = captions(spark, sf_dir)
+    jobs = lambda model: videos(spark, sf_dir).select("video_id", F.lit("e").alias("endpoint"), F.lit(model).alias("model"))
+    a, b, again = (cache_keys(c, jobs("a")), cache_keys(c, jobs("b")), cache_keys(c.repartition(3, "event_idx"), jobs("a")).withColumnRenamed("cache_key", "k"))
+    both = a.union(b).agg(F.countDistinct("cache_key").alias("different_keys"))
+    same = a.join(again, "video_id").agg(F.count("*").alias("videos"), F.count_if(F.col("cache_key") == F.col("k")).alias("same_keys"))
+    return same.crossJoin(both).select("videos", "different_keys", "same_keys")
