@@ -40,7 +40,9 @@ def normalize_fuzzy(normalized: Column) -> Column:
 
 
 def matches(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(P.either(patterns))
+    """Whether one of the patterns matches; texts in ASCII, nearly all, take Java's own, faster word boundary."""
+    plain = "|".join(f"(?:{p})" for p in patterns)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), text.rlike(P.either(patterns))).otherwise(text.rlike(plain))
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:

@@ -13,6 +13,7 @@ from ..operators.signals import FLAGS, features, weight
 from ..operators.walk import SCHEMA, walk
 from ..operators.windows import evidence_windows, repeated_brands
 from ..options import DetectorOptions
+from ..sources.tables import settled
 
 
 def keep_segments(segments: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
@@ -56,10 +57,11 @@ def span_features(events: DataFrame, options: DetectorOptions = DetectorOptions(
 def detect_segments(captions: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
     """(video_id, start_ms, end_ms, confidence, category, reason, score, groups, brands) of captions (video_id, start_ms, end_ms, text).
 
-    Every stage is keyed by video. Videos without a seed leave before the walk.
+    Every stage is keyed by video. Videos without a seed leave before the walk. Clean events and
+    scores are read by several later steps, so they are tables: patterns are matched once.
     """
-    events = clean_events(captions)
-    scored = span_features(events, options)
+    events = settled(clean_events(captions), "events")
+    scored = settled(span_features(events, options), "scored")
     boosts = repeated_brands(scored, options)
     keys, none = ["video_id", "event_idx"], F.array().cast("array<string>")
     scored = scored.join(boosts, keys, "left").withColumns(
@@ -69,6 +71,7 @@ def detect_segments(captions: DataFrame, options: DetectorOptions = DetectorOpti
             "brands": F.coalesce("brands", none),
         }
     )
+    scored = settled(scored, "boosted")
     windows = evidence_windows(scored.select(*keys, "start_ms", "end_ms", "commercial", "groups"), options)
     windows = windows.groupBy("video_id", F.col("start_idx").alias("event_idx")).agg(F.collect_list(F.struct(F.col("end_idx").alias("end"), "score")).alias("windows"))
     seeded = windows.select("video_id").union(scored.filter("start_spans is not null").select("video_id")).distinct()

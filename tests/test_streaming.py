@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanlight import queries as Q
@@ -10,7 +11,7 @@ PATH = "/root/testdata/sf0.001"
 
 def replayed(spark, df, folder, order, parts=3):
     """The rows as a stream of files, in order."""
-    rows = df.withColumn("__p", F.ntile(parts).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(*order)))
+    rows = df.withColumn("__p", F.ntile(parts).over(Window.orderBy(*order)))
     for k in range(1, parts + 1):
         rows.filter(f"__p = {k}").drop("__p").coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -41,7 +42,7 @@ def test_sessions_equal_batch(spark, tmp_path):
 
 
 def test_captions_and_detection(spark, tmp_path):
-    raw = Q.payloads(spark, PATH).withColumn("ts", F.timestamp_seconds(F.col("video_id")))
+    raw = Q.payloads(spark, PATH).withColumn("ts", F.timestamp_seconds(F.col("video_id") + 1_000_000_000))
     twice = raw.unionByName(raw)
     run(caption_stream(replayed(spark, twice, str(tmp_path / "in"), ["ts"])), "captions", "append", tmp_path)
     assert spark.table("captions").count() == Q.s1_parse_captions(spark, PATH).count()
