@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import merge_answers
+
 CHUNK_CHARS, OVERLAP_MS, GAP_MS, FILL = 28_000, 90_000.0, 1_200.0, 0.75
 EDGE_MS, SEAM_MS = 30_000.0, 120_000.0
 MOST_ITEMS, MOST_MS, REASON_CHARS = 20, 300_000.0, 160
@@ -162,6 +164,13 @@ def seam_chunks(centers: DataFrame, events: DataFrame, context_ms: float = SEAM_
     return met.groupBy("video_id", F.col("range_id").alias("seam"), "start_idx", "end_idx").agg(text.alias("text"))
 
 
+def replace_seam_segments(segments: DataFrame, edges: DataFrame, repaired: DataFrame) -> DataFrame:
+    """Segments without those at a seam, with the repaired ones, merged."""
+    keys = ["video_id", "chunk_id", "start_ms", "end_ms"]
+    cols = ["video_id", "start_ms", "end_ms", "confidence", "category", "reason"]
+    return merge_answers(segments.join(edges.select(keys).distinct(), keys, "left_anti").select(cols).unionByName(repaired.select(cols)))
+
+
 def cache_keys(events: DataFrame, jobs: DataFrame, version: str = "1") -> DataFrame:
     """(video_id, cache_key): equal for equal version, video, endpoint, model and captions, else different."""
     line = F.sha2(F.concat_ws("\x1f", F.col("start_ms").cast("string"), F.col("end_ms").cast("string"), F.col("text")), 256)

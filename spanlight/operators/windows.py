@@ -67,6 +67,16 @@ def repeated_brands(scored: DataFrame, options: DetectorOptions = DetectorOption
     return near.groupBy("video_id", "event_idx").agg(F.array_sort(F.collect_set("brand")).alias("brands"), F.sum(F.when(F.col("strength") >= 3, 4).otherwise(P.WEIGHTS["brand"])).cast("int").alias("boost"))
 
 
+def pick_end_spans(candidates: DataFrame, ends: DataFrame, least_ms: float = 8_000) -> DataFrame:
+    """(video_id, candidate_idx, end_idx, start_idx): per candidate and last caption the end span that starts latest.
+
+    candidates: (video_id, candidate_idx, candidate_ms); ends: (video_id, start_idx, end_idx,
+    end_ms). A span counts from the candidate's start on, and if it ends at least least_ms after it.
+    """
+    met = candidates.join(ends, "video_id").filter((F.col("start_idx") >= F.col("candidate_idx")) & (F.col("end_ms") - F.col("candidate_ms") >= least_ms))
+    return met.groupBy("video_id", "candidate_idx", "end_idx").agg(F.max("start_idx").alias("start_idx"))
+
+
 def choose_track(tracks: DataFrame) -> DataFrame:
     """The best caption track of every video: English by hand, English, some English, any by hand, the first."""
     english, manual = F.col("language_code") == "en", F.coalesce(F.col("kind"), F.lit("")) != "asr"

@@ -302,6 +302,20 @@ def w1_caption_spans(spark, sf_dir):
     return E.caption_spans(captions(spark, sf_dir), DetectorOptions(max_span=24_000))
 
 
+_ENDS = f"SELECT w.video_id, w.start_idx, w.end_idx, c.end_ms FROM (SELECT *, {NORM} AS n FROM ({SQL['w1_caption_spans']}) x) w JOIN {CAP} c ON c.video_id = w.video_id AND c.event_idx = w.end_idx WHERE {P.re2(P.END, 'n')} OR {P.re2(P.END_BEFORE, 'n')}"
+
+
+@query(
+    f"""SELECT c.video_id, c.event_idx AS candidate_idx, e.end_idx, max(e.start_idx) AS start_idx FROM {CAP} c JOIN ({_ENDS}) e ON e.video_id = c.video_id AND e.start_idx >= c.event_idx AND e.end_ms - c.start_ms >= 8000
+    WHERE c.phase = 8 GROUP BY ALL"""
+)
+def w9_pick_end_spans(spark, sf_dir):
+    spans, c = w1_caption_spans(spark, sf_dir), captions(spark, sf_dir)
+    n = T.normalize_text(F.col("text"))
+    ends = spans.filter(T.matches(n, P.END) | T.matches(n, P.END_BEFORE)).drop("text").join(c.select("video_id", F.col("event_idx").alias("end_idx"), "end_ms"), ["video_id", "end_idx"])
+    return WN.pick_end_spans(c.filter("phase = 8").select("video_id", F.col("event_idx").alias("candidate_idx"), F.col("start_ms").alias("candidate_ms")), ends)
+
+
 @query(
     f"""WITH f AS ({SCORED}), e AS (SELECT f.*, least(event_idx, (SELECT count(*) FROM f b WHERE b.video_id = f.video_id AND b.start_ms < f.end_ms - 50000)) AS before FROM f),
     l AS (SELECT *, max(before) OVER (PARTITION BY video_id ORDER BY event_idx) AS left_idx FROM e),
@@ -812,6 +826,22 @@ def l8_seam_chunks(spark, sf_dir):
     return seam_chunks(centers(spark, sf_dir), captions(spark, sf_dir))
 
 
+@query(
+    f"""WITH p AS ({PARSED}), kept AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM ({EDGES}) e WHERE e.video_id = p.video_id AND e.chunk_id = p.chunk_id AND e.start_ms = p.start_ms AND e.end_ms = p.end_ms)),
+    u AS (SELECT video_id, start_ms, end_ms, category, confidence FROM kept UNION ALL SELECT video_id, start_ms, end_ms, category, confidence FROM {ANS} a WHERE video_id IN (SELECT video_id FROM ({EDGES}) e))
+    SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN bool_or(confidence = 'high') THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN min(category) = max(category) THEN min(category) ELSE 'paid-sponsor' END AS category
+    FROM ({island_sql("SELECT * FROM u", 1000)}) i GROUP BY video_id, island"""
+)
+def l9_replace_seam_segments(spark, sf_dir):
+    """The model's later answers stand in for the repaired segments."""
+    from .operators.requests import replace_seam_segments, seam_edges
+
+    found = answers(spark, sf_dir)
+    edges = seam_edges(found, chunks(spark, sf_dir), captions(spark, sf_dir))
+    repaired = sample(spark, sf_dir, D.ANSWERS).join(edges.select("video_id").distinct(), "video_id", "left_semi")
+    return replace_seam_segments(found, edges, repaired).drop("reason")
+
+
 NOW = 100 * 24 * 3600 * 1000
 CACHE = f"(SELECT DISTINCT user_id AS video_id, user_id % 7 AS cache_key, {NOW} - user_id * 7 * 3600 * 1000 AS created_at_ms, user_id % 9 = 0 AS broken FROM events)"
 
