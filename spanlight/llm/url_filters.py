@@ -100,6 +100,10 @@ def write_array(path: str, rules: list[tuple[bytes, bool]]) -> None:
         out.write(b"".join(texts) or b"\0")
 
 
+#: Files that an application has registered already: their names tell their contents.
+_registered: set[tuple[str, str]] = set()
+
+
 class RuleFiles:
     """Array files known to every executor by name, and the lengths of the rules' paths."""
 
@@ -117,8 +121,11 @@ class RuleFiles:
             if r is None or part and size + len(r[0]) + 17 > max_bytes:
                 mark = hashlib.sha256(repr((len(self.names), part)).encode()).hexdigest()[:24]
                 name = f"rules-{mark}.bin"
-                write_array(f"{folder}/{name}", part)
-                spark.sparkContext.addFile(f"{folder}/{name}")
+                mine = (spark.sparkContext.applicationId, name)
+                if mine not in _registered:
+                    write_array(f"{folder}/{name}", part)
+                    spark.sparkContext.addFile(f"{folder}/{name}")
+                    _registered.add(mine)
                 self.names.append(name)
                 part, size = [], 0
             if r is not None:

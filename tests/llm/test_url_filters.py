@@ -51,6 +51,7 @@ def test_query(spark):
     found = {tuple(r) for r in queries.op3_url_filters(spark, path).collect()}
     assert found == {(p.page_id, *plain(p.url, queries.URL_RULES)) for p in pages}
     assert len({r[3] for r in found}) >= 5
+    assert {tuple(r) for r in queries.op3_url_filters(spark, path).collect()} == found  # the same rules again
 
 
 def test_edges(spark):
