@@ -185,9 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             yield pa.RecordBatch.from_arrays([b.column(2).cast(pa.string()), b.column(1), pa.array([x.tobytes() for x in lists], pa.binary())], names=["id", "y", "x"])
 
     share = kept.agg(F.avg("__y")).first()[0]
-    found = rows.mapInArrow(run, "id string, y int, x binary").collect()
-    found.sort(key=lambda r: (r["id"] or "", r["y"], bytes(r["x"])))
-    return fit([np.frombuffer(r["x"], np.int32) for r in found], np.array([r["y"] for r in found]), options, share)
+    # The sample comes in a few parts, so the driver's JVM never holds it whole.
+    parts = rows.mapInArrow(run, "id string, y int, x binary").repartition(16).toLocalIterator(prefetchPartitions=True)
+    found = sorted(((r["id"] or "", r["y"], bytes(r["x"])) for r in parts))
+    return fit([np.frombuffer(x, np.int32) for _, _, x in found], np.array([y for _, y, _ in found]), options, share)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
