@@ -27,14 +27,14 @@ def _stars(edges: DataFrame) -> DataFrame:
     return down.filter("u != v").distinct()
 
 
-def components(edges: DataFrame, staged: Staged, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, staged: Staged, most_rounds: int = 60, name: str = "edges") -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node of its component."""
-    edges = staged.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges0")
+    edges = staged.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), f"{name}0")
     size = _size(edges)
     for k in range(1, most_rounds + 1):
-        following = staged.put(_stars(edges), f"edges{k}")
+        following = staged.put(_stars(edges), f"{name}{k}")
         now = _size(following)
-        staged.drop(f"edges{k - 1}")
+        staged.drop(f"{name}{k - 1}")
         edges = following
         if now == size:
             break

@@ -1,17 +1,26 @@
-"""SimHash near-duplicates at a given similarity, by pigeonring over wider fingerprints.
-
-Two documents are near-duplicates if the cosine of their shingle sets that SimHash estimates is
-at least the similarity: of 128 fingerprint bits at most acos(similarity) / pi differ (26 for
-0.8). At such a distance fingerprint segments are too seldom equal to make keys, so candidates
-are documents that share one of their SKETCH smallest shingle hashes, as nearly all with a
-similarity of 0.8 do. Candidates pass the chains of the ring of eight 16-bit segments first
-(from some segment on, every chain of k segments differs in at most k times the distance over
-eight), the full Hamming check last.
-
-As in simhash, equal fingerprints are one entry, candidates are compared in blocks inside
-sorted partitions and give a spanning forest, and a key with more entries than a block is
-compared by pairs of blocks in tasks of their own. Nulls, repeats and empty tables behave as
-there; documents without words are one group.
+"""Near-duplicates at a given Jaccard similarity: SimHash and pigeonring for candidates, then an exact check.
+
+Two documents are linked if their sets of distinct shingles have a Jaccard similarity of at
+least the given one. Groups are the components of these links.
+
+Candidates are found first. Their sketches, the SKETCH smallest shingle hashes, meet: of the
+SKETCH smallest of both sets together one is common to both, or each of them lies in one set
+only, which has a chance below (1 - similarity) ** SKETCH (7e-12 for 0.8). Sets so small that
+fewer of their smallest hashes must meet keep only those, which loses nothing. Of 128
+fingerprint bits over the sets at most filter_bits(similarity) differ, which a pair at the very
+similarity exceeds with a chance of MISS. The chains of the ring of eight 16-bit segments come
+first (from some segment on, every chain of k segments differs in at most k times the distance
+over eight), the full Hamming check last, and sizes too far apart are left out.
+
+Candidates are only connected, not judged: inside each component of candidates the whole sets of
+shingle hashes are intersected, all pairs of them. The sets come from the texts a second time,
+only for documents that have a candidate. A component with more than MOST_SETS entries is
+compared by pairs of blocks in tasks of their own.
+
+Equal sets are one entry, known by a hash of the whole set. As in simhash, candidates are
+compared in blocks inside sorted partitions and give a spanning forest, and a key with more
+entries than a block is compared by pairs of blocks in tasks of their own. Nulls, repeats and
+empty tables behave as there; documents without words are one group.
 """
 
 from __future__ import annotations
@@ -29,16 +38,32 @@ from .common import Staged, as_bytes, column, same
 from .components import components
 from .simhash import BLOCK, SEED, Forest, _runs
 
-SKETCH = 4
+SKETCH = 16
 SEGMENTS = 8
-OUT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("u", pa.int64()), ("w", pa.int64()), ("v", pa.int64())])
-COLUMNS = "key long, block long, u long, w long, v long"
+#: The chance that a pair at the very similarity differs in more bits than the filter lets through.
+MISS = 1e-6
+#: Entries of a component of candidates whose sets are intersected inside one task.
+MOST_SETS = 1024
+OUT = pa.schema([(x, pa.int64()) for x in ("key", "block", "entry", "n", "u", "w", "v")])
+COLUMNS = "key long, block long, entry long, n long, u long, w long, v long"
+PRINTS = ["entry", "n", "u", "w"]
 
 
 def most_bits(similarity: float, bits: int = 128) -> int:
     return int(math.acos(similarity) / math.pi * bits + 1e-9)
 
 
+def filter_bits(similarity: float, bits: int = 128) -> int:
+    """The least distance that sets with this Jaccard similarity, of any sizes, exceed with a chance of MISS at most."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    left = 1.0
+    for k in range(bits + 1):
+        left -= math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if left <= MISS:
+            return k
+    return bits
+
+
 def _second(h: np.ndarray) -> np.ndarray:
     """Other bits of the same hashes."""
     x = (h + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -46,36 +71,66 @@ def _second(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, int, list[int]]:
-    """Both fingerprint words and the smallest shingle hashes."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of all distinct shingles, sorted."""
     words = text.lower().split()
     if not words:
-        return 0, 0, [0]
+        return np.zeros(0, np.uint64)
     n, digest, join = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest, b" ".join
-    counts, least = np.zeros(128, np.int64), np.zeros(0, np.uint64)
+    found = []
     for at in range(0, n, 65536):
         part = words[at : min(n, at + 65536) + shingle - 1]
         parts = zip(*(part[k:] for k in range(shingle))) if len(words) >= shingle else [words]
-        h = np.array([digest(join(x), SEED) for x in parts], np.uint64)
+        found.append(np.unique(np.array([digest(join(x), SEED) for x in parts], np.uint64)))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def entry_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+
+
+def sketch(hashes: np.ndarray, similarity: float) -> tuple[int, int, list[int]]:
+    """Both fingerprint words and the smallest shingle hashes of a sorted set."""
+    n = len(hashes)
+    counts = np.zeros(128, np.int64)
+    for at in range(0, n, 65536):
+        h = hashes[at : at + 65536]
         both = np.stack([h, _second(h)], axis=1).astype(">u8")
         counts += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-        least = np.unique(np.concatenate([least, h]))[:SKETCH]
     bits = np.packbits(2 * counts > n).tobytes()
-    return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big"), least.tolist()
+    must = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big"), hashes[: min(SKETCH, must)].tolist()
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, u, w, keys)."""
+def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, entry, n, u, w, keys): entry is the print of the whole set, n its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(x, shingle) for x in as_bytes(b, text)]
-            u, w = (np.array([f[k] for f in found], np.uint64).view(np.int64) for k in (0, 1))
-            keys = pa.array([np.array(f[2], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), column(u, pa.int64()), column(w, pa.int64()), keys], names=["doc_id", "u", "w", "keys"])
+            found = []
+            for x in as_bytes(b, text):
+                h = shingles(x, shingle)
+                found.append((entry_of(h), len(h), *sketch(h, similarity)))
+            entry, n, u, w = (column(np.array([f[k] for f in found], np.uint64).view(np.int64), pa.int64()) for k in range(4))
+            keys = pa.array([np.array(f[4], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), entry, n, u, w, keys], names=["doc_id", *PRINTS, "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, u long, w long, keys array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, entry long, n long, u long, w long, keys array<long>")
+
+
+def sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(root, blocks, entry, hashes) of the rows whose text is the entry's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x, shingle) for x in as_bytes(b, text)]
+            entry = np.array([entry_of(h) for h in found], np.uint64).view(np.int64)
+            hashes = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
+            out = pa.RecordBatch.from_arrays([b.column("root"), b.column("blocks"), b.column("entry"), hashes], names=["root", "blocks", "entry", "hashes"])
+            yield out.filter(column(entry == b.column("entry").to_numpy(), pa.bool_()))
+
+    return docs.select("root", "blocks", "entry", text).mapInArrow(run, "root long, blocks long, entry long, hashes array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -99,81 +154,146 @@ def linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return chained
 
 
-def _forest(keys: np.ndarray | None, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links inside runs of equal keys; without keys all rows are one run."""
-    forest, unsigned = Forest(prints[:, 0]), prints.view(np.uint64)
+def _forest(keys: np.ndarray | None, prints: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the candidates inside runs of equal keys; without keys all rows are one run."""
+    forest, n, bits, distance = Forest(prints[:, 0]), prints[:, 1], np.ascontiguousarray(prints[:, 2:]).view(np.uint64), filter_bits(similarity)
     d, left = 1, np.arange(len(prints))
     while len(left := left[left + d < len(prints)]) and (keys is None or len(left := left[keys[left] == keys[left + d]])):
-        good = left[linked(unsigned[left], unsigned[left + d], distance)]
+        x, y = n[left], n[left + d]
+        good = left[np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6]
+        good = good[linked(bits[good], bits[good + d], distance)]
         forest.link(good, good + d)
         d += 1
     return forest.edges()
 
 
-def _out(key, block, u, w, v) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([column(x, pa.int64()) if x is not None else pa.nulls(len(u), pa.int64()) for x in (key, block, u, w, v)], schema=OUT)
+def _out(n: int, /, **given) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([column(given[x], pa.int64()) if x in given else pa.nulls(n, pa.int64()) for x in OUT.names], schema=OUT)
 
 
-def link_sorted(distance: int, block: int = BLOCK):
-    """Over a partition sorted by key: edges (u, v), and the entries of keys that exceed a block (key, block, u, w)."""
+def link_sorted(similarity: float, block: int = BLOCK):
+    """Over a partition sorted by key: edges (entry, v), and the entries of keys that exceed a block (key, block, entry, n, u, w)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        keys, prints = np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
         long_key, seen = None, 0
         for b in batches:
             keys = np.concatenate((keys, b.column(0).to_numpy()))
-            prints = np.concatenate((prints, np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1)))
+            prints = np.concatenate((prints, np.stack([b.column(k).to_numpy() for k in range(1, 5)], axis=1)))
             while len(keys):
                 if keys[0] == long_key:
                     n = int(np.searchsorted(keys, long_key, "right"))
-                    yield _out(keys[:n], (seen + np.arange(n)) // block, prints[:n, 0], prints[:n, 1], None)
+                    yield _out(n, key=keys[:n], block=(seen + np.arange(n)) // block, **dict(zip(PRINTS, prints[:n].T)))
                     seen, keys, prints = seen + n, keys[n:], prints[n:]
                     continue
                 start, n = _runs(keys)
                 over = np.flatnonzero(n > block)
                 whole = int(start[over[0]]) if len(over) else int(start[-1])
                 if whole:
-                    u, v = _forest(keys[:whole], prints[:whole], distance)
-                    yield _out(None, None, u, None, v)
+                    u, v = _forest(keys[:whole], prints[:whole], similarity)
+                    yield _out(len(u), entry=u, v=v)
                     keys, prints = keys[whole:], prints[whole:]
                 if not len(over):
                     break
                 long_key, seen = int(keys[0]), 0
         if len(keys):
-            u, v = _forest(keys, prints, distance)
-            yield _out(None, None, u, None, v)
+            u, v = _forest(keys, prints, similarity)
+            yield _out(len(u), entry=u, v=v)
 
     return run
 
 
-def _link_blocks(distance: int):
+def _link_blocks(similarity: float):
     def run(pdf):
-        u, v = _forest(None, np.ascontiguousarray(pdf[["u", "w"]].to_numpy(np.int64)), distance)
+        u, v = _forest(None, np.ascontiguousarray(pdf[PRINTS].to_numpy(np.int64)), similarity)
         return pdf.iloc[:0].reindex(columns=["u", "v"]).assign(u=u, v=v)
 
     return run
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """A row per input row: doc_id and component_id, the smallest id that links reach."""
-    distance = most_bits(similarity)
-    staged = Staged(docs.sparkSession, "similar")
-    found = staged.put(sketches(docs, doc_id, text, shingle), "sketches")
-    entries = found.groupBy("u").agg(F.min("w").alias("w"), F.min("keys").alias("keys"), F.min("doc_id").alias("low"))
-    keyed = entries.select(F.explode("keys").alias("key"), "u", "w").repartition("key").sortWithinPartitions("key", "u")
-    first = staged.put(keyed.mapInArrow(link_sorted(distance, block), COLUMNS), "first")
-    edges = first.filter("key is null").select("u", "v")
+def similar_sets(entries: np.ndarray, held: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all pairs of sets with the similarity or more, from their exact intersections."""
+    entries, first = np.unique(entries, return_index=True)
+    held = [held[k] for k in first]
+    n = np.array([len(h) for h in held], np.int64)
+    end = np.cumsum(n)
+    slot = np.unique(np.concatenate(held), return_inverse=True)[1]
+    at = np.argsort(slot, kind="stable")
+    of, begin = np.repeat(np.arange(len(n)), n)[at], np.r_[0, np.cumsum(np.bincount(slot))]
+    forest = Forest(entries)
+    for i in range(len(n) - 1):
+        if (forest.label == forest.label[0]).all():
+            break
+        own = slot[end[i] - n[i] : end[i]]
+        many = begin[own + 1] - begin[own]
+        take = np.repeat(begin[own] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        common = np.bincount(of[take], minlength=len(n))
+        good = np.flatnonzero(common >= similarity * (n[i] + n - common) - 1e-6)
+        good = good[good > i]
+        forest.link(np.full(len(good), i), good)
+    return forest.edges()
+
+
+def verify_sorted(similarity: float):
+    """Over a partition sorted by component and pair of blocks (root, i, j, entry, hashes): edges (u, v)."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, entries, held = None, [], []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            if len(entries) > 1:
+                u, v = similar_sets(np.array(entries, np.int64), held, similarity)
+                yield pa.RecordBatch.from_arrays([column(u, pa.int64()), column(v, pa.int64())], schema=schema)
+
+        for b in batches:
+            keys = zip(*(b.column(k).to_pylist() for k in range(3)))
+            hashes = b.column(4)
+            for k, (key, entry) in enumerate(zip(keys, b.column(3).to_pylist())):
+                if key != now:
+                    yield from edges()
+                    now, entries, held = key, [], []
+                entries.append(entry)
+                held.append(hashes[k].values.to_numpy())
+        yield from edges()
+
+    return run
+
+
+def candidates(entries: DataFrame, staged: Staged, similarity: float, block: int) -> DataFrame:
+    """Edges (u, v) of entries that connect all candidates."""
+    keyed = entries.select(F.explode("keys").alias("key"), *PRINTS).repartition("key").sortWithinPartitions("key", "entry")
+    first = staged.put(keyed.mapInArrow(link_sorted(similarity, block), COLUMNS), "first")
+    edges = first.filter("key is null").select(F.col("entry").alias("u"), "v")
     over = first.filter("key is not null")
     if not over.isEmpty():
         last = over.groupBy("key").agg(F.max("block").alias("last"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-        pairs = over.join(last, "key").select("key", "block", "u", "w", other)
-        pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "u", "w")
-        edges = edges.union(pairs.groupBy("key", "i", "j").applyInPandas(_link_blocks(distance), "u long, v long"))
-    roots = components(edges, staged)
-    rooted = entries.join(roots, entries.u == roots.node, "left").select("u", "low", F.coalesce("root", "u").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("u", "component_id")
-    return found.select("doc_id", "u").join(named, "u").select(F.col("doc_id").alias(doc_id), "component_id")
+        pairs = over.join(last, "key").select("key", "block", *PRINTS, other)
+        pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *PRINTS)
+        edges = edges.union(pairs.groupBy("key", "i", "j").applyInPandas(_link_blocks(similarity), "u long, v long"))
+    return edges
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, most_sets: int = MOST_SETS) -> DataFrame:
+    """A row per input row: doc_id and component_id, the smallest id that links reach."""
+    staged = Staged(docs.sparkSession, "similar")
+    found = staged.put(sketches(docs, doc_id, text, shingle, similarity), "sketches")
+    entries = found.groupBy("entry").agg(*(F.min(x).alias(x) for x in (*PRINTS[1:], "keys")), F.min("doc_id").alias("low"))
+    near = components(candidates(entries, staged, similarity, block), staged, name="near")
+    near = near.union(near.select(F.col("root").alias("node"), "root").distinct())
+    blocks = F.ceil(F.count("*") / F.lit(most_sets)).alias("blocks")
+    members = near.join(near.groupBy("root").agg(blocks), "root").join(entries.select("entry", "low"), F.col("node") == F.col("entry"))
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(members, same(F.col("__id"), F.col("low")))
+    held = sets(texts, "__text", shingle)
+    mine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("entry"), F.col("blocks"))).otherwise(F.lit(0).cast("long"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    pairs = held.select("root", mine.alias("mine"), other, "entry", "hashes").select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "entry", "hashes")
+    pairs = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    roots = components(pairs.mapInArrow(verify_sorted(similarity), "u long, v long"), staged)
+    rooted = entries.join(roots, entries.entry == roots.node, "left").select("entry", "low", F.coalesce("root", "entry").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("entry", "component_id")
+    return found.select("doc_id", "entry").join(named, "entry").select(F.col("doc_id").alias(doc_id), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -60,3 +60,28 @@ def test_edges(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     twice = spark.createDataFrame([rows[3], rows[4]], SCHEMA)
     assert [tuple(r) for r in similar.keep_one(twice).collect()] == [rows[3]]
+
+
+def test_links_are_those_of_the_exact_jaccard(spark):
+    """Copies with more and more edits, and of different lengths: groups are the components of the exact links."""
+    rng = random.Random(6)
+    word = lambda: rng.choice("bcdfgh") + str(rng.randrange(400))
+    texts = []
+    for f in range(60):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        texts.append(base)
+        for k in range(4):
+            copy = list(base)
+            for _ in range(max(1, round(len(copy) * rng.choice([0.01, 0.02, 0.022, 0.03, 0.04])))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy if k else copy[: round(len(copy) * rng.choice([0.85, 0.78]))])
+    texts = [" ".join(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if a // 5 == b // 5 and root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for most_sets in (1024, 2):
+        assert {r.doc_id: r.component_id for r in similar.groups(df, most_sets=most_sets).collect()} == dict(enumerate(root))
+    assert 60 < len(set(root)) < len(texts)
