@@ -1,8 +1,11 @@
 """Quality rules: repetition measures and compression bands.
 
 A text passes if its size over its zstandard size lies inside a band for its length, and so
-do its fixed chunks. Repetitive text compresses too well, random text hardly at all. The
-bands depend on the length because a longer text gives the compressor more to refer to.
+do its pieces: fixed chunks, of which a share may lie a little outside but none far outside,
+and what is left behind the last full chunk (its last bytes, tail_bytes at least, so that the
+rest of a chunk is judged however short). Repetitive text compresses too well, random text
+hardly at all. The bands depend on the length because a longer text gives the compressor more
+to refer to.
 
 Null texts and texts without words have all measures 0 and fail the base rule (too few
 words). Any id is passed through, null and repeated ones too: rows are judged one by one.
@@ -23,17 +26,23 @@ from .common import SEPARATORS, as_bytes, column
 
 SYMBOLS = "#*$%&|<>"
 
-#: Up to so many UTF-8 bytes, the least and the largest ratio of a text. Prose in
-#: alphabetic scripts lies near 1.5 at 500 bytes, 2 at 4 KB and 2.5 to 3 from 64 KB on; random
-#: base64 stays at 1.33, a line that repeats goes far beyond the upper limits.
+#: Up to so many UTF-8 bytes, the least and the largest ratio of a text. The least
+#: lie between base64 in five-letter words at the upper length (1.11 at 256 bytes, 1.25 at 512,
+#: 1.33 at 1024, 1.37 at 2048, 1.39 at 4096) and the prose that is labelled good at the lower one
+#: (at least 1.15 at 192 bytes, 1.32 at 384, 1.52 at 768, 1.66 at 1024, 1.89 at 2048). Up to 192
+#: bytes both overlap. A line that repeats goes far beyond the upper limits.
 BANDS = (
-    (512, 1.00, 2.6),
-    (1024, 1.10, 2.9),
-    (2048, 1.25, 3.2),
-    (4096, 1.36, 3.5),
-    (16384, 1.40, 3.8),
-    (65536, 1.40, 4.2),
-    (None, 1.40, 5.0),
+    (192, 1.00, 2.6),
+    (256, 1.13, 2.6),
+    (384, 1.21, 2.6),
+    (512, 1.28, 2.6),
+    (768, 1.34, 2.9),
+    (1024, 1.45, 2.9),
+    (2048, 1.55, 3.2),
+    (4096, 1.65, 3.5),
+    (16384, 1.70, 3.8),
+    (65536, 1.70, 4.2),
+    (None, 1.70, 5.0),
 )
 
 
@@ -43,8 +52,12 @@ class QualityOptions:
     max_repeat_percent: int = 50
     level: int = 3
     chunk_bytes: int = 4096
-    chunk_low: float = 1.36
+    chunk_low: float = 1.70
     chunk_high: float = 3.5
+    #: No full chunk may lie outside these.
+    far_low: float = 1.55
+    far_high: float = 5.0
+    tail_bytes: int = 1024
     #: The share of a text's full chunks that may lie outside the chunk band.
     chunk_share: float = 0.2
 
@@ -93,7 +106,7 @@ def measure(text: bytes, options: QualityOptions, press: zstandard.ZstdCompresso
     symbols = sum(map(chars.count, SYMBOLS))
     repeats = repeat_words(words)
     failed = len(words) < options.min_words or 100 * repeats > options.max_repeat_percent * len(words)
-    ratio, bad, kept = 0.0, 0, False
+    ratio, bad, far, kept = 0.0, 0, False, False
     if text:
         ratio = len(text) / len(press.compress(text))
         low, high = band(len(text))
@@ -102,7 +115,14 @@ def measure(text: bytes, options: QualityOptions, press: zstandard.ZstdCompresso
         for i in range(full):
             x = n / len(press.compress(text[i * n : i * n + n]))
             bad += not options.chunk_low <= x <= options.chunk_high
-        kept = not failed and low <= ratio <= high and bad <= options.chunk_share * full
+            far |= not options.far_low <= x <= options.far_high
+        kept = not failed and low <= ratio <= high and not far and bad <= options.chunk_share * full
+        if full and len(text) % n:
+            tail = text[-max(len(text) % n, options.tail_bytes) :]
+            low, high = band(len(tail))
+            outside = not low <= len(tail) / len(press.compress(tail)) <= high
+            bad += outside
+            kept = kept and not outside
     return len(words), word_chars, symbols, dup_lines(text), repeats, ratio, bad, failed, kept
 
 

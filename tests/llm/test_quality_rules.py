@@ -59,3 +59,16 @@ def test_edges(spark):
     assert {r.doc_id: (r.n_words, r.word_chars) for r in found if r.doc_id in (1, 2)} == {1: (0, 0), 2: (3, 7)}
     kept = keep_quality(df)
     assert kept.columns == df.columns and kept.collect() == []
+
+
+def test_every_part_of_a_text_is_judged(spark):
+    """Junk behind good prose, in the last part of a chunk or in one chunk of many, and short random text go; the prose stays."""
+    path, rng = "/root/testdata/sf0.1", random.Random(5)
+    labels = spark.read.parquet(f"{path}/labels.parquet").filter("quality = 1")
+    prose = max((r.text for r in spark.read.parquet(f"{path}/documents.parquet").join(labels, "doc_id").collect()), key=len)
+    noise = lambda n: " ".join(x[i : i + 5] for x in [base64.b64encode(rng.randbytes(n)).decode()] for i in range(0, n, 5))[:n]
+    good = [prose[:16384], prose[:4096], prose[:5000], prose[:2000], prose[:600]]
+    junk = [prose[:4096] + " buy it here now" * 130, prose[:4096] + noise(4000), prose[:8192] + noise(4096) + prose[8192:16384], prose[:4096] + noise(600), noise(500), noise(1000), noise(2000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(good + junk)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.base_failed, r.kept) for r in measure_quality(df).collect())
+    assert found == [(k, False, k < len(good)) for k in range(len(good + junk))]
