@@ -723,7 +723,8 @@ CHUNKS = f"SELECT video_id, CAST(k AS INT) AS chunk_id, CAST(k * 15 AS INT) AS s
 
 def chunks(spark, sf_dir):
     n = captions(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"))
-    k = n.select("video_id", "n", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).filter("k = 0 or k * 15 + 5 < n")
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - 5) / 15) - 1).cast("int")
+    k = n.select("video_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     return k.select("video_id", F.col("k").alias("chunk_id"), (F.col("k") * 15).alias("start_idx"), F.least(F.col("k") * 15 + 20, F.col("n")).cast("int").alias("end_idx"))
 
 

@@ -47,3 +47,15 @@ def test_queries_without_sql(spark):
 def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["video_id", "start_ms", "end_ms"]
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_chunks_cover_videos_of_any_length(spark, tmp_path):
+    counts = {1: 1, 2: 5, 3: 20, 4: 21, 5: 35, 6: 36, 7: 605, 8: 606, 9: 1700}
+    rows = ", ".join(f"({u}, {n})" for u, n in counts.items())
+    events = spark.sql(f"SELECT user_id, user_id * 10000 + k AS event_id, timestamp_seconds(k) AS ts FROM (VALUES {rows}) AS t(user_id, n) LATERAL VIEW explode(sequence(1, n)) AS k")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.video_id, r.chunk_id, r.start_idx, r.end_idx) for r in Q.chunks(spark, str(tmp_path)).collect())
+    assert got == [(u, k, 15 * k, min(15 * k + 20, n)) for u, n in counts.items() for k in range(n) if k == 0 or 15 * k + 5 < n]
+    requests = Q.l5_llm_requests(spark, str(tmp_path)).collect()
+    lines = {(r.video_id, x) for r in requests for x in r.lines.split("\n")}
+    assert len(requests) == len(got) and len(lines) == sum(counts.values())
