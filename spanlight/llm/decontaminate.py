@@ -4,13 +4,15 @@ A mask of 12 token positions of which 8 count is laid on every position of a tex
 of the counting tokens ignores substitutions at the others. Several fixed masks together meet
 an overlap that carries a substituted token every few words. Texts are joined with the
 benchmark on these hashes, and around every hit both sides are compared token by token along
-the hit's diagonal: the best run of matches, in which a substitution costs as much as two
-matches earn, is the overlap.
+the hit's diagonal. If at least MIN_SHARE of the diagonal's positions match, the overlap runs
+from its first match to its last; else it is the best run of matches, in which a substitution
+costs as much as two matches earn.
 
 A document is contaminated by an item if its best overlap has MIN_MATCHED matching tokens
 and covers MIN_SHARE of the item's tokens, or has LONG_MATCHED of them at any share. Items
-shorter than a mask are looked up whole; those below MIN_ITEM tokens are too common to tell
-anything and are left out. Tokens are lower-cased words without leading and
+shorter than a mask are looked up whole, and by halves where a substitution still leaves
+MIN_MATCHED; those below MIN_ITEM tokens are too common to tell anything inside a text and meet
+only texts that consist of them. Tokens are lower-cased words without leading and
 trailing ASCII punctuation.
 
 The benchmark is packed into sorted hash arrays of a checked size. One that exceeds the size
@@ -70,7 +72,10 @@ def masked(h: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the run with the best sum of matches less PENALTY a substitution."""
+    """(start, end, matches) of all matches if they are MIN_SHARE of the positions, else of the run with the best sum of matches less PENALTY a substitution."""
+    at = np.flatnonzero(same)
+    if len(at) and len(at) >= MIN_SHARE * len(same):
+        return int(at[0]), int(at[-1]) + 1, len(at)
     sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
     low = np.minimum.accumulate(sums)
     end = int(np.argmax(sums - low))
@@ -82,19 +87,27 @@ class Packed:
     """A block of benchmark items: their tokens, and the sorted hashes of every mask position."""
 
     def __init__(self, items: list[tuple], masks: tuple[str, ...]):
-        held = [(i, w) for i, t in items if len(w := tokens(t)) >= MIN_ITEM]
+        held = [(i, w) for i, t in items if (w := tokens(t))]
         self.ids, self.words = [i for i, _ in held], [w for _, w in held]
         known = sorted({w for x in self.words for w in x})
         #: Tokens that the benchmark lacks are all 0, which equals no token of it.
         self.code = {w: i + 1 for i, w in enumerate(known)}
         self.hash = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in known)], np.uint64)
         self.codes = [np.array([self.code[w] for w in x], np.int64) for x in self.words]
-        self.masks = list(masks) + sorted({"1" * len(c) for c in self.codes if len(c) < SPAN})
+        #: Items below MIN_ITEM by their tokens.
+        self.whole: dict[tuple, list[int]] = {}
+        for i, w in enumerate(self.words):
+            if len(w) < MIN_ITEM:
+                self.whole.setdefault(tuple(w), []).append(i)
+        # A mask without its last free positions also fits on the ends of items and texts.
+        long = [m.rstrip("0") for m in masks]
+        of_size = {n: [h * "1" for h in {n, n // (n - MIN_MATCHED + 1) if n > MIN_MATCHED else n}] for n in range(MIN_ITEM, SPAN)}
+        self.masks = sorted({*long, *(m for c in self.codes for m in of_size.get(len(c), ()))})
         self.tables = []
         for m in self.masks:
             of, at, h = [], [], []
             for i, c in enumerate(self.codes):
-                if len(m) == min(len(c), SPAN):
+                if len(c) >= MIN_ITEM and m in of_size.get(len(c), long):
                     x = masked(self.hash[c], m)
                     of.append(np.full(len(x), i))
                     at.append(np.arange(len(x)))
@@ -113,6 +126,8 @@ class Packed:
         codes = np.fromiter((code.get(w, 0) for w in words), np.int64, len(words))
         if not codes.any():
             return []
+        if len(words) < MIN_ITEM:
+            return [(i, len(words), 0, len(words), 0) for i in self.whole.get(tuple(words), ())]
         hashes, hits = self.hash[codes], set()
         for m, table, of, at, bits in self.tables:
             x = masked(hashes, m)

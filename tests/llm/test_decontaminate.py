@@ -67,3 +67,14 @@ def test_edges(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(docs, nothing).collect() == [] and without_contaminated(docs, nothing).count() == 4
     assert contaminated(docs.limit(0), items).collect() == []
+
+
+def test_substituted_and_short_items(spark):
+    words = lambda n: [f"w{k}" for k in range(n)]
+    pattern = "xxx.xxx.x..xxxx.xxxxxxx.x."
+    spread = " ".join(w if x == "x" else "other" for w, x in zip(words(26), pattern))
+    eleven = " ".join(f"e{k}" if k != 5 else "other" for k in range(11))
+    docs = [(1, f"so {spread} so"), (2, f"so {eleven} so"), (3, "Yes, it is."), (4, "yes it is so"), (5, " ".join(words(26)[:8] + ["other"] * 18))]
+    items = [(1, " ".join(words(26))), (2, " ".join(f"e{k}" for k in range(11))), (3, "yes it is")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_matched) for r in contaminated(a, b).collect()) == [(1, 1, 19), (2, 2, 10), (3, 3, 3)]
