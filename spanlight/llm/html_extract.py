@@ -7,7 +7,8 @@ comma and up to three for its length, and passes them to its ancestors: whole to
 half to the grandparent, a third part and less of that further up. A container's points are
 discounted by the share of its text that lies in links. The container with the most points is
 the article; it grows to the `article` or `main` element around it, and siblings that hold
-enough points or read like paragraphs are kept with it.
+enough points or read like paragraphs are kept with it; without such an element, so are all
+siblings of which less than a quarter lies in links.
 
 Blocks come in page order, joined by two line feeds; white space inside a block is one space;
 character references are decoded. No length is cut. A page that has no paragraph at all gives
@@ -15,7 +16,7 @@ the blocks left in its body that are not link lists.
 
 Null, empty or text-free pages give an empty text. Unclosed and stray tags are repaired as
 browsers do: a block start closes an open paragraph, an end tag closes what is open inside
-its element. Rows are extracted one by one, so nulls or repeats in other columns do not matter.
+its element; both also end a cut element that is not closed. Rows are extracted one by one, so nulls or repeats in other columns do not matter.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CUT = frozenset("nav footer aside form button select option input fieldset menu dialog head".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 ARTICLE = frozenset("article main".split())
+TABLE = frozenset("table caption tbody thead tfoot tr td th".split())
 #: Paragraphs that earn points.
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 #: What a start tag closes, up to the nearest element of the second set.
@@ -108,15 +110,23 @@ def parse(page: str) -> Node:
                 raw = tag
             continue
         if skipped:
+            if closing and tag in skipped:
+                while skipped.pop() != tag:
+                    pass
+                continue
             if closing:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
-            elif tag not in VOID:
-                if tag == "p" and skipped[-1] == "p" or tag == "li" and skipped[-1] == "li":
-                    skipped.pop()
-                skipped.append(tag)
-            continue
+                if not (_reaches(tag, skipped) and _inside(at, frozenset((tag,)))):
+                    continue
+                skipped.clear()
+            else:
+                if tag not in INLINE and tag != "br":
+                    _close_skipped(skipped, at, frozenset(("p",)), frozenset(("table", "button")))
+                if tag in CLOSES and skipped:
+                    _close_skipped(skipped, at, *CLOSES[tag])
+                if skipped:
+                    if tag not in VOID:
+                        skipped.append(tag)
+                    continue
         if closing:
             x = at
             while x.parent is not None and x.tag != tag:
@@ -161,6 +171,27 @@ def _close(at: Node, tags: frozenset, until: frozenset) -> Node:
     return at
 
 
+def _close_skipped(skipped: list[str], at: Node, tags: frozenset, until: frozenset) -> None:
+    """_close() inside a cut element; the list is empty if the element itself or one around it closes."""
+    for k in range(len(skipped) - 1, -1, -1):
+        if skipped[k] in until:
+            return
+        if skipped[k] in tags:
+            del skipped[k:]
+            return
+    if all(x in INLINE or x in ("div", "p", "address") for x in skipped) and _close(at, tags, until) is not at:
+        skipped.clear()
+
+
+def _reaches(tag: str, skipped: list[str]) -> bool:
+    """Whether an end tag closes an element around the open elements of one that is cut."""
+    if tag in INLINE:
+        return all(x in INLINE for x in skipped)
+    if tag in TABLE:
+        return "table" not in skipped
+    return not any(x in TABLE or tag == "li" and x in ("ul", "ol", "menu") for x in skipped)
+
+
 def _score(root: Node) -> list[Node]:
     """Sets the points and sizes of all nodes; returns the elements in page order."""
     order, todo = [], [root]
@@ -218,7 +249,8 @@ def _chosen(root: Node) -> list[Node]:
             continue
         prose = x.tag in PARAGRAPH and x.tag != "li" and x.chars and (_links(x) < 0.25 if x.chars > 80 else not x.link_chars)
         heading = x.tag in ("h1", "h2") and best.tag not in ARTICLE and _links(x) < 0.5
-        if x is best or x.points >= max(10.0, 0.2 * best.points) or prose or heading:
+        sparse = best.tag not in ARTICLE and x.tag not in INLINE and x.tag != "hr" and x.chars and _links(x) < 0.25
+        if x is best or x.points >= max(10.0, 0.2 * best.points) or prose or heading or sparse:
             out.append(x)
     return out
 

@@ -58,3 +58,15 @@ def test_edges(spark):
     assert extract_main_text(spark.createDataFrame([], schema)).collect() == []
     df = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", f"<p>{PROSE}</p>")], schema).withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
     assert [tuple(r) for r in extract_main_text(df).collect()] == [(None, None, "", 0), (1, "u", "", 0), (1, "u", PROSE, len(PROSE))]
+
+
+def test_unclosed_cut_elements_end_and_short_siblings_stay():
+    from spanlight.llm.html_extract import main_text
+
+    long = "A long paragraph, with commas, that reads like the article of this page and goes on for a while."
+    assert main_text(f"<body><article><p class='notice'>Cut<p>{long}<p>Two, and more.</article>") == f"{long}\n\nTwo, and more."
+    assert main_text(f"<body><article><div><p class='ad'>x</div><p>{long}</p></article>") == long
+    assert main_text(f"<body><article><ul><li class='ad'>x<li>{long}</ul></article>") == long
+    assert main_text(f"<body><article><div><table class='ad'><tr><td>x</div>y</table></div><p>{long}</p></article>") == long
+    page = f"<body><div><div><p>{long}</p><p>{long}</p></div><section><h3>Short</h3><ul><li>One</li></ul></section></div>"
+    assert main_text(page) == f"{long}\n\n{long}\n\nShort\n\nOne"
