@@ -85,8 +85,8 @@ def tokens(normalized: Column) -> Column:
 
 def topic_tokens(normalized: Column) -> Column:
     """Tokens that are neither stop words nor commercial words, repeats included."""
-    words = F.array(*map(F.lit, dict.fromkeys([*P.STOP_WORDS, *P.COMMERCIAL_WORDS])))
-    return F.filter(tokens(normalized), lambda t: ~F.array_contains(words, t))
+    words = list(dict.fromkeys([*P.STOP_WORDS, *P.COMMERCIAL_WORDS]))
+    return F.filter(tokens(normalized), lambda t: ~t.isin(words))
 
 
 def grams(text: Column, size: int = 3) -> Column:

@@ -20,12 +20,16 @@ def clean_events(df: DataFrame) -> DataFrame:
 
 
 def caption_spans(events: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
-    """(video_id, start_idx, end_idx, text): runs of one to max_span_events captions; one that is too long stops its growth."""
+    """(video_id, start_idx, end_idx, text): runs of one to max_span_events captions; one that is too long stops its growth.
+
+    A column normalized is joined like the text.
+    """
     order = W.partitionBy("video_id").orderBy("event_idx")
-    n = options.max_span_events
-    ahead = F.array(*(F.struct(F.lead("end_ms", k).over(order).alias("end_ms"), F.lead("text", k).over(order).alias("text")) for k in range(n)))
+    n, texts = options.max_span_events, [c for c in ("text", "normalized") if c in events.columns]
+    ahead = F.array(*(F.struct(*(F.lead(c, k).over(order).alias(c) for c in ("end_ms", *texts))) for k in range(n)))
     rows = events.select("video_id", "event_idx", "start_ms", ahead.alias("ahead"))
     stop = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.when(F.coalesce(F.get("ahead", k).end_ms - F.col("start_ms") <= options.max_span, F.lit(False)), n).otherwise(k))) if n > 1 else F.lit(1)
     rows = rows.withColumn("size", F.explode(F.sequence(F.lit(1), stop)))
-    text = F.array_join(F.transform(F.slice("ahead", 1, F.col("size")), lambda a: a.text), " ")
-    return rows.select("video_id", F.col("event_idx").alias("start_idx"), (F.col("event_idx") + F.col("size") - 1).alias("end_idx"), text.alias("text"))
+    held = F.slice("ahead", 1, F.col("size"))
+    joined = [F.array_join(F.filter(held[c], lambda t: t != ""), " ").alias(c) for c in texts]
+    return rows.select("video_id", F.col("event_idx").alias("start_idx"), (F.col("event_idx") + F.col("size") - 1).alias("end_idx"), *joined)

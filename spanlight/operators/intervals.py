@@ -90,10 +90,12 @@ SEGMENT = "struct<start_ms:double,end_ms:double,confidence:string,category:strin
 def merge_local(segments: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
     """Merges neighbours within merge_gap as long as the whole stays within max_segment.
 
-    The cap makes it sequential, so it is one ordered fold per video.
+    The cap makes it sequential, so it is an ordered fold, over the segments between two gaps
+    that are too wide to merge anyhow.
     """
     fields = ("start_ms", "end_ms", "confidence", "category", "reason", "score", "groups", "brands")
-    lists = segments.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).cast(f"array<{SEGMENT}>").alias("items"))
+    runs = islands(segments, options.merge_gap, ["start_ms", "end_ms"])
+    lists = runs.groupBy("video_id", "island").agg(F.sort_array(F.collect_list(F.struct(*fields))).cast(f"array<{SEGMENT}>").alias("items"))
     rank = lambda c: F.when(c == "high", 2).when(c == "medium", 1).otherwise(0)
 
     def union(a: Column, b: Column) -> Column:

@@ -25,26 +25,31 @@ def weight(groups: Column, weights: dict[str, int] = P.WEIGHTS) -> Column:
 def features(df: DataFrame, text: str = "text", exact: bool = True) -> DataFrame:
     """Adds normalized, codes, groups, negative_groups, the flags and the scores of a text.
 
-    exact=False leaves out the fuzzy and word-order rules, and so all Python.
+    exact=False leaves out the fuzzy and word-order rules, and so all Python. Texts without any
+    word that a pattern needs, nearly all, meet one cheap pattern only.
     """
     n, c = F.col("normalized"), F.col("codes")
-    df = df.withColumn("normalized", T.normalize_text(F.col(text))).withColumn("codes", T.promo_codes(F.col(text), n))
+    if "normalized" not in df.columns:
+        df = df.withColumn("normalized", T.normalize_text(F.col(text)))
+    df = df.withColumn("codes", T.promo_codes(F.col(text), n))
+    df = df.withColumn("__may", n.rlike(P.GATE))
+    matches = lambda patterns: F.col("__may") & T.matches(n, patterns)
     rules = structure(n) if exact else F.struct(*(F.lit(False).alias(k) for k in RULES))
     df = df.withColumn("__rules", rules)
     rule = lambda k: F.col(f"__rules.{k}")
-    hits = {g: T.matches(n, p) for g, p in P.SIGNALS.items()}
+    hits = {g: matches(p) for g, p in P.SIGNALS.items()}
     hits["code"] = hits["code"] | (F.size(c) > 0)
-    against = {g: T.matches(n, p) for g, p in P.NEGATIVES.items()}
+    against = {g: matches(p) for g, p in P.NEGATIVES.items()}
     df = df.withColumn("negative_groups", named(against)).withColumn("negated", F.array_contains("negative_groups", "explicitNegation"))
     hits["sponsor"] = (hits["sponsor"] | rule("fuzzy_word")) & ~F.col("negated")
     df = df.withColumn("groups", named(hits)).withColumns(
         {
-            "__strong": T.matches(n, P.STRONG_START),
-            "__contextual": T.matches(n, P.CONTEXTUAL_START),
-            "self_promotion_start": T.matches(n, P.SELF_PROMOTION_START),
-            "endorsement_start": rule("structural_role") | T.matches(n, P.ENDORSEMENT_START),
-            "ends_before": T.matches(n, P.END_BEFORE),
-            "self_promotion": T.matches(n, P.SELF_PROMOTION),
+            "__strong": matches(P.STRONG_START),
+            "__contextual": matches(P.CONTEXTUAL_START),
+            "self_promotion_start": matches(P.SELF_PROMOTION_START),
+            "endorsement_start": rule("structural_role") | matches(P.ENDORSEMENT_START),
+            "ends_before": matches(P.END_BEFORE),
+            "self_promotion": matches(P.SELF_PROMOTION),
             "affiliate": F.array_contains("groups", "affiliate"),
         }
     )
@@ -53,13 +58,13 @@ def features(df: DataFrame, text: str = "text", exact: bool = True) -> DataFrame
         {
             "strong_start": ~F.col("negated") & (F.col("__strong") | rule("structural_start") | open_),
             "contextual_start": ~F.col("negated") & (F.col("__contextual") | rule("structural_role")),
-            "ends": F.col("ends_before") | T.matches(n, P.END) | rule("fuzzy_end"),
+            "ends": F.col("ends_before") | matches(P.END) | rule("fuzzy_end"),
         }
     ).withColumn("starts", F.col("strong_start") | F.col("contextual_start") | F.col("self_promotion_start"))
     total, minus = weight(F.col("groups")), weight(F.col("negative_groups"), P.NEGATIVE_WEIGHTS)
     bonus = F.when(F.col("starts"), P.START_BONUS).otherwise(0) + F.when(F.col("ends"), P.END_BONUS).otherwise(0)
     df = df.withColumns({"positive": (total + bonus).cast("int"), "negative": minus.cast("int"), "commercial": F.greatest(F.lit(0), total - minus).cast("int")})
-    return df.withColumn("score", F.greatest(F.lit(0), F.col("positive") - F.col("negative"))).drop("__rules", "__strong", "__contextual")
+    return df.withColumn("score", F.greatest(F.lit(0), F.col("positive") - F.col("negative"))).drop("__rules", "__may", "__strong", "__contextual")
 
 
 def classify(explicit: Column, self_promotion: Column, affiliate: Column, has_brand: Column, groups: Column) -> Column:

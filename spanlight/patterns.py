@@ -7,6 +7,9 @@ to normalised text (lower case, straight apostrophes, single spaces). `\\b`, `\\
 
 from __future__ import annotations
 
+import re
+from re import _parser
+
 _TLD = "com|io|co|gg|net|org|app|tv|ai|me|dev|tech|store|shop|games|cloud|xyz|ly|link|site"
 _CROWD = "you|all|everyone|everybody|viewers?|subscribers?|members?|fans?|audience|community|supporters?"
 _THANKED = r"\b(?:thanks?\s+to|thank\s+you\s+to|thank)\s+(?!(?:" + _CROWD + r")\b).{1,60}?\s+for\s+support(?:ing)?\b"
@@ -284,6 +287,47 @@ def either(patterns: list[str]) -> str:
     return "|".join(f"(?:{java(p)})" for p in patterns)
 
 
+def _needed(tree) -> frozenset[str] | None:
+    """Words of which every match of a parsed pattern holds one: of all such sets the one with the longest words, stop words last."""
+    found, run = [], ""
+    for op, arg in [*tree, (None, None)]:
+        if op is _parser.LITERAL and chr(arg).isalnum():
+            run += chr(arg)
+            continue
+        if run:
+            found.append(frozenset((run,)))
+            run = ""
+        inner = None
+        if op is _parser.SUBPATTERN:
+            inner = _needed(arg[3])
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
+            inner = _needed(arg[2])
+        elif op is _parser.BRANCH and all(parts := [_needed(x) for x in arg[1]]):
+            inner = frozenset().union(*parts)
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda x: (min(0 if w in STOP_WORDS else len(w) for w in x), -len(x)), default=None)
+
+
+def gate(patterns: list[str]) -> str:
+    """One cheap pattern that every text matches that one of the given ones matches.
+
+    It asks for words without which a pattern cannot match. A word never crosses a space, so
+    texts joined by spaces pass only if one of them does.
+    """
+    words, whole = set(), []
+    for p in patterns:
+        need = _needed(_parser.parse(p))
+        if need and min(map(len, need)) >= 3:
+            words |= need
+        elif re.search(r" |\\s|\.\{|\[\^", p):
+            raise ValueError(f"no word tells whether this can match: {p}")
+        else:  # the match itself holds no space
+            whole.append(p.replace(r"\b", ""))
+    words = sorted(w for w in words if not any(v != w and v in w for v in words))
+    return "|".join([*words, *whole])
+
+
 def re2(patterns: list[str], text: str) -> str:
     """DuckDB SQL that is true where one of the patterns matches the column.
 
@@ -309,3 +353,7 @@ def re2(patterns: list[str], text: str) -> str:
             plain.append(p.replace("(?=", "(?:"))
     parts = [f"regexp_matches({text}, {q('|'.join(f'(?:{p})' for p in plain))})"] if plain else []
     return "(" + " OR ".join(parts + special) + ")"
+
+
+#: What any text must match to have a signal, a flag or a negative group.
+GATE = gate([*STRONG_START, *CONTEXTUAL_START, *SELF_PROMOTION_START, *SELF_PROMOTION, *END, *END_BEFORE, *(p for ps in (*SIGNALS.values(), *NEGATIVES.values()) for p in ps)])

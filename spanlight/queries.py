@@ -249,14 +249,18 @@ def p19_timeline_markers(spark, sf_dir):
     return I.timeline_markers(segs, segs.groupBy("video_id").agg((F.max("end_s") * 0.9).alias("duration_s")))
 
 
+@query("SELECT event_id, concat(CAST(floor(value * 10 + 0.5) AS BIGINT), ':', CAST(floor(value * CAST(1.7 AS DOUBLE) * 10 + 0.5) AS BIGINT)) AS seg_key FROM {events}")
+def p20_segment_key(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", T.segment_key(F.col("value"), F.col("value") * 1.7).alias("seg_key"))
+
+
 @query(
-    """SELECT event_id, concat(CAST(floor(value * 10 + 0.5) AS BIGINT), ':', CAST(floor(value * 17 + 0.5) AS BIGINT)) AS seg_key,
-    CASE WHEN r < 60 THEN concat(r, 's') WHEN r % 60 = 0 THEN concat(r // 60, 'm') ELSE concat(r // 60, 'm ', r % 60, 's') END AS shown
-    FROM (SELECT event_id, value, CAST(floor(greatest(value * 10, 0) + 0.5) AS BIGINT) AS r FROM {events}) e"""
+    """SELECT event_id, CASE WHEN r < 60 THEN concat(r, 's') WHEN r % 60 = 0 THEN concat(r // 60, 'm') ELSE concat(r // 60, 'm ', r % 60, 's') END AS shown
+    FROM (SELECT event_id, CAST(floor(greatest(value * 10, 0) + 0.5) AS BIGINT) AS r FROM {events}) e"""
 )
-def p20_p21_segment_key_and_duration(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", T.segment_key(F.col("value"), F.col("value") * 1.7).alias("seg_key"), T.format_duration(F.col("value") * 10).alias("shown"))
+def p21_format_duration(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.format_duration(F.col("value") * 10).alias("shown"))
 
 
 HANDLES = "(SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat('@', c_name) WHEN 1 THEN concat(' ', upper(c_name), ' ') WHEN 2 THEN ' ' ELSE lower(c_name) END AS handle FROM customer)"

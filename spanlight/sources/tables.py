@@ -20,3 +20,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys into spark.sql.shuffle.partitions parts, before work that costs far more than its bytes tell.
+
+    Adaptive execution joins small parts by bytes, and would leave such work to few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
