@@ -16,7 +16,8 @@ the blocks left in its body that are not link lists.
 
 Null, empty or text-free pages give an empty text. Unclosed and stray tags are repaired as
 browsers do: a block start closes an open paragraph, an end tag closes what is open inside
-its element; both also end a cut element that is not closed. Rows are extracted one by one, so nulls or repeats in other columns do not matter.
+its element; both also end a cut element that is not closed. What stands inside a script or style
+ends at its end tag only. Rows are extracted one by one, so nulls or repeats in other columns do not matter.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ from .common import column
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CUT = frozenset("nav footer aside form button select option input fieldset menu dialog head".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mspace mstyle mpadded semantics".split())
+CUT = frozenset("nav footer aside form button select option input fieldset menu dialog head svg object template noscript annotation annotation-xml".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 ARTICLE = frozenset("article main".split())
+#: Elements that end an open drawing, which cannot hold them.
+OUT_OF_SVG = frozenset("article blockquote body center code dd div dl dt em h1 h2 h3 h4 h5 h6 hr img li main ol p pre section small span strong sub sup table ul".split())
 TABLE = frozenset("table caption tbody thead tfoot tr td th".split())
 #: Paragraphs that earn points.
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
@@ -44,18 +47,21 @@ PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
-#: Words of class and id values that name what is not the article; whole words, then beginnings.
-CUT_WORDS = frozenset(
-    "ad ads nav menu menus rail widget widgets footer masthead topbar respond reply replies disqus discussion gdpr notice notices alert alerts warning popup modal overlay signup login "
-    "share sharing social related trending popular toolbar search pager pagination aside form hidden disclaimer teaser teasers infobar ticker tooltip toast feedback skip".split()
-)
+#: Words of class and id values that name what is not the article, and beginnings of such words.
+CUT_WORDS = frozenset("ad ads nav menu menus rail widget widgets footer masthead topbar disqus gdpr popup modal overlay signup login toolbar pager pagination aside infobar tooltip toast".split())
 CUT_STARTS = ("advert", "adsense", "adslot", "adbox", "banner", "sponsor", "promo", "navig", "navbar", "breadcrumb", "sidebar", "comment", "cookie", "consent", "newsletter", "subscri", "recommend", "paywall", "outbrain", "taboola")
+#: Words that name it only alone or beside words that name a place or a container, as in share-bar but not in share-price.
+CUT_ALONE = frozenset("respond reply replies discussion notice notices alert alerts warning share sharing social related trending popular search form hidden disclaimer teaser teasers ticker feedback skip".split())
+CONTAINERS = frozenset(
+    "area bar block body bottom box btn button buttons card cards center col column container content copy dialog feed footer global grid group header holder icon icons inline inner item items left link links "
+    "list main message module more nav news outer page panel parent post posts right row section sections site small stories strip text title to top user widget wrap wrapper".split()
+)
 #: Words that take the meaning of the following one away: has-sidebar.
 NOT_WORDS = frozenset("has with no without hide show".split())
 KEPT_WHATEVER = frozenset("html body article main".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*>|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>][^\s"'=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -69,9 +75,18 @@ class Node:
         self.chars = self.link_chars = 0
 
 
-def _names_other(attrs: str) -> bool:
-    words = [w.lower() for w in WORD.findall(attrs)]
-    return any((w in CUT_WORDS or w.startswith(CUT_STARTS)) and (k == 0 or words[k - 1] not in NOT_WORDS) for k, w in enumerate(words))
+def _names_other(names: str) -> bool:
+    """Whether one of the names in a class or id value says that the element is no part of the article."""
+    for name in names.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        for k, w in enumerate(words):
+            if k and words[k - 1] in NOT_WORDS:
+                continue
+            if w in CUT_WORDS or w.startswith(CUT_STARTS):
+                return True
+            if w in CUT_ALONE and all(v in CUT_ALONE or v in CONTAINERS or v.isdigit() for v in words):
+                return True
+    return False
 
 
 def _is_cut(tag: str, attrs: str, in_article: bool) -> bool:
@@ -80,7 +95,7 @@ def _is_cut(tag: str, attrs: str, in_article: bool) -> bool:
     if not attrs or tag in KEPT_WHATEVER:
         return False
     for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
+        name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name == "role" and value.lower() in CUT_ROLES or name in ("class", "id") and _names_other(value):
@@ -88,17 +103,24 @@ def _is_cut(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+#: Where an element ends whose content is no markup.
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
+
+
+def _after_raw(page: str, place: int, tag: str) -> int:
+    """Where the page goes on after an element without markup inside: behind its end tag, whatever stands before it."""
+    m = RAW_END[tag].search(page, place)
+    return m.end() if m else len(page)
+
+
 def parse(page: str) -> Node:
     """The page's tree without the elements that are cut."""
     root = at = Node("#root", "", None)
     skipped: list[str] = []  # open elements inside one that is cut
-    raw = None
-    for m in TOKEN.finditer(page):
-        tag = m[2]
-        if raw:
-            if tag and m[1] and tag.lower() == raw:
-                raw = None
-            continue
+    place = 0
+    while place < len(page):
+        m = TOKEN.match(page, place)
+        place, tag = m.end(), m[2]
         if tag is None:
             text = m[0]
             if not skipped and (text[0] != "<" or text == "<"):
@@ -106,8 +128,7 @@ def parse(page: str) -> Node:
             continue
         tag, closing = tag.lower(), bool(m[1])
         if not closing and tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                raw = tag
+            place = _after_raw(page, place, tag)
             continue
         if skipped:
             if closing and tag in skipped:
@@ -119,7 +140,11 @@ def parse(page: str) -> Node:
                     continue
                 skipped.clear()
             else:
-                if tag not in INLINE and tag != "br":
+                if tag == "body":
+                    skipped.clear()
+                elif tag in OUT_OF_SVG and "svg" in skipped and "foreignobject" not in skipped:
+                    del skipped[skipped.index("svg") :]
+                if skipped and tag not in INLINE and tag != "br":
                     _close_skipped(skipped, at, frozenset(("p",)), frozenset(("table", "button")))
                 if tag in CLOSES and skipped:
                     _close_skipped(skipped, at, *CLOSES[tag])
@@ -250,7 +275,8 @@ def _chosen(root: Node) -> list[Node]:
         prose = x.tag in PARAGRAPH and x.tag != "li" and x.chars and (_links(x) < 0.25 if x.chars > 80 else not x.link_chars)
         heading = x.tag in ("h1", "h2") and best.tag not in ARTICLE and _links(x) < 0.5
         sparse = best.tag not in ARTICLE and x.tag not in INLINE and x.tag != "hr" and x.chars and _links(x) < 0.25
-        if x is best or x.points >= max(10.0, 0.2 * best.points) or prose or heading or sparse:
+        twin = best.tag in ARTICLE and x.tag in ARTICLE and x.chars and _links(x) < 0.33
+        if x is best or twin or x.points >= max(10.0, 0.2 * best.points) or prose or heading or sparse:
             out.append(x)
     return out
 

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -70,3 +71,67 @@ def test_unclosed_cut_elements_end_and_short_siblings_stay():
     assert main_text(f"<body><article><div><table class='ad'><tr><td>x</div>y</table></div><p>{long}</p></article>") == long
     page = f"<body><div><div><p>{long}</p><p>{long}</p></div><section><h3>Short</h3><ul><li>One</li></ul></section></div>"
     assert main_text(page) == f"{long}\n\n{long}\n\nShort\n\nOne"
+
+
+@pytest.mark.parametrize(
+    "script",
+    [
+        "<script>for (var i=0;i<n;i++){x()}</script>",
+        "<script>var s = '<!-- never closed';</script>",
+        "<SCRIPT>var s = \"<a href='\" + u;</SCRIPT >",
+        "<style>p > a::before{content:'<p'}</style>",
+        "<svg><path d='M0 0'>",
+        "<div><object data=x></div>",
+        "<noscript><img src=x><p>Turn scripts on, please.</p></noscript>",
+        "<textarea><p>not markup</textarea>",
+        "<iframe src=x><p>old</iframe>",
+    ],
+)
+def test_what_stands_before_the_article_does_not_swallow_it(script):
+    for page in (f"<body><div>{script}</div><article><p>{PROSE}</p></article>", f"<body>{script}<main><p>{PROSE}</p></main>", f"<html><head>{script}</head><body><article><p>{PROSE}</p></article>"):
+        assert main_text(page) == PROSE
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (f"<p title='the hidden valley'>{PROSE}</p>", PROSE),
+        (f"<p data-x='class=\"ad\"'>{PROSE}</p>", PROSE),
+        (f"<p class='share-price'>{PROSE}</p>", PROSE),
+        (f"<p>{PROSE} <a href='/p?id=ad-5'>the words of a link</a></p>", f"{PROSE} the words of a link"),
+        (f"<p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>", f"{PROSE} x=2"),
+        (f"<div class='share-bar'>{PROSE}</div><p>{PROSE}</p>", PROSE),
+        (f"<div class=related-posts><p>{PROSE}</p></div><p>{PROSE}</p>", PROSE),
+        (f"<p hidden>{PROSE}</p><p>{PROSE}</p>", PROSE),
+        (f"<p data-hidden=no aria-hidden='true'>{PROSE}</p><p>{PROSE}</p>", PROSE),
+    ],
+)
+def test_attributes_are_read_one_by_one(inner, want):
+    assert main_text(f"<body><nav>x</nav><article>{inner}</article>") == want
+
+
+def test_both_articles_stay():
+    assert main_text(f"<body><main><article><p>{PROSE}</p><p>{PROSE}</p></article><article><p>Short, but an article.</p></article></main>") == f"{PROSE}\n\n{PROSE}\n\nShort, but an article."
+
+
+def test_generated_pages_equal_what_went_in():
+    """Pages put together at random from blocks that belong to the article and parts that do not."""
+    rng = random.Random(7)
+    word = lambda: rng.choice("the a river stone, lamp walked slowly. under & over <b>bright</b> &amp; &lt;tag&gt;".split())
+    plain = lambda t: " ".join(html.unescape(re.sub("</?b>", "", t)).split())
+    junk = [
+        "<script>if (a<b && c>d) { s = '</p><p>' }</script>", "<style>a>b{}</style>", "<!-- <p>gone</p> -->", "<nav><a href=/>Home</a></nav>", "<form><p>Name, please</p><input name=q></form>",
+        "<div class='ad-box'><p>Buy, buy and buy again today</p></div>", "<aside><p>Aside, with commas, and words</p></aside>", "<div id=cookie-notice>We use cookies, many of them.</div>",
+        "<button>Press</button>", "<ul class='share-buttons'><li>Post</li></ul>", "<svg><text>chart</text></svg>", "<p style='display: none'>unseen text, with commas</p>",
+    ]
+    for _ in range(300):
+        blocks = [" ".join(word() for _ in range(rng.randrange(12, 60))).replace(" & ", " &amp; ").replace(" <b>bright</b>", " <b>bright</b>") for _ in range(rng.randrange(2, 9))]
+        open_tag = rng.choice(["<article>", "<main>", "<article title='the hidden menu'>", "<main data-ad='x y'>"])
+        parts = []
+        for t in blocks:
+            if rng.random() < 0.4:
+                parts.append(rng.choice(junk))
+            parts.append(f"<p{rng.choice(['', ' class=lead', ' title=\"a footer\"'])}>{t}{rng.choice(['</p>', '</p>', ''])}")
+        tail = "".join(rng.sample(junk, rng.randrange(4)))
+        page = f"<html><head>{rng.choice(junk[:3])}<title>A <b> title</title></head><body>{''.join(rng.sample(junk, rng.randrange(4)))}{open_tag}{''.join(parts)}</{open_tag[1:].split()[0].rstrip('>')}>{tail}<footer><p>Foot, note, and more</p></footer></body></html>"
+        assert main_text(page) == "\n\n".join(map(plain, blocks)), page
