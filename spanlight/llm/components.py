@@ -1,4 +1,9 @@
-"""Connected components of an edge list, by alternating stars over checkpointed tables."""
+"""Connected components of an edge list, by alternating stars over checkpointed tables.
+
+Edges are pairs of numbers, in any order and any number of times; loops are left out, and nodes
+without an edge to another get no row. Edges with a null on either side join nothing and are
+left out. An empty list gives an empty result; other columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -9,8 +9,11 @@ a 32-bit key, five for each of the four starts. Fingerprints that share a key ar
 candidates; the chains are checked on them first, the full distance last.
 
 Equal fingerprints are one entry, so exact copies make no pairs. Entries with one key are
-compared in blocks inside sorted partitions and give a spanning forest, not all pairs; a key
-with more entries than a block has them compared by pairs of blocks in tasks of their own.
+compared inside sorted partitions and give a spanning forest, not all pairs. Keys are counted
+first, by partial aggregates. A key with more than BLOCK entries never meets in one task: its
+bits that are still free are cut in four parts, of which three differing bits leave one equal,
+and each part makes the key longer. After four such rounds at most eleven bits are free, so no
+key can have more entries than BLOCK, whatever the data; no pair within three bits is lost.
 
 Null texts and texts without words have fingerprint zero and link like any other. Rows that
 repeat an id each get a row; a null id never is a component's name unless no other id is in it
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, as_bytes, column, same
+from .common import Staged, as_bytes, column, one_row_each, same
 from .components import components
 
 SEED = 42
@@ -66,20 +69,26 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def chain_keys(fp) -> F.Column:
-    """The twenty keys of a fingerprint: choice, start segment and two bytes of the two next segments."""
+def chain_masks() -> list[int]:
+    """The bits of each of the twenty keys: a start segment and two bytes of the two next segments."""
+    bytes_of = lambda start: [16 * (start + 1) + 8 * k for k in range(4)]
+    return [(0xFFFF << 16 * start) | sum(0xFF << bytes_of(start)[k] % 64 for k in choice) for start in range(4) for choice in BYTE_CHOICES]
 
-    def bits(low: int, n: int) -> F.Column:
-        return F.shiftrightunsigned(fp, low % 64).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
-    keys = []
-    for start in range(4):
-        for c, (x, y) in enumerate(BYTE_CHOICES):
-            first = bits(16 * start, 16)
-            a, b = (bits(16 * (start + 1) + 8 * k, 8) for k in (x, y))
-            key = F.shiftleft(first, 16).bitwiseOR(F.shiftleft(a, 8)).bitwiseOR(b)
-            keys.append(key.bitwiseOR(F.lit((5 * start + c) << 32).cast("long")))
-    return F.array(*keys)
+def longer_masks(mask: int) -> list[int]:
+    """The mask with each of four equal parts of its free bits."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    return [mask | sum(1 << k for k in free[p::4]) for p in range(4)]
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _keyed(entries: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, mask, fp): the masked fingerprints; keys of different masks that meet by hash only add comparisons."""
+    mask = F.explode(F.array(*(F.lit(_long(m)).cast("long") for m in masks))).alias("mask")
+    return entries.select("fp", mask).select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -140,68 +149,43 @@ def _link_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return forest.edges()
 
 
-OUT = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _out(key, block, u, v) -> pa.RecordBatch:
-    arrays = [column(x, pa.int64()) if x is not None else pa.nulls(len(u), pa.int64()) for x in (key, block, u, v)]
-    return pa.RecordBatch.from_arrays(arrays, schema=OUT)
+def link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over a partition sorted by key: edges (u, v) inside runs of equal keys. Holds a batch and a run at most."""
 
+    def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([column(x, pa.int64()) for x in _link_runs(keys, fps)], schema=EDGES)
 
-def link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over a partition sorted by key: edges (u, v), and for keys with over BLOCK entries the entries
-    themselves (key, block, u) for a second pass. Holds a batch and a block at most."""
     keys = fps = np.zeros(0, np.int64)
-    long_key, seen = None, 0
     for b in batches:
-        keys = np.r_[keys, b.column(0).to_numpy()]
-        fps = np.r_[fps, b.column(1).to_numpy()]
-        while len(keys):
-            if keys[0] == long_key:  # the rest of a key whose first blocks are out
-                n = int(np.searchsorted(keys, long_key, "right"))
-                yield _out(keys[:n], (seen + np.arange(n)) // BLOCK, fps[:n], None)
-                seen, keys, fps = seen + n, keys[n:], fps[n:]
-                continue
-            start, n = _runs(keys)
-            over = np.flatnonzero(n > BLOCK)
-            whole = int(start[over[0]]) if len(over) else int(start[-1])
-            if whole:
-                u, v = _link_runs(keys[:whole], fps[:whole])
-                yield _out(None, None, u, v)
-                keys, fps = keys[whole:], fps[whole:]
-            if not len(over):
-                break
-            long_key, seen = int(keys[0]), 0
+        keys, fps = np.r_[keys, b.column(0).to_numpy()], np.r_[fps, b.column(1).to_numpy()]
+        if len(keys):
+            whole = int(_runs(keys)[0][-1])  # the last run may go on
+            yield edges(keys[:whole], fps[:whole])
+            keys, fps = keys[whole:], fps[whole:]
     if len(keys):
-        u, v = _link_runs(keys, fps)
-        yield _out(None, None, u, v)
-
-
-def link_blocks(pdf):
-    """Edges between the entries of two blocks of one key, or inside one."""
-    fps = np.sort(pdf["u"].to_numpy(np.int64))
-    forest, unsigned = Forest(fps), fps.view(np.uint64)
-    for d in range(1, len(fps)):
-        at = np.flatnonzero(linked(unsigned[:-d], unsigned[d:]))
-        forest.link(at, at + d)
-    u, v = forest.edges()
-    return pdf.iloc[:0].reindex(columns=["u", "v"]).assign(u=u, v=v)
+        yield edges(keys, fps)
 
 
 def links(entries: DataFrame, staged: Staged) -> DataFrame:
     """Edges (u, v) whose components are those of all links between the distinct fp of entries."""
-    keyed = entries.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
-    sorted_ = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    first = staged.put(sorted_.mapInArrow(link_sorted, "key long, block long, u long, v long"), "first")
-    edges = first.filter("key is null").select("u", "v")
-    over = first.filter("key is not null")
-    if over.isEmpty():
-        return edges
-    last = over.groupBy("key").agg(F.max("block").alias("last"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    pairs = over.join(last, "key").select("key", "block", "u", other)
-    pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "u")
-    return edges.union(pairs.groupBy("key", "i", "j").applyInPandas(link_blocks, "u long, v long"))
+    masks, edges, level = chain_masks(), None, 0
+    keyed = _keyed(entries, masks)
+    while True:
+        hot = staged.put(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key"), f"hot{level}")
+        some = not hot.isEmpty()
+        rest = keyed.join(hot, "key", "left_anti") if some else keyed
+        found = rest.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link_sorted, "u long, v long")
+        edges = found if edges is None else edges.union(found)
+        if not some:
+            return edges
+        level += 1
+        parts = F.create_map(*(x for m in masks for x in (F.lit(_long(m)).cast("long"), F.array(*(F.lit(_long(y)).cast("long") for y in longer_masks(m))))))
+        masks = sorted({y for m in masks for y in longer_masks(m)})
+        over = staged.put(keyed.join(hot, "key", "left_semi").select("fp", F.explode(parts[F.col("mask")]).alias("mask")).distinct(), f"over{level}")
+        keyed = over.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -217,13 +201,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row of each near-duplicate group, with all its columns: that of the smallest id.
-
-    Of rows that repeat the id, the smallest by all columns stays.
-    """
+    """One row of each near-duplicate group, with all its columns: that of the smallest id; of rows that repeat it, see one_row_each."""
     found = near_duplicates(docs, doc_id, text, shingle)
-    first = found.filter(same(F.col(doc_id), F.col("component_id"))).groupBy(F.col(doc_id).alias("__one_id")).agg(F.count("*").alias("__one_n"))
-    kept = docs.join(first, same(docs[doc_id], first["__one_id"]))
-    once = kept.filter("__one_n = 1").select(docs.columns)
-    again = kept.filter("__one_n > 1").groupBy("__one_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.unionByName(again.select("row.*"))
+    first = found.filter(same(F.col(doc_id), F.col("component_id"))).groupBy(doc_id).agg(F.count("*").alias("n"))
+    return one_row_each(docs, first, doc_id)

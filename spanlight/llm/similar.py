@@ -3,24 +3,34 @@
 Two documents are linked if their sets of distinct shingles have a Jaccard similarity of at
 least the given one. Groups are the components of these links.
 
-Candidates are found first. Their sketches, the SKETCH smallest shingle hashes, meet: of the
-SKETCH smallest of both sets together one is common to both, or each of them lies in one set
-only, which has a chance below (1 - similarity) ** SKETCH (7e-12 for 0.8). Sets so small that
-fewer of their smallest hashes must meet keep only those, which loses nothing. Of 128
-fingerprint bits over the sets at most filter_bits(similarity) differ, which a pair at the very
-similarity exceeds with a chance of MISS. The chains of the ring of eight 16-bit segments come
-first (from some segment on, every chain of k segments differs in at most k times the distance
-over eight), the full Hamming check last, and sizes too far apart are left out.
-
-Candidates are only connected, not judged: inside each component of candidates the whole sets of
-shingle hashes are intersected, all pairs of them. The sets come from the texts a second time,
-only for documents that have a candidate. A component with more than MOST_SETS entries is
-compared by pairs of blocks in tasks of their own.
-
-Equal sets are one entry, known by a hash of the whole set. As in simhash, candidates are
-compared in blocks inside sorted partitions and give a spanning forest, and a key with more
-entries than a block is compared by pairs of blocks in tasks of their own. Nulls, repeats and
-empty tables behave as there; documents without words are one group.
+Fingerprints alone cannot find the candidates at a similarity of 0.8: two texts then differ in
+about 19 and up to 41 of 128 bits, so a chain of the ring may start with 5 differing bits of 16,
+and keys for that are nearly all there are. So candidates share a key of their sketches, the
+SKETCH smallest shingle hashes. Of these, `common_keys(similarity)` are in both sketches unless
+by a chance of MISS, or of nothing for sets no larger than a sketch. Put in any one order, all
+but that many less one of a sketch's keys hold one that both texts share; the order puts keys
+that more than BLOCK sets have last, so a passage that a third of all texts share makes no
+candidates among them as long as it is not most of a text.
+
+Candidates pass the ring: of 128 fingerprint bits over the sets at most filter_bits(similarity)
+differ, which a pair at the very similarity exceeds with a chance of MISS. The chains of the
+ring of eight 16-bit segments come first (from some segment on, every chain of k segments
+differs in at most k times the distance over eight), the full Hamming check after them; sizes
+too far apart are left out.
+
+What is left is only connected, not judged: inside each component of candidates the whole sets
+of shingle hashes are intersected, all pairs of them. The sets come from the texts a second
+time, only for documents that have a candidate.
+
+Equal sets are one entry, known by a hash of the whole set, its size and its fingerprint. Keys
+and components are counted by partial aggregates before anything is dealt by them. A key that
+more than BLOCK entries keep, and a component with more than MOST_SETS, is dealt by blocks of
+entries and compared by pairs of blocks in tasks of their own: exact, split over tasks, and
+quadratic in that group.
+
+Null texts and texts without words are one group, whose set is empty. Rows that repeat an id
+each get a row; a null id is a component's name only if no other id is in it. Whole texts
+count. Columns besides id and text do not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,18 +44,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, as_bytes, column, same
+from .common import Staged, as_bytes, column, one_row_each, same
 from .components import components
-from .simhash import BLOCK, SEED, Forest, _runs
+from .simhash import BLOCK, EDGES, SEED, Forest, _runs
 
-SKETCH = 16
+SKETCH = 32
 SEGMENTS = 8
 #: The chance that a pair at the very similarity differs in more bits than the filter lets through.
 MISS = 1e-6
 #: Entries of a component of candidates whose sets are intersected inside one task.
 MOST_SETS = 1024
-OUT = pa.schema([(x, pa.int64()) for x in ("key", "block", "entry", "n", "u", "w", "v")])
-COLUMNS = "key long, block long, entry long, n long, u long, w long, v long"
 PRINTS = ["entry", "n", "u", "w"]
 
 
@@ -64,6 +72,16 @@ def filter_bits(similarity: float, bits: int = 128) -> int:
     return bits
 
 
+def common_keys(similarity: float, size: int = SKETCH) -> int:
+    """How many keys two sketches share at least, but for a chance of MISS: each of the size smallest hashes of both sets is in both by that chance."""
+    left = 0.0
+    for k in range(size + 1):
+        left += math.comb(size, k) * similarity**k * (1 - similarity) ** (size - k)
+        if left > MISS:
+            return max(1, k)
+    return size
+
+
 def _second(h: np.ndarray) -> np.ndarray:
     """Other bits of the same hashes."""
     x = (h + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -89,8 +107,8 @@ def entry_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
 
 
-def sketch(hashes: np.ndarray, similarity: float) -> tuple[int, int, list[int]]:
-    """Both fingerprint words and the smallest shingle hashes of a sorted set."""
+def sketch(hashes: np.ndarray, similarity: float) -> tuple[int, int, int, list[int]]:
+    """Both fingerprint words, how many keys a set is looked up by, and the smallest shingle hashes of a sorted set."""
     n = len(hashes)
     counts = np.zeros(128, np.int64)
     for at in range(0, n, 65536):
@@ -98,12 +116,15 @@ def sketch(hashes: np.ndarray, similarity: float) -> tuple[int, int, list[int]]:
         both = np.stack([h, _second(h)], axis=1).astype(">u8")
         counts += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
     bits = np.packbits(2 * counts > n).tobytes()
-    must = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-    return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big"), hashes[: min(SKETCH, must)].tolist()
+    shared = common_keys(similarity)
+    if n <= SKETCH:
+        shared = min(shared, math.ceil(similarity * n - 1e-9))
+    keys = hashes[:SKETCH].tolist()
+    return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big"), len(keys) - shared + 1 if n else 0, keys
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, entry, n, u, w, keys): entry is the print of the whole set, n its size."""
+    """(doc_id, entry, n, u, w, held, keys): entry is the print of the whole set, n its size, held how many of its keys it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,12 +132,12 @@ def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity:
             for x in as_bytes(b, text):
                 h = shingles(x, shingle)
                 found.append((entry_of(h), len(h), *sketch(h, similarity)))
-            entry, n, u, w = (column(np.array([f[k] for f in found], np.uint64).view(np.int64), pa.int64()) for k in range(4))
-            keys = pa.array([np.array(f[4], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), entry, n, u, w, keys], names=["doc_id", *PRINTS, "keys"])
+            numbers = (column(np.array([f[k] for f in found], np.uint64).view(np.int64), pa.int64()) for k in range(5))
+            keys = pa.array([np.array(f[5], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, keys], names=["doc_id", *PRINTS, "held", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, entry long, n long, u long, w long, keys array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, entry long, n long, u long, w long, held long, keys array<long>")
 
 
 def sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -167,38 +188,23 @@ def _forest(keys: np.ndarray | None, prints: np.ndarray, similarity: float) -> t
     return forest.edges()
 
 
-def _out(n: int, /, **given) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([column(given[x], pa.int64()) if x in given else pa.nulls(n, pa.int64()) for x in OUT.names], schema=OUT)
-
-
-def link_sorted(similarity: float, block: int = BLOCK):
-    """Over a partition sorted by key: edges (entry, v), and the entries of keys that exceed a block (key, block, entry, n, u, w)."""
+def link_sorted(similarity: float):
+    """Over a partition sorted by key (key, entry, n, u, w): edges (u, v) inside runs of equal keys. Holds a batch and a run at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([column(x, pa.int64()) for x in _forest(keys, prints, similarity)], schema=EDGES)
+
         keys, prints = np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
-        long_key, seen = None, 0
         for b in batches:
             keys = np.concatenate((keys, b.column(0).to_numpy()))
             prints = np.concatenate((prints, np.stack([b.column(k).to_numpy() for k in range(1, 5)], axis=1)))
-            while len(keys):
-                if keys[0] == long_key:
-                    n = int(np.searchsorted(keys, long_key, "right"))
-                    yield _out(n, key=keys[:n], block=(seen + np.arange(n)) // block, **dict(zip(PRINTS, prints[:n].T)))
-                    seen, keys, prints = seen + n, keys[n:], prints[n:]
-                    continue
-                start, n = _runs(keys)
-                over = np.flatnonzero(n > block)
-                whole = int(start[over[0]]) if len(over) else int(start[-1])
-                if whole:
-                    u, v = _forest(keys[:whole], prints[:whole], similarity)
-                    yield _out(len(u), entry=u, v=v)
-                    keys, prints = keys[whole:], prints[whole:]
-                if not len(over):
-                    break
-                long_key, seen = int(keys[0]), 0
+            if len(keys):
+                whole = int(_runs(keys)[0][-1])  # the last run may go on
+                yield edges(keys[:whole], prints[:whole])
+                keys, prints = keys[whole:], prints[whole:]
         if len(keys):
-            u, v = _forest(keys, prints, similarity)
-            yield _out(len(u), entry=u, v=v)
+            yield edges(keys, prints)
 
     return run
 
@@ -260,17 +266,30 @@ def verify_sorted(similarity: float):
     return run
 
 
+def lookup_keys(entries: DataFrame, staged: Staged, block: int) -> DataFrame:
+    """(key, entry, n, u, w): the keys that every entry is looked up by, those that few entries have first."""
+    every = entries.select("entry", F.explode("keys").alias("key"))
+    hot = staged.put(every.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key"), "hot")
+    if not hot.isEmpty():
+        met = every.join(hot, "key", "left_semi").groupBy("entry").agg(F.collect_list("key").alias("late")).withColumnRenamed("entry", "__e")
+        entries = entries.join(met, entries.entry == met["__e"], "left")
+        late = F.coalesce("late", F.array().cast("array<long>"))
+        entries = entries.withColumn("keys", F.concat(F.array_except("keys", late), F.array_sort(late)))
+    return entries.select(F.explode(F.slice("keys", F.lit(1), F.col("held").cast("int"))).alias("key"), *PRINTS)
+
+
 def candidates(entries: DataFrame, staged: Staged, similarity: float, block: int) -> DataFrame:
     """Edges (u, v) of entries that connect all candidates."""
-    keyed = entries.select(F.explode("keys").alias("key"), *PRINTS).repartition("key").sortWithinPartitions("key", "entry")
-    first = staged.put(keyed.mapInArrow(link_sorted(similarity, block), COLUMNS), "first")
-    edges = first.filter("key is null").select(F.col("entry").alias("u"), "v")
-    over = first.filter("key is not null")
-    if not over.isEmpty():
-        last = over.groupBy("key").agg(F.max("block").alias("last"))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-        pairs = over.join(last, "key").select("key", "block", *PRINTS, other)
-        pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *PRINTS)
+    keyed = staged.put(lookup_keys(entries, staged, block), "keyed")
+    over = staged.put(keyed.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > block), "over")
+    some = not over.isEmpty()
+    rest = keyed.join(over, "key", "left_anti") if some else keyed
+    edges = rest.select("key", *PRINTS).repartition("key").sortWithinPartitions("key", "entry").mapInArrow(link_sorted(similarity), "u long, v long")
+    if some:
+        blocks = F.ceil(F.col("many") / F.lit(block))
+        mine, other = F.pmod(F.xxhash64("entry"), blocks).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
+        pairs = keyed.join(over, "key").select("key", *PRINTS, mine, other)
+        pairs = pairs.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *PRINTS)
         edges = edges.union(pairs.groupBy("key", "i", "j").applyInPandas(_link_blocks(similarity), "u long, v long"))
     return edges
 
@@ -279,7 +298,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     """A row per input row: doc_id and component_id, the smallest id that links reach."""
     staged = Staged(docs.sparkSession, "similar")
     found = staged.put(sketches(docs, doc_id, text, shingle, similarity), "sketches")
-    entries = found.groupBy("entry").agg(*(F.min(x).alias(x) for x in (*PRINTS[1:], "keys")), F.min("doc_id").alias("low"))
+    # The keys follow from the set, so any row's will do; a number that tells two sets apart keeps them apart.
+    entries = found.groupBy(*PRINTS).agg(F.min("held").alias("held"), F.min("keys").alias("keys"), F.min("doc_id").alias("low"))
     near = components(candidates(entries, staged, similarity, block), staged, name="near")
     near = near.union(near.select(F.col("root").alias("node"), "root").distinct())
     blocks = F.ceil(F.count("*") / F.lit(most_sets)).alias("blocks")
@@ -297,10 +317,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group, with all its columns: that of the smallest id; of rows that repeat it, the smallest by all columns."""
+    """One row of each group, with all its columns: that of the smallest id; of rows that repeat it, see one_row_each."""
     found = groups(docs, doc_id, text, shingle, similarity)
-    first = found.filter(same(F.col(doc_id), F.col("component_id"))).groupBy(F.col(doc_id).alias("__one_id")).agg(F.count("*").alias("__one_n"))
-    kept = docs.join(first, same(docs[doc_id], first["__one_id"]))
-    once = kept.filter("__one_n = 1").select(docs.columns)
-    again = kept.filter("__one_n > 1").groupBy("__one_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.unionByName(again.select("row.*"))
+    first = found.filter(same(F.col(doc_id), F.col("component_id"))).groupBy(doc_id).agg(F.count("*").alias("n"))
+    return one_row_each(docs, first, doc_id)

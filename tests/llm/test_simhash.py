@@ -51,7 +51,7 @@ def test_whole_table_equals_brute_force(spark):
     assert len({c for _, _, c in found}) < len(found)
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("block", [2048, 40])
 def test_links_equal_all_pairs(spark, monkeypatch, block):
     """Random fingerprints, rings of near ones, and a ball dense enough to overflow small blocks."""
     monkeypatch.setattr(simhash, "BLOCK", block)
@@ -64,7 +64,7 @@ def test_links_equal_all_pairs(spark, monkeypatch, block):
             prints.add(b)
     prints |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(0, 64, 5) for j in range(40, 64, 3)}
     prints = sorted(prints)
-    rows = [(int(np.uint64(p).astype(np.int64)),) for p in prints]
+    rows = [(simhash._long(p),) for p in prints]
     staged = Staged(spark, "test")
     edges = simhash.links(spark.createDataFrame(rows, "fp long").repartition(3), staged)
     parent = {p[0]: p[0] for p in rows}
@@ -87,6 +87,20 @@ def test_links_equal_all_pairs(spark, monkeypatch, block):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_longer_keys_lose_no_pair_and_hold_few():
+    masks = simhash.chain_masks()
+    assert len(set(masks)) == 20 and all(m.bit_count() == 32 for m in masks)
+    rng = random.Random(3)
+    for level in range(1, 4):
+        masks = [y for m in rng.sample(masks, 12) for y in simhash.longer_masks(m)]
+        for m in rng.sample(masks, 10):
+            free = [k for k in range(64) if not m >> k & 1]
+            for _ in range(50):  # three differing bits leave one of the four longer masks equal
+                d = sum(1 << k for k in rng.sample(free, 3))
+                assert any(d & y == 0 for y in simhash.longer_masks(m))
+    assert max(64 - y.bit_count() for m in masks for y in simhash.longer_masks(m)) <= 11
+
+
 def test_chains_lose_no_pair():
     rng = random.Random(9)
     for _ in range(3000):

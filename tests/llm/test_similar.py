@@ -85,3 +85,43 @@ def test_links_are_those_of_the_exact_jaccard(spark):
     for most_sets in (1024, 2):
         assert {r.doc_id: r.component_id for r in similar.groups(df, most_sets=most_sets).collect()} == dict(enumerate(root))
     assert 60 < len(set(root)) < len(texts)
+
+
+def test_common_passages_make_no_candidates_of_their_own_and_lose_none(spark):
+    """A passage that all texts share, in texts of which it is a part: its keys come last, and links stay exact."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("bcdfgh") + str(rng.randrange(4000))
+    passage, texts = [word() for _ in range(60)], []
+    for f in range(40):
+        base = [word() for _ in range(rng.randrange(20, 160))]
+        texts += [base + passage, [*base[:-1], word()] + passage, passage + base[: len(base) // 2]]
+    texts = [" ".join(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (2048, 12):
+        assert {r.doc_id: r.component_id for r in similar.groups(df, block=block).collect()} == dict(enumerate(root))
+
+
+def test_sketches_share_what_they_are_said_to():
+    assert similar.common_keys(0.8) >= 10
+    rng, least = np.random.default_rng(5), 99
+    for _ in range(3000):
+        h = np.unique(rng.integers(0, 2**63, 900))
+        x = rng.permutation(h)  # 720 of 900 are in both
+        a, b = np.sort(x[:810]), np.sort(np.concatenate((x[:720], x[810:])))
+        least = min(least, len(np.intersect1d(a[: similar.SKETCH], b[: similar.SKETCH])))
+    assert least >= similar.common_keys(0.8)
+
+
+def test_every_row_gets_one_and_maps_pass(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "x")], "doc_id long, text string")
+    df = df.withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("held", F.lit(2)).withColumn("n", F.lit("z"))
+    kept = similar.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "x"), (1, "a b c d e f")]
+    long = "w " * 10 + " ".join(f"v{i}" for i in range(120_000))
+    big = spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")
+    assert [r.doc_id for r in similar.keep_one(big).collect()] == [1]
