@@ -2,29 +2,34 @@
 
 A window of 20 words can repeat only if the 10-word windows inside it repeat, so windows are
 looked at level by level: those that repeat at one length alone are extended to twice that
-length, until none survives or the length of a removal window is reached. Longer levels
-could not change what is removed, since a longer repeat is covered by its 20-word windows.
+length (one word less where the removal window is odd), until none survives or the length of a
+removal window is reached. Longer levels could not change what is removed, since a longer
+repeat is covered by its 20-word windows.
 
 At the levels below the last, one window stands for many: each removal window names its
 smallest sub-window hash at the level, so equal removal windows name equal sub-windows and
 about one position in six is counted rather than all. A removal window whose named sub-window
 is unique in the corpus is unique itself and is dropped there; nothing is lost.
 
-A document whose whole text an earlier one has (known by length and two hashes) repeats as a
+Below the last level a hash of 64 bits decides, where a collision only lets a window live on. At
+the last one a second hash, of other bits of the words, stands beside it, so that windows are
+equal by 128 bits. A document whose whole text an earlier one has (by SHA-256) repeats as a
 whole and takes no part in the levels after the first.
 
-Counts and first places are partial aggregates and come back by joins that Spark may split,
-so a passage that a third of all documents share fills no task. Windows are judged on the
-input, by a 64-bit hash of their words.
+Counts and first places are partial aggregates, kept as tables, and come back by joins that
+Spark may split, so a passage or a text that a third of all documents share fills no task.
+Windows are judged on the input.
 
-Null texts have no words. Texts below 20 words lose nothing. Rows that repeat an id are one
-document: what starts in one of them does not start earlier than in another, and all get the
-marks of all. A null id sorts before all others.
-Texts are taken whole. An empty table gives an empty result.
+Null texts have no words. Texts shorter than a window lose nothing. Rows that repeat an id are
+one document: what starts in one of them does not start earlier than in another, and all get
+the marks of all; but a row is a copy only by its own text. A null id sorts before all others.
+Texts are taken whole, whatever their length. Columns beside id and text are not looked at. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,38 +49,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def level_lengths(window: int) -> list[int]:
-    """The lengths that double up to the window: 10 and 20 for 20."""
-    return [window // 2, window] if window % 2 == 0 and window >= 8 else [window]
+def level_lengths(window: int, least: int = 10) -> list[int]:
+    """The lengths of the levels, each at most twice the one before: 10 and 20 for 20, 12, 24 and 48 for 48, 11 and 21 for 21."""
+    out = [window]
+    while (half := (out[0] + 1) // 2) >= least:
+        out.insert(0, half)
+    return out
+
+
+class Words:
+    """Two independent hashes of every word, remembered while there is room."""
+
+    def __init__(self, most: int = 400_000):
+        self.known: dict[bytes, tuple[int, int]] = {}
+        self.most = most
 
+    def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        words, known = text.split(), self.known
+        if len(known) > self.most:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                x = xxhash.xxh3_128_intdigest(w)
+                known[w] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
+        both = np.array([known[w] for w in words], np.uint64).reshape(len(words), 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    if len(known) > 500_000:
-        known.clear()
-    digest = xxhash.xxh3_64_intdigest
-    for w in set(words):
-        if w not in known:
-            known[w] = digest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+def grown(x: np.ndarray, length: int, to: int) -> np.ndarray:
+    """Hashes of all windows of `to` words from those of `length`, at least half as long; none if there are too few words."""
+    n = max(0, len(x) - (to - length))
+    return _mixed(x[:n] * ODD + x[len(x) - n :]) if n else np.zeros(0, np.uint64)
 
 
 def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all windows of so many words, doubled up from shorter ones; none if there are too few words."""
+    """Hashes of all windows of so many words, grown from shorter ones."""
     if len(h) < length:
         return np.zeros(0, np.uint64)
-    if length == 1:
-        return h
-    half = length // 2
-    x = window_hashes(h, half)
-    n = len(h) - length + 1
-    out = _mixed(x[:n] * ODD + x[half : half + n])
-    return out if length % 2 == 0 else _mixed(out[:n] * ODD + h[length - 1 : length - 1 + n])
-
-
-def _doubled(x: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of windows twice as long as those of x."""
-    n = max(0, len(x) - length)
-    return _mixed(x[:n] * ODD + x[length : length + n])
+    x, have = h, 1
+    while have < length:
+        to = min(2 * have, length)
+        x, have = grown(x, have, to), to
+    return x
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -88,12 +103,13 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def named(x: np.ndarray, width: int) -> np.ndarray:
-    """Which windows are the smallest of some removal window that has so many of them."""
+def named(x: np.ndarray, width: int, living: np.ndarray | None = None) -> np.ndarray:
+    """Which windows are the smallest of some living removal window that has so many of them."""
     out = np.zeros(len(x), bool)
     least = _least(x, width)
     for d in range(width):
-        out[d : d + len(least)] |= x[d : d + len(least)] == least
+        met = x[d : d + len(least)] == least
+        out[d : d + len(least)] |= met if living is None else met & living
     return out
 
 
@@ -106,114 +122,118 @@ def candidates(x: np.ndarray, width: int, survives: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(b: pa.RecordBatch, sizes: list[int], hashes: list[np.ndarray], places: list[np.ndarray], again: list[np.ndarray]) -> pa.RecordBatch:
-    ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    at = np.concatenate(places) if places else np.zeros(0, np.int32)
-    more = np.concatenate(again) if again else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([ids, column(h.view(np.int64), pa.int64()), column(at.astype(np.int32), pa.int32()), column(more, pa.bool_())], names=["doc_id", "h", "at", "again"])
-
-
-def _later_here(h: np.ndarray) -> np.ndarray:
-    """Which hashes stand earlier in the array too."""
+def _later_here(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which windows stand earlier in the document too."""
     out = np.ones(len(h), bool)
-    out[np.unique(h, return_index=True)[1]] = False
+    out[np.unique(np.stack([h, g], axis=1), axis=0, return_index=True)[1] if len(h) else []] = False
     return out
 
 
-def _first_level(docs: DataFrame, doc_id: str, text: str, window: int, start: int) -> DataFrame:
-    """(doc_id, h, at, again): the windows of the first length that removal windows name.
+COLUMNS = "h long, g long, at int, again boolean"
+
 
-    again: the document has the window earlier too.
+def _level(docs: DataFrame, doc_id: str, text: str, lengths: list[int], k: int) -> DataFrame:
+    """(doc_id, h, g, at, again): the windows of the length at level k that living removal windows name; at the last level these themselves.
+
+    docs: (doc_id, text), and after the first level marks (places of the surviving windows of
+    the level before) and copies (prints of rows that leave). again: the document has the window
+    earlier too. g is the second hash, and 0 below the last level.
     """
-    width = window - start + 1
+    length, window = lengths[k], lengths[-1]
+    last, width = length == window, window - length + 1
+
+    def windows(t: bytes, words: Words, marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, g = words.hashes(t)
+        if len(h) < window:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        x, living = window_hashes(h, lengths[0]), None
+        for a, b in zip(lengths[:k], lengths[1:]):
+            if b == length:
+                survives = np.zeros(len(x), bool)
+                survives[marks[marks < len(x)]] = True
+                living = candidates(x, window - a + 1, survives)
+            x = grown(x, a, b)
+        if not last:
+            at = np.flatnonzero(named(x, width, living))
+            return at, x[at], np.zeros(len(at), np.uint64)
+        at = np.arange(len(x)) if living is None else np.flatnonzero(living)
+        return at, x[at], window_hashes(g, window)[at] if len(at) else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        words = Words()
         for b in batches:
-            sizes, hashes, places, again = [], [], [], []
-            for t in as_bytes(b, text):
-                x = window_hashes(word_hashes(t.split(), known), start)
-                at = np.flatnonzero(named(x, width)) if len(x) >= width else np.zeros(0, np.int64)
-                sizes.append(len(at))
-                hashes.append(x[at])
-                places.append(at)
-                again.append(_later_here(x[at]))
-            yield _rows(b, sizes, hashes, places, again)
+            texts = as_bytes(b, text)
+            marks = [m.values.to_numpy() for m in b.column("marks")] if k else [None] * len(texts)
+            copies = b.column("copies").to_pylist() if k else [None] * len(texts)
+            for at in range(0, len(texts), 256):  # a part of a batch at a time, so that long texts do not add up
+                part = range(at, min(at + 256, len(texts)))
+                found = [windows(b"" if copies[i] and _print(texts[i]) in copies[i] else texts[i], words, marks[i]) for i in part]
+                ids = b.column(0).take(pa.array(np.repeat(part, [len(f[0]) for f in found])))
+                place, h, g = (np.concatenate([f[i] for f in found]) for i in range(3))
+                again = np.concatenate([_later_here(h_, g_) for _, h_, g_ in found])
+                columns = [column(h.astype(np.uint64).view(np.int64), pa.int64()), column(g.astype(np.uint64).view(np.int64), pa.int64()), column(place.astype(np.int32), pa.int32()), column(again, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "h", "g", "at", "again"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, h long, at int, again boolean")
-
+    return docs.mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
 
-def _next_level(docs: DataFrame, marks: DataFrame, doc_id: str, text: str, window: int, start: int) -> DataFrame:
-    """(doc_id, h, at, again): the removal windows, twice as long, that name a surviving window."""
-    width = window - start + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for b in batches:
-            sizes, hashes, places, again = [], [], [], []
-            for t, m in zip(as_bytes(b, text), b.column("marks")):
-                x = window_hashes(word_hashes(t.split(), known), start)
-                at, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                if len(x) >= width:
-                    survives = np.zeros(len(x), bool)
-                    marked = m.values.to_numpy()
-                    survives[marked[marked < len(x)]] = True
-                    at = np.flatnonzero(candidates(x, width, survives))
-                    h = _doubled(x, start)[at]
-                sizes.append(len(at))
-                hashes.append(h)
-                places.append(at)
-                again.append(_later_here(h))
-            yield _rows(b, sizes, hashes, places, again)
+def _print(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marks, same(F.col("__id"), marks.doc_id))
-    return joined.select("__id", F.col("__text").alias(text), "marks").mapInArrow(run, f"doc_id {kind}, h long, at int, again boolean")
 
+def _copies(docs: DataFrame, doc_id: str, text: str, staged: Staged) -> DataFrame:
+    """(doc_id, prints, whole): prints of the texts of an id that an earlier id has; whole if these are all its rows.
 
-def _copies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id): documents whose whole text an earlier one has. All their windows start earlier."""
-    key = F.struct(F.xxhash64(text).alias("a"), F.crc32(text).alias("b"), F.length(text).alias("n"))
-    prints = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), key.alias("print"))
-    lowest = prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).filter("n > 1")
-    found = prints.join(lowest, "print").filter("doc_id > low or (doc_id is not null and nulls > 0)")
-    return found.select("doc_id").distinct()
+    All windows of such a row start earlier. The first ids of repeated texts are a table, so
+    that a text that is everywhere is joined by plain exchanges, which Spark may split.
+    """
+    print_ = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    prints = staged.put(docs.select(F.col(doc_id).alias("doc_id"), print_.alias("print")), "prints")
+    lowest = prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).filter("n > 1")
+    lowest = staged.put(lowest, "originals")
+    found = staged.put(prints.join(lowest, "print").filter("doc_id > low or (doc_id is not null and ids < n)").select("doc_id", "print"), "copied")
+    rows = prints.join(found.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    mine = found.groupBy("doc_id").agg(F.collect_set("print").alias("prints"), F.count("*").alias("gone"))
+    return mine.join(rows, "doc_id").select("doc_id", "prints", (F.col("gone") == F.col("rows")).alias("whole"))
 
 
-def _repeated(windows: DataFrame, copies: DataFrame, staged: Staged) -> DataFrame:
-    """The windows whose hash is there twice or more, by document: (doc_id, marks), without copies.
+def _repeated(windows: DataFrame, staged: Staged, level: int) -> DataFrame:
+    """The windows whose hash is there twice or more, by document: (doc_id, marks).
 
     The repeated hashes are a table of their own, so that both sides of the join are plain
     exchanges, which Spark may split; a window that its document has earlier needs no join.
     """
-    twice = staged.put(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
+    twice = staged.put(windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), f"twice{level}")
     found = windows.filter("not again").join(twice, "h").select("doc_id", "at")
     found = found.unionByName(windows.filter("again").select("doc_id", "at"))
-    marks = found.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
-    return marks.join(copies, "doc_id", "left_anti")
+    return found.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
 
 
 def repeats(docs: DataFrame, staged: Staged, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, marks): starts of the windows whose words also start earlier; (doc_id): copies, which repeat as a whole.
+    """(doc_id, marks): starts of the windows whose words also start earlier; (doc_id, prints): copies, which repeat as a whole.
 
     Copies leave the levels after the first: each of their windows starts earlier in their
     original, so they are no window's first place.
     """
-    first, last = level_lengths(window)[0], window
-    copies = staged.put(_copies(docs, doc_id, text), "copies")
-    level = staged.put(_first_level(docs, doc_id, text, window, first), "level1")
-    if first < last:
-        level = staged.put(_next_level(docs, _repeated(level, copies, staged), doc_id, text, window, first), "level2")
-        staged.drop("level1")
+    copies = staged.put(_copies(docs, doc_id, text, staged), "copies")
+    lengths = level_lengths(window)
+    only = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    level = staged.put(_level(only, "__id", "__text", lengths, 0), "level0")
+    for k in range(1, len(lengths)):
+        marks = _repeated(level, staged, k).join(copies.filter("not whole").select("doc_id", "prints"), "doc_id", "left").join(copies.filter("whole"), "doc_id", "left_anti")
+        living = only.join(marks, same(F.col("__id"), F.col("doc_id"))).select("__id", "__text", "marks", F.coalesce("prints", F.array().cast("array<binary>")).alias("copies"))
+        level = staged.put(_level(living, "__id", "__text", lengths, k), f"level{k}")
+        staged.drop(f"level{k - 1}")
+        if level.isEmpty():  # none survives
+            break
     # A document's first place of a window is compared with other documents, its later ones need not be.
-    ahead = level.filter("not again").select("h", "doc_id", "at")
-    lowest = ahead.groupBy("h").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).filter("n > 1")
+    ahead = level.filter("not again").select("h", "g", "doc_id", "at")
+    lowest = ahead.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).filter("n > 1")
     lowest = staged.put(lowest, "lowest")
-    later = ahead.join(lowest, "h").filter("doc_id > low or (doc_id is not null and ids < n)").select("doc_id", "at")
+    later = ahead.join(lowest, ["h", "g"]).filter("doc_id > low or (doc_id is not null and ids < n)").select("doc_id", "at")
     later = staged.put(later.unionByName(level.filter("again").select("doc_id", "at")), "later")
-    staged.drop("level2")
+    staged.drop(f"level{len(lengths) - 1}")
     return later.groupBy("doc_id").agg(F.collect_list("at").alias("marks")), copies
 
 
@@ -227,9 +247,9 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _kept(text: bytes, marks, copy: bool, window: int) -> tuple[list[bytes], list[bytes]]:
+def _kept(text: bytes, marks, copies: list[bytes] | None, window: int) -> tuple[list[bytes], list[bytes]]:
     words = text.split()
-    if copy and len(words) >= window:
+    if copies and len(words) >= window and _print(text) in copies:
         return words, []
     if marks is None or not len(words):
         return words, words
@@ -238,9 +258,11 @@ def _kept(text: bytes, marks, copy: bool, window: int) -> tuple[list[bytes], lis
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
+    """The rows with __marks and __copies of their ids, a row of both an id."""
     marks, copies = repeats(docs, Staged(docs.sparkSession, "substring"), doc_id, text, window)
-    both = marks.select("doc_id", "marks", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("marks"), F.lit(True).alias("copy")))
-    both = both.select(F.col("doc_id").alias("__key"), F.col("marks").alias("__marks"), F.col("copy").alias("__copy"))
+    none = lambda kind: F.lit(None).cast(kind)
+    both = marks.select("doc_id", "marks", none("array<binary>").alias("prints")).unionByName(copies.select("doc_id", none("array<int>").alias("marks"), "prints"))
+    both = both.groupBy(F.col("doc_id").alias("__key")).agg(F.first("marks", ignorenulls=True).alias("__marks"), F.first("prints", ignorenulls=True).alias("__copies"))
     return docs.join(both, same(docs[doc_id], both["__key"]), "left").drop("__key")
 
 
@@ -250,8 +272,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, kept = [], [], []
-            for t, m, c in zip(as_bytes(b, text), b.column("__marks"), b.column("__copy").to_pylist()):
-                words, rest = _kept(t, m.values, bool(c), window)
+            for t, m, c in zip(as_bytes(b, text), b.column("__marks"), b.column("__copies").to_pylist()):
+                words, rest = _kept(t, m.values, c, window)
                 n.append(len(words))
                 removed.append(len(words) - len(rest))
                 kept.append(b" ".join(rest).decode())
@@ -272,14 +294,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes = b.column(text).to_pylist(), b.column(length).to_pylist() if length else None
-            for i, (t, m, c) in enumerate(zip(as_bytes(b, text), b.column("__marks"), b.column("__copy").to_pylist())):
+            for i, (t, m, c) in enumerate(zip(as_bytes(b, text), b.column("__marks"), b.column("__copies").to_pylist())):
                 if c or m.values is not None:
-                    words, rest = _kept(t, m.values, bool(c), window)
+                    words, rest = _kept(t, m.values, c, window)
                     if len(rest) < len(words):
                         texts[i] = b" ".join(rest).decode()
                         if length:
                             sizes[i] = len(texts[i])
-            out = b.drop_columns(["__marks", "__copy"])
+            out = b.drop_columns(["__marks", "__copies"])
             out = out.set_column(out.schema.get_field_index(text), text, column(texts, out.schema.field(text).type))
             if length:
                 out = out.set_column(out.schema.get_field_index(length), length, column(sizes, out.schema.field(length).type))

@@ -1,11 +1,11 @@
 import hashlib
 import random
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanlight.llm import queries
-from spanlight.llm.substring_dedup import remove_repeats, without_repeats
+from spanlight.llm.substring_dedup import level_lengths, remove_repeats, window_hashes, without_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,7 +39,25 @@ def test_random_texts_equal_brute_force(spark):
         rows.append((i, rng.choice([" ", "\n", "\t "]).join(parts)))
     rows += [(200, None), (201, ""), (202, "a " * 300), (203, "a " * 300), (204, "a b " * 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert result(remove_repeats(df)) == brute_force(rows)
+    for window in (20, 21, 7, 48):
+        assert result(remove_repeats(df, window=window)) == brute_force(rows, window)
+
+
+def test_levels():
+    assert [level_lengths(n) for n in (20, 21, 48, 7, 50)] == [[10, 20], [11, 21], [12, 24, 48], [7], [13, 25, 50]]
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 50, 300).astype(np.uint64)
+    for n in (1, 2, 7, 20, 21, 48):
+        x = window_hashes(h, n)
+        assert len(x) == 300 - n + 1 and window_hashes(h[:n], n)[0] == x[0] and (window_hashes(h[9:], n) == x[9:]).all()
+
+
+def test_a_copy_is_known_by_its_own_text(spark):
+    """Two rows with one id, of which one is a copy: the other keeps its words and stays the first place of its windows."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in remove_repeats(df).collect())
+    assert got == [(1, 0), (2, 0), (2, 40), (3, 40)]
 
 
 def test_whole_table_equals_brute_force(spark):
