@@ -9,17 +9,21 @@ ends with two undecided documents at most.
 
 The flight runs in blocks of a bounded number of documents, dealt by a hash, so that a source
 with a third of all rows is many tasks. What the blocks leave undecided, two documents each,
-flies again as one block level up, and so on until one block per source is left. Blocks run
-from long to short documents; in the last one the two open documents and LANDING documents of
-all lengths make the landing problem, which takes the outcome nearest to the word total. If a document of a small source is a large part
-of it, single decisions are then turned round until the total is near.
+flies again as one block level up, and so on until one block is left of a source; each source
+goes by its own size, whatever the others are. About LANDING documents of every source, drawn by
+their hash, wait for that last block. There the two open documents and LANDING others of all
+lengths make the landing problem, which takes the outcome nearest to the word total. If a
+document of a small source is a large part of it, single decisions are then turned round until
+the total is near.
 
-Directions are drawn from hashes of the ids, so reruns agree. Only sizes per source, a row
-each, come to the driver; texts are read once and not moved.
+Directions are drawn from hashes of id, size, source and number among equal rows, so reruns
+agree. Only sizes per source, a row each, come to the driver: sources are a list that somebody
+gave weights to, at most MAX_SOURCES. Texts are read once and not moved.
 
 A null text has size 0; a null source is a source of its own and the last. Repeated rows and
-repeated or null ids are drawn row by row. A source of size 0 has target 0. An empty table
-gives an empty result.
+repeated or null ids are drawn row by row. A source of size 0 has target 0. Texts of any length
+are one number here. Columns beside id, text and source are not looked at. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ MOST = 2.0
 BLOCK = 8192
 #: Documents of a source's last block, long and short ones, that land with what the flight leaves open.
 LANDING = 12
+MAX_SOURCES = 1_000_000
+#: Equal rows that one array numbers.
+RUN = 1 << 16
 EPS = 1e-9
 
 
@@ -120,10 +127,13 @@ def repair(sizes: np.ndarray, p: np.ndarray, words: float, tolerance: float = 0.
     return p
 
 
-def _flight(last: bool):
+def _flight(block: int):
+    """For applyInPandas over a block of one source: its flight, and its landing where it is the source's only one."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], ignore_index=True)
         sizes, p = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float).copy()
+        last = pdf["docs"].iloc[0] <= block
         flies = np.ones(len(p), bool)
         if last:
             flies[np.linspace(0, len(p) - 1, min(LANDING, len(p))).astype(int)] = False
@@ -138,7 +148,9 @@ def _flight(last: bool):
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """(source, source_size, docs, target): sources by code point take the weights in turn; null is the last."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources")
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "")))
     sizes = [r["size"] for r in rows]
     found = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], total * sum(sizes), most)
@@ -146,10 +158,23 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     return sized.sparkSession.createDataFrame(data, "source string, source_size long, docs long, target double")
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """(doc_id, source, size, draw): every row with a hash of its own; rows that are equal are counted, then numbered."""
+    runs = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"), F.lit(RUN).cast("long"))).alias("low")
+    parts = runs.select("doc_id", "source", "size", "n", part)
+    number = F.explode(F.sequence("low", F.least(F.col("low") + RUN, F.col("n")) - 1)).alias("number")
+    rows = parts.select("doc_id", "source", "size", number)
+    return rows.select("doc_id", "source", "size", F.xxhash64("doc_id", "size", "source", F.nullif("number", F.lit(0).cast("long"))).alias("draw"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """A row per input row: doc_id, size, source, source_size, target and taken (words, repeats counted)."""
+    if block < 4 * LANDING:
+        raise ValueError(f"a block holds {4 * LANDING} documents at least")
     staged = Staged(docs.sparkSession, "mixing")
-    sized = staged.put(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sized")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    sized = staged.put(_numbered(sized), "sized")
     plan = source_targets(sized, weights, total, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     found = (
@@ -157,26 +182,31 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .join(plan, same(F.col("__s"), plan.source))
         .withColumn("whole", F.floor(rate + EPS))
         .withColumn("p", F.greatest(F.lit(0.0), rate - F.col("whole")))
-        .withColumn("draw", F.xxhash64("doc_id", "size", "source"))
-        .select("doc_id", "source", "size", "source_size", "docs", "target", "whole", "p", "draw")
+        .withColumn("waits", (F.col("docs") > block) & (F.pmod(F.xxhash64("draw"), F.col("docs")) < LANDING))
+        .select("doc_id", "source", "size", "source_size", "docs", "target", "whole", "p", "draw", "waits")
     )
     schema, parts, level = found.schema, [], 0
     most_docs = plan.agg(F.max("docs")).first()[0] or 0
     while True:
-        last = most_docs <= block
         n = F.ceil(F.col("docs") / block)
-        flown = found.groupBy("source", F.pmod("draw", n).alias("b")).applyInPandas(_flight(last), schema)
-        flown = staged.put(flown, f"flight{level}")
-        if last:
+        up = found.filter("not waits") if most_docs > block else found
+        flown = staged.put(up.groupBy("source", F.pmod("draw", n).alias("b")).applyInPandas(_flight(block), schema), f"flight{level}")
+        if most_docs <= block:
             parts.append(flown)
             break
-        parts.append(flown.filter("p = 0 or p = 1"))
         # A block leaves two documents at most, which bounds the next level without a count.
-        found = flown.filter("p > 0 and p < 1").withColumn("docs", (2 * n).cast("long"))
-        most_docs = 2 * -(-most_docs // block)
-        level += 1
+        parts.append(flown.filter(f"docs <= {block} or p = 0 or p = 1"))
+        left = flown.filter(f"docs > {block} and p > 0 and p < 1").unionByName(found.filter("waits"))
+        most_docs, level = _above(most_docs, block), level + 1
+        docs_left = (2 * n + 2 * LANDING).cast("long")
+        found = left.withColumn("docs", docs_left).withColumn("waits", F.col("waits") & (F.col("docs") > block))
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
     taken = (F.col("size") * (F.col("whole") + F.col("p"))).cast("long")
     return out.select(F.col("doc_id").alias(doc_id), "size", F.col("source").alias(source), "source_size", "target", taken.alias("taken"))
+
+
+def _above(docs: int, block: int) -> int:
+    """How many documents of a source a level hands on at most, but for the chance number of those that wait."""
+    return 2 * -(-docs // block) + 2 * LANDING

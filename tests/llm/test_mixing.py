@@ -33,7 +33,7 @@ def test_inclusion_probabilities_hold():
     assert np.abs(mean - p).max() < 0.04
 
 
-@pytest.mark.parametrize("block", [8192, 16])
+@pytest.mark.parametrize("block", [8192, 64])
 def test_whole_table_meets_its_targets(spark, block):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mix(docs, block=block).collect()
@@ -62,3 +62,33 @@ def test_edges(spark):
 
 def test_query_columns(spark):
     assert queries.op8_mixing(spark, "/root/testdata/sf0.001").columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def totals(found):
+    by = {}
+    for r in found:
+        taken, target, n = by.get(r.source, (0, r.target, 0))
+        by[r.source] = taken + r.taken, target, n + 1
+    return by
+
+
+def test_sources_land_near_their_targets_beside_a_large_one(spark):
+    """A source's accuracy does not depend on how large the others are, and a large one lands as well."""
+    rng, rows = np.random.default_rng(4), []
+    for source, n in (("a", 50), ("b", 400), ("c", 2600), ("d", 60), ("e", 20000)):
+        rows += [(len(rows) + k, "w " * int(rng.integers(20, 900)), source) for k in range(n)]
+    big = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    small = big.filter("source <> 'e'")
+    for df, block in ((big, 8192), (small, 8192), (big, 512)):
+        for source, (taken, target, n) in totals(mix(df, block=block).collect()).items():
+            assert abs(taken - target) <= 0.001 * target, (source, n, taken, target, block)
+
+
+def test_equal_rows_have_draws_of_their_own(spark):
+    """Copies of one row, ids null: they fill many blocks, and half of them is taken where half is due."""
+    df = spark.createDataFrame([(None, "a b c", "s")], "doc_id long, text string, source string").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(70000))))
+    found = mix(df.drop("k"), block=1024)
+    counts = {r.taken: r.n for r in found.groupBy("taken").agg(F.count("*").alias("n")).collect()}
+    assert sum(counts.values()) == 70000 and abs(counts[6] - 35000) <= 2 and abs(counts[3] - 35000) <= 2
+    long = spark.createDataFrame([(1, "x " * 300000, "s"), (2, "y", "s")], "doc_id long, text string, source string")
+    assert sorted(r.size for r in mix(long).collect()) == [1, 300000]
