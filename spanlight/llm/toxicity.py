@@ -1,11 +1,15 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes scaled features.
 
+Every log-count ratio is shrunk by its own standard error: little where it is many of these, and
+smoothly towards zero where it is few, so that rare n-grams do not drown the rest and yet no
+count, however small, is cut off.
+
 A document's features are the character n-grams of its distinct lower-cased words, with marks
 at the words' ends, present or not, hashed into a fixed number of buckets. Each feature is
 scaled by its naive Bayes log-count ratio between toxic and other texts, and a logistic
 regression with an L2 penalty is fitted on the scaled features (Adagrad, fixed order, so reruns
 agree). Scoring looks up one weight per bucket, scale times coefficient; the table has a fixed
-size and is broadcast.
+size and is broadcast. Weights are multiples of STEP, so sums are exact in any order.
 
 The model is fitted on a bounded sample: of each class the max_per_class labelled training
 rows with the lowest hash of their id. Their bucket lists, not their texts, come to the driver.
@@ -13,7 +17,8 @@ Every document is scored by its whole text.
 
 Null and empty texts have no feature and get the score of the intercept. If the training rows
 lack a class, the score is the class share for all. Labels that are null are no labels;
-repeated rows are scored one by one.
+repeated rows are scored one by one. Texts may have any length; columns beside id and text are
+not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, column, same
 
 
+STEP = 2.0**-20
+
+
 @dataclass(frozen=True)
 class ToxicityOptions:
     shortest: int = 3
@@ -36,13 +44,14 @@ class ToxicityOptions:
     buckets: int = 1 << 18
     max_per_class: int = 4000
     smoothing: float = 1.0
-    least_z: float = 4.0
-    l2: float = 1e-4
+    #: Standard errors at which a log-count ratio is halved.
+    half_at: float = 6.0
+    l2: float = 1e-5
     rate: float = 0.15
     epochs: int = 8
     batch: int = 64
     #: Words that a worker remembers.
-    cache: int = 400_000
+    cache: int = 200_000
 
 
 class Grams:
@@ -100,47 +109,49 @@ class Model:
 
 
 class Scorer:
-    """Keeps which words have n-grams of weight; most have none."""
+    """Remembers the buckets of words."""
 
     def __init__(self, model: Model, options: ToxicityOptions):
         self.model, self.options, self.grams = model, options, Grams(options)
-        self.heavy: dict[str, frozenset[int]] = {}
-        self.light: set[str] = set()
+        self.known: dict[str, np.ndarray] = {}
+        self.seen = np.zeros(options.buckets, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > self.options.cache:
+            self.known.clear()
+        for part, of, buckets in self.grams.words(words):
+            order = np.argsort(of, kind="stable")
+            self.known |= zip(part, np.split(buckets[order], np.cumsum(np.bincount(of, minlength=len(part)))[:-1]))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        weights = self.model.weights
-        split = [distinct(t) for t in texts]
-        if len(self.light) + len(self.heavy) > self.options.cache:
-            self.light.clear()
-            self.heavy.clear()
-        new = set().union(*split) - self.light - self.heavy.keys()
-        for part, of, buckets in self.grams.words(list(new)):
-            at = np.flatnonzero(weights[buckets])
-            found: dict[int, set[int]] = {}
-            for i, k in zip(of[at].tolist(), buckets[at].tolist()):
-                found.setdefault(i, set()).add(k)
-            self.heavy |= {part[i]: frozenset(k) for i, k in found.items()}
-            self.light.update(w for i, w in enumerate(part) if i not in found)
-        heavy = self.heavy.keys()
         z = np.full(len(texts), self.model.intercept)
-        for row, ws in enumerate(split):
-            if own := ws & heavy:
-                z[row] += weights[sorted(frozenset().union(*(self.heavy[w] for w in own)))].sum(dtype=np.float64)
+        for at in range(0, len(texts), 64):
+            split = [distinct(t) for t in texts[at : at + 64]]
+            self._learn(list(set().union(*split) - self.known.keys()))
+            for row, words in enumerate(split, at):
+                if words:
+                    self._add(z, row, np.concatenate([self.known[w] if w in self.known else self.grams.texts([w.encode()])[0] for w in words]))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
+    def _add(self, z: np.ndarray, row: int, buckets: np.ndarray) -> None:
+        """Adds the weights of the distinct buckets: of equal ones the last that is written counts."""
+        place = np.arange(len(buckets))
+        self.seen[buckets] = place
+        z[row] += self.model.weights[buckets[self.seen[buckets] == place]].sum()
+
 
 def fit(lists: list[np.ndarray], y: np.ndarray, options: ToxicityOptions, share: float | None = None) -> Model:
     """share: the share of label 1 among all training rows."""
     n, y = options.buckets, np.asarray(y, float)
     if not 0 < y.sum() < len(y):
         one = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
-        return Model(np.zeros(n, np.float32), float(np.log(one / (1 - one))))
+        return Model(np.zeros(n), float(np.log(one / (1 - one))))
     count = np.full((2, n), options.smoothing)
     for x, label in zip(lists, y):
         count[int(label)][x] += 1
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
-    # A log ratio within a few of its standard errors is noise; rare n-grams would drown the rest.
-    ratio[np.abs(ratio) < options.least_z * np.sqrt((1 / count).sum(0))] = 0
+    fourth = (ratio * ratio / (1 / count).sum(0)) ** 2
+    ratio *= fourth / (fourth + options.half_at**4)
     v, seen = np.zeros(n), np.full(n, 1e-6)
     b, b_seen = float(np.log(y.mean() / (1 - y.mean()))), 1e-6
     rng = np.random.default_rng(0)
@@ -153,8 +164,8 @@ def fit(lists: list[np.ndarray], y: np.ndarray, options: ToxicityOptions, share:
             of = np.repeat(np.arange(len(rows)), sizes)
             z = np.bincount(of, v[flat] * ratio[flat], len(rows)) + b
             error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[rows]
-            where, inverse = np.unique(flat, return_inverse=True)
-            grad = np.bincount(inverse, error[of] * ratio[flat], len(where)) / len(rows) + options.l2 * v[where]
+            where = np.flatnonzero(np.bincount(flat, minlength=n))
+            grad = np.bincount(flat, error[of] * ratio[flat], n)[where] / len(rows) + options.l2 * v[where]
             seen[where] += grad * grad
             v[where] -= options.rate * grad / np.sqrt(seen[where])
             g = error.mean()
@@ -162,7 +173,7 @@ def fit(lists: list[np.ndarray], y: np.ndarray, options: ToxicityOptions, share:
             b -= options.rate * g / np.sqrt(b_seen)
     if share is not None and 0 < share < 1:  # the sample may hold the classes at other shares
         b += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
-    return Model((v * ratio).astype(np.float32), b)
+    return Model(np.round(v * ratio / STEP) * STEP, b)
 
 
 def _sample(labelled: DataFrame, label: str, doc_id: str, most: int) -> DataFrame:

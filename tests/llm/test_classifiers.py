@@ -66,3 +66,37 @@ def test_scorer_equals_bucket_lists():
     scorer = toxicity.Scorer(model, options)
     got = np.concatenate([scorer.scores(texts[:30]), scorer.scores(texts[30:])])
     assert np.allclose(got, 1 / (1 + np.exp(-np.array(want))))
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 20, 60])
+def test_few_rows_are_learned_from(n):
+    """Separable texts: the model separates from a row of each class on, and the more the clearer."""
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    text = lambda bad: " ".join(["zzqwx"] * bad + [word() for _ in range(8)]).encode()
+    options, y = toxicity.ToxicityOptions(), np.array([1] * n + [0] * n)
+    model = toxicity.fit(toxicity.Grams(options).texts([text(v) for v in y]), y, options)
+    s = toxicity.Scorer(model, options).scores([text(True) for _ in range(40)] + [text(False) for _ in range(40)])
+    assert s[:40].mean() > s[40:].mean() and (n < 10 or s[:40].min() > 0.5 > s[40:].max())
+
+
+def test_queries_equal_scores_by_hand(spark):
+    """The queries' scores are those of the fitted model on each whole text, computed apart from Spark."""
+    path = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    fold = lambda n: F.crc32(F.col("doc_id").cast("string")) % n
+    model = toxicity.train(docs, labels.select("doc_id", "toxic").filter(fold(5) != 0))
+    options, got = toxicity.ToxicityOptions(), {r.doc_id: r.score for r in queries.op7_toxicity(spark, path).collect()}
+    for d, t in texts.items():
+        grams = {g for w in t.decode().lower().split() for k in range(3, 7) for g in [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]}
+        z = model.intercept + sum(model.weights[b] for b in {bucket(g, options.buckets) for g in grams})
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+
+
+def bucket(gram: str, buckets: int) -> int:
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+    h = h * 0x9E3779B97F4A7C15 % 2**64
+    return (h ^ (h >> 32)) % buckets
