@@ -30,10 +30,12 @@ def column(values, kind: pa.DataType) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where it is unset and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not (held := getattr(shared_folder, "own", None)):
         held = shared_folder.own = tempfile.mkdtemp(prefix="spanlight-")
     return f"file://{os.path.abspath(held)}"
@@ -46,14 +48,15 @@ class Staged:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+        """The rows as a table; tidy also frees what earlier phases left on disk, which small tables need not wait for."""
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         del df
         found = self.spark.read.parquet(path)
         # Shuffle files go once their plans are garbage; the next phase needs the disk. The first
         # round frees what the second finds.
-        for _ in range(2):
+        for _ in range(2 if tidy else 0):
             gc.collect()
             self.spark._jvm.System.gc()
         return found

@@ -17,18 +17,20 @@ def _size(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, staged: Staged, name: str) -> DataFrame:
     """One round: every node hands its smallest neighbour to its larger ones, then to its smaller ones.
 
-    The smallest neighbour is a partial aggregate and comes back by a join that Spark may
-    split, so a node with very many neighbours fills no task.
+    The smallest neighbour is a partial aggregate and a table of its own; so it comes back by a
+    join of plain exchanges, which Spark may split, and a node with very many neighbours fills
+    no task.
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = staged.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}low", tidy=False)
     large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    large = staged.put(large, f"{name}large", tidy=False)
+    low = staged.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}least", tidy=False)
     small = large.join(low, "u")
-    down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+    down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
     return down.filter("u != v").distinct()
 
 
@@ -37,8 +39,10 @@ def components(edges: DataFrame, staged: Staged, most_rounds: int = 60, name: st
     edges = staged.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), f"{name}0")
     size = _size(edges)
     for k in range(1, most_rounds + 1):
-        following = staged.put(_stars(edges), f"{name}{k}")
+        following = staged.put(_stars(edges, staged, f"{name}{k}"), f"{name}{k}")
         now = _size(following)
+        for part in ("low", "large", "least"):
+            staged.drop(f"{name}{k}{part}")
         staged.drop(f"{name}{k - 1}")
         edges = following
         if now == size:

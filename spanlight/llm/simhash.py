@@ -174,7 +174,7 @@ def links(entries: DataFrame, staged: Staged) -> DataFrame:
     masks, edges, level = chain_masks(), None, 0
     keyed = _keyed(entries, masks)
     while True:
-        hot = staged.put(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key"), f"hot{level}")
+        hot = staged.put(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key"), f"hot{level}", tidy=False)
         some = not hot.isEmpty()
         rest = keyed.join(hot, "key", "left_anti") if some else keyed
         found = rest.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link_sorted, "u long, v long")
@@ -184,7 +184,7 @@ def links(entries: DataFrame, staged: Staged) -> DataFrame:
         level += 1
         parts = F.create_map(*(x for m in masks for x in (F.lit(_long(m)).cast("long"), F.array(*(F.lit(_long(y)).cast("long") for y in longer_masks(m))))))
         masks = sorted({y for m in masks for y in longer_masks(m)})
-        over = staged.put(keyed.join(hot, "key", "left_semi").select("fp", F.explode(parts[F.col("mask")]).alias("mask")).distinct(), f"over{level}")
+        over = staged.put(keyed.join(hot, "key", "left_semi").select("fp", F.explode(parts[F.col("mask")]).alias("mask")).distinct(), f"over{level}", tidy=False)
         keyed = over.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
 
 

@@ -269,7 +269,7 @@ def verify_sorted(similarity: float):
 def lookup_keys(entries: DataFrame, staged: Staged, block: int) -> DataFrame:
     """(key, entry, n, u, w): the keys that every entry is looked up by, those that few entries have first."""
     every = entries.select("entry", F.explode("keys").alias("key"))
-    hot = staged.put(every.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key"), "hot")
+    hot = staged.put(every.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key"), "hot", tidy=False)
     if not hot.isEmpty():
         met = every.join(hot, "key", "left_semi").groupBy("entry").agg(F.collect_list("key").alias("late")).withColumnRenamed("entry", "__e")
         entries = entries.join(met, entries.entry == met["__e"], "left")
@@ -281,7 +281,7 @@ def lookup_keys(entries: DataFrame, staged: Staged, block: int) -> DataFrame:
 def candidates(entries: DataFrame, staged: Staged, similarity: float, block: int) -> DataFrame:
     """Edges (u, v) of entries that connect all candidates."""
     keyed = staged.put(lookup_keys(entries, staged, block), "keyed")
-    over = staged.put(keyed.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > block), "over")
+    over = staged.put(keyed.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > block), "over", tidy=False)
     some = not over.isEmpty()
     rest = keyed.join(over, "key", "left_anti") if some else keyed
     edges = rest.select("key", *PRINTS).repartition("key").sortWithinPartitions("key", "entry").mapInArrow(link_sorted(similarity), "u long, v long")
