@@ -11,6 +11,22 @@ from ..options import DetectorOptions
 COMMUNITY_GAP, DEFAULT_TRIM_S, MOST_TRIM_S = 10_000, 3.0, 60.0
 
 
+SLOT_MS = 60_000
+
+
+def meeting(left: DataFrame, right: DataFrame, width: float = SLOT_MS) -> DataFrame:
+    """Pairs of left (video_id, start_ms, end_ms, ...) and right (video_id, r_start, r_end, ...) rows of one video whose times touch.
+
+    Times are cut into slots, so rows of a long video meet only those near them; a pair that
+    shares several slots meets in the first of them. Both ends count.
+    """
+    slots = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    a = left.filter("end_ms >= start_ms").withColumn("__slot", slots("start_ms", "end_ms"))
+    b = right.filter("r_end >= r_start").withColumn("__slot", slots("r_start", "r_end"))
+    both = a.join(b, ["video_id", "__slot"]).filter("r_start <= end_ms and r_end >= start_ms")
+    return both.filter(F.col("__slot") == F.floor(F.greatest("start_ms", "r_start") / width)).drop("__slot")
+
+
 def islands(df: DataFrame, gap: float, order: list[str], keys: list[str] = ["video_id"]) -> DataFrame:
     """Adds island: a number per run of rows whose start is at most gap after all earlier ends."""
     by = W.partitionBy(*keys).orderBy(*order)
@@ -144,9 +160,9 @@ def matches_candidate(c_start: Column, c_end: Column, a_start: Column, a_end: Co
 
 def match_candidates(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """The answers that confirm a candidate of their video: (video_id, start_ms, end_ms, a_start, a_end)."""
-    a = answers.select(F.col("video_id").alias("__v"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
-    on = (candidates.video_id == a["__v"]) & matches_candidate(candidates.start_ms, candidates.end_ms, a.a_start, a.a_end)
-    return candidates.join(a, on).select("video_id", "start_ms", "end_ms", "a_start", "a_end")
+    met = meeting(candidates.select("video_id", "start_ms", "end_ms"), answers.select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")))
+    confirmed = met.filter(matches_candidate(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")))
+    return confirmed.withColumnsRenamed({"r_start": "a_start", "r_end": "a_end"})
 
 
 def suppress_undone(segments: DataFrame, undone: DataFrame, cancelled: DataFrame, least_s: float = 0.25) -> DataFrame:
@@ -171,20 +187,24 @@ def label_positions(positions: DataFrame, segments: DataFrame, soon_s: float = 1
 
 def overlap_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(video_id, start_ms, end_ms): every intersection of positive length."""
-    t = truth.select(F.col("video_id").alias("__v"), F.col("start_ms").alias("t_start"), F.col("end_ms").alias("t_end"))
-    start, end = F.greatest("start_ms", "t_start"), F.least("end_ms", "t_end")
-    return predicted.join(t, (predicted.video_id == t["__v"]) & (end > start)).select("video_id", start.alias("start_ms"), end.alias("end_ms"))
+    met = meeting(predicted.select("video_id", "start_ms", "end_ms"), truth.select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")))
+    start, end = F.greatest("start_ms", "r_start"), F.least("end_ms", "r_end")
+    return met.filter(end > start).select("video_id", start.alias("start_ms"), end.alias("end_ms"))
 
 
 def best_match(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Truth rows (with truth_id) and the best prediction: iou over the hull, and the start and end errors; the first wins a tie."""
-    p = predicted.select(F.col("video_id").alias("__v"), F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
-    shared = F.greatest(F.lit(0.0), F.least("end_ms", "p_end") - F.greatest("start_ms", "p_start"))
-    hull = F.greatest("end_ms", "p_end") - F.least("start_ms", "p_start")
-    pairs = truth.join(p, truth.video_id == p["__v"], "left").withColumn("iou", F.when(hull > 0, shared / hull).otherwise(0.0))
-    best = pairs.groupBy("video_id", "truth_id", "start_ms", "end_ms").agg(F.min(F.struct((-F.col("iou")).alias("minus"), "p_start", "p_end")).alias("b"))
-    hit = (-F.col("b.minus")) > 0
-    return best.select("video_id", "truth_id", F.when(hit, -F.col("b.minus")).alias("iou"), F.when(hit, F.abs(F.col("b.p_start") - F.col("start_ms"))).alias("start_error"), F.when(hit, F.abs(F.col("b.p_end") - F.col("end_ms"))).alias("end_error"))
+    """Truth rows (with truth_id) and the best prediction: iou over the hull, and the start and end errors; the first wins a tie.
+
+    Only predictions that meet a truth row are compared with it; rows that none meets have nulls.
+    """
+    keys = ["video_id", "truth_id", "start_ms", "end_ms"]
+    met = meeting(truth.select(keys), predicted.select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")))
+    shared = F.greatest(F.lit(0.0), F.least("end_ms", "r_end") - F.greatest("start_ms", "r_start"))
+    hull = F.greatest("end_ms", "r_end") - F.least("start_ms", "r_start")
+    pairs = met.withColumn("iou", F.when(hull > 0, shared / hull).otherwise(0.0)).filter("iou > 0")
+    best = pairs.groupBy(keys).agg(F.min(F.struct((-F.col("iou")).alias("minus"), "r_start", "r_end")).alias("b"))
+    rows = truth.select(keys).join(best, keys, "left")
+    return rows.select("video_id", "truth_id", (-F.col("b.minus")).alias("iou"), F.abs(F.col("b.r_start") - F.col("start_ms")).alias("start_error"), F.abs(F.col("b.r_end") - F.col("end_ms")).alias("end_error"))
 
 
 def timeline_markers(segments: DataFrame, videos: DataFrame) -> DataFrame:

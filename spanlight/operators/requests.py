@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,29 +33,31 @@ def format_lines(events: DataFrame) -> DataFrame:
 
 
 def _chunks(most: int, overlap: float):
+    """For applyInPandas over one video's (event_idx, start_ms, end_ms, size): the chunks' edges, each found in the running sizes."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("event_idx", ignore_index=True)
-        start, end, size = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy(), pdf["line"].str.len().to_numpy() + 1
-        gap = [False, *(start[1:] - end[:-1] >= GAP_MS)]
-        out, at, n = [], 0, len(pdf)
+        start, end, n = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy(), len(pdf)
+        upto = np.r_[0, np.cumsum(pdf["size"].to_numpy())]
+        pauses = np.flatnonzero(start[1:] - end[:-1] >= GAP_MS) + 1
+        reached = np.maximum.accumulate(end)
+        edges, at = [], 0
         while at < n:
-            stop, chars = at, 0
-            while stop < n and (stop == at or chars + size[stop] <= most):
-                chars += size[stop]
-                stop += 1
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
             if stop < n:  # rather end before a pause in the last quarter
-                first = at + max(1, int((stop - at) * FILL))
-                stop = next((k for k in range(stop, first, -1) if gap[k]), stop)
-            out.append((at, stop))
+                least = at + max(1, int((stop - at) * FILL))
+                k = int(np.searchsorted(pauses, stop, "right")) - 1
+                stop = int(pauses[k]) if k >= 0 and pauses[k] > least else stop
+            edges.append((at, stop))
             if stop >= n:
                 break
-            back = stop
-            while back > at + 1 and end[back - 1] > end[stop - 1] - overlap:
-                back -= 1
-            at = back
-        low = int(pdf["event_idx"].iloc[0])
-        rows = [(pdf["video_id"].iloc[0], i, low + a, low + b, "\n".join(pdf["line"].iloc[a:b])) for i, (a, b) in enumerate(out)]
-        return pd.DataFrame(rows, columns=["video_id", "chunk_id", "start_idx", "end_idx", "text"])
+            # Back over the captions that end within the overlap, one after another.
+            low = int(np.searchsorted(reached, end[stop - 1] - overlap, "right"))
+            back = np.flatnonzero(end[max(low, at + 1) : stop] <= end[stop - 1] - overlap)
+            at = max(low, at + 1) + (int(back[-1]) + 1 if len(back) else 0)
+            at = min(at, stop)
+        first = int(pdf["event_idx"].iloc[0])
+        return pd.DataFrame([(pdf["video_id"].iloc[0], k, first + a, first + b) for k, (a, b) in enumerate(edges)], columns=["video_id", "chunk_id", "start_idx", "end_idx"])
 
     return run
 
@@ -62,19 +65,46 @@ def _chunks(most: int, overlap: float):
 def chunk_events(lines: DataFrame, most_chars: int = CHUNK_CHARS, overlap_ms: float = OVERLAP_MS) -> DataFrame:
     """(video_id, chunk_id, start_idx, end_idx, text): overlapping chunks of a video's lines; end_idx is exclusive.
 
-    A group is one video's captions, some ten thousand rows at most.
+    Each chunk starts from the one before, so the edges are found video by video, from four
+    numbers a caption; the texts are put together by a join and do not pass through Python.
     """
     kind = lines.schema["video_id"].dataType.simpleString()
-    return lines.groupBy("video_id").applyInPandas(_chunks(most_chars, overlap_ms), f"video_id {kind}, chunk_id int, start_idx int, end_idx int, text string")
+    sizes = lines.select("video_id", "event_idx", "start_ms", "end_ms", (F.length("line") + 1).alias("size"))
+    edges = sizes.groupBy("video_id").applyInPandas(_chunks(most_chars, overlap_ms), f"video_id {kind}, chunk_id int, start_idx int, end_idx int")
+    return chunk_lines(edges, lines)
+
+
+def _first_caption(events: DataFrame, probes: DataFrame, by: str, include: bool) -> DataFrame:
+    """Adds idx to probes (video_id, range_id, t): the first caption whose `by` is at least t (or above it), in one pass over both in order."""
+    rows = events.select("video_id", F.col(by).alias("t"), "event_idx", F.lit(None).cast("long").alias("range_id"))
+    both = rows.unionByName(probes.select("video_id", "t", F.lit(None).cast("int").alias("event_idx"), F.col("range_id").cast("long")))
+    probe = F.col("range_id").isNotNull().cast("int")
+    order = W.partitionBy("video_id").orderBy(F.col("t").desc(), probe if include else -probe).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("idx", F.min("event_idx").over(order)).filter("range_id is not null").select("video_id", "range_id", "idx")
 
 
 def focused_ranges(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(video_id, range_id, start_idx, end_idx): the captions around ranges (video_id, range_id, start_ms, end_ms); end_idx is exclusive."""
-    e = events.select(F.col("video_id").alias("__v"), "event_idx", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    met = ranges.join(e, ranges.video_id == e["__v"]).groupBy("video_id", "range_id")
-    found = met.agg(F.min(F.when(F.col("e") >= F.col("start_ms"), F.col("event_idx"))).alias("a"), F.max("event_idx").alias("last"), F.collect_list(F.when(F.col("s") > F.col("end_ms"), F.col("event_idx"))).alias("after"))
+    """(video_id, range_id, start_idx, end_idx): the captions around ranges (video_id, range_id, start_ms, end_ms); end_idx is exclusive.
+
+    The first caption that ends at or after a range's start is the first at which the latest end
+    so far does; captions are in the order of their starts. So both edges are single passes.
+    """
+    so_far = W.partitionBy("video_id").orderBy("event_idx").rowsBetween(W.unboundedPreceding, 0)
+    e = events.select("video_id", F.col("event_idx").cast("int").alias("event_idx"), "start_ms", F.max("end_ms").over(so_far).alias("reached"))
+    first = _first_caption(e, ranges.select("video_id", "range_id", F.col("start_ms").alias("t")), "reached", True).withColumnRenamed("idx", "a")
+    after = _first_caption(e, ranges.select("video_id", "range_id", F.col("end_ms").alias("t")), "start_ms", False).withColumnRenamed("idx", "b")
+    last = events.groupBy("video_id").agg(F.max("event_idx").cast("int").alias("last"))
     start = F.coalesce("a", "last")
-    return found.select("video_id", "range_id", start.cast("int").alias("start_idx"), F.coalesce(F.array_min(F.filter("after", lambda k: k >= start)), F.col("last") + 1).cast("int").alias("end_idx"))
+    found = first.join(after, ["video_id", "range_id"]).join(last, "video_id")
+    return found.select("video_id", "range_id", start.alias("start_idx"), F.when(F.col("b").isNull(), F.col("last") + 1).otherwise(F.greatest("b", start)).alias("end_idx"))
+
+
+def chunk_lines(chunks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds text to chunks (video_id, start_idx, end_idx, ...): their lines, joined by line feeds; each line is met by its number."""
+    each = chunks.withColumn("event_idx", F.explode(F.sequence(F.col("start_idx"), F.col("end_idx") - 1)))
+    met = each.join(lines.select("video_id", "event_idx", "line"), ["video_id", "event_idx"])
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", "line"))), lambda x: x.line), "\n")
+    return met.groupBy(*chunks.columns).agg(text.alias("text"))
 
 
 def candidate_hints(chunks: DataFrame, events: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -158,10 +188,7 @@ def seam_chunks(centers: DataFrame, events: DataFrame, context_ms: float = SEAM_
     """(video_id, seam, start_idx, end_idx, text): the lines around each seam."""
     ranges = centers.select("video_id", F.col("seam").alias("range_id"), (F.col("center_ms") - context_ms).alias("start_ms"), (F.col("center_ms") + context_ms).alias("end_ms"))
     around = focused_ranges(events, ranges)
-    lines = format_lines(events).select(F.col("video_id").alias("__v"), "event_idx", "line")
-    met = around.join(lines, (around.video_id == lines["__v"]) & (lines.event_idx >= around.start_idx) & (lines.event_idx < around.end_idx))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", "line"))), lambda x: x.line), "\n")
-    return met.groupBy("video_id", F.col("range_id").alias("seam"), "start_idx", "end_idx").agg(text.alias("text"))
+    return chunk_lines(around.withColumnRenamed("range_id", "seam"), format_lines(events))
 
 
 def replace_seam_segments(segments: DataFrame, edges: DataFrame, repaired: DataFrame) -> DataFrame:
@@ -172,11 +199,21 @@ def replace_seam_segments(segments: DataFrame, edges: DataFrame, repaired: DataF
 
 
 def cache_keys(events: DataFrame, jobs: DataFrame, version: str = "1") -> DataFrame:
-    """(video_id, cache_key): equal for equal version, video, endpoint, model and captions, else different."""
-    line = F.sha2(F.concat_ws("\x1f", F.col("start_ms").cast("string"), F.col("end_ms").cast("string"), F.col("text")), 256)
-    whole = events.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", line.alias("h")))), lambda x: x.h), "\n").alias("lines"))
-    key = F.sha2(F.concat_ws("\x1e", F.lit(version), F.col("video_id").cast("string"), "endpoint", "model", "lines"), 256)
-    return jobs.join(whole, "video_id").select("video_id", key.alias("cache_key"))
+    """Jobs (video_id, endpoint, model, candidates) with cache_key: equal for equal version, video, endpoint, model, captions and candidates, else different.
+
+    White space in captions, around names and slashes that end an endpoint do not count, nor
+    does the order of candidates: an array of (start_ms, end_ms, confidence), or no such column.
+    """
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    line = F.sha2(F.concat_ws("\x1f", F.col("start_ms").cast("string"), F.col("end_ms").cast("string"), text), 256)
+    whole = events.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", line.alias("h")))), lambda x: x.h), "\n").alias("__lines"))
+    told = F.lit("")
+    if "candidates" in jobs.columns:
+        one = lambda c: F.concat_ws("\x1f", c.start_ms.cast("double").cast("string"), c.end_ms.cast("double").cast("string"), F.coalesce(c.confidence, F.lit("")))
+        told = F.coalesce(F.array_join(F.array_sort(F.transform("candidates", one)), "\x1d"), F.lit(""))
+    endpoint = F.regexp_replace(F.trim("endpoint"), "/+$", "")
+    key = F.sha2(F.concat_ws("\x1e", F.lit(version), F.trim(F.col("video_id").cast("string")), endpoint, F.trim("model"), "__lines", told), 256)
+    return jobs.join(whole, "video_id").withColumn("cache_key", key).drop("__lines")
 
 
 def cache_lookup(jobs: DataFrame, cache: DataFrame, now_ms: int) -> DataFrame:

@@ -6,31 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_handle
+from ..sources.tables import settled
 from .intervals import matches_candidate, normalize_segments
 
 SHORT_MS, SHORT_CONTEXT_MS, LEAST_CONTEXT_MS, MOST_CONTEXT_MS = 25_000, 60_000, 90_000, 240_000
-#: Rows up to which a list of blocked channels is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def drop_blocked(videos: DataFrame, blocked: DataFrame) -> DataFrame:
     """Videos (with handle) whose channel is not on the list; handles are compared in normal form, blank ones never block."""
     names = blocked.select(normalize_handle(F.col("handle")).alias("__b")).filter("__b <> ''").distinct()
-    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        names = F.broadcast(names)
     return videos.join(names, normalize_handle(F.col("handle")) == F.col("__b"), "left_anti")
 
 
+def with_hits(videos: DataFrame, community: DataFrame) -> DataFrame:
+    """Adds hit: whether community segments serve the video; mode local-only does not ask for them."""
+    known = community.select("video_id").distinct().withColumn("__c", F.lit(True))
+    return videos.join(known, "video_id", "left").withColumn("hit", F.coalesce("__c", F.lit(False)) & (F.col("mode") != "local-only")).drop("__c")
+
+
 def route_sources(videos: DataFrame, community: DataFrame, local: DataFrame, llm: DataFrame) -> DataFrame:
     """(video_id, route): the source that serves a video of (video_id, mode).
 
-    Mode local-only asks the local detector alone. Otherwise a community hit wins, then the
-    local detector, then the language model; without any the route is none.
+    Modes are local-only, which asks no community, sponsorblock-only, which asks no local
+    detector, and local-fallback, which asks both. A community hit wins, then the local
+    detector, then the language model, which all modes may ask; without any the route is none.
     """
     has = lambda df, name: df.select("video_id").distinct().withColumn(name, F.lit(True))
-    rows = videos.join(has(community, "c"), "video_id", "left").join(has(local, "l"), "video_id", "left").join(has(llm, "m"), "video_id", "left")
-    only = F.col("mode") == "local-only"
-    route = F.when(~only & F.col("c"), "community").when(F.col("l"), F.when(only, "local-only").otherwise("local-fallback")).when(~only & F.col("m"), "llm-fallback").otherwise("none")
+    rows = with_hits(videos, community).join(has(local, "l"), "video_id", "left").join(has(llm, "m"), "video_id", "left")
+    route = F.when(F.col("hit"), "community").when(F.col("l") & (F.col("mode") != "sponsorblock-only"), F.col("mode")).when(F.col("m"), "llm-fallback").otherwise("none")
     return rows.select("video_id", route.alias("route"))
 
 
@@ -43,21 +46,25 @@ def deliverable(local: DataFrame, llm_enabled: bool = True) -> DataFrame:
     return local.join(unsure, "video_id", "left_semi").filter(~short)
 
 
-def llm_plan(videos: DataFrame, local: DataFrame) -> DataFrame:
-    """(video_id, kind, start_ms, end_ms, context_ms): verification jobs of each video.
+def llm_plan(videos: DataFrame, local: DataFrame, community: DataFrame) -> DataFrame:
+    """(video_id, kind, start_ms, end_ms, context_ms): verification jobs of the videos (video_id, mode) that need the model.
 
+    A community hit needs none, nor does a video whose local segments are all sure and long.
     Unsure segments are verified in a context of twice their length within bounds; else short
-    sure ones in a fixed context; else the whole video is scanned (no range).
+    sure ones in a fixed context; a video without local segments, or whose mode does not ask
+    for any, is scanned as a whole (no range).
     """
     length = F.col("end_ms") - F.col("start_ms")
-    kinds = local.withColumn("rank", F.when(F.col("confidence").isin("medium", "low"), 2).when((F.col("confidence") == "high") & (length <= SHORT_MS), 1).otherwise(0))
-    top = videos.select("video_id").distinct().join(kinds.groupBy("video_id").agg(F.max("rank").alias("top")), "video_id", "left").withColumn("top", F.coalesce("top", F.lit(0)))
-    jobs = top.join(kinds.filter("rank > 0"), "video_id").filter("rank = top")
+    unsure, short = F.col("confidence").isin("medium", "low"), (F.col("confidence") == "high") & (length <= SHORT_MS)
+    open_ = with_hits(videos, community).filter("not hit").select("video_id", "mode")
+    ranked = local.join(open_.filter("mode <> 'sponsorblock-only'").select("video_id"), "video_id", "left_semi").withColumn("rank", F.when(unsure, 2).when(short, 1).otherwise(0))
+    top = open_.select("video_id").distinct().join(ranked.groupBy("video_id").agg(F.max("rank").alias("top")), "video_id", "left")
+    jobs = ranked.join(top.filter("top > 0"), "video_id").filter("rank = top")
     context = F.when(F.col("rank") == 2, F.least(F.lit(float(MOST_CONTEXT_MS)), F.greatest(F.lit(float(LEAST_CONTEXT_MS)), length * 2))).otherwise(float(SHORT_CONTEXT_MS))
     kind = F.when(F.col("rank") == 2, "candidate-verification").otherwise("short-verification")
     named = jobs.select("video_id", kind.alias("kind"), "start_ms", "end_ms", context.alias("context_ms"))
     no = F.lit(None).cast("double")
-    return named.unionByName(top.filter("top = 0").select("video_id", F.lit("fallback").alias("kind"), no.alias("start_ms"), no.alias("end_ms"), no.alias("context_ms")))
+    return named.unionByName(top.filter("top is null").select("video_id", F.lit("fallback").alias("kind"), no.alias("start_ms"), no.alias("end_ms"), no.alias("context_ms")))
 
 
 def combine_verified(local: DataFrame, answers: DataFrame, plan: DataFrame) -> DataFrame:
@@ -74,8 +81,41 @@ def combine_verified(local: DataFrame, answers: DataFrame, plan: DataFrame) -> D
     return cut(kept, "local").unionByName(cut(answers.join(kind, "video_id", "left_semi"), "llm"))
 
 
-def deliver(community: DataFrame, local: DataFrame, routes: DataFrame) -> DataFrame:
-    """Normalised segments of the source that serves each video."""
-    c = normalize_segments(community.join(routes.filter("route = 'community'"), "video_id", "left_semi"), "sponsorblock")
-    own = local.join(routes.filter("route in ('local-only', 'local-fallback')"), "video_id")
-    return c.unionByName(normalize_segments(own.withColumn("source", F.col("route")), "local"))
+def accepted_answers(answers: DataFrame, plan: DataFrame) -> DataFrame:
+    """The answers of planned videos: all of a whole scan, else those that confirm a candidate of the plan."""
+    a = answers.join(plan.select("video_id", "kind").distinct(), "video_id")
+    jobs = plan.filter("start_ms is not null").select(F.col("video_id").alias("__p"), F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
+    confirms = (a.video_id == jobs["__p"]) & matches_candidate(jobs.p_start, jobs.p_end, a.start_ms, a.end_ms)
+    return a.filter("kind = 'fallback'").unionByName(a.filter("kind <> 'fallback'").join(jobs, confirms, "left_semi")).drop("kind")
+
+
+def deliver(videos: DataFrame, community: DataFrame, local: DataFrame, answers: DataFrame, failed: DataFrame) -> DataFrame:
+    """Segments as they are delivered: (video_id, start_ms, end_ms, source, confidence, reason, auto_skip, model).
+
+    videos: (video_id, mode); failed: (video_id) whose model call failed. A hit delivers the
+    community's segments. Without a plan the local ones go out under the mode's name. What the
+    model verified replaces what was planned, unless it has nothing to say: then the sure long
+    segments that needed no verification stay. After a failed call all sure segments go out.
+    What several steps read is a table.
+    """
+    asked = with_hits(videos, community)
+    plan = settled(llm_plan(videos, local, community), "plan")
+    own = local.join(asked.filter("not hit and mode <> 'sponsorblock-only'").select("video_id", F.col("mode").alias("source")), "video_id")
+    own = settled(own, "own")
+    planned, lost = plan.select("video_id", "kind").distinct(), failed.select("video_id").distinct()
+    answered = planned.join(lost, "video_id", "left_anti")
+    accepted = normalize_segments(accepted_answers(answers, plan).join(answered.select("video_id"), "video_id", "left_semi").withColumn("source", F.lit("llm-fallback")), "llm-fallback")
+    accepted = settled(accepted, "accepted")
+    mixed = combine_verified(own, accepted, plan.join(lost, "video_id", "left_anti"))
+    spoken = mixed.select("video_id").distinct().join(answered.filter("kind = 'candidate-verification'"), "video_id").select("video_id").union(accepted.select("video_id")).distinct()
+    mixed, spoken = settled(mixed, "mixed"), settled(spoken, "spoken")
+    verified = mixed.join(spoken, "video_id", "left_semi")
+    mine = verified.filter("origin = 'local'").join(own.drop("source"), ["video_id", "start_ms", "end_ms"], "left_semi").join(own.select("video_id", "start_ms", "end_ms", *(c for c in ("confidence", "reason") if c in own.columns)), ["video_id", "start_ms", "end_ms"]).withColumn("source", F.lit("llm-fallback"))
+    sure = own.filter("confidence = 'high'").join(planned.join(lost, "video_id", "left_semi"), "video_id", "left_semi")
+    silent = deliverable(own).join(answered, "video_id", "left_semi").join(spoken, "video_id", "left_anti")
+    alone = own.join(planned, "video_id", "left_anti")
+    cols = ["video_id", "start_ms", "end_ms", "source", *(c for c in ("confidence", "reason") if c in own.columns)]
+    found = mine.select(cols).unionByName(sure.select(cols)).unionByName(silent.select(cols)).unionByName(alone.select(cols))
+    theirs = accepted.join(spoken, "video_id", "left_semi")
+    hits = community.join(asked.filter("hit").select("video_id"), "video_id", "left_semi")
+    return normalize_segments(found.unionByName(theirs.select(theirs.columns), allowMissingColumns=True), "local").unionByName(normalize_segments(hits, "sponsorblock"))

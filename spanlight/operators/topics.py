@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..options import DetectorOptions
+from .intervals import meeting
 
 
 def caption_tokens(events: DataFrame) -> DataFrame:
@@ -24,9 +25,9 @@ def document_frequency(events: DataFrame) -> DataFrame:
 
 def topic_vectors(windows: DataFrame, events: DataFrame) -> DataFrame:
     """(video_id, window_id, token, weight) of windows (video_id, window_id, from_ms, to_ms): (1 + ln count) * idf, edges included."""
-    words = caption_tokens(events).select(F.col("video_id").alias("__v"), "start_ms", "end_ms", "token", "n")
-    inside = (windows.video_id == words["__v"]) & (words.end_ms >= windows.from_ms) & (words.start_ms <= windows.to_ms)
-    counts = windows.join(words, inside).groupBy("video_id", "window_id", "token").agg(F.sum("n").alias("n"))
+    words = caption_tokens(events).select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "token", "n")
+    stretches = windows.select("video_id", "window_id", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
+    counts = meeting(stretches, words).groupBy("video_id", "window_id", "token").agg(F.sum("n").alias("n"))
     return counts.join(document_frequency(events), ["video_id", "token"]).select("video_id", "window_id", "token", ((1 + F.log("n")) * F.col("idf")).alias("weight"))
 
 

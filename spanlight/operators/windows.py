@@ -61,8 +61,14 @@ def repeated_brands(scored: DataFrame, options: DetectorOptions = DetectorOption
     order = W.partitionBy("video_id", "brand").orderBy("event_idx")
     close = (F.col("start_ms") - F.lag("end_ms").over(order)) <= options.brand_window
     mentions = mentions.withColumn("again", F.max(F.coalesce(close, F.lit(False)).cast("int")).over(W.partitionBy("video_id", "brand"))).filter("again = 1")
-    places = seeds.select("video_id", "brand", F.col("start_ms").alias("seed_ms"))
-    near = mentions.join(places, ["video_id", "brand"]).filter(F.abs(F.col("start_ms") - F.col("seed_ms")) <= options.brand_window)
+    # The nearest seeds before and after a mention, in one pass each over both in order of time.
+    places = seeds.select("video_id", "brand", "start_ms", F.col("start_ms").alias("seed_ms")).distinct()
+    line = mentions.drop("end_ms", "again").unionByName(places, allowMissingColumns=True)
+    at, by_time = F.col("start_ms"), W.partitionBy("video_id", "brand")
+    before = F.last("seed_ms", ignorenulls=True).over(by_time.orderBy(at).rangeBetween(W.unboundedPreceding, 0))
+    after = F.last("seed_ms", ignorenulls=True).over(by_time.orderBy(at.desc()).rangeBetween(W.unboundedPreceding, 0))
+    close = F.least(at - before, after - at) <= options.brand_window
+    near = line.withColumn("__near", close).filter("event_idx is not null and __near")
     near = near.select("video_id", "event_idx", "brand", "strength").distinct()
     return near.groupBy("video_id", "event_idx").agg(F.array_sort(F.collect_set("brand")).alias("brands"), F.sum(F.when(F.col("strength") >= 3, 4).otherwise(P.WEIGHTS["brand"])).cast("int").alias("boost"))
 
@@ -86,31 +92,52 @@ def choose_track(tracks: DataFrame) -> DataFrame:
 
 
 def messages_for_current_video(messages: DataFrame) -> DataFrame:
-    """Transcript and status messages whose video is the tab's latest."""
-    order = W.partitionBy("tab_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    current = F.last(F.when(F.col("action") == "VIDEO_CHANGED", F.col("video_id")), ignorenulls=True).over(order)
-    kept = messages.withColumn("current", current).filter("action <> 'VIDEO_CHANGED' and video_id = current")
-    return kept.drop("current")
+    """Transcript and status messages whose video is the tab's latest, with its generation: how often the tab has changed or lost its video.
+
+    A blocked channel (CHANNEL_BLOCKED) leaves the tab without a video until the next change.
+    """
+    so_far = W.partitionBy("tab_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    turns = F.col("action").isin("VIDEO_CHANGED", "CHANNEL_BLOCKED")
+    video = F.when(F.col("action") == "VIDEO_CHANGED", F.col("video_id"))
+    held = messages.withColumn("__now", F.last(F.when(turns, F.struct(video.alias("video_id"))), ignorenulls=True).over(so_far)).withColumn("generation", F.count(F.when(turns, 1)).over(so_far))
+    return held.filter(~turns & (F.col("video_id") == F.col("__now.video_id"))).drop("__now")
 
 
 def drop_repeats(messages: DataFrame) -> DataFrame:
-    """Drops a message whose body is that of the one before it of the same tab, video and action."""
-    order = W.partitionBy("tab_id", "video_id", "action").orderBy("seq")
+    """Drops a message whose body is that of the one before it of the same tab, video, generation and action."""
+    order = W.partitionBy("tab_id", "video_id", "generation", "action").orderBy("seq")
     return messages.withColumn("__last", F.lag("body").over(order)).filter("__last is null or body is null or body <> __last").drop("__last")
 
 
-def running_skip_stats(skips: DataFrame, order: list[str] = ["ts", "seq"]) -> DataFrame:
+#: Seconds that one part of a user's messages spans.
+PART_S = 86_400
+
+
+def running_skip_stats(skips: DataFrame) -> DataFrame:
     """Adds skipped and time_s: totals after each message, never below zero.
 
     A sum that is held at zero is the running sum less its lowest value so far, if that is
-    negative. Durations that are not positive and finite do not count.
+    negative. Sum and lowest value of stretches of time can be put together, so a user's messages
+    are gone through by days, and only a row per day by user. Durations that are not positive
+    and finite do not count. skips: (user_id, ts, seq, action, duration_s); ts is a time or a
+    number of seconds.
     """
-    valid = skips.filter("duration_s > 0 and duration_s < double('infinity') and not isnan(duration_s)")
+    kind = skips.schema["ts"].dataType.typeName()
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) if kind.startswith("timestamp") else F.col("ts")
     sign = F.when(F.col("action") == "RECORD", 1).otherwise(-1)
-    by = W.partitionBy("user_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = valid.withColumn("__n", F.sum(sign).over(by)).withColumn("__t", F.sum(sign * F.col("duration_s").cast("decimal(28,6)")).over(by))
-    held = lambda c: F.col(c) - F.least(F.lit(0), F.min(c).over(by))
-    return out.withColumns({"skipped": held("__n"), "time_s": held("__t").cast("double")}).drop("__n", "__t")
+    valid = skips.filter("duration_s > 0 and duration_s < double('infinity') and not isnan(duration_s)").withColumn("__day", F.floor(seconds / PART_S))
+    inside = W.partitionBy("user_id", "__day").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = valid.withColumn("__n", F.sum(sign).over(inside)).withColumn("__t", F.sum(sign * F.col("duration_s").cast("decimal(28,6)")).over(inside))
+    rows = rows.withColumns({"__nlow": F.min("__n").over(inside), "__tlow": F.min("__t").over(inside)})
+    days = valid.groupBy("user_id", "__day").agg(F.sum(sign).alias("n"), F.sum(sign * F.col("duration_s").cast("decimal(28,6)")).alias("t"))
+    lows = rows.groupBy("user_id", "__day").agg(F.min("__n").alias("nlow"), F.min("__t").alias("tlow"))
+    earlier = W.partitionBy("user_id").orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    days = days.join(lows, ["user_id", "__day"]).withColumns({"n0": zero(F.sum("n").over(earlier)), "t0": zero(F.sum("t").over(earlier))})
+    days = days.withColumns({"n1": zero(F.min(F.col("n0") + F.col("nlow")).over(earlier)), "t1": zero(F.min(F.col("t0") + F.col("tlow")).over(earlier))})
+    both = rows.join(days.select("user_id", "__day", "n0", "t0", "n1", "t1"), ["user_id", "__day"])
+    held = lambda x: F.col(f"{x}0") + F.col(f"__{x}") - F.least(F.lit(0), F.col(f"{x}1"), F.col(f"{x}0") + F.col(f"__{x}low"))
+    return both.withColumns({"skipped": held("n"), "time_s": held("t").cast("double")}).select(*skips.columns, "skipped", "time_s")
 
 
 def skip_totals(skips: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from .operators import windows as WN
 from .sources import captions as C
 from .sources import samples as D
 from .sources.samples import sample
+from .sources.tables import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,16 +361,17 @@ def w6_choose_track(spark, sf_dir):
     return WN.choose_track(sample(spark, sf_dir, D.TRACKS))
 
 
-CURRENT = f"""SELECT tab_id, seq, action, video_id, body FROM (SELECT *, last_value(CASE WHEN action = 'VIDEO_CHANGED' THEN video_id END IGNORE NULLS) OVER (PARTITION BY tab_id ORDER BY seq) AS now FROM ({D.MESSAGES}) m) x
-    WHERE action <> 'VIDEO_CHANGED' AND video_id = now"""
+CURRENT = f"""SELECT tab_id, seq, action, video_id, body, generation FROM (SELECT *, max(CASE WHEN action = 'VIDEO_CHANGED' THEN video_id END) OVER (PARTITION BY tab_id, generation) AS now FROM (
+      SELECT *, count(*) FILTER (action IN ('VIDEO_CHANGED', 'CHANNEL_BLOCKED')) OVER (PARTITION BY tab_id ORDER BY seq) AS generation FROM ({D.MESSAGES}) m) y) x
+    WHERE action NOT IN ('VIDEO_CHANGED', 'CHANNEL_BLOCKED') AND video_id = now"""
 
 
 @query(CURRENT)
 def j10_messages_for_current_video(spark, sf_dir):
-    return WN.messages_for_current_video(sample(spark, sf_dir, D.MESSAGES)).select("tab_id", "seq", "action", "video_id", "body")
+    return WN.messages_for_current_video(sample(spark, sf_dir, D.MESSAGES)).select("tab_id", "seq", "action", "video_id", "body", "generation")
 
 
-@query(f"SELECT * FROM ({CURRENT}) c QUALIFY coalesce(body <> lag(body) OVER (PARTITION BY tab_id, video_id, action ORDER BY seq), true)")
+@query(f"SELECT * FROM ({CURRENT}) c QUALIFY coalesce(body <> lag(body) OVER (PARTITION BY tab_id, video_id, generation, action ORDER BY seq), true)")
 def w7_drop_repeats(spark, sf_dir):
     return WN.drop_repeats(j10_messages_for_current_video(spark, sf_dir))
 
@@ -640,20 +642,24 @@ def j1_drop_blocked(spark, sf_dir):
     return drop_blocked(owned(spark, sf_dir), listed).select("video_id")
 
 
-MODES = "(SELECT DISTINCT user_id AS video_id, CASE user_id % 4 WHEN 0 THEN 'local-only' ELSE 'automatic' END AS mode FROM events)"
+MODES = "(SELECT DISTINCT user_id AS video_id, CASE user_id % 4 WHEN 0 THEN 'local-only' WHEN 1 THEN 'sponsorblock-only' ELSE 'local-fallback' END AS mode FROM events)"
 FEW = f"(SELECT * FROM {LOC} l WHERE video_id % 5 > 1)"
+HIT = f"(mode <> 'local-only' AND video_id IN (SELECT video_id FROM ({COMMUNITY_MS}) c))"
+
+
+def moded(spark, sf_dir):
+    k = F.col("video_id") % 4
+    return videos(spark, sf_dir).select("video_id", F.when(k == 0, "local-only").when(k == 1, "sponsorblock-only").otherwise("local-fallback").alias("mode"))
 
 
 @query(
-    f"""SELECT video_id, CASE WHEN mode <> 'local-only' AND video_id IN (SELECT video_id FROM ({COMMUNITY_MS}) c) THEN 'community'
-      WHEN video_id IN (SELECT video_id FROM {FEW} l) THEN CASE mode WHEN 'local-only' THEN 'local-only' ELSE 'local-fallback' END
-      WHEN mode <> 'local-only' AND video_id IN (SELECT video_id FROM {ANS} a) THEN 'llm-fallback' ELSE 'none' END AS route FROM {MODES} m"""
+    f"""SELECT video_id, CASE WHEN {HIT} THEN 'community' WHEN mode <> 'sponsorblock-only' AND video_id IN (SELECT video_id FROM {FEW} l) THEN mode
+      WHEN video_id IN (SELECT video_id FROM {ANS} a) THEN 'llm-fallback' ELSE 'none' END AS route FROM {MODES} m"""
 )
 def j8_route_sources(spark, sf_dir):
     from .operators.routing import route_sources
 
-    ids = videos(spark, sf_dir).select("video_id", F.when(F.col("video_id") % 4 == 0, "local-only").otherwise("automatic").alias("mode"))
-    return route_sources(ids, community(spark, sf_dir), sample(spark, sf_dir, D.LOCAL).filter("video_id % 5 > 1"), sample(spark, sf_dir, D.ANSWERS))
+    return route_sources(moded(spark, sf_dir), community(spark, sf_dir), sample(spark, sf_dir, D.LOCAL).filter("video_id % 5 > 1"), sample(spark, sf_dir, D.ANSWERS))
 
 
 SURE = f"(SELECT video_id, event_idx, start_ms, end_ms, CASE WHEN video_id % 2 = 0 THEN 'high' ELSE confidence END AS confidence FROM {LOC} l)"
@@ -670,16 +676,18 @@ def m7_deliverable(spark, sf_dir):
     return deliverable(sure(spark, sf_dir)).select("video_id", "event_idx", "start_ms", "end_ms")
 
 
+#: Segments of the local detector where it is asked, with what each needs: 2 unsure, 1 short, 0 nothing.
+RANKED = f"(SELECT s.*, CASE WHEN confidence <> 'high' THEN 2 WHEN end_ms - start_ms <= 25000 THEN 1 ELSE 0 END AS r FROM {SURE} s JOIN {MODES} m USING (video_id) WHERE mode <> 'sponsorblock-only')"
 PLAN = f"""SELECT v.video_id, CASE top WHEN 2 THEN 'candidate-verification' WHEN 1 THEN 'short-verification' ELSE 'fallback' END AS kind, s.start_ms, s.end_ms,
       CASE top WHEN 2 THEN least(240000, greatest(90000, 2 * (s.end_ms - s.start_ms))) WHEN 1 THEN 60000 END AS context_ms
-    FROM (SELECT DISTINCT user_id AS video_id FROM events) v LEFT JOIN (SELECT video_id, max(r) AS top FROM (SELECT *, CASE WHEN confidence <> 'high' THEN 2 WHEN end_ms - start_ms <= 25000 THEN 1 ELSE 0 END AS r FROM {SURE} a) b GROUP BY video_id) t USING (video_id)
-    LEFT JOIN (SELECT *, CASE WHEN confidence <> 'high' THEN 2 WHEN end_ms - start_ms <= 25000 THEN 1 ELSE 0 END AS r FROM {SURE} c) s ON s.video_id = v.video_id AND s.r = t.top AND s.r > 0"""
+    FROM {MODES} v LEFT JOIN (SELECT video_id, max(r) AS top FROM {RANKED} b GROUP BY video_id) t USING (video_id)
+    LEFT JOIN {RANKED} s ON s.video_id = v.video_id AND s.r = t.top WHERE NOT {HIT.replace("video_id IN", "v.video_id IN")} AND (top IS NULL OR top > 0)"""
 
 
 def plan(spark, sf_dir):
     from .operators.routing import llm_plan
 
-    return llm_plan(videos(spark, sf_dir), sure(spark, sf_dir))
+    return llm_plan(moded(spark, sf_dir), sure(spark, sf_dir), community(spark, sf_dir))
 
 
 @query(PLAN)
@@ -700,6 +708,37 @@ def m8_combine_verified(spark, sf_dir):
     return combine_verified(sure(spark, sf_dir), sample(spark, sf_dir, D.ANSWERS), plan(spark, sf_dir))
 
 
+FAILED = "(SELECT DISTINCT user_id AS video_id FROM events WHERE user_id % 11 = 3)"
+
+
+@query(
+    f"""WITH m AS (SELECT * FROM {MODES} x), p AS ({PLAN}), k AS (SELECT DISTINCT video_id, kind FROM p), lost AS (SELECT video_id FROM {FAILED} f),
+    own AS (SELECT s.video_id, s.event_idx, s.start_ms, s.end_ms, s.confidence, m.mode FROM {SURE} s JOIN m USING (video_id) WHERE mode <> 'sponsorblock-only' AND NOT {HIT}),
+    acc AS (SELECT a.* FROM {ANS} a JOIN k USING (video_id) WHERE video_id NOT IN (SELECT video_id FROM lost)
+            AND (kind = 'fallback' OR EXISTS (SELECT 1 FROM p c WHERE c.video_id = a.video_id AND {MATCH}))),
+    llm AS (SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM ({island_sql("SELECT video_id, start_ms, end_ms FROM acc", 1000)}) i GROUP BY video_id, island),
+    left_ AS (SELECT o.* FROM own o JOIN k USING (video_id) WHERE video_id NOT IN (SELECT video_id FROM lost) AND kind <> 'fallback'
+              AND NOT EXISTS (SELECT 1 FROM p WHERE p.video_id = o.video_id AND p.start_ms = o.start_ms AND p.end_ms = o.end_ms)
+              AND NOT (kind = 'candidate-verification' AND EXISTS (SELECT 1 FROM llm a, (SELECT o.start_ms, o.end_ms) c WHERE a.video_id = o.video_id AND {MATCH}))),
+    spoken AS (SELECT video_id FROM llm UNION SELECT video_id FROM left_ JOIN k USING (video_id) WHERE kind = 'candidate-verification'),
+    out AS (SELECT video_id, start_ms, end_ms, 'llm-fallback' AS source FROM left_ WHERE video_id IN (SELECT video_id FROM spoken)
+      UNION ALL SELECT video_id, start_ms, end_ms, 'llm-fallback' FROM llm
+      UNION ALL SELECT video_id, start_ms, end_ms, mode FROM own WHERE confidence = 'high' AND video_id IN (SELECT video_id FROM k) AND video_id IN (SELECT video_id FROM lost)
+      UNION ALL SELECT o.video_id, start_ms, end_ms, mode FROM own o JOIN k USING (video_id) WHERE kind = 'short-verification' AND end_ms - start_ms > 25000 AND video_id NOT IN (SELECT video_id FROM lost) AND video_id NOT IN (SELECT video_id FROM spoken)
+      UNION ALL SELECT video_id, start_ms, end_ms, mode FROM own WHERE video_id NOT IN (SELECT video_id FROM k))
+    SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(source) AS source FROM ({island_sql("SELECT * FROM out", 1000)}) i GROUP BY video_id, island
+    UNION ALL SELECT video_id, min(start_ms), max(end_ms), 'sponsorblock' FROM ({island_sql(f"SELECT * FROM ({COMMUNITY_MS}) z WHERE video_id IN (SELECT video_id FROM {MODES} q WHERE {HIT})", 1000)}) i GROUP BY video_id, island"""
+)
+def b1_deliver(spark, sf_dir):
+    """Workload B as a whole: what each video's viewers get, by mode, hit, plan, answers and failures."""
+    from .operators.routing import deliver
+
+    made = {"modes": moded(spark, sf_dir), "theirs": community(spark, sf_dir), "sure": sure(spark, sf_dir), "answers": sample(spark, sf_dir, D.ANSWERS)}
+    rows = {k: settled(df, k) for k, df in made.items()}
+    lost = rows["modes"].select("video_id").filter("video_id % 11 = 3")
+    return deliver(rows["modes"], rows["theirs"], rows["sure"], rows["answers"], lost).select("video_id", "start_ms", "end_ms", "source")
+
+
 # Requests and answers
 
 LINES = f"SELECT video_id, event_idx, start_ms, end_ms, printf('[%d] %.3f-%.3f %s', event_idx, start_ms / 1000, end_ms / 1000, text) AS line FROM {CAP} c"
@@ -768,12 +807,9 @@ def j5_candidate_hints(spark, sf_dir):
 )
 def l5_llm_requests(spark, sf_dir):
     """The requests, read back: the captions, and whether hints stand before them."""
-    from .operators.requests import format_lines, llm_requests
+    from .operators.requests import chunk_lines, format_lines, llm_requests
 
-    lines = format_lines(captions(spark, sf_dir)).select(F.col("video_id").alias("v"), "event_idx", "line")
-    c = chunks(spark, sf_dir)
-    met = c.join(lines, (c.video_id == lines.v) & (lines.event_idx >= c.start_idx) & (lines.event_idx < c.end_idx))
-    texts = met.groupBy("video_id", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_idx", "line"))), lambda x: x.line), "\n").alias("text"))
+    texts = chunk_lines(chunks(spark, sf_dir), format_lines(captions(spark, sf_dir)))
     user = F.get_json_object("request", "$.messages[1].content")
     return llm_requests(texts, hints(spark, sf_dir), "model").select("video_id", "chunk_id", user.startswith("Candidates:").alias("hinted"), F.substring_index(user, "Captions:\n", -1).alias("lines"))
 
@@ -848,44 +884,53 @@ def l9_replace_seam_segments(spark, sf_dir):
 
 
 NOW = 100 * 24 * 3600 * 1000
-CACHE = f"(SELECT DISTINCT user_id AS video_id, user_id % 7 AS cache_key, {NOW} - user_id * 7 * 3600 * 1000 AS created_at_ms, user_id % 9 = 0 AS broken FROM events)"
+#: An entry for each video's key, and a later one for every odd video; every ninth video's are broken.
+CACHE = f"(SELECT DISTINCT user_id AS video_id, sha256(CAST(user_id AS VARCHAR)) AS cache_key, {NOW} - (user_id % 150) * 7 * 3600 * 1000 AS created_at_ms, user_id % 9 = 0 AS broken FROM events)"
+LATER = f"(SELECT DISTINCT user_id AS video_id, sha256(CAST(user_id AS VARCHAR)) AS cache_key, {NOW} - (user_id % 5) * 3600 * 1000 AS created_at_ms, user_id % 9 = 0 AS broken FROM events WHERE user_id % 2 = 1)"
 
 
-def cache(spark, sf_dir):
-    v = videos(spark, sf_dir).withColumn("k", F.col("video_id") % 7)
+def cache(spark, sf_dir, age_hours):
+    v = videos(spark, sf_dir)
     valid = F.struct(F.lit(0.0).alias("start_ms"), F.when(F.col("video_id") % 9 == 0, -1.0).otherwise(9.0).alias("end_ms"))
-    return v.select("video_id", F.col("k").cast("string").alias("cache_key"), (F.lit(NOW) - F.col("video_id") * 7 * 3600 * 1000).alias("created_at_ms"), F.array(valid).alias("segments"))
+    key = F.sha2(F.col("video_id").cast("string"), 256)
+    return v.select("video_id", key.alias("cache_key"), (F.lit(NOW) - age_hours * 3600 * 1000).alias("created_at_ms"), F.array(valid).alias("segments"))
 
 
-@query(
-    f"""SELECT video_id, EXISTS (SELECT 1 FROM {CACHE} c WHERE c.video_id % 3 = 0 AND c.cache_key = v.video_id % 7 AND {NOW} - c.created_at_ms <= 2592000000 AND NOT broken) AS hit FROM (SELECT DISTINCT user_id AS video_id FROM events) v"""
-)
+@query(f"SELECT video_id, NOT broken AND video_id % 3 = 0 AND {NOW} - created_at_ms <= 2592000000 AS hit FROM {CACHE} c")
 def j9_cache_lookup(spark, sf_dir):
     from .operators.requests import cache_lookup
 
-    jobs = videos(spark, sf_dir).select("video_id", (F.col("video_id") % 7).cast("string").alias("cache_key"))
-    return cache_lookup(jobs, cache(spark, sf_dir).filter("video_id % 3 = 0").drop("video_id"), NOW).select("video_id", "hit")
+    entries = cache(spark, sf_dir, (F.col("video_id") % 150) * 7)
+    return cache_lookup(entries.select("video_id", "cache_key"), entries.filter("video_id % 3 = 0").drop("video_id"), NOW).select("video_id", "hit")
 
 
 @query(
-    f"""SELECT cast(cache_key AS VARCHAR) AS cache_key, created_at_ms FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY video_id % 2 DESC, created_at_ms DESC) AS r FROM {CACHE} c WHERE video_id % 2 = 0 OR NOT broken) x
-    WHERE r = 1 AND {NOW} - created_at_ms <= 2592000000 ORDER BY created_at_ms DESC, 1 LIMIT 5"""
+    f"""SELECT cache_key, created_at_ms FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY later DESC) AS r FROM (SELECT *, 0 AS later FROM {CACHE} c UNION ALL SELECT *, 1 FROM {LATER} d WHERE NOT broken) u) x
+    WHERE r = 1 AND {NOW} - created_at_ms <= 2592000000 ORDER BY created_at_ms DESC, 1 LIMIT 100"""
 )
 def l11_cache_upsert(spark, sf_dir):
     from .operators.requests import cache_upsert
 
-    rows = cache(spark, sf_dir)
-    return cache_upsert(rows.filter("video_id % 2 = 0").drop("video_id"), rows.filter("video_id % 2 = 1").drop("video_id"), NOW, 5).select("cache_key", "created_at_ms")
+    old, new = cache(spark, sf_dir, (F.col("video_id") % 150) * 7), cache(spark, sf_dir, F.col("video_id") % 5).filter("video_id % 2 = 1")
+    return cache_upsert(old.drop("video_id"), new.drop("video_id"), NOW).select("cache_key", "created_at_ms")
 
 
-@query("SELECT count(DISTINCT user_id) AS videos, 2 * count(DISTINCT user_id) AS different_keys, count(DISTINCT user_id) AS same_keys FROM events")
+@query("SELECT count(DISTINCT user_id) AS videos, 4 * count(DISTINCT user_id) AS different_keys, count(DISTINCT user_id) AS same_keys FROM events")
 def l10_cache_key(spark, sf_dir):
-    """Keys of all videos: two models give different keys, the same captions in another order the same."""
+    """Keys of all videos: other models and other candidates give other keys; captions and candidates in another order, and space around names, the same."""
     from .operators.requests import cache_keys
 
     c = captions(spark, sf_dir)
-    jobs = lambda model: videos(spark, sf_dir).select("video_id", F.lit("e").alias("endpoint"), F.lit(model).alias("model"))
-    a, b, again = (cache_keys(c, jobs("a")), cache_keys(c, jobs("b")), cache_keys(c.repartition(3, "event_idx"), jobs("a")).withColumnRenamed("cache_key", "k"))
-    both = a.union(b).agg(F.countDistinct("cache_key").alias("different_keys"))
+    one = lambda a, b: F.struct(F.lit(a).alias("start_ms"), F.lit(b).alias("end_ms"), F.lit("low").alias("confidence"))
+
+    def keys(model: str, *told, events=c, endpoint: str = "e"):
+        nothing = F.array().cast("array<struct<start_ms:double,end_ms:double,confidence:string>>")
+        jobs = videos(spark, sf_dir).select("video_id", F.lit(endpoint).alias("endpoint"), F.lit(model).alias("model"), (F.array(*told) if told else nothing).alias("candidates"))
+        return cache_keys(events, jobs).select("video_id", "cache_key")
+
+    x, y = one(1000.0, 9000.0), one(20000.0, 44000.0)
+    a = keys("a", x, y)
+    again = keys(" a ", y, x, events=c.repartition(3, "event_idx"), endpoint="e/").withColumnRenamed("cache_key", "k")
+    both = a.union(keys("b", x, y)).union(keys("a", x)).union(keys("a")).agg(F.countDistinct("cache_key").alias("different_keys"))
     same = a.join(again, "video_id").agg(F.count("*").alias("videos"), F.count_if(F.col("cache_key") == F.col("k")).alias("same_keys"))
     return same.crossJoin(both).select("videos", "different_keys", "same_keys")

@@ -77,7 +77,7 @@ FROM {events} WHERE event_type IN ('purchase', 'error')
 
 MESSAGES = """
 SELECT tab_id, event_id AS seq, n,
-       CASE WHEN n % 4 = 0 THEN 'VIDEO_CHANGED' WHEN event_type = 'error' THEN 'TRANSCRIPT_STATUS' ELSE 'PROCESS_TRANSCRIPT' END AS action,
+       CASE WHEN n % 4 = 0 THEN 'VIDEO_CHANGED' WHEN n % 4 = 1 AND event_id % 7 = 0 THEN 'CHANNEL_BLOCKED' WHEN event_type = 'error' THEN 'TRANSCRIPT_STATUS' ELSE 'PROCESS_TRANSCRIPT' END AS action,
        CASE WHEN n % 4 <> 0 AND event_id % 3 = 0 THEN CAST(floor(n / 4) AS BIGINT) - 1 ELSE CAST(floor(n / 4) AS BIGINT) END AS video_id,
        event_id % 2 AS body
 FROM (SELECT user_id AS tab_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM {events}) m

@@ -48,9 +48,9 @@ def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
     kept = []
     for r in _ordered(pdfs, ["seq"]).itertuples():
         if r.action in ("VIDEO_CHANGED", "CHANNEL_BLOCKED"):
-            video, generation, transcript, status = (int(r.video_id) if r.action == "VIDEO_CHANGED" else None), generation + 1, None, None
+            video, generation, transcript, status = (r.video_id if r.action == "VIDEO_CHANGED" else None), generation + 1, None, None
             continue
-        if video is None or r.video_id != video:
+        if video is None or r.video_id is None or r.video_id != video:
             continue  # about a video that the tab has left
         body = str(r.body)
         if r.action == "PROCESS_TRANSCRIPT":
@@ -61,7 +61,7 @@ def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
             if body == status:
                 continue
             status = body
-        kept.append((key[0], r.seq, r.action, int(r.video_id), r.body, generation))
+        kept.append((key[0], r.seq, r.action, r.video_id, r.body, generation))
     state.update((video, generation, transcript, status))
     yield pd.DataFrame(kept, columns=["tab_id", "seq", "action", "video_id", "body", "generation"])
 
@@ -69,11 +69,13 @@ def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def session_stream(messages: DataFrame) -> DataFrame:
     """Messages (tab_id, seq, action, video_id, body) of the tab's current video, unchanged ones once, with the generation.
 
-    VIDEO_CHANGED starts a generation, CHANNEL_BLOCKED leaves the tab without a video.
+    VIDEO_CHANGED starts a generation, CHANNEL_BLOCKED leaves the tab without a video. Ids and
+    bodies keep the types they come in.
     """
     rows = messages.select("tab_id", "seq", "action", "video_id", "body")
-    out = "tab_id long, seq long, action string, video_id long, body long, generation long"
-    return rows.groupBy("tab_id").applyInPandasWithState(_session, out, "video long, generation long, transcript string, status string", "append", GroupStateTimeout.NoTimeout)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", generation long"
+    return rows.groupBy("tab_id").applyInPandasWithState(_session, out, f"video {kinds['video_id']}, generation long, transcript string, status string", "append", GroupStateTimeout.NoTimeout)
 
 
 def caption_stream(raw: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -114,3 +114,98 @@ def test_fuzzy_rules():
     assert ST.has_sponsor_word("a sponsorr video") and not ST.has_sponsor_word("a response sponge")
     assert ST.has_phrase("ths video is sponsored by acme", ["this video is sponsored by"], 0.82)
     assert not ST.has_phrase("x" * 501, ["x"], 0.1)
+
+
+def loop_chunks(lines, most, overlap):
+    """The greedy chunks of one video as a plain loop over (start, end, size)."""
+    out, at = [], 0
+    while True:
+        stop, chars = at, 0
+        while stop < len(lines) and (stop == at or chars + lines[stop][2] <= most):
+            chars += lines[stop][2]
+            stop += 1
+        if stop < len(lines):
+            least = at + max(1, int((stop - at) * 0.75))
+            stop = next((k for k in range(stop, least, -1) if lines[k][0] - lines[k - 1][1] >= 1200), stop)
+        out.append((at, stop))
+        if stop == len(lines):
+            return out
+        cut, back = lines[stop - 1][1] - overlap, stop
+        while back > at + 1 and lines[back - 1][1] > cut:
+            back -= 1
+        at = back
+
+
+def test_chunk_edges_equal_a_loop():
+    import random
+
+    import pandas as pd
+
+    from spanlight.operators.requests import _chunks
+
+    rng = random.Random(2)
+    for _ in range(200):
+        t, lines = 0, []
+        for _ in range(rng.randrange(1, 60)):
+            t += rng.choice([0, 500, 2000, 9000])
+            lines.append((float(t), float(t + rng.randrange(12000)), rng.randrange(10, 90)))
+        most, overlap = rng.choice([100, 400, 2000]), rng.choice([0.0, 5000.0, 40000.0])
+        pdf = pd.DataFrame([(7, i, *x) for i, x in enumerate(lines)], columns=["video_id", "event_idx", "start_ms", "end_ms", "size"])
+        got = _chunks(most, overlap)(pdf)
+        assert list(zip(got.start_idx, got.end_idx)) == loop_chunks(lines, most, overlap)
+
+
+def test_totals_across_days_equal_a_loop(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for u in range(4):
+        n, t = 0, 0.0
+        for k in range(150):
+            action, d = rng.choice(["RECORD", "REVERT"]), float(rng.randrange(1, 50))
+            rows.append((u, k * 30_000, k, action, d))
+            sign = 1 if action == "RECORD" else -1
+            n, t = max(0, n + sign), max(0.0, t + sign * d)
+            want[u, k] = (n, t)
+    df = spark.createDataFrame(rows, "user_id int, ts int, seq int, action string, duration_s double")
+    assert {(r.user_id, r.seq): (r.skipped, r.time_s) for r in WN.running_skip_stats(df).collect()} == want
+
+
+def test_times_that_meet_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    cut = lambda: (rng.randrange(2), float(a := rng.randrange(-90, 400) * 1000), float(a + rng.randrange(200) * 1000))
+    a, b = [(*cut(), i) for i in range(120)], [(*cut(), i) for i in range(120)]
+    left = spark.createDataFrame(a, SEG.replace("string", "int") + ", i int")
+    right = spark.createDataFrame(b, "video_id int, r_start double, r_end double, j int")
+    got = sorted((r.i, r.j) for r in I.meeting(left, right).collect())
+    assert got == sorted((i, j) for v, s, e, i in a for w, x, y, j in b if v == w and x <= e and y >= s)
+
+
+def test_plan_asks_the_model_only_where_it_is_needed(spark):
+    from spanlight.operators.routing import combine_verified, deliver, llm_plan, route_sources
+
+    modes = [(1, "local-fallback"), (2, "local-fallback"), (3, "local-fallback"), (4, "sponsorblock-only"), (5, "local-only"), (6, "local-fallback"), (7, "sponsorblock-only")]
+    videos = spark.createDataFrame(modes, "video_id int, mode string")
+    local = [(1, 0.0, 60000.0, "high"), (2, 0.0, 20000.0, "high"), (2, 90000.0, 190000.0, "high"), (3, 0.0, 60000.0, "low"), (3, 90000.0, 190000.0, "high"), (4, 0.0, 60000.0, "low"), (5, 0.0, 60000.0, "high"), (6, 0.0, 60000.0, "low")]
+    local = spark.createDataFrame(local, "video_id int, start_ms double, end_ms double, confidence string")
+    hits = spark.createDataFrame([(5, 0.0, 9000.0), (6, 0.0, 9000.0)], "video_id int, start_ms double, end_ms double")
+    answers = spark.createDataFrame([(4, 5000.0, 20000.0, "high", "said"), (3, 1000.0, 70000.0, "high", "said"), (3, 300000.0, 310000.0, "high", "other")], "video_id int, start_ms double, end_ms double, confidence string, reason string")
+    plan = llm_plan(videos, local, hits)
+    assert sorted((r.video_id, r.kind, r.start_ms) for r in plan.collect()) == [(2, "short-verification", 0.0), (3, "candidate-verification", 0.0), (4, "fallback", None), (7, "fallback", None)]
+    routes = {r.video_id: r.route for r in route_sources(videos, hits, local, answers).collect()}
+    assert routes == {1: "local-fallback", 2: "local-fallback", 3: "local-fallback", 4: "llm-fallback", 5: "local-only", 6: "community", 7: "none"}
+    kept = sorted((r.video_id, r.start_ms, r.origin) for r in combine_verified(local, answers, plan).collect())
+    assert (3, 90000.0, "local") in kept and (3, 0.0, "local") not in kept and (2, 90000.0, "local") in kept
+    out = sorted((r.video_id, r.start_ms, r.end_ms, r.source) for r in deliver(videos, hits, local, answers, videos.filter("video_id = 2").select("video_id")).collect())
+    assert out == [
+        (1, 0.0, 60000.0, "local-fallback"),
+        (2, 0.0, 20000.0, "local-fallback"),
+        (2, 90000.0, 190000.0, "local-fallback"),
+        (3, 1000.0, 70000.0, "llm-fallback"),
+        (3, 90000.0, 190000.0, "llm-fallback"),
+        (4, 5000.0, 20000.0, "llm-fallback"),
+        (5, 0.0, 60000.0, "local-only"),
+        (6, 0.0, 9000.0, "sponsorblock"),
+    ]
