@@ -60,7 +60,7 @@ def level_lengths(window: int, least: int = 10) -> list[int]:
 class Words:
     """Two independent hashes of every word, remembered while there is room."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[bytes, tuple[int, int]] = {}
         self.most = most
 
