@@ -58,22 +58,19 @@ def level_lengths(window: int, least: int = 10) -> list[int]:
 
 
 class Words:
-    """Two independent hashes of every word, remembered while there is room."""
+    """Hashes of words under a seed, remembered while there is room."""
 
-    def __init__(self, most: int = 150_000):
-        self.known: dict[bytes, tuple[int, int]] = {}
-        self.most = most
+    def __init__(self, seed: int, most: int = 300_000):
+        self.known: dict[bytes, int] = {}
+        self.seed, self.most = seed, most
 
-    def hashes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        words, known = text.split(), self.known
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        known, digest, seed = self.known, xxhash.xxh3_64_intdigest, self.seed
         if len(known) > self.most:
             known.clear()
-        for w in set(words):
-            if w not in known:
-                x = xxhash.xxh3_128_intdigest(w)
-                known[w] = x >> 64, x & 0xFFFFFFFFFFFFFFFF
-        both = np.array([known[w] for w in words], np.uint64).reshape(len(words), 2)
-        return both[:, 0].copy(), both[:, 1].copy()
+        for w in set(words).difference(known):
+            known[w] = digest(w, seed)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def grown(x: np.ndarray, length: int, to: int) -> np.ndarray:
@@ -125,7 +122,12 @@ def candidates(x: np.ndarray, width: int, survives: np.ndarray) -> np.ndarray:
 def _later_here(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Which windows stand earlier in the document too."""
     out = np.ones(len(h), bool)
-    out[np.unique(np.stack([h, g], axis=1), axis=0, return_index=True)[1] if len(h) else []] = False
+    first = np.unique(h, return_index=True)[1]
+    if len(first) == len(h):
+        return ~out
+    if (g[first][np.searchsorted(h[first], h)] != g).any():  # windows that only one of the hashes takes for equal
+        first = np.unique(np.stack([h, g], axis=1), axis=0, return_index=True)[1]
+    out[first] = False
     return out
 
 
@@ -142,8 +144,9 @@ def _level(docs: DataFrame, doc_id: str, text: str, lengths: list[int], k: int)
     length, window = lengths[k], lengths[-1]
     last, width = length == window, window - length + 1
 
-    def windows(t: bytes, words: Words, marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, g = words.hashes(t)
+    def windows(t: bytes, first: Words, second: Words, marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = t.split()
+        h = first.hashes(words)
         if len(h) < window:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         x, living = window_hashes(h, lengths[0]), None
@@ -157,17 +160,17 @@ def _level(docs: DataFrame, doc_id: str, text: str, lengths: list[int], k: int)
             at = np.flatnonzero(named(x, width, living))
             return at, x[at], np.zeros(len(at), np.uint64)
         at = np.arange(len(x)) if living is None else np.flatnonzero(living)
-        return at, x[at], window_hashes(g, window)[at] if len(at) else np.zeros(0, np.uint64)
+        return at, x[at], window_hashes(second.hashes(words), window)[at] if len(at) else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        hashes = Words(0), Words(1)
         for b in batches:
             texts = as_bytes(b, text)
             marks = [m.values.to_numpy() for m in b.column("marks")] if k else [None] * len(texts)
             copies = b.column("copies").to_pylist() if k else [None] * len(texts)
             for at in range(0, len(texts), 256):  # a part of a batch at a time, so that long texts do not add up
                 part = range(at, min(at + 256, len(texts)))
-                found = [windows(b"" if copies[i] and _print(texts[i]) in copies[i] else texts[i], words, marks[i]) for i in part]
+                found = [windows(b"" if copies[i] and _print(texts[i]) in copies[i] else texts[i], *hashes, marks[i]) for i in part]
                 ids = b.column(0).take(pa.array(np.repeat(part, [len(f[0]) for f in found])))
                 place, h, g = (np.concatenate([f[i] for f in found]) for i in range(3))
                 again = np.concatenate([_later_here(h_, g_) for _, h_, g_ in found])
