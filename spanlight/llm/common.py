@@ -41,6 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{os.path.abspath(held)}"
 
 
+#: A table from which on the shuffle files behind it are worth freeing at once.
+TIDY_BYTES = 8 << 20
+
+
 class Staged:
     """Tables written to the shared folder to cut lineage, so that a lost executor costs no more than one phase."""
 
@@ -49,18 +53,22 @@ class Staged:
         self.folder = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
-        """The rows as a table; tidy also frees what earlier phases left on disk, which small tables need not wait for."""
+        """The rows as a table; tidy also frees what earlier phases left on disk, once the table itself is large."""
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         del df
         found = self.spark.read.parquet(path)
         # Shuffle files go once their plans are garbage; the next phase needs the disk. The first
         # round frees what the second finds.
-        for _ in range(2 if tidy else 0):
+        for _ in range(2 if tidy and self._bytes(path) > TIDY_BYTES else 0):
             gc.collect()
             self.spark._jvm.System.gc()
         return found
 
+    def _bytes(self, path: str) -> int:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
     def drop(self, name: str) -> None:
         """Deletes a table that later phases no longer read."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
