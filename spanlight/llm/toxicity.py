@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, column, same
 
 
+#: Weights are rounded to it.
 STEP = 2.0**-20
 
 
@@ -51,7 +52,7 @@ class ToxicityOptions:
     epochs: int = 8
     batch: int = 64
     #: Words that a worker remembers.
-    cache: int = 200_000
+    cache: int = 300_000
 
 
 class Grams:
@@ -109,28 +110,36 @@ class Model:
 
 
 class Scorer:
-    """Remembers the buckets of words."""
+    """Remembers the buckets of words that have a weight; most words have none."""
 
     def __init__(self, model: Model, options: ToxicityOptions):
         self.model, self.options, self.grams = model, options, Grams(options)
-        self.known: dict[str, np.ndarray] = {}
+        self.heavy: dict[str, np.ndarray] = {}
+        self.light: set[str] = set()
         self.seen = np.zeros(options.buckets, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > self.options.cache:
-            self.known.clear()
+        if len(self.heavy) + len(self.light) > self.options.cache:
+            self.heavy.clear()
+            self.light.clear()
         for part, of, buckets in self.grams.words(words):
-            order = np.argsort(of, kind="stable")
-            self.known |= zip(part, np.split(buckets[order], np.cumsum(np.bincount(of, minlength=len(part)))[:-1]))
+            at = np.flatnonzero(self.model.weights[buckets])
+            at = at[np.argsort(of[at], kind="stable")]
+            own, start = np.unique(of[at], return_index=True)
+            found = dict(zip((part[i] for i in own), np.split(buckets[at], start[1:])))
+            self.heavy |= found
+            self.light.update(w for w in part if w not in found)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         z = np.full(len(texts), self.model.intercept)
-        for at in range(0, len(texts), 64):
-            split = [distinct(t) for t in texts[at : at + 64]]
-            self._learn(list(set().union(*split) - self.known.keys()))
-            for row, words in enumerate(split, at):
-                if words:
-                    self._add(z, row, np.concatenate([self.known[w] if w in self.known else self.grams.texts([w.encode()])[0] for w in words]))
+        split = [distinct(t) for t in texts]
+        for at in range(0, len(texts), 1024):
+            part = split[at : at + 1024]
+            self._learn(list(set().union(*part) - self.light - self.heavy.keys()))
+            heavy = self.heavy
+            for row, words in enumerate(part, at):
+                if own := [heavy[w] for w in words if w in heavy]:
+                    self._add(z, row, np.concatenate(own))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
     def _add(self, z: np.ndarray, row: int, buckets: np.ndarray) -> None:
