@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .functions import text as T
+from .functions.structure import CONTENT, CURRENT, END_DICE, GENERIC, LINKING, LONGEST, PREDICATES, START_DICE, WORD_DICE, fuzzy, structure
 from .operators import events as E
 from .operators import intervals as I
 from .operators import signals as S
@@ -16,7 +17,7 @@ from .operators import windows as WN
 from .sources import captions as C
 from .sources import samples as D
 from .sources.samples import sample
-from .sources.tables import settled
+from .sources.tables import settled, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +90,14 @@ def s3_community_segments(spark, sf_dir):
 # Text functions
 
 
+@query(f"SELECT video_id, start_ms, end_ms, category FROM ({D.TRUTH}) t")
+def s4_write_segments(spark, sf_dir):
+    """The segments as they are read back from what was written."""
+    path = shared_path(spark, "segments")
+    C.write_segments(truth(spark, sf_dir).select("video_id", "start_ms", "end_ms", "category"), path)
+    return spark.read.parquet(path)
+
+
 @query(f"SELECT video_id, event_idx, {NORM} AS normalized, trim(regexp_replace({NORM}, '[^a-z0-9%$]+', ' ', 'g')) AS fuzzy FROM {CAP}")
 def p1_p2_normalize_text(spark, sf_dir):
     n = T.normalize_text(F.col("text"))
@@ -224,6 +233,44 @@ def p11_p12_dice(spark, sf_dir):
     return pairs.select("word", "target", d.alias("dice"), ((F.length("word") >= 6) & (d >= 0.78)).alias("alike"))
 
 
+_FUZZY = ", ".join(f"('{kind}', '{fuzzy(p)}', {least})" for kind, phrases, least in (("start", P.FUZZY_START_PHRASES, START_DICE), ("end", P.FUZZY_END_PHRASES, END_DICE)) for p in phrases)
+_IN = lambda names: ", ".join(f"'{w}'" for w in sorted(names))
+
+
+@query(
+    f"""WITH talk AS (SELECT *, {NORM} AS n FROM ({D.TALK}) x),
+    texts AS (SELECT n, trim(regexp_replace(n, '[^a-z0-9%$]+', ' ', 'g')) AS clean, list_filter(string_split(trim(regexp_replace(n, '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS words FROM (SELECT DISTINCT n FROM talk) d),
+    spoken AS (SELECT n, unnest(string_split(clean, ' ')) AS word FROM texts),
+    asked(kind, phrase, least) AS (VALUES {_FUZZY}),
+    sized AS (SELECT *, len(string_split(phrase, ' ')) AS size FROM asked),
+    runs AS (SELECT DISTINCT t.n, kind, phrase, least, array_to_string(list_slice(string_split(clean, ' '), i, i + k - 1), ' ') AS run
+             FROM texts t, sized p, range(1, 40) a(i), range(2, 20) b(k)
+             WHERE clean <> '' AND length(clean) <= {LONGEST} AND k >= size - 1 AND k <= least(len(string_split(clean, ' ')), size + 2) AND i + k - 1 <= len(string_split(clean, ' '))),
+    strings AS (SELECT run AS word FROM runs UNION SELECT phrase FROM asked UNION SELECT word FROM spoken UNION SELECT unnest([{_IN(T.SPONSOR_WORDS)}])),
+    grams AS {_GRAMS.format(words="strings")},
+    pairs AS (SELECT DISTINCT run AS a, phrase AS b FROM runs UNION SELECT s.word, t.word FROM spoken s, (SELECT unnest([{_IN(T.SPONSOR_WORDS)}]) AS word) t WHERE length(s.word) >= 6),
+    alike AS (SELECT a, b, 2.0 * sum(least(x.n, y.n)) / (length(a) + length(b)) AS dice FROM pairs JOIN grams x ON x.word = a JOIN grams y ON y.word = b AND y.gram = x.gram GROUP BY a, b),
+    w AS (SELECT DISTINCT s.n FROM spoken s JOIN alike ON a = s.word AND length(s.word) >= 6 AND b IN ({_IN(T.SPONSOR_WORDS)}) AND dice >= {WORD_DICE}),
+    f AS (SELECT DISTINCT kind, r.n FROM runs r JOIN alike ON a = run AND b = phrase AND dice >= least
+          UNION SELECT kind, n FROM texts, asked WHERE length(clean) <= {LONGEST} AND strpos(clean, phrase) > 0),
+    placed AS (SELECT n, words, unnest(range(1, len(words) + 1)) AS i FROM texts),
+    c AS (SELECT * FROM placed WHERE words[i] IN ({_IN(CONTENT)}) AND list_has_any(list_slice(words, greatest(1, i - 2), i + 2), [{_IN(CURRENT)}])),
+    s AS (SELECT *, list_slice(words, greatest(1, i - 6), i - 1) AS before FROM placed WHERE regexp_full_match(words[i], 'sponsor(s|ed|ing|ship)?')),
+    starts AS (SELECT DISTINCT s.n FROM s JOIN c ON c.n = s.n AND abs(s.i - c.i) <= 8
+               AND CASE WHEN c.i < s.i THEN NOT list_contains(before, 'about') AND list_has_any(before, [{_IN(LINKING)}]) ELSE list_has_any(list_slice(s.words, s.i + 1, c.i - 1), ['of', 'for']) END),
+    r AS (SELECT n, words[i] AS word, list_slice(words, i + 1, len(words)) AS rest FROM placed WHERE i > 1 AND words[i] IN ('sponsor', 'sponsors') AND words[i - 1] IN ('our', 'the')),
+    k AS (SELECT *, CASE WHEN len(rest) > 1 AND rest[1] = 'such' AND rest[2] = 'as' THEN 2 WHEN len(rest) > 0 AND rest[1] IN ('like', 'including', 'is') THEN 1 ELSE 0 END AS skip FROM r),
+    roles AS (SELECT DISTINCT n FROM k WHERE CASE WHEN len(rest) = 0 THEN word = 'sponsors' WHEN skip > 0 THEN len(rest) > skip AND rest[skip + 1] NOT IN ({_IN(GENERIC)})
+              ELSE rest[1] NOT IN ({_IN(GENERIC)}) AND list_has_any(list_slice(rest, 2, 7), [{_IN(PREDICATES)}]) END)
+    SELECT video_id, event_idx, n IN (SELECT n FROM w) AS fuzzy_word, n IN (SELECT n FROM w) AND n IN (SELECT n FROM f WHERE kind = 'start') AS fuzzy_start,
+           {P.re2([P.FUZZY_END_GATE], "n")} AND n IN (SELECT n FROM f WHERE kind = 'end') AS fuzzy_end, n IN (SELECT n FROM starts) AS structural_start, n IN (SELECT n FROM roles) AS structural_role FROM talk"""
+)
+def p12_p15_word_rules(spark, sf_dir):
+    """The rules that jobs use, on captions that meet and that narrowly miss each of them."""
+    rows = sample(spark, sf_dir, D.TALK)
+    return rows.select("video_id", "event_idx", structure(T.normalize_text(F.col("text"))).alias("r")).select("video_id", "event_idx", "r.*")
+
+
 @query(
     f"""SELECT video_id, event_idx, CASE WHEN self_promotion AND NOT affiliate AND NOT sponsor THEN 'self-promotion' WHEN starts THEN 'paid-sponsor' WHEN affiliate AND NOT sponsor THEN 'affiliate'
     WHEN sponsor OR code OR offer OR url OR legal THEN 'paid-sponsor' ELSE 'commercial-unknown' END AS category FROM ({SCORED}) s WHERE commercial > 0"""
@@ -307,6 +354,32 @@ def w1_caption_spans(spark, sf_dir):
     return E.caption_spans(captions(spark, sf_dir), DetectorOptions(max_span=24_000))
 
 
+_UNITED = "(PARTITION BY video_id, end_idx ORDER BY start_idx < end_idx, start_idx ROWS UNBOUNDED PRECEDING)"
+_SHOWN_FLAGS = ("starts", "strong_start", "contextual_start", "endorsement_start", "self_promotion_start", "ends", "ends_before", "self_promotion", "negated", "affiliate")
+
+
+@query(
+    f"""WITH s AS (SELECT *, n_explicitNegation AS negated FROM ({scored_sql(f"({SQL['w1_caption_spans']})", "video_id, start_idx, end_idx")}) x),
+    shown AS (SELECT * FROM s WHERE groups <> '' OR negative_groups <> '' OR {" OR ".join(_SHOWN_FLAGS)}),
+    so_far AS (SELECT *, {", ".join(f"bool_or({g}) OVER {_UNITED} AS u_{g}" for g in P.SIGNALS)}, max(negative) OVER {_UNITED} AS least FROM shown),
+    folded AS (SELECT video_id, end_idx, greatest(0, max(CASE WHEN start_idx = end_idx THEN commercial ELSE {" + ".join(f"{w} * CAST(u_{g} AS INT)" for g, w in P.WEIGHTS.items() if g != "brand")} - least END)) AS commercial,
+               {", ".join(f"bool_or({g}) AS o_{g}" for g in P.SIGNALS)}, {", ".join(f"bool_or(n_{g}) AS m_{g}" for g in P.NEGATIVES)}, {", ".join(f"bool_or({k}) AS f_{k}" for k in _SHOWN_FLAGS)}, count(*) FILTER (ends) AS closing
+               FROM so_far GROUP BY ALL),
+    opened AS (SELECT video_id, start_idx, count(*) AS opening FROM shown WHERE starts GROUP BY ALL)
+    SELECT c.video_id, c.event_idx, {picked({g: "o_" + g for g in P.SIGNALS})} AS groups, {picked({g: "m_" + g for g in P.NEGATIVES})} AS negative_groups, CAST(coalesce(commercial, 0) AS INT) AS commercial,
+           {", ".join(f"coalesce(f_{k}, false) AS {k}" for k in _SHOWN_FLAGS)}, CAST(coalesce(closing, 0) AS INT) AS end_spans, CAST(coalesce(opening, 0) AS INT) AS start_spans
+    FROM {CAP} c LEFT JOIN folded f ON f.video_id = c.video_id AND f.end_idx = c.event_idx LEFT JOIN opened o ON o.video_id = c.video_id AND o.start_idx = c.event_idx"""
+)
+def w2_span_features(spark, sf_dir):
+    """Captions are 8 seconds long here, so spans of up to 24 seconds are taken."""
+    from .jobs.detect import span_features
+    from .options import DetectorOptions
+
+    found = span_features(captions(spark, sf_dir), DetectorOptions(max_span=24_000))
+    sizes = [F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("end_spans", "start_spans")]
+    return found.select("video_id", "event_idx", joined("groups"), joined("negative_groups"), "commercial", *_SHOWN_FLAGS, *sizes)
+
+
 _ENDS = f"SELECT w.video_id, w.start_idx, w.end_idx, c.end_ms FROM (SELECT *, {NORM} AS n FROM ({SQL['w1_caption_spans']}) x) w JOIN {CAP} c ON c.video_id = w.video_id AND c.event_idx = w.end_idx WHERE {P.re2(P.END, 'n')} OR {P.re2(P.END_BEFORE, 'n')}"
 
 
@@ -751,17 +824,32 @@ def l2_format_lines(spark, sf_dir):
     return format_lines(captions(spark, sf_dir)).select("video_id", "event_idx", "line")
 
 
+_PAUSED = f"SELECT video_id, event_idx, start_ms, end_ms, printf('[%d] %.3f-%.3f %s', event_idx, start_ms / 1000, end_ms / 1000, text) AS line FROM ({D.PAUSED}) c"
+_CHUNK_CHARS, _OVERLAP_MS = 1200, 24_000
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT *, sum(length(line) + 1) OVER w AS upto, start_ms - lag(end_ms) OVER w >= 1200 AS pause, count(*) OVER (PARTITION BY video_id) AS n FROM ({_PAUSED}) x WINDOW w AS (PARTITION BY video_id ORDER BY event_idx)),
+    most AS (SELECT a.video_id, a.event_idx AS a, a.n, greatest(a.event_idx, coalesce(max(b.event_idx) FILTER (b.upto - a.upto + length(a.line) + 1 <= {_CHUNK_CHARS}), 0)) + 1 AS stop
+             FROM l a JOIN l b ON b.video_id = a.video_id AND b.event_idx >= a.event_idx GROUP BY a.video_id, a.event_idx, a.n),
+    ended AS (SELECT m.video_id, a, m.n, coalesce(max(p.event_idx), stop) AS b FROM most m
+              LEFT JOIN l p ON p.video_id = m.video_id AND p.pause AND m.stop < m.n AND p.event_idx <= stop AND p.event_idx > a + greatest(1, CAST(floor((stop - a) * 0.75) AS INT)) GROUP BY m.video_id, a, m.n, stop),
+    steps AS (SELECT e.video_id, e.a, e.b, e.n, least(e.b, greatest(e.a + 1, coalesce(max(o.event_idx) + 1, 0))) AS next FROM ended e JOIN l z ON z.video_id = e.video_id AND z.event_idx = e.b - 1
+              LEFT JOIN l o ON o.video_id = e.video_id AND o.event_idx < e.b AND o.end_ms <= z.end_ms - {_OVERLAP_MS} GROUP BY e.video_id, e.a, e.b, e.n),
+    chunks AS (SELECT video_id, 0 AS chunk_id, a, b, n, next FROM steps WHERE a = 0
+               UNION ALL SELECT s.video_id, chunk_id + 1, s.a, s.b, s.n, s.next FROM chunks k JOIN steps s ON s.video_id = k.video_id AND s.a = k.next WHERE k.b < k.n)
+    SELECT k.video_id, CAST(chunk_id AS INT) AS chunk_id, CAST(a AS INT) AS start_idx, CAST(b AS INT) AS end_idx, string_agg(line, chr(10) ORDER BY event_idx) AS text
+    FROM chunks k JOIN l ON l.video_id = k.video_id AND event_idx >= a AND event_idx < b GROUP BY k.video_id, chunk_id, a, b"""
+)
 def l3_chunk_events(spark, sf_dir):
-    """Greedy and sequential, so without SQL; small chunks, so that every video has several."""
+    """Small chunks, so that every video has several; some captions have a pause before them."""
     from .operators.requests import chunk_events, format_lines
 
-    return chunk_events(format_lines(captions(spark, sf_dir)), 1200, 24_000.0)
-
+    return chunk_events(format_lines(sample(spark, sf_dir, D.PAUSED)), _CHUNK_CHARS, float(_OVERLAP_MS))
 
-QUERIES["l3_chunk_events"] = l3_chunk_events
 
 #: Chunks of 20 captions that overlap by five, for the queries with SQL.
-CHUNKS = f"SELECT video_id, CAST(k AS INT) AS chunk_id, CAST(k * 15 AS INT) AS start_idx, CAST(least(k * 15 + 20, n) AS INT) AS end_idx FROM (SELECT video_id, count(*) AS n FROM {CAP} c GROUP BY video_id) v, range(0, 40) r(k) WHERE k = 0 OR k * 15 + 5 < n"
+CHUNKS = f"SELECT video_id, CAST(k AS INT) AS chunk_id, CAST(k * 15 AS INT) AS start_idx, CAST(least(k * 15 + 20, n) AS INT) AS end_idx FROM (SELECT video_id, count(*) AS n FROM {CAP} c GROUP BY video_id) v, range(0, (SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id) m)) r(k) WHERE k = 0 OR k * 15 + 5 < n"
 
 
 def chunks(spark, sf_dir):

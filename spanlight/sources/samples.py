@@ -31,6 +31,38 @@ FROM (SELECT user_id AS video_id, event_id, row_number() OVER (PARTITION BY user
       FROM {events}) numbered
 """
 
+#: Captions that word-order and fuzzy rules tell apart: names of sponsors, plain talk of sponsors, and misspelt cues.
+TALK = f"""
+SELECT video_id, event_idx,
+       CASE event_id % 23 WHEN 0 THEN concat('For this show the usual sponsor of the week is ', brand, '.')
+            WHEN 1 THEN concat(brand, ' is today a sponsor of this video.')
+            WHEN 2 THEN concat('The sponsor for todays podcast goes by ', brand, '.')
+            WHEN 3 THEN 'This episode is about how a sponsor picks a name.'
+            WHEN 4 THEN concat('In this episode ', brand, ' is once more sponsoring us.')
+            WHEN 5 THEN concat('Our sponsor ', brand, ' can help you plan the week.')
+            WHEN 6 THEN 'Our sponsor program can help pupils.'
+            WHEN 7 THEN concat('We love our sponsors like ', brand, ' and others.')
+            WHEN 8 THEN 'The sponsor is a school that offers rooms.'
+            WHEN 9 THEN 'We   thank our SPONSORS.'
+            WHEN 10 THEN concat('This vidio is sponsored by ', brand, '.')
+            WHEN 11 THEN 'Thank yuo for sponsoring this video.'
+            WHEN 12 THEN 'With that out of teh way, we go on.'
+            WHEN 13 THEN 'And now bak to the vidio.'
+            WHEN 14 THEN 'So lets get back to it, shall we?'
+            WHEN 15 THEN concat('The sponsors such as ', brand, ' came by.')
+            WHEN 16 THEN 'The response of the sensor was slow.'
+            WHEN 17 THEN concat('Supprt for this show comes from ', brand, ', a sponsor, not a sponser.')
+            WHEN 18 THEN 'A sponsor, and one of many, once saw a long and rather dull video about this.'
+            WHEN 19 THEN concat('The sponsors including ', brand, ' left early.')
+            WHEN 20 THEN ''
+            WHEN 21 THEN concat('Thnks to our sponsor ', brand)
+            ELSE 'He stepped back to the door.' END AS text
+FROM (SELECT *, CASE video_id % 5 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Zenly' WHEN 2 THEN 'Orbit' WHEN 3 THEN 'Kudos' ELSE 'Nimbus' END AS brand FROM ({CAPTIONS}) c) b
+"""
+
+#: Captions of which some end well before the next one starts.
+PAUSED = f"SELECT video_id, event_idx, start_ms, end_ms - CASE WHEN event_id % 6 = 0 THEN 2500 ELSE 0 END AS end_ms, text FROM ({CAPTIONS}) c"
+
 TRUTH = f"""
 SELECT video_id, event_idx, start_ms, start_ms + 40000 AS end_ms, 'paid-sponsor' AS category
 FROM (SELECT *, lead(event_idx, 4) OVER (PARTITION BY video_id ORDER BY event_idx) AS closing FROM ({CAPTIONS}) c) d

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='spanlight-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -14,10 +23,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     persisted instead, which recomputes what is lost.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not spark.conf.get("spark.checkpoint.dir", None):
         return df.persist()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
