@@ -1,43 +1,46 @@
 """URL filters over a sorted digest array.
 
 Rules are host and path prefix, like `example.com/en/`. Each is stored as the 64-bit xxhash of
-its string in one sorted array, next to its verdict and the string itself. The array is a file
-that Spark hands to every executor once; workers map it into memory, so they share its pages
-and none holds the list on its heap. A url's candidate keys are its host and all parent
-domains, each with the prefixes of its path that are as long as some rule's path; they are
-probed by a vectorised binary search, and a hit counts only if the stored string is the
-candidate's. The longest rule that fits wins.
+its string in a sorted array, next to its verdict and the string itself. Tasks write the array
+in parts by the digests' first bits, Spark hands them to every executor once, and workers map
+them into memory, so they share the pages and none holds the list on its heap. The hosts of
+the rules are keys of the same array, with the lengths that their rules' paths have. Of a url,
+its host and all parent domains are looked up first; those that have rules give the candidate
+keys: the domain with the prefixes of the url's path of such a length. Keys are probed by a
+vectorised binary search, and a hit counts only if the stored string is the key. The longest
+rule that fits wins.
 
 The host is what stands after the first `://` up to `/`, `?`, `#` or the end, with A-Z
 lower-cased; the path follows up to `?`, `#` or the end. A null url, or one without `://`, has
 both empty. A url that no rule fits gets the default verdict, as it is on no list. Rules that
-repeat are one rule; of two verdicts for one rule, block stands. Every row is judged by itself,
-null and repeated ids too. An empty table or rule list works like any other.
-
-A rule list larger than MAX_BYTES is dealt into as many arrays as needed by the digests'
-order; all are mapped, and the pages in use are what the memory holds.
+repeat are one rule; of two verdicts for one rule, block stands; null rules are none. Every row
+is judged by itself, null and repeated ids too. An empty table or rule list works like any other.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .mapped import handed, hand_out, opened, pack
 
-#: Bytes of one array file.
-MAX_BYTES = 512 << 20
+#: Bytes of one part of the array, about.
+MAX_BYTES = 64 << 20
 ALLOW, BLOCK = "allow", "block"
+#: Path lengths are bits of one number; the last bit stands for this length and all above.
+LAST_BIT = 62
+#: What marks a host among the keys; no rule starts with it.
+HOST_MARK = "\x00"
 
 
 def digest(rule: bytes) -> int:
-    return xxhash.xxh64_intdigest(rule)
+    """Equals the JVM's xxhash64 of the string."""
+    return xxhash.xxh64_intdigest(rule, 42)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -54,30 +57,24 @@ def split_url(url: str | None) -> tuple[str, str]:
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def split_rule(rule: str) -> tuple[str, str]:
-    host, slash, path = rule.partition("/")
-    return host.translate(LOWER), slash + path
-
-
 class DigestArray:
-    """The mapped file: number of rules, sorted digests, string ends, verdicts, strings."""
+    """A mapped part: sorted digests, string ends, values, strings."""
 
     def __init__(self, path: str):
-        n = int(np.fromfile(path, np.int64, 1)[0])
-        self.digests = np.memmap(path, np.uint64, "r", 8, (n,)) if n else np.zeros(0, np.uint64)
-        self.ends = np.memmap(path, np.int64, "r", 8 + 8 * n, (n + 1,))
-        self.blocks = np.memmap(path, np.uint8, "r", 16 + 16 * n, (n,)) if n else np.zeros(0, np.uint8)
-        self.strings = np.memmap(path, np.uint8, "r", 16 + 17 * n) if n else np.zeros(0, np.uint8)
+        x = opened(path)
+        self.digests, self.ends, self.values, self.strings = x["digests"], x["ends"], x["values"], x["strings"]
 
     def text(self, i: int) -> bytes:
         return self.strings[self.ends[i] : self.ends[i + 1]].tobytes()
 
     def probe(self, keys: list[bytes]) -> np.ndarray:
-        """The rule's place for every key, or -1; equal digests are told apart by the stored strings."""
+        """The key's place in the array, or -1; equal digests are told apart by the stored strings."""
+        return self.probe_digests(keys, np.fromiter(map(digest, keys), np.uint64, len(keys)))
+
+    def probe_digests(self, keys: list[bytes], wanted: np.ndarray) -> np.ndarray:
         found = np.full(len(keys), -1, np.int64)
-        if not len(self.digests) or not keys:
+        if not len(self.digests) or not len(wanted):
             return found
-        wanted = np.fromiter(map(digest, keys), np.uint64, len(keys))
         low = np.searchsorted(self.digests, wanted, "left")
         for k in np.flatnonzero(self.digests[np.minimum(low, len(self.digests) - 1)] == wanted):
             i = int(low[k])
@@ -89,85 +86,119 @@ class DigestArray:
         return found
 
 
-def write_array(path: str, rules: list[tuple[bytes, bool]]) -> None:
-    """rules: strings with whether they block, sorted by digest."""
-    texts = [r for r, _ in rules]
+def packed(entries: list[tuple[bytes, int]]) -> bytes:
+    """entries: keys with their values, sorted by digest."""
+    texts = [t for t, _ in entries]
+    return pack(
+        {
+            "digests": np.array([digest(t) for t in texts], np.uint64),
+            "ends": np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64),
+            "values": np.array([int(v) for _, v in entries], np.int64),
+            "strings": np.frombuffer(b"".join(texts), np.uint8),
+        }
+    )
+
+
+def write_array(path: str, entries: list[tuple[bytes, int]]) -> None:
     with open(path, "wb") as out:
-        np.array([len(rules)], np.int64).tofile(out)
-        np.array([digest(t) for t in texts], np.uint64).tofile(out)
-        np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64).tofile(out)
-        np.array([b for _, b in rules], np.uint8).tofile(out)
-        out.write(b"".join(texts) or b"\0")
-
-
-#: Files that an application has registered already: their names tell their contents.
-_registered: set[tuple[str, str]] = set()
-
-
-class RuleFiles:
-    """Array files known to every executor by name, and the lengths of the rules' paths."""
-
-    def __init__(self, spark: SparkSession, rules: list[tuple[str, str]], max_bytes: int = MAX_BYTES):
-        merged: dict[bytes, bool] = {}
-        for verdict, rule in rules:
-            host, path = split_rule(rule)
-            key = (host + path).encode()
-            merged[key] = merged.get(key, False) or verdict == BLOCK
-        ordered = sorted(merged.items(), key=lambda r: (digest(r[0]), r[0]))
-        self.path_lengths = sorted({len(split_rule(r.decode())[1]) for r in merged})
-        self.names, part, size = [], [], 0
-        folder = os.path.realpath(tempfile.mkdtemp(prefix="rules-"))
-        for r in [*ordered, None]:
-            if r is None or part and size + len(r[0]) + 17 > max_bytes:
-                mark = hashlib.sha256(repr((len(self.names), part)).encode()).hexdigest()[:24]
-                name = f"rules-{mark}.bin"
-                mine = (spark.sparkContext.applicationId, name)
-                if mine not in _registered:
-                    write_array(f"{folder}/{name}", part)
-                    spark.sparkContext.addFile(f"{folder}/{name}")
-                    _registered.add(mine)
-                self.names.append(name)
-                part, size = [], 0
-            if r is not None:
-                part.append(r)
-                size += len(r[0]) + 17
-
-
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
+        out.write(packed(entries))
+
+
+def rule_table(spark: SparkSession, rules: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """(host, path, block): every rule once, from a table (verdict, rule) or a list of such pairs."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "verdict string, rule string")
+    upper, lower = ("".join(map(chr, x)) for x in (LOWER.keys(), LOWER.values()))
+    before = F.substring_index("rule", "/", 1)
+    r = rules.filter("rule is not null").select(F.translate(before, upper, lower).alias("host"), F.substring(F.col("rule"), F.length(before) + 1, F.length("rule")).alias("path"), (F.col("verdict") == BLOCK).alias("block"))
+    return r.groupBy("host", "path").agg(F.coalesce(F.max("block"), F.lit(False)).alias("block"))
+
+
+class RuleArrays:
+    """The parts of the array, known to every executor by their files' names."""
+
+    def __init__(self, spark: SparkSession, rules: DataFrame | list[tuple[str, str]], max_bytes: int = MAX_BYTES):
+        r = rule_table(spark, rules)
+        bit = F.least(F.length("path"), F.lit(LAST_BIT))
+        hosts = r.groupBy("host").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("value"))
+        entries = r.select(F.concat("host", "path").alias("key"), F.col("block").cast("long").alias("value"))
+        entries = entries.unionByName(hosts.select(F.concat(F.lit(HOST_MARK), "host").alias("key"), "value"))
+        size, long = r.agg(F.sum(F.octet_length("host") * 2 + F.octet_length("path") + 48), F.collect_set(F.when(F.length("path") >= LAST_BIT, F.length("path")))).first()
+        #: The path lengths from LAST_BIT on that some rule has.
+        self.long = sorted(long)
+        self.bits = max(0, (max(1, -(-(size or 0) // max_bytes)) - 1).bit_length())
+        part = F.call_function("shiftrightunsigned", F.xxhash64("key"), F.lit(64 - self.bits)).cast("int") if self.bits else F.lit(0)
+
+        def build(t: pa.Table) -> pa.Table:
+            rows = [(k.encode(), v) for k, v in zip(t.column("key").to_pylist(), t.column("value").to_pylist())]
+            rows.sort(key=lambda x: (digest(x[0]), x[0]))
+            return pa.table({"part": t.column("part").slice(0, 1), "payload": pa.array([packed(rows)], pa.binary())})
+
+        parts = entries.withColumn("part", part).groupBy("part").applyInArrow(build, "part int, payload binary")
+        self.names = hand_out(parts, "url_rules")
+
+
+class Rules:
+    """In a task: the mapped parts, probed by the part that a key's digest names."""
+
+    def __init__(self, names: list[str], bits: int, long: list[int]):
+        self.arrays = {p: DigestArray(f) for p, f in handed(names).items()}
+        self.bits, self.long = bits, long
+
+    def values(self, keys: list[bytes]) -> list[int | None]:
+        """The value stored with each key, or None."""
+        wanted = np.fromiter(map(digest, keys), np.uint64, len(keys))
+        of = (wanted >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        out: list[int | None] = [None] * len(keys)
+        for p in np.unique(of):
+            if (a := self.arrays.get(int(p))) is not None:
+                own = np.flatnonzero(of == p)
+                at = a.probe_digests([keys[k] for k in own], wanted[own])
+                for k, i in zip(own[at >= 0], at[at >= 0]):
+                    out[k] = int(a.values[i])
+        return out
+
+    def lengths(self, mask: int) -> list[int]:
+        return [n for n in range(LAST_BIT) if mask >> n & 1] + (self.long if mask >> LAST_BIT & 1 else [])
+
+    def judge(self, parts: list[tuple[str, str]]) -> list[tuple[str, bool] | None]:
+        """For each (host, path) the longest rule that fits and whether it blocks."""
+        known: dict[str, list[tuple[str, int]]] = {h: [] for h, _ in parts}
+        asked = [(h, ".".join(x[k:])) for h in known for x in [h.split(".")] for k in range(len(x))]
+        for (h, domain), mask in zip(asked, self.values([(HOST_MARK + d).encode() for _, d in asked])):
+            if mask is not None:
+                known[h].append((domain, mask))
+        keys = [candidates(path, [(d, self.lengths(m)) for d, m in known[host]]) for host, path in parts]
+        flat = [k for x in keys for k in x]
+        found, at, out = self.values(flat), 0, []
+        for x in keys:
+            own = next((j for j in range(at, at + len(x)) if found[j] is not None), None)
+            out.append(None if own is None else (flat[own].decode(), found[own] > 0))
+            at += len(x)
+        return out
+
+
+def candidates(path: str, domains: list[tuple[str, list[int]]]) -> list[bytes]:
     """All rules that would fit, the longest first."""
-    parts = host.split(".")
-    hosts = [".".join(parts[k:]) for k in range(len(parts))]
-    paths = [path[:n] for n in reversed(lengths) if n <= len(path)]
-    return sorted({(h + p).encode() for h in hosts for p in paths}, key=lambda x: (-len(x), x))
+    return sorted({(d + path[:n]).encode() for d, lengths in domains for n in lengths if n <= len(path)}, key=lambda x: (-len(x), x))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url", default: str = ALLOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], page_id: str = "page_id", url: str = "url", default: str = ALLOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """A row per input row: page_id, host, path, the rule that decides (or null) and the verdict.
 
-    rules: (allow or block, host and path prefix); a rule without `/` fits any path.
+    rules: a table (verdict, rule) or a list of such pairs; verdict is allow or block, rule is
+    host and path prefix. A rule without `/` fits any path.
     """
-    files = RuleFiles(pages.sparkSession, rules, max_bytes)
-    names, lengths = files.names, files.path_lengths
+    held = RuleArrays(pages.sparkSession, rules, max_bytes)
+    names, bits, long = held.names, held.bits, held.long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = [DigestArray(SparkFiles.get(n)) for n in names]
+        own = Rules(names, bits, long)
         for b in batches:
             parts = [split_url(u) for u in b.column(1).to_pylist()]
-            keys = [candidates(h, p, lengths) for h, p in parts]
-            flat = [k for x in keys for k in x]
-            hit, block = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-            for a in arrays:
-                at = a.probe(flat)
-                found = np.flatnonzero(at >= 0)
-                hit[found] = True
-                block[found] = a.blocks[at[found]] > 0
-            rule, verdict, k = [], [], 0
-            for x in keys:
-                own = next((j for j in range(k, k + len(x)) if hit[j]), None)
-                rule.append(None if own is None else flat[own].decode())
-                verdict.append(default if own is None else BLOCK if block[own] else ALLOW)
-                k += len(x)
-            columns = [[h for h, _ in parts], [p for _, p in parts], rule, verdict]
+            found = own.judge(parts)
+            verdict = [default if x is None else BLOCK if x[1] else ALLOW for x in found]
+            columns = [[h for h, _ in parts], [p for _, p in parts], [x and x[0] for x in found], verdict]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in columns)], names=[page_id, "host", "path", "rule", "verdict"])
 
     kind = pages.schema[page_id].dataType.simpleString()

@@ -61,3 +61,15 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, schema).withColumn("host", F.lit(1)).withColumn("rule", F.lit(1))
     assert [r.verdict for r in judge_urls(df, []).collect()] == ["allow"] * 6
     assert [(r.rule, r.verdict) for r in judge_urls(df, [("allow", "com/"), ("block", "com/")]).collect()] == [(None, "allow")] * 4 + [("com/", "block")] * 2
+
+
+def test_rules_as_a_table_with_long_paths_and_nulls(spark):
+    deep = "/" + "d" * 80
+    rows = [("block", f"h{k}.com/p{k}/") for k in range(3000)] + [("block", "long.org" + deep), ("allow", "long.org" + deep + "/x"), ("block", None), (None, "odd.org/"), ("block", "EN.Wiki.org/A")]
+    urls = [(k, f"https://www.h{k}.com/p{k if k % 2 else 'x'}/q") for k in range(0, 3000, 7)]
+    urls += [(-1, "x://long.org" + deep + "/y"), (-2, "x://a.long.org" + deep + "/x/z"), (-3, "x://long.org/" + "d" * 70), (-4, "x://odd.org/"), (-5, "x://en.wiki.ORG/A"), (-6, "x://en.wiki.org/a")]
+    rules = spark.createDataFrame(rows, "verdict string, rule string").repartition(5).withColumn("extra", F.lit(1))
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules, max_bytes=20_000).collect()}
+    for k in range(0, 3000, 7):
+        assert got[k] == ((f"h{k}.com/p{k}/", "block") if k % 2 else (None, "allow"))
+    assert [got[-k] for k in range(1, 7)] == [("long.org" + deep, "block"), ("long.org" + deep + "/x", "allow"), (None, "allow"), ("odd.org/", "allow"), ("en.wiki.org/A", "block"), (None, "allow")]
