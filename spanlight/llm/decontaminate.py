@@ -15,17 +15,19 @@ MIN_MATCHED; those below MIN_ITEM tokens are too common to tell anything inside
 only texts that consist of them. Tokens are lower-cased words without leading and
 trailing ASCII punctuation.
 
-The benchmark is packed into sorted hash arrays of a checked size. One that exceeds the size
-is split into as many blocks as needed, and the texts are read once for each block, so memory
-stays bounded. Hits are found where the texts lie: no text and no candidate is shuffled.
+Tasks pack the benchmark into parts: the hashes of its tokens, and the sorted hashes of every
+mask position. Spark hands the parts to every executor once, workers map them into memory, and
+the texts are read once, against all parts. A part has a bounded number of tokens, so neither
+the driver nor a heap holds the benchmark. Hits are found where the texts lie: no text and no
+candidate is shuffled. Tokens are equal by their 64-bit hashes.
 
 Null and empty texts or items meet nothing. Repeated rows, and repeated ids, are judged row
-by row. Texts are taken whole. Empty tables give empty results.
+by row; item rows that repeat as a whole are packed once and give as many rows. Texts are taken whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column
+from .common import as_bytes, column, n_words
+from .mapped import handed, hand_out, opened, pack
 
 #: Fixed masks over 12 tokens, 8 of which count.
 MASKS = ("110110101101", "111010011101", "111111110000", "101101110110")
@@ -44,8 +47,10 @@ MIN_SHARE = 0.5
 LONG_MATCHED = 30
 #: A substitution inside an overlap costs so many matches.
 PENALTY = 2
-#: Tokens of benchmark text that one pass holds in memory: 4 masks x 8 bytes each, 256 MB at most.
-BLOCK_TOKENS = 4_000_000
+#: Tokens of benchmark text in one part, about: 4 masks x 16 bytes each, 64 MB.
+BLOCK_TOKENS = 1_000_000
+#: Distinct tokens whose hashes a task remembers.
+REMEMBERED = 1_000_000
 PUNCTUATION = b".,;:!?\"'()[]{}<>-_*#%&$|/\\`~"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,90 +88,135 @@ def best_run(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
-class Packed:
-    """A block of benchmark items: their tokens, and the sorted hashes of every mask position."""
-
-    def __init__(self, items: list[tuple], masks: tuple[str, ...]):
-        held = [(i, w) for i, t in items if (w := tokens(t))]
-        self.ids, self.words = [i for i, _ in held], [w for _, w in held]
-        known = sorted({w for x in self.words for w in x})
-        #: Tokens that the benchmark lacks are all 0, which equals no token of it.
-        self.code = {w: i + 1 for i, w in enumerate(known)}
-        self.hash = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in known)], np.uint64)
-        self.codes = [np.array([self.code[w] for w in x], np.int64) for x in self.words]
-        #: Items below MIN_ITEM by their tokens.
-        self.whole: dict[tuple, list[int]] = {}
-        for i, w in enumerate(self.words):
-            if len(w) < MIN_ITEM:
-                self.whole.setdefault(tuple(w), []).append(i)
-        # A mask without its last free positions also fits on the ends of items and texts.
-        long = [m.rstrip("0") for m in masks]
-        of_size = {n: [h * "1" for h in {n, n // (n - MIN_MATCHED + 1) if n > MIN_MATCHED else n}] for n in range(MIN_ITEM, SPAN)}
-        self.masks = sorted({*long, *(m for c in self.codes for m in of_size.get(len(c), ()))})
-        self.tables = []
-        for m in self.masks:
-            of, at, h = [], [], []
-            for i, c in enumerate(self.codes):
-                if len(c) >= MIN_ITEM and m in of_size.get(len(c), long):
-                    x = masked(self.hash[c], m)
-                    of.append(np.full(len(x), i))
-                    at.append(np.arange(len(x)))
-                    h.append(x)
-            h, of, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, of, at))
-            order = np.argsort(h, kind="stable")
-            h = h[order].astype(np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[h >> np.uint64(44)] = True
-            self.tables.append((m, h, of[order], at[order], bits))
-
-    def overlaps(self, text: bytes) -> list[tuple]:
-        """(item position, matches, start, end, item start) of the best overlap with each item that is met."""
-        words = tokens(text)
-        code = self.code
-        codes = np.fromiter((code.get(w, 0) for w in words), np.int64, len(words))
-        if not codes.any():
+class Hashes(dict):
+    """Token hashes, remembered up to a number of tokens."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def masks_of(size: int, masks: tuple[str, ...]) -> list[str]:
+    """The masks that an item of so many tokens is looked up by."""
+    if size < MIN_ITEM:
+        return []
+    if size < SPAN:
+        return [h * "1" for h in {size, size // (size - MIN_MATCHED + 1) if size > MIN_MATCHED else size}]
+    # A mask without its last free positions also fits on the ends of items and texts.
+    return [m.rstrip("0") for m in masks]
+
+
+def packed(ids: pa.Array, texts: list[bytes], copies: np.ndarray, masks: tuple[str, ...]) -> bytes:
+    """The items as one payload: ids, copies, tokens with the items' edges, and sorted hashes of each mask."""
+    known = Hashes()
+    codes = [known.of(tokens(t)) for t in texts]
+    held = [i for i, c in enumerate(codes) if len(c)]
+    codes = [codes[i] for i in held]
+    sink = pa.BufferOutputStream()
+    own = ids.take(pa.array(held, pa.int64()))
+    with pa.ipc.new_stream(sink, pa.schema([("id", own.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([own], names=["id"]))
+    arrays = {
+        "ids": np.frombuffer(sink.getvalue(), np.uint8),
+        "copies": copies[held],
+        "codes": np.concatenate(codes) if codes else np.zeros(0, np.uint64),
+        "edges": np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int64),
+    }
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(codes):
+        for m in masks_of(len(c), masks) or ["whole"]:
+            places.setdefault(m, []).append(i)
+    for m, items in places.items():
+        # Items below MIN_ITEM are found by the hash of all their tokens.
+        each = [masked(codes[i], "1" * len(codes[i]) if m == "whole" else m) for i in items]
+        h, of, at = np.concatenate(each), np.repeat(items, [len(x) for x in each]), np.concatenate([np.arange(len(x)) for x in each])
+        order = np.argsort(h, kind="stable")
+        near = np.zeros(1 << 20, bool)
+        near[h >> np.uint64(44)] = True
+        arrays |= {f"h {m}": h[order], f"of {m}": of[order].astype(np.int32), f"at {m}": at[order].astype(np.int32), f"near {m}": near}
+    return pack(arrays)
+
+
+class Part:
+    """A mapped part of the benchmark."""
+
+    def __init__(self, path: str):
+        x = opened(path)
+        self.ids = pa.ipc.open_stream(pa.py_buffer(x["ids"])).read_all().column("id").combine_chunks()
+        self.copies, self.codes, self.edges = x["copies"], x["codes"], x["edges"]
+        self.tables = {k[2:]: (x[k], x["of" + k[1:]], x["at" + k[1:]], x["near" + k[1:]]) for k in sorted(x) if k.startswith("h ")}
+
+    def item(self, i: int) -> np.ndarray:
+        return self.codes[self.edges[i] : self.edges[i + 1]]
+
+    def _met(self, m: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, shift) of every place where a hash of the text equals one of the mask's."""
+        table, of, at, near = self.tables[m]
+        places = np.flatnonzero(near[x >> np.uint64(44)])
+        low, high = np.searchsorted(table, x[places], "left"), np.searchsorted(table, x[places], "right")
+        n = high - low
+        j = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return of[j].astype(np.int64), np.repeat(places, n) - at[j]
+
+    def overlaps(self, codes: np.ndarray) -> list[tuple]:
+        """(item, matches, start, end) of the best overlap with each item that the text, as token hashes, meets."""
+        if len(codes) < MIN_ITEM:
+            if not len(codes) or "whole" not in self.tables:
+                return []
+            items, _ = self._met("whole", masked(codes, "1" * len(codes)))
+            return [(int(i), len(codes), 0, len(codes)) for i in np.unique(items) if np.array_equal(self.item(i), codes)]
+        met = [self._met(m, masked(codes, m)) for m in self.tables if m != "whole"]
+        if not (met := [x for x in met if len(x[0])]):
             return []
-        if len(words) < MIN_ITEM:
-            return [(i, len(words), 0, len(words), 0) for i in self.whole.get(tuple(words), ())]
-        hashes, hits = self.hash[codes], set()
-        for m, table, of, at, bits in self.tables:
-            x = masked(hashes, m)
-            near = np.flatnonzero(bits[x >> np.uint64(44)])
-            if not len(near):
-                continue
-            low = np.searchsorted(table, x[near], "left")
-            high = np.searchsorted(table, x[near], "right")
-            for p, a, b in zip(near, low, high):
-                for j in range(a, b):
-                    hits.add((int(of[j]), int(p) - int(at[j])))
+        pairs = np.unique(np.stack([np.concatenate([x[k] for x in met]) for k in (0, 1)]), axis=1)
         best: dict[int, tuple] = {}
-        for i, shift in hits:
-            item = self.codes[i]
+        for i, shift in pairs.T.tolist():
+            item = self.item(i)
             first, last = max(0, -shift), min(len(item), len(codes) - shift)
             start, end, n = best_run(codes[first + shift : last + shift] == item[first:last])
-            found = (i, n, first + shift + start, first + shift + end, first + start)
+            found = (i, n, first + shift + start, first + shift + end)
             if i not in best or (n, -found[2]) > (best[i][1], -best[i][2]):
                 best[i] = found
         out = []
         for i, found in sorted(best.items()):
-            n, size = found[1], len(self.codes[i])
+            n, size = found[1], int(self.edges[i + 1] - self.edges[i])
             if n >= LONG_MATCHED or n >= min(MIN_MATCHED, size) and n >= MIN_SHARE * size:
                 out.append(found)
         return out
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple]]:
-    """The items in blocks of so many tokens at most (an item alone may have more), one block in memory at a time."""
-    block, size = [], 0
-    for r in benchmark.select(F.col(item_id), F.col(text)).orderBy(item_id, text).toLocalIterator():
-        t = (r[1] or "").encode()
-        n = len(t.split())
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((r[0], t))
-        size += n
-    yield block
+def parts_of(benchmark: DataFrame, item_id: str, text: str, masks: tuple[str, ...], most: int) -> list[str]:
+    """Writes the items in parts of about so many tokens (an item alone may have more), and hands their files out."""
+    items = benchmark.filter(F.col(text).isNotNull()).groupBy(F.col(item_id).alias("id"), F.col(text).alias("item")).agg(F.count("*").alias("copies"))
+    total = benchmark.agg(F.sum(n_words(F.col(text)))).first()[0] or 0
+    items = items.withColumn("part", F.expr(f"cast(pmod(xxhash64(id, item), {max(1, -(-total // most))}) as int)"))
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("id", "ascending"), ("item", "ascending")]).combine_chunks()
+        payload = packed(t.column("id").combine_chunks(), [x or b"" for x in t.column("item").cast(pa.binary()).to_pylist()], t.column("copies").to_numpy(), masks)
+        return pa.table({"part": t.column("part").slice(0, 1), "payload": pa.array([payload], pa.binary())})
+
+    return hand_out(items.groupBy("part").applyInArrow(build, "part int, payload binary"), "benchmark")
+
+
+def found_in(names: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]]:
+    """In a task: each batch with the overlaps of its rows, as (part, item, matches, start, end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+        parts, known = [Part(p) for _, p in sorted(handed(names).items())], Hashes()
+        for b in batches:
+            found = []
+            for t in as_bytes(b, text):
+                codes = known.of(tokens(t))
+                found.append([(p, *x) for p in parts for x in p.overlaps(codes)])
+            yield b, found
+
+    return run
 
 
 def contaminated(
@@ -175,25 +225,17 @@ def contaminated(
     """A row per document and item that overlap: doc_id, item_id, n_matched, n_item (tokens), start_token, end_token."""
     kind, item_kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType
     schema = f"`{doc_id}` {kind}, `{item_id}` {item_kind.simpleString()}, n_matched long, n_item long, start_token long, end_token long"
-    out = None
-    for items in blocks(benchmark, item_id, item_text, block_tokens):
-        packed = docs.sparkSession.sparkContext.broadcast(Packed(items, masks))
-
-        def run(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
-            own = packed.value
-            for b in batches:
-                row, rest = [], []
-                for k, t in enumerate(as_bytes(b, text)):
-                    for i, n, start, end, _ in own.overlaps(t):
-                        row.append(k)
-                        rest.append((own.ids[i], n, len(own.codes[i]), start, end))
-                ids = b.column(0).take(pa.array(row, pa.int64()))
-                columns = list(zip(*rest)) if rest else [[]] * 5
-                yield pa.RecordBatch.from_arrays([ids, pa.array(list(columns[0]), type=_arrow(item_kind)), *(column(list(c), pa.int64()) for c in columns[1:])], names=[doc_id, item_id, "n_matched", "n_item", "start_token", "end_token"])
-
-        found = docs.select(doc_id, text).mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
-    return out
+    run = found_in(parts_of(benchmark, item_id, item_text, masks, block_tokens), text)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in run(batches):
+            flat = [(k, x) for k, own in enumerate(found) for x in own for _ in range(x[0].copies[x[1]])]
+            ids = b.column(0).take(pa.array([k for k, _ in flat], pa.int64()))
+            items = pa.array([p.ids[i].as_py() for _, (p, i, *_) in flat], type=_arrow(item_kind))
+            numbers = [(n, len(p.item(i)), start, end) for _, (p, i, n, start, end) in flat]
+            yield pa.RecordBatch.from_arrays([ids, items, *(column([x[c] for x in numbers], pa.int64()) for c in range(4))], names=[doc_id, item_id, "n_matched", "n_item", "start_token", "end_token"])
+
+    return docs.select(doc_id, text).mapInArrow(rows, schema)
 
 
 def _arrow(kind):
@@ -204,13 +246,10 @@ def _arrow(kind):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows that overlap no benchmark item, with all their columns; no shuffle."""
-    out = docs
-    for items in blocks(benchmark, item_id, item_text, block_tokens):
-        packed = docs.sparkSession.sparkContext.broadcast(Packed(items, masks))
+    run = found_in(parts_of(benchmark, item_id, item_text, masks, block_tokens), text)
 
-        def run(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(column([not packed.value.overlaps(t) for t in as_bytes(b, text)], pa.bool_()))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in run(batches):
+            yield b.filter(column([not x for x in found], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(rows, docs.schema)
