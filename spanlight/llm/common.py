@@ -75,6 +75,17 @@ class Staged:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, made longer until no column of the table has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def same(left, right):
     """Equality under which two nulls are equal."""
     return left.eqNullSafe(right)

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, quality_classifier, toxicity
+from .clustering import cluster_vectors
 from .common import table
 from .decontaminate import contaminated
 from .html_extract import extract_main_text
 from .mixing import mix
+from .private_data import personal_spans
 from .quality_rules import measure_quality
 from .simhash import near_duplicates
+from .spelling import SpellingOptions, group_spellings
 from .substring_dedup import remove_repeats
 from .url_filters import judge_urls
 
@@ -92,6 +95,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    told = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", told.alias("centroid_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"), SpellingOptions(typo_every=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -103,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_pii": op11_pii,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Control strings as a regular expression for the escaped length: backslashes double, control strings grow by one.
