@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import best_match, coverage, overlap_pairs
 from ..options import DetectorOptions
+from ..sources.tables import settled
 
 
 def boundary_errors(matches: DataFrame) -> DataFrame:
@@ -18,11 +19,13 @@ def evaluate(predicted: DataFrame, truth: DataFrame, videos: DataFrame, options:
     """One row: precision and recall by time, false seconds per hour, segment recall, confusion with own promotion, counts.
 
     truth: (video_id, truth_id, start_ms, end_ms, category or null); videos: (video_id, duration_ms).
-    Sums are taken per video first; only these meet in the last aggregate.
+    Sums are taken per video first; only these meet in the last aggregate. What several measures
+    read is a table.
     """
-    truth = truth.withColumn("category", F.coalesce("category", F.lit("paid-sponsor")))
+    predicted = settled(predicted.select("video_id", "start_ms", "end_ms", "category"), "predicted")
+    truth = settled(truth.select("video_id", "truth_id", "start_ms", "end_ms", F.coalesce("category", F.lit("paid-sponsor")).alias("category")), "truth")
     wanted, own = truth.filter(F.col("category").isin(*options.categories)), truth.filter("category = 'self-promotion'")
-    matches = best_match(wanted, predicted)
+    matches = settled(best_match(wanted, predicted), "matches")
     named = lambda df, name: df.withColumnRenamed("covered_ms", name)
     parts = [
         named(coverage(predicted), "predicted"),

@@ -11,20 +11,53 @@ from ..options import DetectorOptions
 COMMUNITY_GAP, DEFAULT_TRIM_S, MOST_TRIM_S = 10_000, 3.0, 60.0
 
 
-SLOT_MS = 60_000
+#: The cells of the lowest level are 2^LOWEST milliseconds wide; each further level's are 2^STEP times as wide.
+LOWEST, STEP, HIGHEST = 16, 2, 1022
 
 
-def meeting(left: DataFrame, right: DataFrame, width: float = SLOT_MS) -> DataFrame:
+def _level(start: Column, end: Column) -> Column:
+    """The lowest level whose cells are at least as wide as the interval, which so lies in two of them at most."""
+    bits = F.ceil(F.log2(F.greatest(end - start, F.lit(1.0))))
+    return F.least(F.lit(HIGHEST), F.greatest(F.lit(LOWEST), F.ceil((bits - LOWEST) / STEP) * STEP + LOWEST)).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level))
+
+
+def levels(df: DataFrame, start: str, end: str) -> Column:
+    """The levels that the table's intervals have, a handful, as an array for any other table's rows."""
+    return df.filter(_proper(start, end)).agg(F.collect_set(_level(F.col(start), F.col(end))).alias("levels")).scalar()
+
+
+def _proper(start: str, end: str) -> str:
+    """Both times are finite and in order."""
+    return f"{end} >= {start} and abs({start}) < double('infinity') and abs({end}) < double('infinity')"
+
+
+def celled(df: DataFrame, start: str, end: str, others: Column, own: str) -> DataFrame:
+    """A row per cell that an interval covers on its own level and on those higher levels that occur in `others`: adds own (its level), __level and __cell."""
+    rows = df.withColumn(own, _level(F.col(start), F.col(end))).withColumn("__others", others)
+    mine = F.array_distinct(F.concat(F.array(own), F.filter("__others", lambda x: x > F.col(own))))
+    rows = rows.withColumn("__level", F.explode(mine)).drop("__others")
+    return rows.withColumn("__cell", F.explode(F.sequence(_cell(F.col(start), F.col("__level")), _cell(F.col(end), F.col("__level")))))
+
+
+def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of left (video_id, start_ms, end_ms, ...) and right (video_id, r_start, r_end, ...) rows of one video whose times touch.
 
-    Times are cut into slots, so rows of a long video meet only those near them; a pair that
-    shares several slots meets in the first of them. Both ends count.
+    Time is cut into cells of powers of two. An interval stands in the one or two cells of the level of its
+    length, and in those above them on the levels that the other table's longer intervals have; a pair
+    meets on the level of the longer one, in the first cell that both share. So an interval of any length is
+    a few rows, and long ones meet short ones without being cut up. Both ends count; intervals
+    that end before they start, or have no finite times, meet none.
     """
-    slots = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    a = left.filter("end_ms >= start_ms").withColumn("__slot", slots("start_ms", "end_ms"))
-    b = right.filter("r_end >= r_start").withColumn("__slot", slots("r_start", "r_end"))
-    both = a.join(b, ["video_id", "__slot"]).filter("r_start <= end_ms and r_end >= start_ms")
-    return both.filter(F.col("__slot") == F.floor(F.greatest("start_ms", "r_start") / width)).drop("__slot")
+    a, b = left.filter(_proper("start_ms", "end_ms")), right.filter(_proper("r_start", "r_end"))
+    a = celled(a, "start_ms", "end_ms", levels(right, "r_start", "r_end"), "__left")
+    b = celled(b, "r_start", "r_end", levels(left, "start_ms", "end_ms"), "__right")
+    both = a.join(b, ["video_id", "__level", "__cell"]).filter("r_start <= end_ms and r_end >= start_ms")
+    first = _cell(F.greatest("start_ms", "r_start"), F.col("__level"))
+    return both.filter((F.col("__level") == F.greatest("__left", "__right")) & (F.col("__cell") == first)).drop("__level", "__cell", "__left", "__right")
 
 
 def islands(df: DataFrame, gap: float, order: list[str], keys: list[str] = ["video_id"]) -> DataFrame:
@@ -71,12 +104,12 @@ def normalize_segments(segments: DataFrame, source: str) -> DataFrame:
     return out.select("video_id", F.col("f.start_ms").alias("start_ms"), "end_ms", "f.source", "f.confidence", "f.reason", "auto_skip", F.col("m.model").alias("model"))
 
 
-def merge_answers(segments: DataFrame) -> DataFrame:
+def merge_answers(segments: DataFrame, keys: list[str] = ["video_id"]) -> DataFrame:
     """Merges within a second: the strongest confidence, paid-sponsor where categories differ, reasons joined in order."""
     rank = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
-    rows = islands(segments.withColumn("rank", rank), 1000, ["start_ms", "end_ms", "category", "reason"])
+    rows = islands(segments.withColumn("rank", rank), 1000, ["start_ms", "end_ms", "category", "reason"], keys)
     item = F.struct("start_ms", "end_ms", "category", "reason", "rank", "confidence")
-    runs = rows.groupBy("video_id", "island").agg(
+    runs = rows.groupBy(*keys, "island").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
         F.max(F.struct("rank", "confidence")).confidence.alias("confidence"),
@@ -86,7 +119,7 @@ def merge_answers(segments: DataFrame) -> DataFrame:
     reasons = F.transform("items", lambda x: x.reason)
     # The set is of whole strings: what is joined so far is compared with the next reason.
     joined = F.aggregate(F.slice(reasons, 2, F.greatest(F.size(reasons), F.lit(1))), F.element_at(reasons, 1), lambda acc, r: F.when(acc == r, acc).otherwise(F.substring(F.concat(acc, F.lit("; "), r), 1, 160)))
-    return runs.select("video_id", "start_ms", "end_ms", "confidence", "category", joined.alias("reason"))
+    return runs.select(*keys, "start_ms", "end_ms", "confidence", "category", joined.alias("reason"))
 
 
 def merge_ranges(candidates: DataFrame, context: Column, keys: list[str] = ["video_id"]) -> DataFrame:
@@ -167,19 +200,24 @@ def match_candidates(candidates: DataFrame, answers: DataFrame) -> DataFrame:
 
 def suppress_undone(segments: DataFrame, undone: DataFrame, cancelled: DataFrame, least_s: float = 0.25) -> DataFrame:
     """Segments (video_id, start_s, end_s, key) that no undone range overlaps by more than least_s and whose key is not cancelled."""
-    u = undone.select(F.col("video_id").alias("__v"), F.col("start_s").alias("u_start"), F.col("end_s").alias("u_end"))
-    overlap = (segments.video_id == u["__v"]) & (F.least(segments.end_s, u.u_end) - F.greatest(segments.start_s, u.u_start) > least_s)
-    return segments.join(u, overlap, "left_anti").join(cancelled.select("video_id", "key"), ["video_id", "key"], "left_anti")
+    ms = lambda df, start, end: df.select("video_id", "start_s", "end_s", (F.col("start_s") * 1000).alias(start), (F.col("end_s") * 1000).alias(end))
+    met = meeting(ms(segments, "start_ms", "end_ms").distinct(), ms(undone, "r_start", "r_end").withColumnsRenamed({"start_s": "u_start", "end_s": "u_end"}))
+    gone = met.filter(F.least("end_s", "u_end") - F.greatest("start_s", "u_start") > least_s).select("video_id", "start_s", "end_s").distinct()
+    return segments.join(gone, ["video_id", "start_s", "end_s"], "left_anti").join(cancelled.select("video_id", "key"), ["video_id", "key"], "left_anti")
 
 
 def label_positions(positions: DataFrame, segments: DataFrame, soon_s: float = 15.0) -> DataFrame:
     """(video_id, event_id, pos_s, skip_to, next_start): the end of the first segment around a position, else the nearest start ahead.
 
-    Segments become minute slots, so a position meets only those near it.
+    A position stands in the cells of the levels that segments have, so it meets those near it
+    and long ones around it, a row each; one that meets none is kept.
     """
-    slots = segments.withColumn("slot", F.explode(F.sequence(F.floor((F.col("start_s") - soon_s) / 60), F.floor(F.col("end_s") / 60)))).select(F.col("video_id").alias("__v"), "slot", "start_s", "end_s")
-    p = positions.withColumn("__slot", F.floor(F.col("pos_s") / 60))
-    near = p.join(slots, (p.video_id == slots["__v"]) & (p["__slot"] == slots.slot) & (p.pos_s >= slots.start_s - soon_s) & (p.pos_s < slots.end_s), "left")
+    s = segments.select(F.col("video_id").alias("__v"), "start_s", "end_s", ((F.col("start_s") - soon_s) * 1000).alias("__from"), (F.col("end_s") * 1000).alias("__to"))
+    s = s.filter(_proper("__from", "__to"))
+    cells = celled(s, "__from", "__to", F.array().cast("array<int>"), "__own").select("__v", F.col("__level").alias("__l"), F.col("__cell").alias("__c"), "start_s", "end_s")
+    p = positions.withColumn("__levels", levels(s, "__from", "__to")).withColumn("__level", F.explode_outer("__levels"))
+    p = p.withColumn("__cell", _cell(F.col("pos_s") * 1000, F.col("__level")))
+    near = p.join(cells, (p.video_id == cells["__v"]) & (p["__level"] == cells["__l"]) & (p["__cell"] == cells["__c"]) & (p.pos_s >= cells.start_s - soon_s) & (p.pos_s < cells.end_s), "left")
     inside = (F.col("pos_s") >= F.col("start_s")) & (F.col("pos_s") < F.col("end_s"))
     found = near.groupBy("video_id", "event_id", "pos_s").agg(F.min(F.when(inside, F.struct("start_s", "end_s"))).alias("i"), F.min(F.when(~inside & (F.col("start_s") > F.col("pos_s")), F.col("start_s"))).alias("ahead"))
     return found.select("video_id", "event_id", "pos_s", F.col("i.end_s").alias("skip_to"), F.when(F.col("i").isNull(), F.col("ahead")).alias("next_start"))

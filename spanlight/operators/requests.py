@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import merge_answers
+from ..sources.tables import settled
+from .chunks import CHUNK_CHARS, OVERLAP_MS, chunk_pointers, chunk_ranges, chunk_video
+from .intervals import meeting, merge_answers, merge_ranges
 
-CHUNK_CHARS, OVERLAP_MS, GAP_MS, FILL = 28_000, 90_000.0, 1_200.0, 0.75
 EDGE_MS, SEAM_MS = 30_000.0, 120_000.0
 MOST_ITEMS, MOST_MS, REASON_CHARS = 20, 300_000.0, 160
 CACHE_MS, CACHE_ENTRIES = 30 * 24 * 3600 * 1000, 100
@@ -20,6 +19,8 @@ PROMPT = (
     "end_event is the first caption after the promotion. confidence is high or medium; category is paid-sponsor, affiliate or self-promotion. "
     "Candidate ranges, if given, are hints that may be wrong."
 )
+#: What a request for the captions around a seam says first.
+SEAM_TASK = "These captions are looked at again, since an earlier answer touched the edge of a chunk here. Give the whole promotion across that edge, or no segment if there is none."
 
 
 def seconds(ms):
@@ -32,46 +33,9 @@ def format_lines(events: DataFrame) -> DataFrame:
     return events.select("video_id", "event_idx", "start_ms", "end_ms", line.alias("line"))
 
 
-def _chunks(most: int, overlap: float):
-    """For applyInPandas over one video's (event_idx, start_ms, end_ms, size): the chunks' edges, each found in the running sizes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_idx", ignore_index=True)
-        start, end, n = pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy(), len(pdf)
-        upto = np.r_[0, np.cumsum(pdf["size"].to_numpy())]
-        pauses = np.flatnonzero(start[1:] - end[:-1] >= GAP_MS) + 1
-        reached = np.maximum.accumulate(end)
-        edges, at = [], 0
-        while at < n:
-            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
-            if stop < n:  # rather end before a pause in the last quarter
-                least = at + max(1, int((stop - at) * FILL))
-                k = int(np.searchsorted(pauses, stop, "right")) - 1
-                stop = int(pauses[k]) if k >= 0 and pauses[k] > least else stop
-            edges.append((at, stop))
-            if stop >= n:
-                break
-            # Back over the captions that end within the overlap, one after another.
-            low = int(np.searchsorted(reached, end[stop - 1] - overlap, "right"))
-            back = np.flatnonzero(end[max(low, at + 1) : stop] <= end[stop - 1] - overlap)
-            at = max(low, at + 1) + (int(back[-1]) + 1 if len(back) else 0)
-            at = min(at, stop)
-        first = int(pdf["event_idx"].iloc[0])
-        return pd.DataFrame([(pdf["video_id"].iloc[0], k, first + a, first + b) for k, (a, b) in enumerate(edges)], columns=["video_id", "chunk_id", "start_idx", "end_idx"])
-
-    return run
-
-
 def chunk_events(lines: DataFrame, most_chars: int = CHUNK_CHARS, overlap_ms: float = OVERLAP_MS) -> DataFrame:
-    """(video_id, chunk_id, start_idx, end_idx, text): overlapping chunks of a video's lines; end_idx is exclusive.
-
-    Each chunk starts from the one before, so the edges are found video by video, from four
-    numbers a caption; the texts are put together by a join and do not pass through Python.
-    """
-    kind = lines.schema["video_id"].dataType.simpleString()
-    sizes = lines.select("video_id", "event_idx", "start_ms", "end_ms", (F.length("line") + 1).alias("size"))
-    edges = sizes.groupBy("video_id").applyInPandas(_chunks(most_chars, overlap_ms), f"video_id {kind}, chunk_id int, start_idx int, end_idx int")
-    return chunk_lines(edges, lines)
+    """(video_id, chunk_id, start_idx, end_idx, text): overlapping chunks of a video's lines; end_idx is exclusive."""
+    return chunk_lines(chunk_video(lines, most_chars, overlap_ms), lines)
 
 
 def _first_caption(events: DataFrame, probes: DataFrame, by: str, include: bool) -> DataFrame:
@@ -99,6 +63,30 @@ def focused_ranges(events: DataFrame, ranges: DataFrame) -> DataFrame:
     return found.select("video_id", "range_id", start.alias("start_idx"), F.when(F.col("b").isNull(), F.col("last") + 1).otherwise(F.greatest("b", start)).alias("end_idx"))
 
 
+def job_ranges(plan: DataFrame, events: DataFrame) -> DataFrame:
+    """(video_id, job_id, range_id, start_idx, end_idx) of a plan (video_id, job_id, start_ms, end_ms, context_ms): the captions that each job looks at.
+
+    The candidates of a job are widened by their contexts and merged; a job without candidates
+    looks at its whole video. Jobs of videos without captions have no range.
+    """
+    keys = ["video_id", "job_id"]
+    wide = merge_ranges(plan.filter("start_ms is not null"), F.col("context_ms"), keys)
+    wide = wide.withColumn("range_id", F.row_number().over(W.partitionBy("video_id").orderBy("job_id", "start_ms")))
+    wide = settled(wide, "ranges")
+    focused = focused_ranges(events, wide.select("video_id", "range_id", "start_ms", "end_ms")).join(wide.select(*keys, "range_id"), ["video_id", "range_id"])
+    size = events.groupBy("video_id").agg((F.max("event_idx") + 1).cast("int").alias("end_idx"))
+    whole = plan.filter("start_ms is null").select(keys).distinct().join(size, "video_id")
+    cols = [*keys, "range_id", "start_idx", "end_idx"]
+    return focused.select(cols).unionByName(whole.select(*keys, F.lit(0).alias("range_id"), F.lit(0).alias("start_idx"), "end_idx"))
+
+
+def job_chunks(lines: DataFrame, ranges: DataFrame, most_chars: int = CHUNK_CHARS, overlap_ms: float = OVERLAP_MS) -> DataFrame:
+    """(video_id, job_id, chunk_id, range_id, start_idx, end_idx): the chunks of all ranges of a job, numbered in order."""
+    found = chunk_ranges(chunk_pointers(lines, most_chars, overlap_ms), ranges, ["job_id", "range_id"])
+    number = F.row_number().over(W.partitionBy("video_id", "job_id").orderBy("range_id", "chunk_id")) - 1
+    return found.withColumn("chunk_id", number).select("video_id", "job_id", "chunk_id", "range_id", "start_idx", "end_idx")
+
+
 def chunk_lines(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     """Adds text to chunks (video_id, start_idx, end_idx, ...): their lines, joined by line feeds; each line is met by its number."""
     each = chunks.withColumn("event_idx", F.explode(F.sequence(F.col("start_idx"), F.col("end_idx") - 1)))
@@ -107,13 +95,20 @@ def chunk_lines(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     return met.groupBy(*chunks.columns).agg(text.alias("text"))
 
 
-def candidate_hints(chunks: DataFrame, events: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(video_id, chunk_id, hints): a line per candidate that meets the chunk's time, in order."""
-    times = chunk_times(chunks, events)
-    c = candidates.filter("end_ms > start_ms").select(F.col("video_id").alias("__v"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "confidence")
-    line = F.concat(F.lit("- "), seconds(F.col("s")), F.lit("-"), seconds(F.col("e")), F.lit(" seconds ("), F.coalesce("confidence", F.lit("unknown")), F.lit(" local confidence)"))
-    met = times.join(c, (times.video_id == c["__v"]) & (c.s <= times.to_ms) & (c.e >= times.from_ms)).select("video_id", "chunk_id", F.struct("s", "e", line.alias("line")).alias("h"))
-    return met.groupBy("video_id", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("h")), lambda h: h.line), "\n").alias("hints"))
+def candidate_hints(chunks: DataFrame, events: DataFrame, candidates: DataFrame, keys: list[str] = ["chunk_id"]) -> DataFrame:
+    """(video_id, keys, hints): a line per candidate that meets the chunk's time, in order.
+
+    Candidates may carry some of the keys, as their job_id; they then hint at chunks with the same.
+    """
+    own = [k for k in keys if k in candidates.columns]
+    times = chunk_times(chunks, events).select("video_id", *keys, F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
+    line = F.concat(F.lit("- "), seconds(F.col("start_ms")), F.lit("-"), seconds(F.col("end_ms")), F.lit(" seconds ("), F.coalesce("confidence", F.lit("unknown")), F.lit(" local confidence)"))
+    told = candidates.filter("end_ms > start_ms").select("video_id", *(F.col(k).alias(f"r_{k}") for k in own), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), line.alias("line"))
+    met = meeting(times, told)
+    for k in own:
+        met = met.filter(F.col(k) == F.col(f"r_{k}"))
+    h = met.select("video_id", *keys, F.struct("r_start", "r_end", "line").alias("h"))
+    return h.groupBy("video_id", *keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("h")), lambda h: h.line), "\n").alias("hints"))
 
 
 def chunk_times(chunks: DataFrame, events: DataFrame) -> DataFrame:
@@ -125,20 +120,21 @@ def chunk_times(chunks: DataFrame, events: DataFrame) -> DataFrame:
     return last.join(size, "video_id")
 
 
-def llm_requests(chunks: DataFrame, hints: DataFrame, model: str) -> DataFrame:
-    """(video_id, chunk_id, request): chat requests as JSON."""
-    rows = chunks.join(hints, ["video_id", "chunk_id"], "left")
+def llm_requests(chunks: DataFrame, hints: DataFrame, model: str, keys: list[str] = ["chunk_id"], task: str = "") -> DataFrame:
+    """(video_id, keys, request): chat requests as JSON; task is what stands before the captions."""
+    rows = chunks.join(hints, ["video_id", *keys], "left")
     hint = F.when(F.coalesce("hints", F.lit("")) != "", F.concat(F.lit("Candidates:\n"), F.col("hints"), F.lit("\n\n"))).otherwise("")
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    body = F.struct(F.lit(model).alias("model"), F.lit(0.1).alias("temperature"), F.array(message("system", F.lit(PROMPT)), message("user", F.concat(hint, F.lit("Captions:\n"), F.col("text")))).alias("messages"))
-    return rows.select("video_id", "chunk_id", F.to_json(body).alias("request"))
+    told = F.concat(F.lit(f"{task}\n\n" if task else ""), hint, F.lit("Captions:\n"), F.col("text"))
+    body = F.struct(F.lit(model).alias("model"), F.lit(0.1).alias("temperature"), F.array(message("system", F.lit(PROMPT)), message("user", told)).alias("messages"))
+    return rows.select("video_id", *keys, F.to_json(body).alias("request"))
 
 
 ANSWER = "struct<segments:array<struct<start_event:string,end_event:string,confidence:string,category:string,reason:string>>>"
 
 
-def answer_items(responses: DataFrame) -> DataFrame:
-    """(video_id, chunk_id, items, error): the items of each chat payload, or why there are none."""
+def answer_items(responses: DataFrame, keys: list[str] = ["video_id", "chunk_id"]) -> DataFrame:
+    """(keys, items, error): the items of each chat payload, or why there are none."""
     content = F.get_json_object("payload", "$.choices[0].message.content")
     parts = F.from_json(content, "array<struct<text:string>>")
     text = F.trim(F.when(content.startswith("["), F.coalesce(F.array_join(F.transform(parts, lambda p: p.text), ""), content)).otherwise(content))
@@ -146,56 +142,63 @@ def answer_items(responses: DataFrame) -> DataFrame:
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     items = F.from_json(F.when(F.try_parse_json(inner).isNotNull(), inner), ANSWER).segments
     error = F.when(content.isNull(), "no message content").when(F.try_parse_json(inner).isNull() | (inner == ""), "no JSON object").when(items.isNull(), "no segments array")
-    return responses.select("video_id", "chunk_id", items.alias("items"), error.alias("error"))
+    return responses.select(*keys, items.alias("items"), error.alias("error"))
 
 
-def parse_answers(responses: DataFrame, chunks: DataFrame, events: DataFrame) -> DataFrame:
-    """(video_id, chunk_id, start_ms, end_ms, confidence, category, reason): valid items among the first 20 of each answer."""
-    rows = answer_items(responses).select("video_id", "chunk_id", F.posexplode(F.slice("items", 1, MOST_ITEMS)).alias("pos", "i"))
+def parse_answers(responses: DataFrame, chunks: DataFrame, events: DataFrame, keys: list[str] = ["chunk_id"]) -> DataFrame:
+    """(video_id, keys, start_ms, end_ms, confidence, category, reason): valid items among the first 20 of each answer."""
+    rows = answer_items(responses, ["video_id", *keys]).select("video_id", *keys, F.posexplode(F.slice("items", 1, MOST_ITEMS)).alias("pos", "i"))
     whole = lambda c: F.expr(f"try_cast(i.{c} AS INT)")
     kind = F.translate(F.lower(F.trim("i.category")), "_", "-")
     kind = F.when(kind == "sponsor", "paid-sponsor").when(kind == "self-promo", "self-promotion").when(kind.isin("paid-sponsor", "affiliate", "self-promotion"), kind)
     sure = F.lower("i.confidence")
     reason = F.substring(F.trim(F.regexp_replace(F.coalesce("i.reason", F.lit("")), r"\s+", " ")), 1, REASON_CHARS)
-    rows = rows.select("video_id", "chunk_id", whole("start_event").alias("a"), whole("end_event").alias("b"), F.when(sure.isin("high", "medium"), sure).alias("confidence"), kind.alias("category"), F.when(reason == "", "detected promotion").otherwise(reason).alias("reason"))
-    rows = rows.join(chunks.select("video_id", "chunk_id", "start_idx", "end_idx"), ["video_id", "chunk_id"])
+    rows = rows.select("video_id", *keys, whole("start_event").alias("a"), whole("end_event").alias("b"), F.when(sure.isin("high", "medium"), sure).alias("confidence"), kind.alias("category"), F.when(reason == "", "detected promotion").otherwise(reason).alias("reason"))
+    rows = rows.join(chunks.select("video_id", *keys, "start_idx", "end_idx"), ["video_id", *keys])
     rows = rows.filter("a >= start_idx and b <= end_idx and b > a and confidence is not null and category is not null")
     start = events.select("video_id", F.col("event_idx").alias("a"), "start_ms")
     after = events.select("video_id", F.col("event_idx").alias("b"), F.col("start_ms").alias("after_ms"))
     close = events.groupBy("video_id").agg(F.max_by("end_ms", "event_idx").alias("close_ms"))
     out = rows.join(start, ["video_id", "a"]).join(after, ["video_id", "b"], "left").join(close, "video_id").withColumn("end_ms", F.coalesce("after_ms", "close_ms"))
-    return out.filter(f"end_ms > start_ms and end_ms - start_ms <= {MOST_MS}").select("video_id", "chunk_id", "start_ms", "end_ms", "confidence", "category", "reason")
+    return out.filter(f"end_ms > start_ms and end_ms - start_ms <= {MOST_MS}").select("video_id", *keys, "start_ms", "end_ms", "confidence", "category", "reason")
 
 
-def seam_edges(segments: DataFrame, chunks: DataFrame, events: DataFrame) -> DataFrame:
-    """(video_id, chunk_id, start_ms, end_ms, center_ms): segments near an inner edge of their chunk, and that edge."""
-    s = segments.join(chunk_times(chunks, events).select("video_id", "chunk_id", "start_idx", "end_idx", "from_ms", "to_ms", "captions"), ["video_id", "chunk_id"])
-    cols = ("video_id", "chunk_id", "start_ms", "end_ms")
+def seam_edges(segments: DataFrame, chunks: DataFrame, events: DataFrame, job: list[str] = []) -> DataFrame:
+    """(video_id, job, chunk_id, start_ms, end_ms, center_ms): segments near an inner edge of their chunk, and that edge."""
+    keys = ["video_id", *job, "chunk_id"]
+    s = segments.join(chunk_times(chunks, events).select(*keys, "start_idx", "end_idx", "from_ms", "to_ms", "captions"), keys)
+    cols = (*keys, "start_ms", "end_ms")
     low = s.filter((F.col("start_idx") > 0) & (F.col("start_ms") <= F.col("from_ms") + EDGE_MS)).select(*cols, F.col("from_ms").alias("center_ms"))
     high = s.filter((F.col("end_idx") < F.col("captions")) & (F.col("end_ms") >= F.col("to_ms") - EDGE_MS)).select(*cols, F.col("to_ms").alias("center_ms"))
     return low.unionByName(high)
 
 
-def seam_centers(edges: DataFrame) -> DataFrame:
-    """(video_id, seam, center_ms): edges at most two minutes from the one before form a seam; its centre is their mean."""
-    order = W.partitionBy("video_id").orderBy("center_ms")
+def seam_centers(edges: DataFrame, job: list[str] = []) -> DataFrame:
+    """(video_id, job, seam, center_ms): edges at most two minutes from the one before form a seam; its centre is their mean."""
+    order = W.partitionBy("video_id", *job).orderBy("center_ms")
     opens = F.when(F.coalesce(F.col("center_ms") - F.lag("center_ms").over(order) <= SEAM_MS, F.lit(False)), 0).otherwise(1)
     seams = edges.withColumn("__o", opens).withColumn("seam", F.sum("__o").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return seams.groupBy("video_id", "seam").agg(F.avg("center_ms").alias("center_ms"))
+    return seams.groupBy("video_id", *job, "seam").agg(F.avg("center_ms").alias("center_ms"))
+
+
+def seam_ranges(centers: DataFrame, events: DataFrame, context_ms: float = SEAM_MS, job: list[str] = []) -> DataFrame:
+    """(video_id, job, seam, start_idx, end_idx): the captions around each seam."""
+    ids = centers.withColumn("range_id", F.row_number().over(W.partitionBy("video_id").orderBy(*job, "seam")))
+    ranges = ids.select("video_id", "range_id", (F.col("center_ms") - context_ms).alias("start_ms"), (F.col("center_ms") + context_ms).alias("end_ms"))
+    around = focused_ranges(events, ranges).join(ids.select("video_id", *job, "seam", "range_id"), ["video_id", "range_id"])
+    return around.select("video_id", *job, "seam", "start_idx", "end_idx")
 
 
-def seam_chunks(centers: DataFrame, events: DataFrame, context_ms: float = SEAM_MS) -> DataFrame:
-    """(video_id, seam, start_idx, end_idx, text): the lines around each seam."""
-    ranges = centers.select("video_id", F.col("seam").alias("range_id"), (F.col("center_ms") - context_ms).alias("start_ms"), (F.col("center_ms") + context_ms).alias("end_ms"))
-    around = focused_ranges(events, ranges)
-    return chunk_lines(around.withColumnRenamed("range_id", "seam"), format_lines(events))
+def seam_chunks(centers: DataFrame, events: DataFrame, context_ms: float = SEAM_MS, job: list[str] = []) -> DataFrame:
+    """(video_id, job, seam, start_idx, end_idx, text): the lines around each seam."""
+    return chunk_lines(seam_ranges(centers, events, context_ms, job), format_lines(events))
 
 
-def replace_seam_segments(segments: DataFrame, edges: DataFrame, repaired: DataFrame) -> DataFrame:
+def replace_seam_segments(segments: DataFrame, edges: DataFrame, repaired: DataFrame, job: list[str] = []) -> DataFrame:
     """Segments without those at a seam, with the repaired ones, merged."""
-    keys = ["video_id", "chunk_id", "start_ms", "end_ms"]
-    cols = ["video_id", "start_ms", "end_ms", "confidence", "category", "reason"]
-    return merge_answers(segments.join(edges.select(keys).distinct(), keys, "left_anti").select(cols).unionByName(repaired.select(cols)))
+    keys = ["video_id", *job, "chunk_id", "start_ms", "end_ms"]
+    cols = ["video_id", *job, "start_ms", "end_ms", "confidence", "category", "reason"]
+    return merge_answers(segments.join(edges.select(keys).distinct(), keys, "left_anti").select(cols).unionByName(repaired.select(cols)), ["video_id", *job])
 
 
 def cache_keys(events: DataFrame, jobs: DataFrame, version: str = "1") -> DataFrame:

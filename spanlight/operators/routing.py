@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_handle
 from ..sources.tables import settled
-from .intervals import matches_candidate, normalize_segments
+from .intervals import match_candidates, matches_candidate, meeting, normalize_segments, trim_segments
 
 SHORT_MS, SHORT_CONTEXT_MS, LEAST_CONTEXT_MS, MOST_CONTEXT_MS = 25_000, 60_000, 90_000, 240_000
 
@@ -47,7 +48,7 @@ def deliverable(local: DataFrame, llm_enabled: bool = True) -> DataFrame:
 
 
 def llm_plan(videos: DataFrame, local: DataFrame, community: DataFrame) -> DataFrame:
-    """(video_id, kind, start_ms, end_ms, context_ms): verification jobs of the videos (video_id, mode) that need the model.
+    """(video_id, kind, start_ms, end_ms, context_ms, confidence): verification jobs of the videos (video_id, mode) that need the model.
 
     A community hit needs none, nor does a video whose local segments are all sure and long.
     Unsure segments are verified in a context of twice their length within bounds; else short
@@ -62,44 +63,58 @@ def llm_plan(videos: DataFrame, local: DataFrame, community: DataFrame) -> DataF
     jobs = ranked.join(top.filter("top > 0"), "video_id").filter("rank = top")
     context = F.when(F.col("rank") == 2, F.least(F.lit(float(MOST_CONTEXT_MS)), F.greatest(F.lit(float(LEAST_CONTEXT_MS)), length * 2))).otherwise(float(SHORT_CONTEXT_MS))
     kind = F.when(F.col("rank") == 2, "candidate-verification").otherwise("short-verification")
-    named = jobs.select("video_id", kind.alias("kind"), "start_ms", "end_ms", context.alias("context_ms"))
+    named = jobs.select("video_id", kind.alias("kind"), "start_ms", "end_ms", context.alias("context_ms"), "confidence")
     no = F.lit(None).cast("double")
-    return named.unionByName(top.filter("top is null").select("video_id", F.lit("fallback").alias("kind"), no.alias("start_ms"), no.alias("end_ms"), no.alias("context_ms")))
+    return named.unionByName(top.filter("top is null").select("video_id", F.lit("fallback").alias("kind"), no.alias("start_ms"), no.alias("end_ms"), no.alias("context_ms"), F.lit(None).cast("string").alias("confidence")))
+
+
+def numbered_jobs(plan: DataFrame) -> DataFrame:
+    """Adds job_id to a plan: a number per job of a video, in the order of times."""
+    return plan.withColumn("job_id", F.row_number().over(W.partitionBy("video_id").orderBy("start_ms", "end_ms", "confidence")) - 1)
 
 
 def combine_verified(local: DataFrame, answers: DataFrame, plan: DataFrame) -> DataFrame:
     """(video_id, start_ms, end_ms, origin): local segments that verification leaves, and the answers."""
-    kind = plan.select("video_id", "kind").distinct()
-    rows = local.join(kind, "video_id")
-    a = answers.select(F.col("video_id").alias("__v"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
-    confirmed = (rows.video_id == a["__v"]) & matches_candidate(rows.start_ms, rows.end_ms, a.a_start, a.a_end)
-    jobs = plan.filter("start_ms is not null").select(F.col("video_id").alias("__p"), F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
-    inside = lambda df: df.join(jobs, (df.video_id == jobs["__p"]) & (df.start_ms == jobs.p_start) & (df.end_ms == jobs.p_end), "left_anti")
-    verified = inside(rows.filter("kind = 'candidate-verification'").join(a, confirmed, "left_anti"))
-    kept = verified.unionByName(inside(rows.filter("kind = 'short-verification'")))
-    cut = lambda df, name: df.select("video_id", "start_ms", "end_ms", F.lit(name).alias("origin"))
+    kind, span = plan.select("video_id", "kind").distinct(), ["video_id", "start_ms", "end_ms"]
+    rows = local.join(kind, "video_id").filter("kind <> 'fallback'")
+    planned = plan.filter("start_ms is not null").select(span)
+    confirmed = match_candidates(rows.filter("kind = 'candidate-verification'").select(span).distinct(), answers).select(span)
+    kept = rows.join(planned.unionByName(confirmed).distinct(), span, "left_anti")
+    cut = lambda df, name: df.select(*span, F.lit(name).alias("origin"))
     return cut(kept, "local").unionByName(cut(answers.join(kind, "video_id", "left_semi"), "llm"))
 
 
 def accepted_answers(answers: DataFrame, plan: DataFrame) -> DataFrame:
-    """The answers of planned videos: all of a whole scan, else those that confirm a candidate of the plan."""
+    """The answers of planned videos: all of a whole scan, else those that confirm a candidate of the plan; of their own job, if answers have a job_id."""
+    own = [k for k in ("job_id",) if k in answers.columns]
+    span = ["video_id", *own, "start_ms", "end_ms"]
     a = answers.join(plan.select("video_id", "kind").distinct(), "video_id")
-    jobs = plan.filter("start_ms is not null").select(F.col("video_id").alias("__p"), F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
-    confirms = (a.video_id == jobs["__p"]) & matches_candidate(jobs.p_start, jobs.p_end, a.start_ms, a.end_ms)
-    return a.filter("kind = 'fallback'").unionByName(a.filter("kind <> 'fallback'").join(jobs, confirms, "left_semi")).drop("kind")
+    jobs = plan.filter("start_ms is not null").select(span)
+    asked = a.filter("kind <> 'fallback'")
+    met = meeting(jobs, asked.select("video_id", *(F.col(k).alias(f"r_{k}") for k in own), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")))
+    for k in own:
+        met = met.filter(F.col(k) == F.col(f"r_{k}"))
+    confirming = met.filter(matches_candidate(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")))
+    confirming = confirming.select("video_id", *own, F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
+    return a.filter("kind = 'fallback'").unionByName(asked.join(confirming, span, "left_semi").select(a.columns)).drop("kind")
 
 
-def deliver(videos: DataFrame, community: DataFrame, local: DataFrame, answers: DataFrame, failed: DataFrame) -> DataFrame:
+def deliver(videos: DataFrame, community: DataFrame, local: DataFrame, answers: DataFrame, failed: DataFrame, blocked: DataFrame | None = None, trims: tuple[Column | None, Column | None] | None = None) -> DataFrame:
     """Segments as they are delivered: (video_id, start_ms, end_ms, source, confidence, reason, auto_skip, model).
 
-    videos: (video_id, mode); failed: (video_id) whose model call failed. A hit delivers the
-    community's segments. Without a plan the local ones go out under the mode's name. What the
-    model verified replaces what was planned, unless it has nothing to say: then the sure long
-    segments that needed no verification stay. After a failed call all sure segments go out.
+    videos: (video_id, mode), with handle if there are blocked channels (handle), whose videos get
+    nothing, and with llm where the model is off for some: these get all their local segments. failed: (video_id)
+    whose model call failed. A hit delivers the community's segments. Without a plan the local
+    ones go out under the mode's name. What the model verified replaces what was planned, unless
+    it has nothing to say: then the sure long segments that needed no verification stay. After a
+    failed call all sure segments go out. With trims, in seconds or null for the default, edges are cut.
     What several steps read is a table.
     """
+    if blocked is not None:
+        videos = settled(drop_blocked(videos, blocked), "open")
     asked = with_hits(videos, community)
-    plan = settled(llm_plan(videos, local, community), "plan")
+    plan = llm_plan(videos.filter("llm") if "llm" in videos.columns else videos, local, community)
+    plan = settled(numbered_jobs(plan) if "job_id" in answers.columns else plan, "plan")
     own = local.join(asked.filter("not hit and mode <> 'sponsorblock-only'").select("video_id", F.col("mode").alias("source")), "video_id")
     own = settled(own, "own")
     planned, lost = plan.select("video_id", "kind").distinct(), failed.select("video_id").distinct()
@@ -118,4 +133,5 @@ def deliver(videos: DataFrame, community: DataFrame, local: DataFrame, answers:
     found = mine.select(cols).unionByName(sure.select(cols)).unionByName(silent.select(cols)).unionByName(alone.select(cols))
     theirs = accepted.join(spoken, "video_id", "left_semi")
     hits = community.join(asked.filter("hit").select("video_id"), "video_id", "left_semi")
-    return normalize_segments(found.unionByName(theirs.select(theirs.columns), allowMissingColumns=True), "local").unionByName(normalize_segments(hits, "sponsorblock"))
+    out = normalize_segments(found.unionByName(theirs.select(theirs.columns), allowMissingColumns=True), "local").unionByName(normalize_segments(hits, "sponsorblock"))
+    return out if trims is None else trim_segments(out, *trims)

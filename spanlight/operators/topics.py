@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..options import DetectorOptions
+from ..sources.tables import settled
 from .intervals import meeting
 
 
@@ -18,17 +19,25 @@ def caption_tokens(events: DataFrame) -> DataFrame:
 
 def document_frequency(events: DataFrame) -> DataFrame:
     """(video_id, token, df, idf): in how many captions of the video a token occurs; idf = ln((captions + 1) / (df + 1)) + 1."""
-    df = caption_tokens(events).groupBy("video_id", "token").agg(F.count("*").alias("df"))
+    return _frequency(caption_tokens(events), events)
+
+
+def _frequency(tokens: DataFrame, events: DataFrame) -> DataFrame:
+    df = tokens.groupBy("video_id", "token").agg(F.count("*").alias("df"))
     size = events.groupBy("video_id").agg(F.count("*").alias("captions"))
     return df.join(size, "video_id").select("video_id", "token", "df", (F.log((F.col("captions") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def topic_vectors(windows: DataFrame, events: DataFrame) -> DataFrame:
-    """(video_id, window_id, token, weight) of windows (video_id, window_id, from_ms, to_ms): (1 + ln count) * idf, edges included."""
-    words = caption_tokens(events).select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "token", "n")
+    """(video_id, window_id, token, weight) of windows (video_id, window_id, from_ms, to_ms): (1 + ln count) * idf, edges included.
+
+    The tokens of captions, which several steps read, are a table.
+    """
+    tokens = settled(caption_tokens(events), "tokens")
+    words = tokens.select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "token", "n")
     stretches = windows.select("video_id", "window_id", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
     counts = meeting(stretches, words).groupBy("video_id", "window_id", "token").agg(F.sum("n").alias("n"))
-    return counts.join(document_frequency(events), ["video_id", "token"]).select("video_id", "window_id", "token", ((1 + F.log("n")) * F.col("idf")).alias("weight"))
+    return counts.join(_frequency(tokens, events), ["video_id", "token"]).select("video_id", "window_id", "token", ((1 + F.log("n")) * F.col("idf")).alias("weight"))
 
 
 def topic_similarity(left: DataFrame, right: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:

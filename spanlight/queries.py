@@ -705,14 +705,17 @@ def owned(spark, sf_dir):
     return e.join(handles(spark, sf_dir).withColumnRenamed("c_custkey", "video_id"), "video_id")
 
 
+def blocked(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 = 0").select(F.concat(F.lit(" "), F.upper("c_name")).alias("handle"))
+
+
 @query(
     f"""SELECT video_id FROM {OWNED} o WHERE trim(handle) = '' OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND lower(trim(o.handle, ' @')) = lower(c_name))"""
 )
 def j1_drop_blocked(spark, sf_dir):
     from .operators.routing import drop_blocked
 
-    listed = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 = 0").select(F.concat(F.lit(" "), F.upper("c_name")).alias("handle"))
-    return drop_blocked(owned(spark, sf_dir), listed).select("video_id")
+    return drop_blocked(owned(spark, sf_dir), blocked(spark, sf_dir)).select("video_id")
 
 
 MODES = "(SELECT DISTINCT user_id AS video_id, CASE user_id % 4 WHEN 0 THEN 'local-only' WHEN 1 THEN 'sponsorblock-only' ELSE 'local-fallback' END AS mode FROM events)"
@@ -765,7 +768,7 @@ def plan(spark, sf_dir):
 
 @query(PLAN)
 def l1_llm_plan(spark, sf_dir):
-    return plan(spark, sf_dir)
+    return plan(spark, sf_dir).drop("confidence")
 
 
 @query(
@@ -778,7 +781,8 @@ def l1_llm_plan(spark, sf_dir):
 def m8_combine_verified(spark, sf_dir):
     from .operators.routing import combine_verified
 
-    return combine_verified(sure(spark, sf_dir), sample(spark, sf_dir, D.ANSWERS), plan(spark, sf_dir))
+    rows = {"sure": sure(spark, sf_dir), "answers": sample(spark, sf_dir, D.ANSWERS), "plan": plan(spark, sf_dir)}
+    return combine_verified(*(settled(df, k) for k, df in rows.items()))
 
 
 FAILED = "(SELECT DISTINCT user_id AS video_id FROM events WHERE user_id % 11 = 3)"
@@ -812,6 +816,29 @@ def b1_deliver(spark, sf_dir):
     return deliver(rows["modes"], rows["theirs"], rows["sure"], rows["answers"], lost).select("video_id", "start_ms", "end_ms", "source")
 
 
+#: As MODES, without the videos of blocked channels; the model is off for every fifth video.
+_OPEN = f"(SELECT * FROM {MODES} o1 WHERE video_id NOT IN (SELECT video_id FROM {OWNED} o2 JOIN customer c ON c.c_custkey % 3 = 0 AND lower(trim(o2.handle, ' @')) = lower(c.c_name)))"
+
+
+@query(
+    f"""WITH d AS (SELECT *, lag(end_ms) OVER w AS before, lead(start_ms) OVER w AS after FROM (
+      {SQL["b1_deliver"].replace(MODES, _OPEN).replace("WHERE NOT (mode", "WHERE v.video_id % 5 <> 0 AND NOT (mode")}) x WINDOW w AS (PARTITION BY video_id, source ORDER BY start_ms, end_ms)),
+    t AS (SELECT video_id, source, start_ms + CASE WHEN source <> 'sponsorblock' OR before IS NULL OR start_ms - before > 10000 THEN 3000 ELSE 0 END AS start_ms,
+      end_ms - CASE WHEN source <> 'sponsorblock' OR after IS NULL OR after - end_ms > 10000 THEN 3000 ELSE 0 END AS end_ms FROM d)
+    SELECT video_id, start_ms, end_ms, source FROM t WHERE end_ms > start_ms"""
+)
+def b2_deliver_trimmed(spark, sf_dir):
+    """As b1, with blocked channels, the model off for some videos, and trimmed edges."""
+    from .operators.routing import deliver
+
+    modes = moded(spark, sf_dir).withColumn("llm", F.col("video_id") % 5 != 0).join(owned(spark, sf_dir), "video_id", "left")
+    made = {"modes": modes, "theirs": community(spark, sf_dir), "sure": sure(spark, sf_dir), "answers": sample(spark, sf_dir, D.ANSWERS)}
+    rows = {k: settled(df, k) for k, df in made.items()}
+    lost = rows["modes"].select("video_id").filter("video_id % 11 = 3")
+    out = deliver(rows["modes"], rows["theirs"], rows["sure"], rows["answers"], lost, blocked(spark, sf_dir), (None, None))
+    return out.select("video_id", "start_ms", "end_ms", "source")
+
+
 # Requests and answers
 
 LINES = f"SELECT video_id, event_idx, start_ms, end_ms, printf('[%d] %.3f-%.3f %s', event_idx, start_ms / 1000, end_ms / 1000, text) AS line FROM {CAP} c"
@@ -828,14 +855,18 @@ _PAUSED = f"SELECT video_id, event_idx, start_ms, end_ms, printf('[%d] %.3f-%.3f
 _CHUNK_CHARS, _OVERLAP_MS = 1200, 24_000
 
 
-@query(
-    f"""WITH RECURSIVE l AS (SELECT *, sum(length(line) + 1) OVER w AS upto, start_ms - lag(end_ms) OVER w >= 1200 AS pause, count(*) OVER (PARTITION BY video_id) AS n FROM ({_PAUSED}) x WINDOW w AS (PARTITION BY video_id ORDER BY event_idx)),
+#: For every caption where a chunk from it ends by size (stop), where it ends (b), and where the next one starts.
+STEPS = f"""l AS (SELECT *, sum(length(line) + 1) OVER w AS upto, start_ms - lag(end_ms) OVER w >= 1200 AS pause, count(*) OVER (PARTITION BY video_id) AS n FROM ({_PAUSED}) x WINDOW w AS (PARTITION BY video_id ORDER BY event_idx)),
     most AS (SELECT a.video_id, a.event_idx AS a, a.n, greatest(a.event_idx, coalesce(max(b.event_idx) FILTER (b.upto - a.upto + length(a.line) + 1 <= {_CHUNK_CHARS}), 0)) + 1 AS stop
              FROM l a JOIN l b ON b.video_id = a.video_id AND b.event_idx >= a.event_idx GROUP BY a.video_id, a.event_idx, a.n),
-    ended AS (SELECT m.video_id, a, m.n, coalesce(max(p.event_idx), stop) AS b FROM most m
+    ended AS (SELECT m.video_id, a, m.n, m.stop, coalesce(max(p.event_idx), stop) AS b FROM most m
               LEFT JOIN l p ON p.video_id = m.video_id AND p.pause AND m.stop < m.n AND p.event_idx <= stop AND p.event_idx > a + greatest(1, CAST(floor((stop - a) * 0.75) AS INT)) GROUP BY m.video_id, a, m.n, stop),
-    steps AS (SELECT e.video_id, e.a, e.b, e.n, least(e.b, greatest(e.a + 1, coalesce(max(o.event_idx) + 1, 0))) AS next FROM ended e JOIN l z ON z.video_id = e.video_id AND z.event_idx = e.b - 1
-              LEFT JOIN l o ON o.video_id = e.video_id AND o.event_idx < e.b AND o.end_ms <= z.end_ms - {_OVERLAP_MS} GROUP BY e.video_id, e.a, e.b, e.n),
+    steps AS (SELECT e.video_id, e.a, e.b, e.n, e.stop, least(e.b, greatest(e.a + 1, coalesce(max(o.event_idx) + 1, 0))) AS next FROM ended e JOIN l z ON z.video_id = e.video_id AND z.event_idx = e.b - 1
+              LEFT JOIN l o ON o.video_id = e.video_id AND o.event_idx < e.b AND o.end_ms <= z.end_ms - {_OVERLAP_MS} GROUP BY e.video_id, e.a, e.b, e.n, e.stop)"""
+
+
+@query(
+    f"""WITH RECURSIVE {STEPS},
     chunks AS (SELECT video_id, 0 AS chunk_id, a, b, n, next FROM steps WHERE a = 0
                UNION ALL SELECT s.video_id, chunk_id + 1, s.a, s.b, s.n, s.next FROM chunks k JOIN steps s ON s.video_id = k.video_id AND s.a = k.next WHERE k.b < k.n)
     SELECT k.video_id, CAST(chunk_id AS INT) AS chunk_id, CAST(a AS INT) AS start_idx, CAST(b AS INT) AS end_idx, string_agg(line, chr(10) ORDER BY event_idx) AS text
@@ -848,6 +879,83 @@ def l3_chunk_events(spark, sf_dir):
     return chunk_events(format_lines(sample(spark, sf_dir, D.PAUSED)), _CHUNK_CHARS, float(_OVERLAP_MS))
 
 
+#: The jobs of the plan, and the captions that each looks at.
+JOBS = f"SELECT *, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_ms, end_ms) - 1 AS INT) AS job_id FROM ({PLAN}) p"
+JOB_RANGES = f"""job AS ({JOBS}), n AS (SELECT video_id, CAST(count(*) AS INT) AS n FROM ({D.PAUSED}) c GROUP BY video_id),
+    near AS (SELECT j.video_id, j.job_id, any_value(j.end_ms + context_ms) AS t, coalesce(min(c.event_idx) FILTER (c.end_ms >= j.start_ms - context_ms), max(c.event_idx)) AS a FROM job j JOIN ({D.PAUSED}) c ON c.video_id = j.video_id WHERE j.start_ms IS NOT NULL GROUP BY j.video_id, j.job_id),
+    ranged AS (SELECT w.video_id, w.job_id, w.a, coalesce((SELECT min(event_idx) FROM ({D.PAUSED}) c WHERE c.video_id = w.video_id AND c.event_idx >= w.a AND c.start_ms > w.t), n.n) AS lim FROM near w JOIN n ON n.video_id = w.video_id
+               UNION ALL SELECT j.video_id, j.job_id, 0, n.n FROM job j JOIN n ON n.video_id = j.video_id WHERE j.start_ms IS NULL)"""
+JOB_CHUNKS = f"""{JOB_RANGES}, {STEPS},
+    walked AS (SELECT r.video_id, r.job_id, 0 AS chunk_id, r.a, CASE WHEN s.stop >= r.lim THEN r.lim ELSE s.b END AS b, r.lim, s.stop, s.next FROM ranged r JOIN steps s ON s.video_id = r.video_id AND s.a = r.a
+               UNION ALL SELECT k.video_id, k.job_id, k.chunk_id + 1, s.a, CASE WHEN s.stop >= k.lim THEN k.lim ELSE s.b END, k.lim, s.stop, s.next FROM walked k JOIN steps s ON s.video_id = k.video_id AND s.a = k.next WHERE k.stop < k.lim)"""
+
+
+def jobs(spark, sf_dir):
+    from .operators.routing import numbered_jobs
+
+    return settled(numbered_jobs(plan(spark, sf_dir)), "jobs")
+
+
+@query(f"WITH RECURSIVE {JOB_CHUNKS} SELECT video_id, job_id, CAST(chunk_id AS INT) AS chunk_id, CAST(a AS INT) AS start_idx, CAST(b AS INT) AS end_idx FROM walked")
+def l3_job_chunks(spark, sf_dir):
+    """The chunks of every verification job: of the captions around its candidates, or of the whole video."""
+    from .operators.requests import format_lines, job_chunks, job_ranges
+
+    events = settled(sample(spark, sf_dir, D.PAUSED), "events")
+    found = job_chunks(format_lines(events), job_ranges(jobs(spark, sf_dir), events), _CHUNK_CHARS, float(_OVERLAP_MS))
+    return found.select("video_id", "job_id", "chunk_id", "start_idx", "end_idx")
+
+
+def model_stub(requests: DataFrame, fails: str = "false") -> DataFrame:
+    """A stand-in for a language model: four captions from each sponsor's name on, one from each merch alert; errors where `fails` holds."""
+    lines = F.split(F.substring_index(F.get_json_object("request", "$.messages[1].content"), "Captions:\n", -1), "\n")
+    wanted = F.filter(lines, lambda x: x.rlike("sponsored by|I want to thank|Merch alert"))
+    number = lambda x: F.regexp_extract(x, r"^\[(\d+)\]", 1).cast("int")
+    merch = lambda x: x.contains("Merch alert")
+    item = lambda x: F.struct(number(x).alias("start_event"), (number(x) + F.when(merch(x), 1).otherwise(4)).alias("end_event"), F.when(number(x) % 2 == 0, "high").otherwise("medium").alias("confidence"), F.when(merch(x), "self_promo").otherwise("sponsor").alias("category"), F.lit("said so").alias("reason"))
+    text = F.to_json(F.struct(F.transform(wanted, item).alias("segments")))
+    payload = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")))
+    broken = F.expr(fails)
+    return requests.select("request_key", F.when(~broken, payload).alias("payload"), F.when(broken, "busy").alias("error"))
+
+
+def _said(chunks: str) -> str:
+    return f"""SELECT k.video_id, k.job_id, k.chunk_id, k.a, k.b, x.start_ms, coalesce(e.start_ms, z.end_ms) AS end_ms, CASE WHEN x.event_idx % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence, CASE x.w WHEN 1 THEN 'self-promotion' ELSE 'paid-sponsor' END AS category
+      FROM {chunks} k JOIN (SELECT *, CASE WHEN text LIKE '%Merch alert%' THEN 1 ELSE 4 END AS w FROM ({D.PAUSED}) c WHERE regexp_matches(text, 'sponsored by|I want to thank|Merch alert')) x ON x.video_id = k.video_id AND x.event_idx >= k.a AND x.event_idx + x.w <= k.b
+      LEFT JOIN ({D.PAUSED}) e ON e.video_id = k.video_id AND e.event_idx = x.event_idx + x.w JOIN (SELECT video_id, max_by(end_ms, event_idx) AS end_ms FROM ({D.PAUSED}) c GROUP BY video_id) z ON z.video_id = k.video_id
+      WHERE coalesce(e.start_ms, z.end_ms) > x.start_ms"""
+
+
+_PC = f"({D.PAUSED})"
+#: Both rounds of verification with the stub: answers (u) by job, not merged yet.
+VERIFIED = f"""{JOB_CHUNKS}, said AS MATERIALIZED ({_said("walked")}),
+    timed AS (SELECT s.*, f.start_ms AS from_ms, t.end_ms AS to_ms, n.n AS captions FROM said s JOIN n ON n.video_id = s.video_id JOIN {_PC} f ON f.video_id = s.video_id AND f.event_idx = s.a JOIN {_PC} t ON t.video_id = s.video_id AND t.event_idx = s.b - 1),
+    edge AS (SELECT video_id, job_id, chunk_id, start_ms, end_ms, from_ms AS center_ms FROM timed WHERE a > 0 AND start_ms <= from_ms + 30000
+             UNION ALL SELECT video_id, job_id, chunk_id, start_ms, end_ms, to_ms FROM timed WHERE b < captions AND end_ms >= to_ms - 30000),
+    seam AS (SELECT video_id, job_id, seam, avg(center_ms) AS center_ms FROM (SELECT *, sum(o) OVER (PARTITION BY video_id, job_id ORDER BY center_ms, r) AS seam FROM (
+      SELECT *, row_number() OVER w AS r, CASE WHEN center_ms - lag(center_ms) OVER w <= 120000 THEN 0 ELSE 1 END AS o FROM edge WINDOW w AS (PARTITION BY video_id, job_id ORDER BY center_ms)) f) g GROUP BY video_id, job_id, seam),
+    again AS (SELECT *, coalesce((SELECT min(event_idx) FROM {_PC} c WHERE c.video_id = q.video_id AND c.event_idx >= q.a AND c.start_ms > q.center_ms + 120000), captions) AS b FROM (
+      SELECT s.video_id, s.job_id, s.seam AS chunk_id, s.center_ms, max(c.event_idx) + 1 AS captions, coalesce(min(c.event_idx) FILTER (c.end_ms >= s.center_ms - 120000), max(c.event_idx)) AS a FROM seam s JOIN {_PC} c ON c.video_id = s.video_id GROUP BY s.video_id, s.job_id, s.seam, s.center_ms) q),
+    u AS (SELECT video_id, job_id, start_ms, end_ms, confidence, category FROM said s WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.video_id = s.video_id AND e.job_id = s.job_id AND e.chunk_id = s.chunk_id AND e.start_ms = s.start_ms AND e.end_ms = s.end_ms)
+      UNION ALL SELECT video_id, job_id, start_ms, end_ms, confidence, category FROM ({_said("again")}) r)"""
+
+
+@query(
+    f"""WITH RECURSIVE {VERIFIED}
+    SELECT video_id, job_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN bool_or(confidence = 'high') THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN min(category) = max(category) THEN min(category) ELSE 'paid-sponsor' END AS category
+    FROM ({island_sql("SELECT * FROM u", 1000, keys="video_id, job_id")}) i GROUP BY video_id, job_id, island"""
+)
+def l12_verify(spark, sf_dir):
+    """From the plan to merged answers in two rounds; the model fails for a third of all requests at first, and a second run goes on."""
+    from .jobs.verify import ledger, verify
+
+    asked, events = jobs(spark, sf_dir), settled(sample(spark, sf_dir, D.PAUSED), "events")
+    kept = ledger(spark, shared_path(spark, "ledger"))
+    verify(asked, events, lambda r: model_stub(r, "request_key < '5' and request_key > '05'").filter("request_key not like '4%'"), kept, "model", _CHUNK_CHARS, float(_OVERLAP_MS))
+    found = verify(asked, events, model_stub, kept, "model", _CHUNK_CHARS, float(_OVERLAP_MS))
+    return found.answers.drop("reason")
+
+
 #: Chunks of 20 captions that overlap by five, for the queries with SQL.
 CHUNKS = f"SELECT video_id, CAST(k AS INT) AS chunk_id, CAST(k * 15 AS INT) AS start_idx, CAST(least(k * 15 + 20, n) AS INT) AS end_idx FROM (SELECT video_id, count(*) AS n FROM {CAP} c GROUP BY video_id) v, range(0, (SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id) m)) r(k) WHERE k = 0 OR k * 15 + 5 < n"
 

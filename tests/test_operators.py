@@ -116,45 +116,6 @@ def test_fuzzy_rules():
     assert not ST.has_phrase("x" * 501, ["x"], 0.1)
 
 
-def loop_chunks(lines, most, overlap):
-    """The greedy chunks of one video as a plain loop over (start, end, size)."""
-    out, at = [], 0
-    while True:
-        stop, chars = at, 0
-        while stop < len(lines) and (stop == at or chars + lines[stop][2] <= most):
-            chars += lines[stop][2]
-            stop += 1
-        if stop < len(lines):
-            least = at + max(1, int((stop - at) * 0.75))
-            stop = next((k for k in range(stop, least, -1) if lines[k][0] - lines[k - 1][1] >= 1200), stop)
-        out.append((at, stop))
-        if stop == len(lines):
-            return out
-        cut, back = lines[stop - 1][1] - overlap, stop
-        while back > at + 1 and lines[back - 1][1] > cut:
-            back -= 1
-        at = back
-
-
-def test_chunk_edges_equal_a_loop():
-    import random
-
-    import pandas as pd
-
-    from spanlight.operators.requests import _chunks
-
-    rng = random.Random(2)
-    for _ in range(200):
-        t, lines = 0, []
-        for _ in range(rng.randrange(1, 60)):
-            t += rng.choice([0, 500, 2000, 9000])
-            lines.append((float(t), float(t + rng.randrange(12000)), rng.randrange(10, 90)))
-        most, overlap = rng.choice([100, 400, 2000]), rng.choice([0.0, 5000.0, 40000.0])
-        pdf = pd.DataFrame([(7, i, *x) for i, x in enumerate(lines)], columns=["video_id", "event_idx", "start_ms", "end_ms", "size"])
-        got = _chunks(most, overlap)(pdf)
-        assert list(zip(got.start_idx, got.end_idx)) == loop_chunks(lines, most, overlap)
-
-
 def test_totals_across_days_equal_a_loop(spark):
     import random
 
