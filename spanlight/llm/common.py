@@ -102,11 +102,13 @@ def one_row_each(docs: DataFrame, first: DataFrame, doc_id: str) -> DataFrame:
     """Of every id in first (doc_id, n: how many rows have it) one row of docs, with all columns.
 
     Of rows that repeat an id, the one with the least hash over all columns stays; equal rows
-    are one and the same. Columns that cannot be hashed or compared, like maps, pass through.
+    are one and the same. Columns that cannot be hashed or compared, like maps, pass through;
+    columns may have any names.
     """
-    names = first.select(F.col(doc_id).alias("__one_id"), F.col("n").alias("__one_n"))
-    kept = docs.join(names, same(docs[doc_id], names["__one_id"]))
-    once = kept.filter("__one_n = 1").select(docs.columns)
+    own, n, row = free_names(docs, "one_id", "one_n", "one_row")
+    names = first.select(F.col(doc_id).alias(own), F.col("n").alias(n))
+    kept = docs.join(names, same(docs[doc_id], names[own]))
+    once = kept.filter(F.col(n) == 1).select(docs.columns)
     mark = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
-    again = kept.filter("__one_n > 1").groupBy("__one_id").agg(F.min_by(F.struct(*docs.columns), mark).alias("__row"))
-    return once.unionByName(again.select("__row.*"))
+    again = kept.filter(F.col(n) > 1).groupBy(own).agg(F.min_by(F.struct(*docs.columns), mark).alias(row))
+    return once.unionByName(again.select(f"{row}.*"))

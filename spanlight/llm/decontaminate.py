@@ -1,25 +1,27 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask of 12 token positions of which 8 count is laid on every position of a text; the hash
-of the counting tokens ignores substitutions at the others. Several fixed masks together meet
-an overlap that carries a substituted token every few words. Texts are joined with the
-benchmark on these hashes, and around every hit both sides are compared token by token along
-the hit's diagonal. If at least MIN_SHARE of the diagonal's positions match, the overlap runs
+A mask of up to nine token positions of which four or five count is laid on every position of a
+text; the hash of the counting tokens ignores substitutions at the others. Several fixed masks
+together meet an overlap that carries a substituted token every few words, whether these come
+at random or every second, third, fourth or fifth word. Texts are joined with the benchmark on these hashes. One hit of
+so few tokens says little, so two on one diagonal are asked for; then both sides are compared token by token along
+that diagonal. If at least MIN_SHARE of the diagonal's positions match, the overlap runs
 from its first match to its last; else it is the best run of matches, in which a substitution
 costs as much as two matches earn.
 
 A document is contaminated by an item if its best overlap has MIN_MATCHED matching tokens
 and covers MIN_SHARE of the item's tokens, or has LONG_MATCHED of them at any share. Items
-shorter than a mask are looked up whole, and by halves where a substitution still leaves
+below MASKED_ITEM tokens are looked up whole, and by halves where a substitution still leaves
 MIN_MATCHED; those below MIN_ITEM tokens are too common to tell anything inside a text and meet
 only texts that consist of them. Tokens are lower-cased words without leading and
 trailing ASCII punctuation.
 
 Tasks pack the benchmark into parts: the hashes of its tokens, and the sorted hashes of every
 mask position. Spark hands the parts to every executor once, workers map them into memory, and
-the texts are read once, against all parts. A part has a bounded number of tokens, so neither
-the driver nor a heap holds the benchmark. Hits are found where the texts lie: no text and no
-candidate is shuffled. Tokens are equal by their 64-bit hashes.
+the texts are read once, against all parts. A part has a bounded number of tokens, so no heap
+holds the benchmark. Hits are found where the texts lie: no text and no
+candidate is shuffled. A hash that many items share, as a common question's first words, gives many hits; these are
+counted and compared as arrays, at most SLICE at a time. Tokens are equal by their 64-bit hashes.
 
 Null and empty texts or items meet nothing. Repeated rows, and repeated ids, are judged row
 by row; item rows that repeat as a whole are packed once and give as many rows. Texts are taken whole. Empty tables give empty results.
@@ -38,17 +40,21 @@ from pyspark.sql import functions as F
 from .common import as_bytes, column, n_words
 from .mapped import handed, hand_out, opened, pack
 
-#: Fixed masks over 12 tokens, 8 of which count.
-MASKS = ("110110101101", "111010011101", "111111110000", "101101110110")
-SPAN = 12
+#: Fixed masks: each but the first and the last three leaves out one of every two to five tokens.
+MASKS = ("11111", "101010101", "1101101", "111011", "111101", "1011001", "1100101", "11010001")
+#: Items from so many tokens on are met by masks, twice on a diagonal.
+MASKED_ITEM = 12
+HITS = 2
+#: Hits and tokens that are counted or compared at a time.
+SLICE = 1 << 20
 MIN_ITEM = 5
 MIN_MATCHED = 10
 MIN_SHARE = 0.5
 LONG_MATCHED = 30
 #: A substitution inside an overlap costs so many matches.
 PENALTY = 2
-#: Tokens of benchmark text in one part, about: 4 masks x 16 bytes each, 64 MB.
-BLOCK_TOKENS = 1_000_000
+#: Tokens of benchmark text in one part, about: 8 masks x 16 bytes each, 64 MB.
+BLOCK_TOKENS = 500_000
 #: Distinct tokens whose hashes a task remembers.
 REMEMBERED = 1_000_000
 PUNCTUATION = b".,;:!?\"'()[]{}<>-_*#%&$|/\\`~"
@@ -105,10 +111,9 @@ def masks_of(size: int, masks: tuple[str, ...]) -> list[str]:
     """The masks that an item of so many tokens is looked up by."""
     if size < MIN_ITEM:
         return []
-    if size < SPAN:
+    if size < MASKED_ITEM:
         return [h * "1" for h in {size, size // (size - MIN_MATCHED + 1) if size > MIN_MATCHED else size}]
-    # A mask without its last free positions also fits on the ends of items and texts.
-    return [m.rstrip("0") for m in masks]
+    return list(masks)
 
 
 def packed(ids: pa.Array, texts: list[bytes], copies: np.ndarray, masks: tuple[str, ...]) -> bytes:
@@ -154,34 +159,70 @@ class Part:
     def item(self, i: int) -> np.ndarray:
         return self.codes[self.edges[i] : self.edges[i + 1]]
 
-    def _met(self, m: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, shift) of every place where a hash of the text equals one of the mask's."""
+    def _met(self, m: str, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Every place where a hash of the text equals one of the mask's, as item and shift in one number; some at a time."""
         table, of, at, near = self.tables[m]
         places = np.flatnonzero(near[x >> np.uint64(44)])
         low, high = np.searchsorted(table, x[places], "left"), np.searchsorted(table, x[places], "right")
-        n = high - low
-        j = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return of[j].astype(np.int64), np.repeat(places, n) - at[j]
+        hit = high > low
+        places, low, n = places[hit], low[hit], (high - low)[hit]
+        upto = np.cumsum(n)
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] - n[first] + SLICE, "right")))
+            own = n[first:last]
+            j = np.repeat(low[first:last] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            yield (of[j].astype(np.int64) << 32) + (np.repeat(places[first:last], own) - at[j]) + (1 << 31)
+            first = last
+
+    def _diagonals(self, codes: np.ndarray) -> np.ndarray:
+        """Items and shifts of the diagonals with hits enough, as numbers in order."""
+        seen, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for m in self.tables:
+            if m == "whole":
+                continue
+            for pairs in self._met(m, masked(codes, m)):
+                pairs, n = np.unique(pairs, return_counts=True)
+                seen, back = np.unique(np.concatenate((seen, pairs)), return_inverse=True)
+                times = np.bincount(back, np.concatenate((times, n)), len(seen)).astype(np.int64)
+        sizes = np.diff(self.edges)[seen >> 32]
+        return seen[(times >= HITS) | (sizes < MASKED_ITEM)]
+
+    def _compared(self, codes: np.ndarray, items: np.ndarray, shifts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, matches, start, end) of the diagonals that are long enough in matches."""
+        begin, size = self.edges[items], np.diff(self.edges)[items]
+        first, last = np.maximum(0, -shifts), np.minimum(size, len(codes) - shifts)
+        n = last - first
+        ends = np.cumsum(n)
+        own = np.repeat(begin + first - ends + n, n) + np.arange(n.sum())
+        text = np.repeat(first + shifts - ends + n, n) + np.arange(n.sum())
+        same = self.codes[own] == codes[text]
+        total = np.add.reduceat(same.astype(np.int64), ends - n)
+        # A run of matches has at most as many as its diagonal.
+        for k in np.flatnonzero((total >= LONG_MATCHED) | (total >= np.minimum(MIN_MATCHED, size)) & (total >= MIN_SHARE * size)).tolist():
+            start, end, matches = best_run(same[ends[k] - n[k] : ends[k]])
+            at = int(first[k] + shifts[k])
+            yield int(items[k]), matches, at + start, at + end
 
     def overlaps(self, codes: np.ndarray) -> list[tuple]:
-        """(item, matches, start, end) of the best overlap with each item that the text, as token hashes, meets."""
+        """(item, matches, start, end) of the best overlap with each item that the text, as token hashes, meets; the first of those that tie."""
         if len(codes) < MIN_ITEM:
             if not len(codes) or "whole" not in self.tables:
                 return []
-            items, _ = self._met("whole", masked(codes, "1" * len(codes)))
-            return [(int(i), len(codes), 0, len(codes)) for i in np.unique(items) if np.array_equal(self.item(i), codes)]
-        met = [self._met(m, masked(codes, m)) for m in self.tables if m != "whole"]
-        if not (met := [x for x in met if len(x[0])]):
-            return []
-        pairs = np.unique(np.stack([np.concatenate([x[k] for x in met]) for k in (0, 1)]), axis=1)
+            items = np.unique(np.concatenate([x >> 32 for x in self._met("whole", masked(codes, "1" * len(codes)))] or [np.zeros(0, np.int64)]))
+            return [(int(i), len(codes), 0, len(codes)) for i in items if np.array_equal(self.item(i), codes)]
+        pairs = self._diagonals(codes)
+        items, shifts = pairs >> 32, (pairs & ((1 << 32) - 1)) - (1 << 31)
+        upto = np.cumsum(np.diff(self.edges)[items]) if len(items) else np.zeros(0, np.int64)
         best: dict[int, tuple] = {}
-        for i, shift in pairs.T.tolist():
-            item = self.item(i)
-            first, last = max(0, -shift), min(len(item), len(codes) - shift)
-            start, end, n = best_run(codes[first + shift : last + shift] == item[first:last])
-            found = (i, n, first + shift + start, first + shift + end)
-            if i not in best or (n, -found[2]) > (best[i][1], -best[i][2]):
-                best[i] = found
+        first = 0
+        while first < len(items):
+            base = int(upto[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, base + SLICE, "right")))
+            for found in self._compared(codes, items[first:last], shifts[first:last]):
+                if found[0] not in best or (found[1], -found[2]) > (best[found[0]][1], -best[found[0]][2]):
+                    best[found[0]] = found
+            first = last
         out = []
         for i, found in sorted(best.items()):
             n, size = found[1], int(self.edges[i + 1] - self.edges[i])

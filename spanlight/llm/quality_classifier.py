@@ -189,8 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     mixed = ids.join(known, "__id", "left_anti").orderBy(*order).limit(options.max_unlabelled)
 
     def collected(chosen: DataFrame) -> np.ndarray:
-        rows = docs.select(F.col(doc_id), F.col(text)).join(F.broadcast(chosen.distinct()), same(F.col(doc_id), F.col("__id"))).select("__id", text)
-        found = sorted(bytes(r["x"]) for r in _measured(rows, ["__id"], text, options).collect())
+        rows = docs.select(F.col(doc_id), F.col(text)).join(F.broadcast(chosen.distinct()), same(F.col(doc_id), F.col("__id")))
+        rows = rows.groupBy("__id").agg(F.min_by(text, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("__text"))  # one row an id
+        found = sorted(bytes(r["x"]) for r in _measured(rows, ["__id"], "__text", options).collect())
         x = np.array([np.frombuffer(r, np.float64) for r in found]).reshape(len(found), N_MEASURES)
         return x[np.random.default_rng(0).permutation(len(x))]
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, as_bytes, column, same
+from .common import Staged, as_bytes, column, free_names, same
 
 WINDOW = 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -260,13 +260,14 @@ def _kept(text: bytes, marks, copies: list[bytes] | None, window: int) -> tuple[
     return words, [w for w, x in zip(words, gone) if not x]
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
-    """The rows with __marks and __copies of their ids, a row of both an id."""
+def _marked(docs: DataFrame, doc_id: str, text: str, window: int) -> tuple[DataFrame, str, str]:
+    """The rows with the marks and copies of their ids, a row of both an id, and the names of these columns."""
+    key, marked, copied = free_names(docs, "own_key", "own_marks", "own_copies")
     marks, copies = repeats(docs, Staged(docs.sparkSession, "substring"), doc_id, text, window)
     none = lambda kind: F.lit(None).cast(kind)
     both = marks.select("doc_id", "marks", none("array<binary>").alias("prints")).unionByName(copies.select("doc_id", none("array<int>").alias("marks"), "prints"))
-    both = both.groupBy(F.col("doc_id").alias("__key")).agg(F.first("marks", ignorenulls=True).alias("__marks"), F.first("prints", ignorenulls=True).alias("__copies"))
-    return docs.join(both, same(docs[doc_id], both["__key"]), "left").drop("__key")
+    both = both.groupBy(F.col("doc_id").alias(key)).agg(F.first("marks", ignorenulls=True).alias(marked), F.first("prints", ignorenulls=True).alias(copied))
+    return docs.join(both, same(docs[doc_id], both[key]), "left").drop(key), marked, copied
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -275,7 +276,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, kept = [], [], []
-            for t, m, c in zip(as_bytes(b, text), b.column("__marks"), b.column("__copies").to_pylist()):
+            for t, m, c in zip(as_bytes(b, text), b.column(marked), b.column(copied).to_pylist()):
                 words, rest = _kept(t, m.values, c, window)
                 n.append(len(words))
                 removed.append(len(words) - len(rest))
@@ -283,8 +284,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), column(n, pa.int64()), column(removed, pa.int64()), column(kept, pa.string())], names=[doc_id, "n_words", "n_removed", "kept_text"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    only = docs.select(doc_id, text)
-    return _marked(only, doc_id, text, window).mapInArrow(run, f"`{doc_id}` {kind}, n_words long, n_removed long, kept_text string")
+    rows, marked, copied = _marked(docs.select(doc_id, text), doc_id, text, window)
+    return rows.mapInArrow(run, f"`{doc_id}` {kind}, n_words long, n_removed long, kept_text string")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -297,17 +298,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes = b.column(text).to_pylist(), b.column(length).to_pylist() if length else None
-            for i, (t, m, c) in enumerate(zip(as_bytes(b, text), b.column("__marks"), b.column("__copies").to_pylist())):
+            for i, (t, m, c) in enumerate(zip(as_bytes(b, text), b.column(marked), b.column(copied).to_pylist())):
                 if c or m.values is not None:
                     words, rest = _kept(t, m.values, c, window)
                     if len(rest) < len(words):
                         texts[i] = b" ".join(rest).decode()
                         if length:
                             sizes[i] = len(texts[i])
-            out = b.drop_columns(["__marks", "__copies"])
+            out = b.drop_columns([marked, copied])
             out = out.set_column(out.schema.get_field_index(text), text, column(texts, out.schema.field(text).type))
             if length:
                 out = out.set_column(out.schema.get_field_index(length), length, column(sizes, out.schema.field(length).type))
             yield out
 
-    return _marked(docs, doc_id, text, window).mapInArrow(run, docs.schema)
+    rows, marked, copied = _marked(docs, doc_id, text, window)
+    return rows.mapInArrow(run, docs.schema)

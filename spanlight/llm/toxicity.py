@@ -12,7 +12,7 @@ agree). Scoring looks up one weight per bucket, scale times coefficient; the tab
 size and is broadcast. Weights are multiples of STEP, so sums are exact in any order.
 
 The model is fitted on a bounded sample: of each class the max_per_class labelled training
-rows with the lowest hash of their id. Their bucket lists, not their texts, come to the driver.
+rows with the lowest hash of their id, one row an id. Their bucket lists, not their texts, come to the driver.
 Every document is scored by its whole text.
 
 Null and empty texts have no feature and get the score of the intercept. If the training rows
@@ -196,12 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     """A model of the labelled rows of labels; the caller leaves held-out rows out of them."""
     kept = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).filter("__y in (0, 1)").distinct()
     chosen = _sample(kept, "__y", "__id", options.max_per_class)
-    rows = docs.select(F.col(doc_id), F.col(text)).join(F.broadcast(chosen), same(F.col(doc_id), F.col("__id"))).select(text, "__y", "__id")
+    rows = docs.select(F.col(doc_id), F.col(text)).join(F.broadcast(chosen), same(F.col(doc_id), F.col("__id")))
+    rows = rows.groupBy("__id", "__y").agg(F.min_by(text, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("__text")).select("__text", "__y", "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(options)
         for b in batches:
-            lists = grams.texts(as_bytes(b, text))
+            lists = grams.texts(as_bytes(b, "__text"))
             yield pa.RecordBatch.from_arrays([b.column(2).cast(pa.string()), b.column(1), pa.array([x.tobytes() for x in lists], pa.binary())], names=["id", "y", "x"])
 
     share = kept.agg(F.avg("__y")).first()[0]
