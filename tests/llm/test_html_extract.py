@@ -135,3 +135,64 @@ def test_generated_pages_equal_what_went_in():
         tail = "".join(rng.sample(junk, rng.randrange(4)))
         page = f"<html><head>{rng.choice(junk[:3])}<title>A <b> title</title></head><body>{''.join(rng.sample(junk, rng.randrange(4)))}{open_tag}{''.join(parts)}</{open_tag[1:].split()[0].rstrip('>')}>{tail}<footer><p>Foot, note, and more</p></footer></body></html>"
         assert main_text(page) == "\n\n".join(map(plain, blocks)), page
+
+
+@pytest.mark.parametrize("name", ["class='commentary'", "id='promotion-of-health'", "id='bannerman-castle'", "id='sponsors-of-the-bill'", "id='informed-consent'", "class='cookie-recipes'", "id='menu-of-the-week'", "class='recommended-reading-ages'"])
+def test_names_of_article_parts_do_not_cut(name):
+    page = f"<body><nav>Home</nav><article><h1>T</h1><p>{PROSE}</p><section {name}><h2>Part</h2><p>{PROSE} Inside.</p></section></article></body>"
+    assert main_text(page) == f"T\n\n{PROSE}\n\nPart\n\n{PROSE} Inside."
+
+
+@pytest.mark.parametrize("name", ["class='comments'", "id='comment-list'", "class='promo-box'", "class='ad-slot'", "class='advert-leaderboard-unit'", "class='sponsored-content'", "id='cookie-notice'", "class='newsletter-signup'", "class='share-bar'", "class='user-comments-section'"])
+def test_names_of_other_parts_cut_inside_articles(name):
+    page = f"<body><article><h1>T</h1><p>{PROSE}</p><div {name}><p>{PROSE} Other.</p></div><p>{PROSE}</p></article></body>"
+    assert main_text(page) == f"T\n\n{PROSE}\n\n{PROSE}"
+
+
+def test_a_page_inside_one_form():
+    body = f"<div id=content><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>"
+    fields = "<input name=q><select><option>One</select><button>Go</button>"
+    want = "\n\n".join(["T", *[PROSE] * 3])
+    assert main_text(f"<body><form method=post>{fields}{body}</form></body>") == want
+    assert main_text(f"<body><form><article><h1>T</h1><p>{PROSE}</p></article>{fields}</form></body>") == f"T\n\n{PROSE}"
+    assert main_text(f"<body>{body}<form><p>Your mail address, please, for news.</p>{fields}</form></body>") == want
+
+
+def test_lists_and_titles_of_articles():
+    links = "".join(f"<li><a href=/{k}>Source number {k}, a report</a></li>" for k in range(4))
+    page = f"<body><h1>Title</h1><article><p>{PROSE}</p><ul>{links}</ul><p>Go on.</p><p><button>Share</button></p></article></body>"
+    want = ["Title", PROSE, *(f"Source number {k}, a report" for k in range(4)), "Go on."]
+    assert main_text(page) == "\n\n".join(want)
+    assert main_text(f"<body><h1>Site</h1><article><h1>Title</h1><p>{PROSE}</p></article><h1>After</h1></body>") == f"Title\n\n{PROSE}"
+
+
+@pytest.mark.parametrize("opening", ["<div>", "<nav><div>", "<p><table><tr><td><div>", "<ul><li>", "<div><p>Some words that are long enough to earn points, here.", "<span>", "<aside><svg><g>"])
+def test_deep_pages_take_linear_time(opening):
+    import time
+
+    page = f"<article><p>{PROSE}</p></article>" + opening * (100_000 // opening.count("<")) + "x"
+    main_text(page[:1000])
+    began = time.process_time()
+    text = main_text(page)
+    assert (PROSE in text) != ("earn points" in text)  # what has most points is the article
+    assert time.process_time() - began < 3
+
+
+def test_generated_pages_give_back_what_went_in():
+    """Blocks inside elements with harmless names, between parts that go."""
+    rng = random.Random(11)
+    kept = ["", "class=commentary", "id=promotion-of-health", "class='lead story'", "id=bannerman-castle", "class=has-sidebar", "id=share-price"]
+    gone = ["<div class=comments>{}</div>", "<aside>{}</aside>", "<div class='ad-slot'>{}</div>", "<form><input>{}</form>", "<div role=navigation>{}</div>", "<section id=related-posts>{}</section>", "<footer>{}</footer>"]
+    for _ in range(200):
+        want, parts = [], []
+        for k in range(rng.randint(2, 8)):
+            text = f"{PROSE} Number {k}."
+            if rng.random() < 0.3:
+                parts.append(rng.choice(gone).format(f"<p>{text} Gone.</p>"))
+            tag = rng.choice(["p", "p", "h2", "blockquote", "li"])
+            inner = f"<{tag}>{html.escape(text)}</{tag}>"
+            parts.append(f"<div {rng.choice(kept)}>{f'<ul>{inner}</ul>' if tag == 'li' else inner}</div>")
+            want.append(text)
+        wrap = rng.choice(["<article>{}</article>", "<form action=/x><main>{}</main><input></form>", "<main><article>{}</article></main>"])
+        page = f"<html><body><header><p>{PROSE} Head.</p></header>{wrap.format(''.join(parts))}<footer>F</footer></body></html>"
+        assert main_text(page) == "\n\n".join(want), page
