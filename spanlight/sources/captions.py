@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from .committed import CommittedTable
 
 PAYLOAD = "struct<events:array<struct<tStartMs:double,dDurationMs:double,segs:array<struct<utf8:string>>>>>"
 
@@ -19,12 +20,15 @@ def parse_captions(raw: DataFrame) -> DataFrame:
     return out.filter("start_ms is not null and not isnan(start_ms) and not isnan(end_ms) and length(text) > 1")
 
 
+def status_of(body: Column) -> Column:
+    parsed = F.from_json(body, PAYLOAD)
+    json_ok = F.try_parse_json(body).isNotNull()
+    return F.when(~json_ok | body.isNull(), "fetch-error").when(F.coalesce(F.size(parsed.events), F.lit(0)) <= 0, "unavailable").otherwise("ok")
+
+
 def payload_status(raw: DataFrame) -> DataFrame:
     """(video_id, status): ok, unavailable (no events) or fetch-error (no JSON)."""
-    parsed = F.from_json("body", PAYLOAD)
-    json_ok = F.try_parse_json("body").isNotNull()
-    status = F.when(~json_ok | F.col("body").isNull(), "fetch-error").when(F.coalesce(F.size(parsed.events), F.lit(0)) <= 0, "unavailable").otherwise("ok")
-    return raw.select("video_id", status.alias("status"))
+    return raw.select("video_id", status_of(F.col("body")).alias("status"))
 
 
 def community_segments(submitted: DataFrame) -> DataFrame:
@@ -34,6 +38,14 @@ def community_segments(submitted: DataFrame) -> DataFrame:
     return out.filter("start_ms >= 0 and end_ms > start_ms and not isnan(end_ms) and end_ms < double('infinity')")
 
 
+SEGMENTS = "video_id {}, start_ms double, end_ms double, confidence string, category string, reason string, score int, groups array<string>, brands array<string>"
+
+
+def segments_table(spark: SparkSession, path: str, video_id: str = "string") -> CommittedTable:
+    """Segments that grow by batches, each of which counts once."""
+    return CommittedTable(spark, path, SEGMENTS.format(video_id))
+
+
 def write_segments(segments: DataFrame, path: str) -> None:
     """Segments as Parquet, all of a video in one file."""
     segments.repartition("video_id").write.mode("overwrite").parquet(path)

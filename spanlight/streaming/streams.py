@@ -1,11 +1,13 @@
-"""The same work on streams: skip statistics, tab sessions, arriving captions, detection.
+"""The same work on streams in the order of arrival: skip statistics, tab sessions, arriving captions, detection.
 
 State is kept per user or per tab and is a few values each. Messages of one micro-batch are
-put in order before they meet the state; order across micro-batches is that of arrival.
+put in order before they meet the state; order across micro-batches is that of arrival. Streams that
+may arrive out of order, and state that expires, are in ordered.py.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -16,7 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..jobs.detect import detect_segments
 from ..options import DetectorOptions
-from ..sources.captions import parse_captions, payload_status
+from ..sources.captions import parse_captions, status_of
+from ..sources.committed import CommittedTable
 
 
 def _ordered(pdfs: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -52,7 +55,7 @@ def _session(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Ite
             continue
         if video is None or r.video_id is None or r.video_id != video:
             continue  # about a video that the tab has left
-        body = str(r.body)
+        body = hashlib.sha256(str(r.body).encode()).hexdigest()
         if r.action == "PROCESS_TRANSCRIPT":
             if body == transcript:
                 continue
@@ -88,7 +91,18 @@ def detect_stream(raw: DataFrame, write: Callable[[DataFrame, int], None], optio
     """A stream writer that detects segments in whole transcripts (video_id, body) and hands them to write(segments, batch)."""
 
     def batch(df: DataFrame, number: int) -> None:
-        good = payload_status(df).filter("status = 'ok'").select("video_id")
-        write(detect_segments(parse_captions(df.join(good, "video_id", "left_semi")), options), number)
+        write(detect_segments(parse_captions(df.filter(status_of(F.col("body")) == "ok")), options), number)
 
     return raw.writeStream.foreachBatch(batch)
+
+
+def detect_into(captions: DataFrame, table: CommittedTable, options: DetectorOptions = DetectorOptions()):
+    """A stream writer that detects segments in captions of whole transcripts and adds each batch to the table exactly once.
+
+    A batch that runs again after a failure finds itself in the table, or files of an attempt that was never committed and is never read.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        table.add(detect_segments(df.select("video_id", "start_ms", "end_ms", "text"), options), f"{number:012d}")
+
+    return captions.writeStream.foreachBatch(batch)
