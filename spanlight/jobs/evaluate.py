@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.intervals import best_match, coverage, overlap_pairs
+from ..operators.selection import medians
 from ..options import DetectorOptions
 from ..sources.tables import settled
 
 
 def boundary_errors(matches: DataFrame) -> DataFrame:
     """One row: exact medians of the start and end errors and the mean overlap of matched truth segments; null if none."""
-    return matches.agg(F.percentile("start_error", 0.5).alias("median_start_error"), F.percentile("end_error", 0.5).alias("median_end_error"), F.avg("iou").alias("mean_iou"))
+    middle = medians(matches, ["start_error", "end_error"]).toDF("median_start_error", "median_end_error")
+    return middle.crossJoin(F.broadcast(matches.agg(F.avg("iou").alias("mean_iou"))))  # a row each
 
 
 def evaluate(predicted: DataFrame, truth: DataFrame, videos: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:

@@ -77,9 +77,15 @@ def pick_end_spans(candidates: DataFrame, ends: DataFrame, least_ms: float = 8_0
     """(video_id, candidate_idx, end_idx, start_idx): per candidate and last caption the end span that starts latest.
 
     candidates: (video_id, candidate_idx, candidate_ms); ends: (video_id, start_idx, end_idx,
-    end_ms). A span counts from the candidate's start on, and if it ends at least least_ms after it.
+    end_ms). A span counts from the candidate's start on, and if it ends at least least_ms after
+    it. Of spans with one last caption and one end only the one that starts latest can be picked, and a span
+    that another of the same last caption beats in both start and end never is; so few spans a
+    last caption are left to meet the candidates.
     """
-    met = candidates.join(ends, "video_id").filter((F.col("start_idx") >= F.col("candidate_idx")) & (F.col("end_ms") - F.col("candidate_ms") >= least_ms))
+    latest = ends.groupBy("video_id", "end_idx", "end_ms").agg(F.max("start_idx").alias("start_idx"))
+    order = W.partitionBy("video_id", "end_idx").orderBy(F.col("end_ms").desc()).rowsBetween(W.unboundedPreceding, -1)
+    best = latest.withColumn("__beaten", F.max("start_idx").over(order)).filter("__beaten is null or start_idx > __beaten").drop("__beaten")
+    met = candidates.join(best, "video_id").filter((F.col("start_idx") >= F.col("candidate_idx")) & (F.col("end_ms") - F.col("candidate_ms") >= least_ms))
     return met.groupBy("video_id", "candidate_idx", "end_idx").agg(F.max("start_idx").alias("start_idx"))
 
 

@@ -109,3 +109,14 @@ def test_positions_beside_very_long_segments(spark):
     assert got == {0: (1e12, None), 1: (1e12, None), 2: (None, 1e11), 3: (None, None), 4: (None, None), 5: (None, 0.0)}
     none = I.label_positions(p, s.limit(0)).collect()
     assert len(none) == 6 and all(r.skip_to is None and r.next_start is None for r in none)
+
+
+def test_medians_equal_percentile(spark):
+    from spanlight.operators.selection import medians
+
+    rng = random.Random(6)
+    for n in (0, 1, 2, 301):
+        a = [rng.choice([0.0, -0.0, rng.uniform(-1e6, 1e6), rng.uniform(0, 1e-300), float(rng.randrange(5)), -1e300, 1e300]) for _ in range(n)]
+        b = [abs(x) if rng.random() < 0.8 else None for x in a]
+        df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+        assert tuple(medians(df, ["a", "b"]).first()) == tuple(df.agg(F.percentile("a", 0.5), F.percentile("b", 0.5)).first())
