@@ -1,7 +1,9 @@
-"""Near-duplicates at a given Jaccard similarity: SimHash and pigeonring for candidates, then an exact check.
+"""Near-duplicates at a given similarity of sets: SimHash and pigeonring for candidates, then an exact check.
 
-Two documents are linked if their sets of distinct shingles have a Jaccard similarity of at
-least the given one. Groups are the components of these links.
+Two documents are linked if their sets of distinct shingles have a similarity of at least the
+given one: the cosine, common shingles over the root of the product of the sizes, which is what SimHash
+estimates, or Jaccard's. A cosine of s is a Jaccard similarity of s * s at least, so candidates
+for it are looked for at that one. Groups are the components of these links.
 
 Fingerprints alone cannot find the candidates at a similarity of 0.8: two texts then differ in
 about 19 and up to 41 of 128 bits, so a chain of the ring may start with 5 differing bits of 16,
@@ -217,7 +219,7 @@ def _link_blocks(similarity: float):
     return run
 
 
-def similar_sets(entries: np.ndarray, held: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def similar_sets(entries: np.ndarray, held: list[np.ndarray], similarity: float, measure: str = "jaccard") -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of all pairs of sets with the similarity or more, from their exact intersections."""
     entries, first = np.unique(entries, return_index=True)
     held = [held[k] for k in first]
@@ -234,13 +236,14 @@ def similar_sets(entries: np.ndarray, held: list[np.ndarray], similarity: float)
         many = begin[own + 1] - begin[own]
         take = np.repeat(begin[own] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
         common = np.bincount(of[take], minlength=len(n))
-        good = np.flatnonzero(common >= similarity * (n[i] + n - common) - 1e-6)
+        whole = n[i] + n - common if measure == "jaccard" else np.sqrt(float(n[i]) * n)
+        good = np.flatnonzero(common >= similarity * whole - 1e-6)
         good = good[good > i]
         forest.link(np.full(len(good), i), good)
     return forest.edges()
 
 
-def verify_sorted(similarity: float):
+def verify_sorted(similarity: float, measure: str = "jaccard"):
     """Over a partition sorted by component and pair of blocks (root, i, j, entry, hashes): edges (u, v)."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -249,7 +252,7 @@ def verify_sorted(similarity: float):
 
         def edges() -> Iterator[pa.RecordBatch]:
             if len(entries) > 1:
-                u, v = similar_sets(np.array(entries, np.int64), held, similarity)
+                u, v = similar_sets(np.array(entries, np.int64), held, similarity, measure)
                 yield pa.RecordBatch.from_arrays([column(u, pa.int64()), column(v, pa.int64())], schema=schema)
 
         for b in batches:
@@ -294,13 +297,16 @@ def candidates(entries: DataFrame, staged: Staged, similarity: float, block: int
     return edges
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, most_sets: int = MOST_SETS) -> DataFrame:
-    """A row per input row: doc_id and component_id, the smallest id that links reach."""
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, most_sets: int = MOST_SETS, measure: str = "jaccard") -> DataFrame:
+    """A row per input row: doc_id and component_id, the smallest id that links reach; measure is jaccard or cosine."""
+    if measure not in ("jaccard", "cosine"):
+        raise ValueError(f"no measure {measure}")
+    least = similarity if measure == "jaccard" else similarity * similarity
     staged = Staged(docs.sparkSession, "similar")
-    found = staged.put(sketches(docs, doc_id, text, shingle, similarity), "sketches")
+    found = staged.put(sketches(docs, doc_id, text, shingle, least), "sketches")
     # The keys follow from the set, so any row's will do; a number that tells two sets apart keeps them apart.
     entries = found.groupBy(*PRINTS).agg(F.min("held").alias("held"), F.min("keys").alias("keys"), F.min("doc_id").alias("low"))
-    near = components(candidates(entries, staged, similarity, block), staged, name="near")
+    near = components(candidates(entries, staged, least, block), staged, name="near")
     near = near.union(near.select(F.col("root").alias("node"), "root").distinct())
     blocks = F.ceil(F.count("*") / F.lit(most_sets)).alias("blocks")
     members = near.join(near.groupBy("root").agg(blocks), "root").join(entries.select("entry", "low"), F.col("node") == F.col("entry"))
@@ -310,14 +316,15 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     pairs = held.select("root", mine.alias("mine"), other, "entry", "hashes").select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "entry", "hashes")
     pairs = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    roots = components(pairs.mapInArrow(verify_sorted(similarity), "u long, v long"), staged)
+    roots = components(pairs.mapInArrow(verify_sorted(similarity, measure), "u long, v long"), staged)
     rooted = entries.join(roots, entries.entry == roots.node, "left").select("entry", "low", F.coalesce("root", "entry").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("entry", "component_id")
     return found.select("doc_id", "entry").join(named, "entry").select(F.col("doc_id").alias(doc_id), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group, with all its columns: that of the smallest id; of rows that repeat it, see one_row_each."""
-    found = groups(docs, doc_id, text, shingle, similarity)
-    first = found.filter(same(F.col(doc_id), F.col("component_id"))).groupBy(doc_id).agg(F.count("*").alias("n"))
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, measure: str = "jaccard") -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest id; rows that repeat an id are one document, see one_row_each."""
+    found = groups(docs, doc_id, text, shingle, similarity, measure=measure)
+    # n counts all rows of an id, also those of other groups
+    first = found.groupBy(doc_id).agg(F.count("*").alias("n"), F.bool_or(same(F.col(doc_id), F.col("component_id"))).alias("first")).filter("first")
     return one_row_each(docs, first, doc_id)

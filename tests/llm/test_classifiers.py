@@ -100,3 +100,34 @@ def bucket(gram: str, buckets: int) -> int:
         h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
     h = h * 0x9E3779B97F4A7C15 % 2**64
     return (h ^ (h >> 32)) % buckets
+
+
+def test_quality_scores_equal_a_sum_by_hand(spark):
+    """Every text's measures against the model's edges, one by one, without numpy."""
+    import math
+
+    import zstandard
+
+    from spanlight.llm import quality_classifier as QC
+
+    rows = [(k, ("good words, and more of them. " if k % 3 else "x1 !! ") * (k % 7 + 1)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(60) if k % 3 == 1], "doc_id long, quality int")
+    model = QC.train(docs, labels)
+    press = zstandard.ZstdCompressor(level=1)
+    for r in QC.score(docs, model).collect():
+        x, z, at = QC.measures(dict(rows)[r.doc_id].encode(), press), model.intercept, 0
+        for k, edges in enumerate(model.edges):
+            for e in edges:
+                z += float(model.weights[at]) if x[k] > e else 0.0
+                at += 1
+        assert at == len(model.weights) and abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+@pytest.mark.parametrize("module, label", [(quality_classifier, "quality"), (toxicity, "toxic")])
+def test_an_id_that_repeats_is_one_training_row(spark, module, label):
+    docs = [(1, f"bad thing number {k}") for k in range(50)] + [(2, "nice day here"), (3, "another fine text")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], f"doc_id long, {label} int")
+    once = [(1, min((t for i, t in docs if i == 1), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())), *docs[50:]]
+    a, b = (module.train(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (docs, once))
+    assert a.intercept == b.intercept and (a.weights == b.weights).all()

@@ -28,7 +28,7 @@ def without_repeats(rows):
 
 
 def near(rows):
-    """Pairs of ids whose sets of five-word shingles, or of all words if there are fewer, have a Jaccard of 0.8 or more."""
+    """Pairs of ids whose sets of five-word shingles, or of all words if there are fewer, have a cosine of 0.8 or more."""
     of, shared, sets = defaultdict(list), Counter(), {}
     for r in rows:
         own = r.text.encode().lower().split()
@@ -37,7 +37,7 @@ def near(rows):
             of[x].append(r.doc_id)
     for ids in of.values():
         shared.update((a, b) for k, b in enumerate(ids) for a in ids[:k])
-    return {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    return {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) * len(sets[p[1]])) ** 0.5 - 1e-6}
 
 
 def test_stages(spark, tmp_path):
@@ -85,3 +85,20 @@ def test_empty_table(spark):
     docs = spark.read.parquet(f"{PATH}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, PATH).collect() == []
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    """Stage by stage on rows with nulls, equal rows, repeated ids and columns named like the stages' own."""
+    names = ["own_key", "own_marks", "own_copies", "one_id", "one_n", "one_row", "__marks", "__copies", "__one_id", "__one_n", "marks", "kept", "component_id", "item_id", "entry", "root"]
+    texts = [r.text for r in spark.read.parquet(f"{PATH}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows = [(k // 2, t, None if k % 5 else "en", None if k % 3 else "s", 1) for k, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, None, None, None, None), (None, texts[3], None, None, None), (7, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{c} string" for c in names)]))
+    for k, (_, stage) in enumerate(P.STAGES):
+        found = stage(spark, docs, PATH)
+        if k < 4:
+            assert found.columns == docs.columns
+            assert all(r[c] == c for r in found.collect() for c in names)
+        assert found.count() > 0
+    kept = P.STAGES[1][1](spark, docs, PATH)
+    assert 0 < kept.count() < len(rows) and kept.groupBy("doc_id").count().filter("count > 1").count() == 0

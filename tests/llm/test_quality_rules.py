@@ -72,3 +72,30 @@ def test_every_part_of_a_text_is_judged(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(good + junk)], "doc_id long, text string")
     found = sorted((r.doc_id, r.base_failed, r.kept) for r in measure_quality(df).collect())
     assert found == [(k, False, k < len(good)) for k in range(len(good + junk))]
+
+
+def plain_kept(text):
+    """The verdict from the docstring's words, chunk by chunk, with one compressor a call."""
+    import zstandard
+
+    from spanlight.llm.quality_rules import BANDS
+
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+    inside = lambda x: next(low <= ratio(x) <= high for most, low, high in BANDS if most is None or len(x) <= most)
+    raw = (text or "").encode()
+    if plain(text)[-1] or not inside(raw):
+        return False
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+    if len(chunks) == 1:
+        return True
+    full = [ratio(c) for c in chunks if len(c) == 4096]
+    tail = raw[-max(len(raw) % 4096, 1024) :] if len(raw) % 4096 else None
+    few = sum(not 1.70 <= x <= 3.5 for x in full) <= len(full) / 5
+    return few and all(1.55 <= x <= 5.0 for x in full) and (tail is None or inside(tail))
+
+
+def test_kept_equals_a_plain_version(spark):
+    path = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    found = {r.doc_id: r.kept for r in queries.op9_quality_rules(spark, path).collect()}
+    assert found == {k: plain_kept(t) for k, t in docs.items()} and 100 < sum(found.values()) < len(found)

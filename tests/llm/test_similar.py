@@ -125,3 +125,23 @@ def test_every_row_gets_one_and_maps_pass(spark):
     long = "w " * 10 + " ".join(f"v{i}" for i in range(120_000))
     big = spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")
     assert [r.doc_id for r in similar.keep_one(big).collect()] == [1]
+
+
+def test_cosine_links_equal_all_pairs(spark):
+    """Texts that share from half to all of their shingles, of equal and of unequal lengths."""
+    rng = random.Random(12)
+    rows = []
+    for f in range(30):
+        base = [f"f{f}w{k}" for k in range(200)]
+        for _ in range(4):
+            copy = [w if rng.random() >= rng.choice([0.01, 0.03, 0.045, 0.06]) else "other" for w in base]
+            rows.append((len(rows), " ".join(copy[: rng.choice([200, 200, 150, 120])])))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    root = {d: d for d in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-6:
+                    root[a] = root[b] = min(root[a], root[b])
+    found = similar.groups(spark.createDataFrame(rows, "doc_id long, text string"), measure="cosine")
+    assert {r.doc_id: r.component_id for r in found.collect()} == root and 30 < len(set(root.values())) < 115
