@@ -1,4 +1,9 @@
-"""A corpus from raw documents in five stages, each written as Parquet and read again."""
+"""A corpus from raw documents in five stages, each written as Parquet and read again.
+
+Null texts have no words and fail the quality rules. Of equal rows and of rows that repeat an id
+the near-duplicate stage leaves one; null ids are one id. Columns beside those of documents pass
+through all stages but the last, under any names. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: shingles of five words, a similarity of 0.8 or more."""
-    return keep_one(docs, shingle=5, similarity=0.8)
+    """One document of each near-duplicate group stays: sets of five-word shingles with an exact cosine similarity of 0.8 or more."""
+    return keep_one(docs, shingle=5, similarity=0.8, measure="cosine")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
