@@ -129,6 +129,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Control strings as a regular expression for the escaped length: backslashes double, control strings grow by one.
 _CONTROL = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
 
+def _clusters_sql(clusters: int, rounds: int) -> str:
+    """Rounds of assignment over all pairs of vectors and centroids."""
+    nearest = """a{k} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS b FROM (
+        SELECT r, vec_id, kept.v, c, CAST(list_sum(list_transform(list_zip(kept.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, m{k} m) x GROUP BY r)"""
+    moved = """m{n} AS MATERIALIZED (SELECT m.c, coalesce(n.v, m.v) AS v FROM m{k} m LEFT JOIN (
+        SELECT c, list(mean ORDER BY i) AS v FROM (SELECT b.c AS c, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS mean FROM a{k}, range(1, 65) t(i) GROUP BY b.c, i) y GROUP BY c) n ON n.c = m.c)"""
+    parts = []
+    for k in range(rounds):
+        parts += [nearest.format(k=k), moved.format(k=k, n=k + 1)]
+    parts.append(nearest.format(k=rounds))
+    return f"""WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h, v LIMIT {clusters}) f),
+        {", ".join(parts)}
+        SELECT vec_id, CAST(b.c AS INT) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+               sha256(list_aggregate(m.v, 'string_agg', ',')) AS centroid_sha256 FROM a{rounds} a JOIN m{rounds} m ON m.c = a.b.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""
         WITH turns AS (
@@ -168,4 +187,35 @@ ORACLE_SQL: dict[str, str] = {
               ON (s.host = r.rule_host OR ends_with(s.host, '.' || r.rule_host)) AND starts_with(s.path, r.rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
         QUALIFY row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) = 1""",
+    "op12_centroid_clustering": _clusters_sql(40, 5),
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE steps AS (
+            SELECT list(t ORDER BY b) AS t FROM (
+                SELECT b, list_reduce(list_prepend(CAST(b AS UBIGINT), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])),
+                    lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS t FROM range(256) r(b)) x),
+        runs AS (
+            SELECT doc_id, w, count(*) AS n FROM (
+                SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+                       unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents) u
+            GROUP BY doc_id, w),
+        bytes AS (
+            SELECT w, n, list_transform(range(0, length(x) // 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1 AS UBIGINT)) AS b
+            FROM (SELECT w, n, hex(encode(doc_id || ':' || w)) AS x FROM runs) y),
+        marked AS (
+            SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), b), lambda a, x: xor(a >> 8, t[1 + CAST(xor(a, x) & 255 AS INTEGER)])), 4294967295) AS h FROM bytes, steps),
+        words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM marked) z
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        without AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) d),
+        longer AS (SELECT DISTINCT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM words a JOIN without b ON b.k = a.word),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON b.i = a.i AND b.k = a.k AND b.word <> a.word
+            UNION ALL SELECT a, b, bn FROM longer UNION ALL SELECT b, a, an FROM longer),
+        best AS (SELECT word, count(*) AS n_near, arg_min(other, struct_pack(m := -other_n, o := other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        forms AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word),
+        walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON f.word = k.at WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN walk k ON k.word = f.word JOIN forms e ON e.word = k.at AND e.form IS NULL""",
 }
