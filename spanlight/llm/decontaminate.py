@@ -55,6 +55,8 @@ LONG_MATCHED = 30
 PENALTY = 2
 #: Tokens of benchmark text in one part, about: 8 masks x 16 bytes each, 64 MB.
 BLOCK_TOKENS = 500_000
+#: Tokens of texts that are looked up together, about.
+TOGETHER = 1 << 17
 #: Distinct tokens whose hashes a task remembers.
 REMEMBERED = 1_000_000
 PUNCTUATION = b".,;:!?\"'()[]{}<>-_*#%&$|/\\`~"
@@ -175,6 +177,20 @@ class Part:
             yield (of[j].astype(np.int64) << 32) + (np.repeat(places[first:last], own) - at[j]) + (1 << 31)
             first = last
 
+    def touched(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Which of many texts, laid end to end with these edges, have a hit, or are short enough to be an item as a whole."""
+        out = np.diff(edges) < MIN_ITEM
+        for m, (table, _, _, near) in self.tables.items():
+            if m == "whole" or not len(table):
+                continue
+            x = masked(codes, m)
+            places = np.flatnonzero(near[x >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(table, x[places]), len(table) - 1)
+            places = places[table[at] == x[places]]
+            text = np.searchsorted(edges, places, "right") - 1
+            out[text[places + len(m) <= edges[text + 1]]] = True
+        return out
+
     def _diagonals(self, codes: np.ndarray) -> np.ndarray:
         """Items and shifts of the diagonals with hits enough, as numbers in order."""
         seen, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -251,10 +267,19 @@ def found_in(names: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
         parts, known = [Part(p) for _, p in sorted(handed(names).items())], Hashes()
         for b in batches:
-            found = []
-            for t in as_bytes(b, text):
-                codes = known.of(tokens(t))
-                found.append([(p, *x) for p in parts for x in p.overlaps(codes)])
+            found: list[list[tuple]] = [[] for _ in range(b.num_rows)]
+            rows, codes, held = [], [], 0
+            for i, t in enumerate(as_bytes(b, text)):
+                rows.append(i)
+                codes.append(known.of(tokens(t)))
+                held += len(codes[-1])
+                if held >= TOGETHER or i + 1 == b.num_rows:
+                    edges = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
+                    end_to_end = np.concatenate(codes)
+                    for p in parts:
+                        for k in np.flatnonzero(p.touched(end_to_end, edges)).tolist():
+                            found[rows[k]] += [(p, *x) for x in p.overlaps(codes[k])]
+                    rows, codes, held = [], [], 0
             yield b, found
 
     return run
