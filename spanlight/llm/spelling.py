@@ -8,7 +8,7 @@ key is met by its own word and by words with one letter more, so the length of w
 alphabet bound its rows, however large the corpus is. The keys of words of LONG letters and
 more are 64-bit hashes, all computed in one pass over the word, and travel with a hash of the
 word; the words join those that meet. So very long words take linear space, and are verified
-as exactly.
+as exactly, in linear time.
 
 A word's form is its near word with the most occurrences, if that has at least `ratio` times as
 many as the word. Occurrences grow along the forms, so they have no circle; words that have a
@@ -35,11 +35,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import Staged, as_bytes, column
 
@@ -104,8 +107,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     short = words.filter(F.length("word") <= LONG)
     keys = short.select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), left_out))).alias("key"))
     a, b = keys.toDF("a", "a_n", "key"), keys.toDF("b", "b_n", "key")
-    met = a.join(b.hint("merge"), "key").select("a", "a_n", "b", "b_n").unionByName(_long_pairs(words))
-    one = met.filter((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
+    met = a.join(b.hint("merge"), "key").select("a", "a_n", "b", "b_n")
+    one = met.filter((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)).unionByName(_long_pairs(words))
     both = F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))
     return one.select(F.inline(both))
 
@@ -145,7 +148,20 @@ def _long_pairs(words: DataFrame) -> DataFrame:
     met = x.join(y.hint("merge"), "key").filter("x <> y").select("x", "y").distinct()
     names = long.select("word", "n").mapInArrow(named, "id long, word string, n long")
     pairs = met.join(names.toDF("x", "a", "a_n").hint("merge"), "x").join(names.toDF("y", "b", "b_n").hint("merge"), "y")
-    return pairs.filter(F.greatest(F.length("a"), F.length("b")) > LONG).select("a", "a_n", "b", "b_n")
+    longer = pairs.filter((F.greatest(F.length("a"), F.length("b")) > LONG) & (F.col("a") < F.col("b")))
+    return longer.filter(_one_apart("a", "b")).select("a", "a_n", "b", "b_n")
+
+
+def one_apart(a: str, b: str) -> bool:
+    """Whether the edit distance is exactly one, in linear time: behind the common beginning one letter is all that differs."""
+    a, b = sorted((a, b), key=len)
+    at = len(commonprefix((a, b)))
+    return a != b and (a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else len(b) == len(a) + 1 and a[at:] == b[at + 1 :])
+
+
+@F.pandas_udf(BooleanType())
+def _one_apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([one_apart(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 def forms(words: DataFrame, ratio: int = 2) -> DataFrame:
