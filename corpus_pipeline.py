@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: sets of five-word shingles with an exact cosine similarity of 0.8 or more."""
-    return keep_one(docs, shingle=5, similarity=0.8, measure="cosine")
+    """One document of each near-duplicate group stays: sets of five-word shingles with an exact Jaccard similarity of 0.8 or more."""
+    return keep_one(docs, shingle=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
