@@ -226,9 +226,10 @@ def cache_lookup(jobs: DataFrame, cache: DataFrame, now_ms: int) -> DataFrame:
     return jobs.join(good.withColumn("hit", F.lit(True)), "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def cache_upsert(cache: DataFrame, new: DataFrame, now_ms: int, most: int = CACHE_ENTRIES) -> DataFrame:
-    """The cache after adding new entries: one per key (the newest), none expired or invalid, the newest `most`."""
+def cache_upsert(cache: DataFrame, new: DataFrame, now_ms: int, most: int | None = CACHE_ENTRIES) -> DataFrame:
+    """The cache after adding new entries: one per key (the newest), none expired or invalid, the newest `most` or all."""
     valid = F.forall("segments", lambda s: (s.start_ms >= 0) & (s.end_ms > s.start_ms))
     both = cache.withColumn("__new", F.lit(0)).unionByName(new.filter(valid).withColumn("__new", F.lit(1)))
     one = both.groupBy("cache_key").agg(F.max_by(F.struct("created_at_ms", "segments"), F.struct("__new", "created_at_ms")).alias("e")).select("cache_key", "e.created_at_ms", "e.segments")
-    return one.filter((F.lit(now_ms) - F.col("created_at_ms")).between(0, CACHE_MS)).orderBy(F.col("created_at_ms").desc(), "cache_key").limit(most)
+    fresh = one.filter((F.lit(now_ms) - F.col("created_at_ms")).between(0, CACHE_MS))
+    return fresh if most is None else fresh.orderBy(F.col("created_at_ms").desc(), "cache_key").limit(most)

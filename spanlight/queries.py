@@ -1111,6 +1111,21 @@ def l11_cache_upsert(spark, sf_dir):
     return cache_upsert(old.drop("video_id"), new.drop("video_id"), NOW).select("cache_key", "created_at_ms")
 
 
+@query(
+    f"""SELECT c.video_id, (l.video_id IS NOT NULL AND NOT l.broken) OR (NOT c.broken AND {NOW} - c.created_at_ms <= 2592000000) AS hit
+    FROM {CACHE} c LEFT JOIN {LATER} l ON c.video_id = l.video_id"""
+)
+def j9_cache_table(spark, sf_dir):
+    from .sources.cache_table import CacheTable
+    from .sources.tables import shared_path
+
+    kept = CacheTable(spark, shared_path(spark, "cache"), 64)
+    old, new = cache(spark, sf_dir, (F.col("video_id") % 150) * 7), cache(spark, sf_dir, F.col("video_id") % 5).filter("video_id % 2 = 1")
+    for entries in (old, new):
+        kept.upsert(entries.drop("video_id"), NOW)
+    return kept.lookup(old.select("video_id", "cache_key"), NOW).select("video_id", "hit")
+
+
 @query("SELECT count(DISTINCT user_id) AS videos, 4 * count(DISTINCT user_id) AS different_keys, count(DISTINCT user_id) AS same_keys FROM events")
 def l10_cache_key(spark, sf_dir):
     """Keys of all videos: other models and other candidates give other keys; captions and candidates in another order, and space around names, the same."""

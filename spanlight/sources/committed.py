@@ -35,21 +35,40 @@ class CommittedTable:
             return {}
         names = [s.getPath().getName() for s in fs.listStatus(self._at("commits"))]
         # A commit's name is `<batch>`; its content is the attempt's folder, whose name holds the batch as well.
-        return {n: self._read(n) for n in sorted(names) if not n.startswith((".", "_"))}
+        return {n: self.text(f"commits/{n}") for n in sorted(names) if not n.startswith((".", "_"))}
 
-    def _read(self, batch: str) -> str:
-        stream = self._fs().open(self._at(f"commits/{batch}"))
+    def text(self, name: str) -> str:
+        """A small file's content."""
+        stream = self._fs().open(self._at(name))
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def write_text(self, name: str, text: str) -> None:
+        """Writes a small file."""
+        out = self._fs().create(self._at(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def names(self, folder: str) -> list[str]:
+        """What lies in a folder."""
+        return [s.getPath().getName() for s in self._fs().listStatus(self._at(folder))]
+
+    def delete(self, name: str) -> None:
+        """Deletes a file or a folder of the table."""
+        self._fs().delete(self._at(name), True)
+
+    def attempt(self, batch: str) -> str:
+        """A new folder for a batch's files."""
+        return f"data/{batch}-{uuid.uuid4().hex}"
+
     def add(self, rows: DataFrame, batch: str) -> bool:
         """Writes the rows as a batch, unless it is there; tells whether it did."""
         fs = self._fs()
         if fs.exists(self._at(f"commits/{batch}")):
             return False
-        attempt = f"data/{batch}-{uuid.uuid4().hex}"
+        attempt = self.attempt(batch)
         rows.write.parquet(f"{self.path}/{attempt}")
         return self.commit(attempt, batch)
 
@@ -57,10 +76,9 @@ class CommittedTable:
         """Makes a written attempt the batch, if there is none yet."""
         fs = self._fs()
         fs.mkdirs(self._at("commits"))
-        note = self._at(f"notes/{attempt.rpartition('/')[2]}")
-        out = fs.create(note, True)
-        out.write(bytearray(attempt.encode()))
-        out.close()
+        name = f"notes/{attempt.rpartition('/')[2]}"
+        self.write_text(name, attempt)
+        note = self._at(name)
         context = self._hadoop.FileContext.getFileContext(fs.getUri(), self._conf)
         how = self.spark._sc._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
         how[0] = getattr(self._hadoop, "Options$Rename").NONE
