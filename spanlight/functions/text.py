@@ -97,11 +97,16 @@ def grams(text: Column, size: int = 3) -> Column:
 
 def dice(left: Column, right: Column, size: int = 3) -> Column:
     """Similarity of the n-gram multisets: 1 if equal, 0 if one is empty."""
-    a, b = grams(left, size), grams(right, size)
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
-    ratio = 2.0 * shared / (F.size(a) + F.size(b))
-    return F.when(left == right, 1.0).when((left == "") | (right == ""), 0.0).otherwise(ratio)
+    count = lambda xs, x: F.size(xs) - F.size(F.array_remove(xs, x))
+
+    def ratio(s: Column) -> Column:
+        shared = F.aggregate(F.array_intersect(s.a, s.b), F.lit(0), lambda acc, x: acc + F.least(count(s.a, x), count(s.b, x)))
+        return 2.0 * shared / (F.size(s.a) + F.size(s.b))
+
+    # The n-grams of both stand in a struct that a lambda holds: a column of them would be worked out at each mention.
+    held = F.array(F.struct(grams(left, size).alias("a"), grams(right, size).alias("b")))
+    alike = F.get(F.transform(held, ratio), F.lit(0))
+    return F.when(left == right, 1.0).when((left == "") | (right == ""), 0.0).otherwise(alike)
 
 
 SPONSOR_WORDS = ("sponsor", "sponsored", "sponsoring", "sponsorship")
