@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from .. import patterns as P
 from ..functions import text as T
 from ..functions.structure import RULES, structure
+from ..sources.tables import once_each
 
 FLAGS = ("starts", "strong_start", "contextual_start", "endorsement_start", "self_promotion_start", "ends", "ends_before", "negated", "self_promotion", "affiliate")
 SCORES = ("score", "commercial", "positive", "negative")
+#: What features adds beside normalized.
+FOUND = ("codes", "groups", "negative_groups", *FLAGS, *SCORES)
 
 
 def named(groups: dict[str, Column]) -> Column:
@@ -67,6 +70,12 @@ def features(df: DataFrame, text: str = "text", exact: bool = True) -> DataFrame
     return df.withColumn("score", F.greatest(F.lit(0), F.col("positive") - F.col("negative"))).drop("__rules", "__may", "__strong", "__contextual")
 
 
+def text_features(df: DataFrame, text: str = "text") -> DataFrame:
+    """features, worked out once for each distinct text."""
+    keys = [text, "normalized"] if "normalized" in df.columns else [text]
+    return once_each(df, keys, lambda texts: features(texts, text).select(text, "normalized", *FOUND), "texts")
+
+
 def classify(explicit: Column, self_promotion: Column, affiliate: Column, has_brand: Column, groups: Column) -> Column:
     sponsor = F.array_contains(groups, "sponsor")
     precise = F.arrays_overlap(groups, F.array(*map(F.lit, P.PRECISE)))

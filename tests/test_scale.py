@@ -26,3 +26,13 @@ def test_dice_works_out_n_grams_once(spark):
     assert plan(dice).lower().count("sequence(") == 2
     got = [round(r.d, 6) for r in dice.collect()]
     assert got == [round(2 * 4 / 13, 6), round(2 * 3 / 7, 6), 0.0, 1.0]
+
+
+def test_a_filter_on_a_feature_brings_no_pattern_back(spark, said):
+    found = S.text_features(said).filter("commercial > 0")
+    assert "rlike" not in plan(found).lower()
+    columns = ["video_id", "event_idx", "normalized", *S.FOUND]
+    key = lambda r: (r.video_id, r.event_idx)
+    want = sorted(S.features(said).filter("commercial > 0").select(columns).collect(), key=key)
+    assert sorted(found.select(columns).collect(), key=key) == want and want
+    assert S.text_features(said).count() == said.count()
