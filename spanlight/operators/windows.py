@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import patterns as P
 from ..functions import text as T
 from ..options import DetectorOptions
+from ..sources.tables import once_each, settled
 
 
 def evidence_windows(scored: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
@@ -35,17 +36,26 @@ def evidence_windows(scored: DataFrame, options: DetectorOptions = DetectorOptio
     return best.select("video_id", F.col("b.start_idx").alias("start_idx"), (-F.col("b.minus_end")).cast("int").alias("end_idx"), F.col("b.score").cast("int").alias("score"))
 
 
-def brand_seeds(scored: DataFrame) -> DataFrame:
+def brand_words(texts: DataFrame) -> DataFrame:
+    """Adds what texts (text, normalized) hold of brands: named, capitals and said, all tokens, each once."""
+    n = F.col("normalized")
+    named = F.array_union(T.domain_roots(n), T.named_brands(n))
+    capitals = T.capitalized_brands(F.col("text"), F.lit(True), F.array().cast("array<string>"))
+    return texts.withColumns({"named": named, "capitals": capitals, "said": F.array_distinct(T.tokens(n))})
+
+
+def brand_seeds(worded: DataFrame) -> DataFrame:
     """(video_id, event_idx, start_ms, brand, strength): domain roots and named brands weigh 3, capitalised words near a cue 2.
 
-    Promo codes of the whole video are no brands. scored: captions with normalized, codes and groups.
+    Promo codes of the whole video are no brands. worded: captions with codes, groups and brand_words.
     """
-    codes = scored.select("video_id", F.explode("codes").alias("brand")).distinct()
+    codes = worded.select("video_id", F.explode("codes").alias("brand")).distinct()
     cue = F.arrays_overlap("groups", F.array(*map(F.lit, (*P.PRECISE, "sponsor"))))
-    n = F.col("normalized")
-    strong = scored.select("video_id", "event_idx", "start_ms", F.explode(F.array_union(T.domain_roots(n), T.named_brands(n))).alias("brand"), F.lit(3).alias("strength"))
-    weak = scored.select("video_id", "event_idx", "start_ms", F.explode(T.capitalized_brands(F.col("text"), cue, F.col("codes"))).alias("brand"), F.lit(2).alias("strength"))
-    return strong.unionByName(weak.join(codes, ["video_id", "brand"], "left_anti").select(strong.columns)).groupBy("video_id", "event_idx", "start_ms", "brand").agg(F.max("strength").alias("strength"))
+    seed = ["video_id", "event_idx", "start_ms"]
+    strong = worded.select(*seed, F.explode("named").alias("brand"), F.lit(3).alias("strength"))
+    weak = worded.filter(cue).select(*seed, F.explode(F.array_except("capitals", "codes")).alias("brand"), F.lit(2).alias("strength"))
+    weak = weak.join(codes.hint("merge"), ["video_id", "brand"], "left_anti").select(strong.columns)
+    return strong.unionByName(weak).groupBy(*seed, "brand").agg(F.max("strength").alias("strength"))
 
 
 def repeated_brands(scored: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:
@@ -54,10 +64,11 @@ def repeated_brands(scored: DataFrame, options: DetectorOptions = DetectorOption
     Only tokens that are a seed of their video are kept, so most captions leave early; the key
     is always video and token.
     """
-    seeds = brand_seeds(scored)
+    scored = once_each(scored.select("video_id", "event_idx", "start_ms", "end_ms", "text", "normalized", "codes", "groups"), ["text", "normalized"], brand_words, "words")
+    seeds = settled(brand_seeds(scored), "seeds")
     by_brand = seeds.groupBy("video_id", "brand").agg(F.max("strength").alias("strength"))
-    said = scored.select("video_id", "event_idx", "start_ms", "end_ms", F.explode(F.array_distinct(T.tokens(F.col("normalized")))).alias("brand"))
-    mentions = said.join(by_brand, ["video_id", "brand"])
+    said = scored.select("video_id", "event_idx", "start_ms", "end_ms", F.explode("said").alias("brand"))
+    mentions = said.join(by_brand.hint("merge"), ["video_id", "brand"])
     order = W.partitionBy("video_id", "brand").orderBy("event_idx")
     close = (F.col("start_ms") - F.lag("end_ms").over(order)) <= options.brand_window
     mentions = mentions.withColumn("again", F.max(F.coalesce(close, F.lit(False)).cast("int")).over(W.partitionBy("video_id", "brand"))).filter("again = 1")
