@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators.events import caption_spans, clean_events
 from ..operators.intervals import merge_local
 from ..operators.reads import AGAINST, GROUPS, SEGMENT, bits, reads, stretches
-from ..operators.signals import FLAGS, features, weight
+from ..operators.signals import FLAGS, text_features, weight
 from ..operators.windows import evidence_windows, repeated_brands
 from ..options import DetectorOptions
 from ..sources.tables import settled, spread
@@ -31,7 +31,7 @@ def span_features(events: DataFrame, options: DetectorOptions = DetectorOptions(
     if "normalized" not in events.columns:
         events = events.withColumn("normalized", T.normalize_text(F.col("text")))
     shown = F.size("groups") + F.size("negative_groups") + sum(F.col(k).cast("int") for k in FLAGS)
-    found = features(caption_spans(spread(events, "video_id"), options)).withColumn("__shown", shown > 0)
+    found = text_features(caption_spans(spread(events, "video_id"), options)).withColumn("__shown", shown > 0)
     kept = ("start_idx", "groups", "negative_groups", "codes", "commercial", "negative", "score", *FLAGS)
     spans = settled(found.select("video_id", "end_idx", "__shown", *kept), "spans").filter("__shown")
     key = [F.col("video_id").alias("__v"), F.col("end_idx").alias("__at")]
