@@ -57,6 +57,8 @@ def span_features(events: DataFrame, options: DetectorOptions = DetectorOptions(
     )
     opening = F.struct(F.col("end_idx").alias("end"), F.col("strong_start").alias("strong"), F.col("contextual_start").alias("contextual"), F.col("endorsement_start").alias("endorsement"), F.col("self_promotion_start").alias("self_start"), "score")
     opened = spans.filter("starts").groupBy("video_id", F.col("start_idx").alias("event_idx")).agg(F.sort_array(F.collect_list(opening)).alias("start_spans"))
+    # Both sides grow with the captions: by the size of a few columns in files Spark would take one for small, and gather it in the driver.
+    folded, opened = folded.hint("merge"), opened.hint("merge")
     out = events.join(folded, (events.video_id == folded["__v"]) & (events.event_idx == folded["__at"]), "left").drop("__v", "__at").join(opened, ["video_id", "event_idx"], "left")
     lists_ = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("codes", "groups", "negative_groups", "end_spans")}
     return out.withColumns(lists_ | {"commercial": F.coalesce("commercial", F.lit(0))} | {k: F.coalesce(k, F.lit(False)) for k in FLAGS})
@@ -66,12 +68,12 @@ def caption_words(scored: DataFrame, stretched: DataFrame) -> DataFrame:
     """(video_id, event_idx, words): topic tokens of the captions of stretches, with their counts and idf over the whole video."""
     keys = ["video_id", "event_idx"]
     seeded = stretched.select("video_id").distinct()
-    tokens = scored.join(seeded, "video_id", "left_semi").select(*keys, T.topic_tokens(F.col("normalized")).alias("tokens"))
+    tokens = scored.join(seeded.hint("merge"), "video_id", "left_semi").select(*keys, T.topic_tokens(F.col("normalized")).alias("tokens"))
     df = tokens.select("video_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("video_id", "token").agg(F.count("*").alias("df"))
     size = tokens.groupBy("video_id").agg(F.count("*").alias("captions"))
-    idf = df.join(size, "video_id").select("video_id", "token", (F.log((F.col("captions") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    own = tokens.join(stretched.select(*keys), keys, "left_semi").select(*keys, F.explode("tokens").alias("token"))
-    own = own.groupBy("video_id", "event_idx", "token").agg(F.count("*").alias("n")).join(idf, ["video_id", "token"])
+    idf = df.join(size.hint("merge"), "video_id").select("video_id", "token", (F.log((F.col("captions") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    own = stretched.select(*keys, F.explode(T.topic_tokens(F.col("normalized"))).alias("token"))
+    own = own.groupBy("video_id", "event_idx", "token").agg(F.count("*").alias("n")).join(idf.hint("merge"), ["video_id", "token"])
     return own.groupBy(*keys).agg(F.collect_list(F.struct("token", "n", "idf")).alias("words"))
 
 
@@ -86,7 +88,7 @@ def detect_segments(captions: DataFrame, options: DetectorOptions = DetectorOpti
     scored = settled(span_features(events, options), "scored")
     boosts = repeated_brands(spread(scored, "video_id"), options)
     keys, none = ["video_id", "event_idx"], F.array().cast("array<string>")
-    scored = scored.join(boosts, keys, "left").withColumns(
+    scored = scored.join(boosts.hint("merge"), keys, "left").withColumns(
         {
             "groups": F.when(F.col("boost") > 0, F.array_sort(F.array_union("groups", F.array(F.lit("brand"))))).otherwise(F.col("groups")),
             "commercial": F.col("commercial") + F.coalesce("boost", F.lit(0)),
@@ -98,7 +100,7 @@ def detect_segments(captions: DataFrame, options: DetectorOptions = DetectorOpti
     windows = windows.groupBy("video_id", F.col("start_idx").alias("event_idx")).agg(F.collect_list(F.struct(F.col("end_idx").alias("end"), "score")).alias("windows"))
     order = W.partitionBy("video_id").orderBy("event_idx")
     n = F.col("normalized")
-    rows = scored.join(windows, keys, "left").select(
+    rows = scored.join(windows.hint("merge"), keys, "left").select(
         *keys, "start_ms", "end_ms", "brands", "commercial", "starts", "self_promotion", "self_promotion_start", "affiliate", "start_spans", "end_spans", "windows", "normalized",
         bits(F.col("groups"), GROUPS).alias("mask"), bits(F.col("negative_groups"), AGAINST).alias("against"),
         F.lead("start_ms").over(order).alias("next_ms"), F.lead("commercial").over(order).alias("next_commercial"),
@@ -106,7 +108,7 @@ def detect_segments(captions: DataFrame, options: DetectorOptions = DetectorOpti
     )
     rows = settled(stretches(rows, options), "stretches")
     empty = lambda c: F.coalesce(c, F.expr("array()").cast(rows.schema[c].dataType)).alias(c)
-    held = rows.join(caption_words(scored, rows), keys, "left").select(
+    held = rows.join(caption_words(scored, rows).hint("merge"), keys, "left").select(
         *keys, "stretch", "start_ms", "end_ms", F.coalesce("next_ms", "end_ms").alias("next_ms"), F.coalesce("next_commercial", F.lit(0)).alias("next_commercial"),
         "mask", "against", "brands", "commercial", "starts", "self_promotion", "self_promotion_start", "affiliate",
         T.matches(n, P.LEAD_IN).alias("lead_in"), T.matches(n, P.PRE_ROLL).alias("pre_roll"),

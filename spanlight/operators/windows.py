@@ -25,7 +25,7 @@ def evidence_windows(scored: DataFrame, options: DetectorOptions = DetectorOptio
     edges = scored.select("video_id", (F.col("end_ms") - options.evidence_window).alias("t"), F.lit(0).alias("is_start"), F.col("event_idx").cast("int"))
     counted = starts.unionByName(edges).withColumn("before", F.sum("is_start").over(W.partitionBy("video_id").orderBy("t", "is_start").rowsBetween(W.unboundedPreceding, 0)))
     left = counted.filter("event_idx is not null").select("video_id", "event_idx", "before")
-    rows = scored.join(left, ["video_id", "event_idx"]).withColumn("left", F.max(F.least("event_idx", "before")).over(last))
+    rows = scored.join(left.hint("merge"), ["video_id", "event_idx"]).withColumn("left", F.max(F.least("event_idx", "before")).over(last))
     active = {g: F.coalesce(F.max(F.when((F.col("commercial") > 0) & F.array_contains("groups", g), F.col("event_idx"))).over(last) >= F.col("left"), F.lit(False)) for g in P.WEIGHTS}
     rows = rows.withColumns({f"has_{g}": c for g, c in active.items()})
     has = lambda g: F.col(f"has_{g}").cast("int")

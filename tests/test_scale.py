@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlight.functions import text as T
+from spanlight.jobs.detect import caption_words, span_features
 from spanlight.operators import signals as S
-from spanlight.operators import windows as WN
+from spanlight.options import DetectorOptions
 
 TEXTS = ["This video is sponsored by Acme.", "Use promo code ACME for 20 percent off.", "Head over to acme.com/alex today.", "Nothing here.", None, "Acme again."]
 
@@ -36,3 +37,14 @@ def test_a_filter_on_a_feature_brings_no_pattern_back(spark, said):
     want = sorted(S.features(said).filter("commercial > 0").select(columns).collect(), key=key)
     assert sorted(found.select(columns).collect(), key=key) == want and want
     assert S.text_features(said).count() == said.count()
+
+
+def test_no_table_of_captions_is_gathered_in_the_driver(said):
+    folded = span_features(said, DetectorOptions(max_span=24_000))
+    assert folded.count() == said.count()
+    worded = said.withColumn("normalized", T.normalize_text(F.col("text")))
+    words = caption_words(worded, worded.filter("event_idx < 6"))
+    for df in (folded, words):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.video_id, r.event_idx): sorted(w.token for w in r.words) for r in words.collect()}
+    assert got[(1, 5)] == ["acme"] and all(k < 6 for _, k in got)
