@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..options import DetectorOptions
-from ..sources.tables import settled
+from ..sources.tables import once_each, settled
 from .intervals import meeting
 
 
 def caption_tokens(events: DataFrame) -> DataFrame:
     """(video_id, event_idx, start_ms, end_ms, token, n): topic tokens of captions with their counts."""
-    words = events.select("video_id", "event_idx", "start_ms", "end_ms", F.explode(T.topic_tokens(T.normalize_text(F.col("text")))).alias("token"))
+    keys = ["video_id", "event_idx", "start_ms", "end_ms"]
+    listed = once_each(events.select(*keys, "text"), ["text"], lambda t: t.withColumn("tokens", T.topic_tokens(T.normalize_text(F.col("text")))), "topics")
+    words = listed.select(*keys, F.explode("tokens").alias("token"))
     return words.groupBy("video_id", "event_idx", "start_ms", "end_ms", "token").agg(F.count("*").alias("n"))
 
 
