@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,51 @@ def test_last_early_equals_a_scan():
         assert C.last_early(ends, most, below).tolist() == want
 
 
+def test_short_videos_reach_python_together(spark, monkeypatch):
+    """Many short videos beside one of several blocks, blocks cut by Arrow's batches, ends that are missing; pointers past the last range are not doubled."""
+    kept, plans, real = {}, {}, C.settled
+
+    def settled(df, name):
+        plans[name], kept[name] = df._jdf.queryExecution().analyzed().toString(), real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(C, "settled", settled)
+    monkeypatch.setattr(C, "BLOCK", 16)
+    rng, rows, want = random.Random(3), [], set()
+    for v, n in enumerate([70] + [9] * 40):
+        lines = [(i * 1000.0, i * 1000.0 + rng.choice([100, 4000, 30_000]), 30) for i in range(n)]
+        rows += [(f"v{v}", i, a, None if v == 40 and i == 2 else b, "x" * size) for i, (a, b, size) in enumerate(lines)]
+        want |= {(f"v{v}", k, *edges) for k, edges in enumerate(loop_chunks(lines, 0, n, 160, 2500.0))} if v < 40 else set()
+    df = spark.createDataFrame(rows, "video_id string, event_idx int, start_ms double, end_ms double, line string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {tuple(r) for r in C.chunk_video(df, 160, 2500.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r for r in got if r[0] != "v40"} == want
+    assert {i for v, _, a, b in got if v == "v40" for i in range(a, b)} == set(range(9))
+    assert "FlatMapGroupsInPandas" not in plans["starts"] and "MapInPandas" in plans["starts"]
+    assert kept["jumps0"].count() < len(rows) * 0.7
+
+
+def test_blocks_looked_through_together_equal_a_scan():
+    """Blocks of three videos in one call, of which some have rows for the blocks before; missing ends are never early."""
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for v, n in (("a", 23), ("b", 4), ("c", 11)):
+        ends = [float(x) if rng.random() < 0.9 else math.nan for x in rng.integers(0, 40, n)]
+        for i, end in enumerate(ends):
+            early = [j for j in range(i + 1) if ends[j] <= end - 7]
+            least = {b: np.nanmin(ends[b * 5 : b * 5 + 5] + [math.inf]) for b in range(i // 5)}
+            own = early and early[-1] // 5 == i // 5
+            before = [b for b in least if least[b] <= end - 7]
+            want.append((v, i + 1, early[-1] + 1 if own else 0, -1 if own or not before else before[-1]))
+            if i % 5 == 0:
+                rows += [(v, i // 5, -1, j, ends[j]) for j in range(i, min(n, i + 5))] + [(v, i // 5, b, -1, x) for b, x in least.items()]
+    found = C.early_starts(pd.DataFrame(rows, columns=["video_id", "block", "earlier", "event_idx", "end_ms"]), 7.0)
+    assert list(found[["video_id", "stop", "back", "block"]].itertuples(index=False, name=None)) == want
+
+
 def test_running_values_across_blocks_equal_a_loop(spark):
     rng = random.Random(4)
     rows = [(k % 2, k, rng.choice([None, rng.randint(-9, 9)])) for k in range(200)]
