@@ -57,8 +57,9 @@ def llm_plan(videos: DataFrame, local: DataFrame, community: DataFrame) -> DataF
     """
     length = F.col("end_ms") - F.col("start_ms")
     unsure, short = F.col("confidence").isin("medium", "low"), (F.col("confidence") == "high") & (length <= SHORT_MS)
-    open_ = with_hits(videos, community).filter("not hit").select("video_id", "mode")
+    open_ = settled(with_hits(videos, community).filter("not hit").select("video_id", "mode"), "open")
     ranked = local.join(open_.filter("mode <> 'sponsorblock-only'").select("video_id"), "video_id", "left_semi").withColumn("rank", F.when(unsure, 2).when(short, 1).otherwise(0))
+    ranked = settled(ranked.select("video_id", "start_ms", "end_ms", "confidence", "rank"), "ranked")
     top = open_.select("video_id").distinct().join(ranked.groupBy("video_id").agg(F.max("rank").alias("top")), "video_id", "left")
     jobs = ranked.join(top.filter("top > 0"), "video_id").filter("rank = top")
     context = F.when(F.col("rank") == 2, F.least(F.lit(float(MOST_CONTEXT_MS)), F.greatest(F.lit(float(LEAST_CONTEXT_MS)), length * 2))).otherwise(float(SHORT_CONTEXT_MS))

@@ -111,6 +111,29 @@ def test_blocks_looked_through_together_equal_a_scan():
     assert list(found[["video_id", "stop", "back", "block"]].itertuples(index=False, name=None)) == want
 
 
+def test_plan_reads_its_tables_once(spark):
+    """Local segments and community segments may cost much, so a plan that is read whole works each of them out once."""
+    from spanlight.operators.routing import llm_plan, numbered_jobs
+
+    read = {name: spark.sparkContext.accumulator(0) for name in ("videos", "local", "community")}
+
+    def counted(df, name):
+        def each(parts):
+            for pdf in parts:
+                read[name].add(len(pdf))
+                yield pdf
+
+        return df.mapInPandas(each, df.schema)
+
+    videos = spark.createDataFrame([(v, "local-only" if v % 4 == 0 else "local-fallback") for v in range(20)], "video_id int, mode string")
+    local = spark.createDataFrame([(v, 1000.0 * k, 1000.0 * k + 9000.0 * (k + 1), "high" if (v + k) % 3 else "low") for v in range(15) for k in range(3)], "video_id int, start_ms double, end_ms double, confidence string")
+    community = spark.createDataFrame([(3,), (8,)], "video_id int")
+    found = numbered_jobs(llm_plan(counted(videos, "videos"), counted(local, "local"), counted(community, "community"))).collect()
+    kinds = {r.video_id: r.kind for r in found}
+    assert 3 not in kinds and all(kinds[v] == "fallback" for v in range(15, 20)) and all(kinds[v] == "candidate-verification" for v in range(15) if v != 3)
+    assert {name: n.value for name, n in read.items()} == {"videos": 20, "local": 45, "community": 2}
+
+
 def test_running_values_across_blocks_equal_a_loop(spark):
     rng = random.Random(4)
     rows = [(k % 2, k, rng.choice([None, rng.randint(-9, 9)])) for k in range(200)]
