@@ -33,13 +33,14 @@ def _frequency(tokens: DataFrame, events: DataFrame) -> DataFrame:
 def topic_vectors(windows: DataFrame, events: DataFrame) -> DataFrame:
     """(video_id, window_id, token, weight) of windows (video_id, window_id, from_ms, to_ms): (1 + ln count) * idf, edges included.
 
-    The tokens of captions, which several steps read, are a table.
+    The tokens of captions, which several steps read, are a table. Their frequencies grow with the captions
+    as they do, so neither is gathered in the driver.
     """
     tokens = settled(caption_tokens(events), "tokens")
     words = tokens.select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "token", "n")
     stretches = windows.select("video_id", "window_id", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
     counts = meeting(stretches, words).groupBy("video_id", "window_id", "token").agg(F.sum("n").alias("n"))
-    return counts.join(_frequency(tokens, events), ["video_id", "token"]).select("video_id", "window_id", "token", ((1 + F.log("n")) * F.col("idf")).alias("weight"))
+    return counts.join(_frequency(tokens, events).hint("merge"), ["video_id", "token"]).select("video_id", "window_id", "token", ((1 + F.log("n")) * F.col("idf")).alias("weight"))
 
 
 def topic_similarity(left: DataFrame, right: DataFrame, options: DetectorOptions = DetectorOptions()) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from spanlight.functions import text as T
 from spanlight.jobs.detect import caption_words, span_features
 from spanlight.operators import signals as S
+from spanlight.operators.topics import topic_vectors
 from spanlight.options import DetectorOptions
+from spanlight.sources import tables
 
 TEXTS = ["This video is sponsored by Acme.", "Use promo code ACME for 20 percent off.", "Head over to acme.com/alex today.", "Nothing here.", None, "Acme again."]
 
@@ -48,3 +50,19 @@ def test_no_table_of_captions_is_gathered_in_the_driver(said):
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
     got = {(r.video_id, r.event_idx): sorted(w.token for w in r.words) for r in words.collect()}
     assert got[(1, 5)] == ["acme"] and all(k < 6 for _, k in got)
+
+
+def test_a_table_of_many_rows_is_not_gathered_in_the_driver(spark, said, monkeypatch):
+    monkeypatch.setattr(tables, "FEW", 10)
+    joins = lambda df: said.join(tables.settled(df, "rows").filter("id >= 0").groupBy("id").count(), F.col("id") == F.col("event_idx"))._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in joins(spark.range(11)) and "Broadcast" in joins(spark.range(10)) and "Broadcast" in joins(spark.range(10).filter("id < 0"))
+
+
+def test_no_table_of_topic_tokens_is_gathered_in_the_driver(said, monkeypatch):
+    windows = said.filter("event_idx % 6 = 0").select("video_id", F.col("event_idx").alias("window_id"), F.col("start_ms").alias("from_ms"), (F.col("start_ms") + 30_000).alias("to_ms"))
+    rows = lambda df: sorted((r.video_id, r.window_id, r.token, round(r.weight, 6)) for r in df.collect())
+    want = rows(topic_vectors(windows, said))
+    monkeypatch.setattr(tables, "FEW", 4)
+    found = topic_vectors(windows, said)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert rows(found) == want and want
