@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlight import queries as Q
-from spanlight.jobs.verify import ledger, verify
+from spanlight.jobs.verify import KEYS, ledger, verify
+from spanlight.operators.requests import candidate_hints, chunk_lines, chunk_times, format_lines, job_chunks, job_ranges, parse_answers
+from spanlight.sources import tables
 from spanlight.sources.committed import CommittedTable
 
 SPAN = "video_id string, job_id int, start_ms double, end_ms double, context_ms double, confidence string"
@@ -103,3 +105,14 @@ def test_a_failure_between_files_and_commit(spark, tmp_path, monkeypatch):
     df.write.parquet(str(tmp_path / "t" / "data" / "b1-late"))
     assert not table.commit("data/b1-late", "b1") and rows_of(table.read()) == [(1,)]
     assert table.sweep() == 1 and rows_of(table.read()) == [(1,)]
+
+
+def test_no_table_of_captions_chunks_or_answers_is_gathered_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FEW", 2)
+    asked, events = tables.settled(jobs(spark), "jobs"), tables.settled(captions(spark), "events")
+    lines = tables.settled(format_lines(events), "lines")
+    chunks = tables.settled(job_chunks(lines, job_ranges(asked, events), 900, 30_000.0), "chunks")
+    responses = tables.settled(chunks.select("video_id", *KEYS, F.lit("{}").alias("payload")), "responses")
+    hints = candidate_hints(chunks, events, asked.filter("start_ms is not null").select("video_id", "job_id", "start_ms", "end_ms", "confidence"), KEYS)
+    for df in (chunk_lines(chunks, lines), chunk_times(chunks, events), hints, parse_answers(responses, chunks, events, KEYS)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
